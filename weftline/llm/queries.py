@@ -5,8 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import quality
-from weftline.llm.shared import table
+from weftline.llm import decontam, langid, ngram_join, pii, quality, warc
+from weftline.llm.shared import crc32_of, table
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that leaks into a document."""
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as compressed archives and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY d) AS last FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> last THEN last END AS refers_to
+FROM m
+"""
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,5 +66,40 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
        (fail_bits & 63) = 0 AS kept, n_lines, n_upper, fail_bits FROM b
 """
 
-QUERIES = {"op3_quality_rules": op3_quality_rules}
-ORACLES = {"op3_quality_rules": OP3_SQL}
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from the documents whose crc32 mod 3 is not 1."""
+    docs, fold = table(spark, sf_dir, "documents"), F.pmod(crc32_of("doc_id"), F.lit(3)) == 1
+    learned = langid.learn(docs.where(~fold))
+    held = F.coalesce(fold, F.lit(False)).alias("held_out")
+    return langid.predict(docs, learned, keep=[F.col("doc_id"), held])
+
+
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class and number of links at a Jaccard similarity of 0.8 over five-word shingles."""
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's spans of personal data."""
+    found = pii.personal(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    n = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "row.doc_id",
+        *[n(kind) for kind in pii.KINDS],
+        F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"),
+        pii.joined(F.concat("base", "other")).alias("spans"),
+        F.size("other").cast("long").alias("n_other"),
+    )
+
+
+QUERIES = {
+    "op1_decontamination": op1_decontamination,
+    "op2_warc": op2_warc,
+    "op3_quality_rules": op3_quality_rules,
+    "op5_language_id": op5_language_id,
+    "op6_ngram_join": op6_ngram_join,
+    "op7_personal_data": op7_personal_data,
+}
+ORACLES = {"op2_warc": OP2_SQL, "op3_quality_rules": OP3_SQL}
