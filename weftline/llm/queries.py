@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import decontam, langid, ngram_join, pii, quality, warc
+from weftline.llm import decontam, html_main, langid, ngram_join, pii, quality, substring, warc
 from weftline.llm.shared import crc32_of, table
 
 
@@ -94,6 +94,28 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text."""
+    return html_main.main_text(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its passages of 20 words or more that also start earlier."""
+    return substring.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+OP9_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS i, unnest(list_transform(range(1, len(w) - 18), lambda i: array_to_string(w[i:i + 19], ' '))) AS g
+      FROM w WHERE len(w) >= 20),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM g) WHERE k > 1),
+gone AS (SELECT doc_id, list(DISTINCT i + d) AS gone FROM later, (SELECT unnest(range(20)) AS d) GROUP BY doc_id),
+k AS (SELECT w.doc_id, w, coalesce(gone, []) AS gone FROM w LEFT JOIN gone ON w.doc_id = gone.doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(gone)::BIGINT AS n_removed,
+       sha256(coalesce(array_to_string(list_filter(w, lambda x, i: NOT list_contains(gone, i)), ' '), '')) AS kept_sha256
+FROM k
+"""
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_warc": op2_warc,
@@ -101,5 +123,7 @@ QUERIES = {
     "op5_language_id": op5_language_id,
     "op6_ngram_join": op6_ngram_join,
     "op7_personal_data": op7_personal_data,
+    "op8_html_main": op8_html_main,
+    "op9_substring_dedup": op9_substring_dedup,
 }
-ORACLES = {"op2_warc": OP2_SQL, "op3_quality_rules": OP3_SQL}
+ORACLES = {"op2_warc": OP2_SQL, "op3_quality_rules": OP3_SQL, "op9_substring_dedup": OP9_SQL}
