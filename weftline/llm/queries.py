@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import decontam, html_main, langid, ngram_join, pii, quality, substring, warc
+from weftline.llm import decontam, html_main, langid, lattice_lm, ngram_join, pii, quality, spm, substring, warc
 from weftline.llm.shared import crc32_of, table
 
 
@@ -68,6 +68,12 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 
 
 
+def op4_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's marginal log probability, learned from the documents whose crc32 mod 7 is not 2."""
+    docs = table(spark, sf_dir, "documents")
+    return lattice_lm.scored(docs, F.pmod(crc32_of("doc_id"), F.lit(7)) == 2, keep=["doc_id"])
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language, learned from the documents whose crc32 mod 3 is not 1."""
     docs, fold = table(spark, sf_dir, "documents"), F.pmod(crc32_of("doc_id"), F.lit(3)) == 1
@@ -116,14 +122,22 @@ SELECT doc_id, len(w)::BIGINT AS n_words, len(gone)::BIGINT AS n_removed,
 FROM k
 """
 
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's piece ids, and whether they decode to its text."""
+    return spm.checked(spm.encode(table(spark, sf_dir, "documents"), keep=["doc_id", "text"])).select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "intact")
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_warc": op2_warc,
     "op3_quality_rules": op3_quality_rules,
+    "op4_lattice_lm": op4_lattice_lm,
     "op5_language_id": op5_language_id,
     "op6_ngram_join": op6_ngram_join,
     "op7_personal_data": op7_personal_data,
     "op8_html_main": op8_html_main,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 ORACLES = {"op2_warc": OP2_SQL, "op3_quality_rules": OP3_SQL, "op9_substring_dedup": OP9_SQL}
