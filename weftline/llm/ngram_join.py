@@ -184,7 +184,7 @@ def unit_results(rows: list[tuple], fewest: np.ndarray, threshold: float) -> lis
 def compared(docs: DataFrame, members: DataFrame, id_col: str, text: str, n: int, threshold: float, tolerance: float) -> DataFrame:
     """(rep, texts, docs, parent) from each unit.  members: (id, h1, h2, copies, root, block, blocks)."""
     fewest = least_matches(threshold, tolerance)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("binary").alias("t")).join(members, "id")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("binary").alias("t")).join(members.hint("shuffle_hash"), "id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
@@ -268,4 +268,4 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **
     """The rows of docs without those that follow another of their class: the one with the smallest id stays."""
     found = near_duplicates(docs, id_col, text, **options)
     gone = found.where("class_id is not null and class_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    return docs.join(gone.hint("shuffle_hash"), F.col(id_col) == F.col("_gone"), "left_anti")
