@@ -3,12 +3,13 @@
 1. Every window is named by its minimizer, the least hash among its GRAM-word grams; equal windows have equal minimizers.
    Neighbouring windows with one minimizer form a segment, so there is one row for about eight windows.
 2. One shuffle brings equal minimizers together; segments whose minimizer occurs once cannot repeat and go no further.
-3. The words of the others are dealt by minimizer into shards.  A shard of bounded size holds a compressed FM-index of its
-   different segments; they are streamed through it, and backward search gives for each window the first place where it
-   starts.  Windows whose first place is an earlier one are reported as intervals.
-4. A minimizer whose segments have more than HOT_WORDS words (a passage that very many documents share) would make a shard
-   of unbounded size.  Its windows take the exact way beside it: they are counted by a 128-bit hash of their words,
-   aggregated before the shuffle, and all but the first are reported.
+3. The words of the others are dealt by minimizer into shards.  A segment that is a copy of an earlier one repeats as a whole.
+   Minimizers that have different segments, or one that can repeat within itself, share a compressed FM-index of bounded
+   size; the segments are streamed through it, and backward search gives for each window the first place where it starts.
+   Windows whose first place is an earlier one are reported as intervals.
+4. A minimizer whose different segments have more than HOT_WORDS words (a passage that very many documents go on from, each in
+   its own way) would make a shard of unbounded size.  Its windows take the exact way beside it: they are counted by a
+   128-bit hash of their words, aggregated before the shuffle, and all but the first are reported.
 5. Intervals meet their documents by id.
 
 Words are compared as written.  Windows are judged on the input, not on what is left.
@@ -73,45 +74,34 @@ def _segment_rows(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(run, "m long, doc_id long, start int, n int, twice boolean")
 
 
-def _often(found: DataFrame, window: int) -> DataFrame:
-    """The segments whose minimizer can repeat, with hot.  Sorted rows stream by: a minimizer's rows are held until it ends
-    or proves to be hot, so memory is bounded whatever it repeats."""
+def _often(found: DataFrame) -> DataFrame:
+    """The segments whose minimizer can repeat.  Sorted rows stream by: a minimizer's row is held until its second one comes or
+    it ends, so memory is bounded whatever it repeats."""
+    names = ("m", "doc_id", "start", "n", "twice")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("m", "doc_id", "start", "n", "twice")
-        held, hot = None, None
-
-        def chosen(x: list[np.ndarray], keep: np.ndarray, hot_rows: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([*[pa.array(c[keep]) for c in x], pa.array(hot_rows[keep])], names=[*names, "hot"])
+        held, going = None, None  # rows of the last minimizer if they may yet be alone; it, if it is known to repeat
 
         def judged(x: list[np.ndarray], last: bool) -> tuple[pa.RecordBatch, list[np.ndarray] | None, int | None]:
-            m, n = x[0], x[3].astype(np.int64)
+            m = x[0]
             heads = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
-            sizes = np.diff(np.append(heads, len(m)))
-            count = np.add.reduceat(np.where(x[4], 2, 1), heads)
-            much = np.add.reduceat(n + window - 1, heads) > HOT_WORDS
-            known = m[heads] == hot if hot is not None else np.zeros(len(heads), bool)
-            keep, much = (count > 1) | known, much | known
-            keep, much, rest, mark = np.repeat(keep, sizes), np.repeat(much, sizes), None, None
-            if not last:
-                if much[-1]:
-                    mark = int(m[-1])
-                else:
-                    rest = [c[heads[-1] :] for c in x]
-                    keep[heads[-1] :] = False
-            return chosen(x, keep, much), rest, mark
+            keep = np.add.reduceat(np.where(x[4], 2, 1), heads) > 1
+            keep[0] |= going is not None and int(m[0]) == going
+            rest, mark = ([c[heads[-1] :] for c in x], None) if not last and not keep[-1] else (None, int(m[-1]))
+            rows = np.repeat(keep, np.diff(np.append(heads, len(m))))
+            return pa.RecordBatch.from_arrays([pa.array(c[rows]) for c in x], names=list(names)), rest, mark
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
             x = [np.concatenate(pair) for pair in zip(held, x, strict=True)] if held is not None else x
-            out, held, hot = judged(x, False)
+            out, held, going = judged(x, False)
             yield out
         if held is not None:
             yield judged(held, True)[0]
 
-    return found.repartition("m").sortWithinPartitions("m").mapInArrow(run, "m long, doc_id long, start int, n int, twice boolean, hot boolean")
+    return found.repartition("m").sortWithinPartitions("m").mapInArrow(run, "m long, doc_id long, start int, n int, twice boolean")
 
 
 def _window_hashes(hashes: np.ndarray, window: int) -> np.ndarray:
@@ -119,62 +109,70 @@ def _window_hashes(hashes: np.ndarray, window: int) -> np.ndarray:
     return np.stack([windows(hashes, window), windows(mixed(hashes ^ np.uint64(0xD6E8FEB86659FD93)), window)], axis=1).view(np.int64)
 
 
+def _arrow(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}
+    fields = [x.split() for x in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+
+
 def _segment_words(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """The words of the wanted segments (key m, words), or for hot ones their windows' hashes (key, other)."""
-    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("m", "start", "n", "hot")).alias("s"))
+    """The words of the wanted segments."""
+    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("m", "start", "n", "twice")).alias("s"))
+    schema = "key long, doc_id long, start int, twice boolean, words binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             got: list[tuple] = []
             size = 0
-            for i, t, s in zip(batch.column("doc_id").to_pylist(), batch.column("t"), batch.column("s").to_pylist(), strict=True):
+            fields = batch.column("s")
+            for k, (i, t) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("t"), strict=True)):
                 words = (t.as_py() or b"").split()
-                for x in s:
-                    part = words[x["start"] : x["start"] + x["n"] + window - 1]
-                    if len(part) < x["n"] + window - 1:
-                        continue  # of another text with this id
-                    if x["hot"]:
-                        for k, (a, b) in enumerate(_window_hashes(hashes.of(part), window).tolist()):
-                            got.append((a, b, i, x["start"] + k, None))
-                    else:
-                        got.append((x["m"], None, i, x["start"], b" ".join(part)))
+                for m, start, n, twice in zip(*[x.to_pylist() for x in fields[k].values.flatten()], strict=True):
+                    end = start + n + window - 1
+                    if end <= len(words):  # else of another text with this id
+                        got.append((m, i, start, twice, b" ".join(words[start:end])))
                         size += len(got[-1][4])
-                if size > 8 << 20 or len(got) > 100_000:
-                    yield _arrow(got)
+                if size > 8 << 20:
+                    yield _arrow(got, schema)
                     got, size = [], 0
-            yield _arrow(got)
+            yield _arrow(got, schema)
+
+    return docs.join(lists, "doc_id").select("doc_id", "t", "s").mapInArrow(run, schema)
 
-    def _arrow(got: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*got, strict=True)) or [()] * 5
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["key", "other", "doc_id", "start", "words"])
 
-    met = docs.join(lists, "doc_id").select("doc_id", "t", "s")
-    return met.mapInArrow(run, "key long, other long, doc_id long, start int, words binary")
+class Group:
+    """The different segments of one minimizer, each with its first place."""
 
+    def __init__(self) -> None:
+        self.first: dict[bytes, tuple[int, int]] = {}
+        self.words, self.twice = 0, False
 
-def shard_repeats(rows: list[tuple[int, int, bytes]], window: int) -> list[tuple[int, int, int]]:
-    """Intervals (doc_id, from, to) of the repeated windows of a shard.  rows: (doc_id, start, words)."""
-    rows = sorted(set(rows))
+    def add(self, i: int, start: int, twice: bool, words: bytes) -> bool:
+        """Whether this is a copy of a segment at an earlier place; places come in order."""
+        if words in self.first:
+            return self.first[words] != (i, start)
+        self.first[words] = (i, start)
+        self.words += words.count(b" ") + 1
+        self.twice |= twice
+        return False
+
+    def repeats(self) -> bool:
+        """Whether a window of one segment can be in another, or twice in one."""
+        return len(self.first) > 1 or self.twice
+
+
+def shard_repeats(groups: list[Group], window: int) -> list[tuple[int, int, int]]:
+    """Intervals (doc_id, from, to) of the repeated windows of a shard's different segments."""
     numbers: dict[bytes, int] = {}
-    place: dict[bytes, int] = {}
-    texts, owner, out = [], [], []
-    for i, start, words in rows:
-        parts = words.split()
-        if words in place:  # a copy of an earlier segment: each of its windows starts earlier
-            out.append((i, start, start + len(parts)))
-            continue
-        place[words] = len(texts)
-        texts.append(np.array([numbers.setdefault(w, len(numbers) + 1) for w in parts], np.int64))
-        owner.append((i, start))
-    index = FMIndex(texts, len(numbers), window)
-    for k, (first, (i, start)) in enumerate(zip(index.matches(texts), owner, strict=True)):
-        home = np.searchsorted(index.starts, first, "right") - 1
-        mine = np.arange(len(first))
-        for w in np.flatnonzero(first < index.starts[k] + mine).tolist():
-            h = int(home[w])
-            if (owner[h][0], owner[h][1] + int(first[w] - index.starts[h])) < (i, start + w):
+    rows = sorted((place, words) for g in groups for words, place in g.first.items())
+    texts = [np.array([numbers.setdefault(w, len(numbers) + 1) for w in words.split()], np.int64) for _, words in rows]
+    index, out = FMIndex(texts, len(numbers), window), []
+    for k, (first, ((i, start), _)) in enumerate(zip(index.matches(texts), rows, strict=True)):
+        for w in np.flatnonzero(first < index.starts[k] + np.arange(len(first))).tolist():
+            h = int(np.searchsorted(index.starts, first[w], "right")) - 1
+            (di, ds), at = rows[h][0], int(first[w] - index.starts[h])
+            if (di, ds + at) < (i, start + w):
                 if out and out[-1][0] == i and out[-1][1] <= start + w <= out[-1][2]:
                     out[-1] = (i, out[-1][1], start + w + window)
                 else:
@@ -183,37 +181,57 @@ def shard_repeats(rows: list[tuple[int, int, bytes]], window: int) -> list[tuple
 
 
 def _shards(rows: DataFrame, window: int) -> DataFrame:
+    """(doc_id, a, b, key, other): intervals to remove, with null keys; and windows of hot minimizers, with their hash."""
+    schema = "doc_id long, a int, b int, key long, other long"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def results(held: list[tuple]) -> pa.RecordBatch:
-            got = list(zip(*shard_repeats(held, window), strict=True)) or [()] * 3
-            return pa.RecordBatch.from_arrays([pa.array(got[0], pa.int64()), pa.array(got[1], pa.int32()), pa.array(got[2], pa.int32())], names=["doc_id", "a", "b"])
+        hashes = WordHashes()
+        out: list[tuple] = []
+        held: list[Group] = []
+        group, last, size, hot = Group(), None, 0, False
+
+        def by_window(words: bytes, i: int, start: int) -> None:
+            for w, (a, b) in enumerate(_window_hashes(hashes.of(words.split()), window).tolist()):
+                out.append((i, start + w, start + w + window, a, b))
 
-        held, size, last = [], 0, None
         for batch in batches:
-            for key, i, start, words in zip(*[batch.column(c).to_pylist() for c in ("key", "doc_id", "start", "words")], strict=True):
-                if key != last and size >= SHARD_WORDS:
-                    yield results(held)
-                    held, size = [], 0
-                last = key
-                held.append((i, start, words))
-                size += words.count(b" ") + 1
+            for key, i, start, twice, words in zip(*[batch.column(c).to_pylist() for c in ("key", "doc_id", "start", "twice", "words")], strict=True):
+                if key != last:
+                    if not hot and group.repeats():
+                        held.append(group)
+                        size += group.words
+                    if size >= SHARD_WORDS:
+                        out += [(*x, None, None) for x in shard_repeats(held, window)]
+                        held, size = [], 0
+                    group, last, hot = Group(), key, False
+                if hot:
+                    by_window(words, i, start)
+                elif group.add(i, start, twice, words):
+                    out.append((i, start, start + words.count(b" ") + 1, None, None))
+                elif group.words > HOT_WORDS:
+                    hot = True
+                    for x, place in group.first.items():
+                        by_window(x, *place)
+                if len(out) > 50_000:
+                    yield _arrow(out, schema)
+                    out = []
+        if not hot and group.repeats():
+            held.append(group)
         if held:
-            yield results(held)
+            out += [(*x, None, None) for x in shard_repeats(held, window)]
+        yield _arrow(out, schema)
 
-    dealt = rows.select("key", "doc_id", "start", "words").repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "doc_id long, a int, b int")
+    return rows.repartition("key").sortWithinPartitions("key", "doc_id", "start").mapInArrow(run, schema)
 
 
 def repeated(docs: DataFrame, window: int = 20) -> DataFrame:
     """(doc_id, a, b): intervals of words to remove.  docs: (doc_id, t), t in UTF-8."""
-    wanted = _often(_segment_rows(docs, window), window)
-    words = written(_segment_words(docs, wanted, window), "segments")
-    shards = _shards(words.where("words is not null"), window)
-    each = words.where("words is null").select("key", "other", "doc_id", "start")
-    first = each.groupBy("key", "other").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("c")).where("c > 1")
+    found = written(_shards(_segment_words(docs, _often(_segment_rows(docs, window)), window), window), "intervals")
+    each = found.where("key is not null")
+    first = each.groupBy("key", "other").agg(F.min(F.struct("doc_id", "a")).alias("first"), F.count("*").alias("c")).where("c > 1")
     first = first.select("key", "other", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
-    later = each.withColumn("s", F.pmod(F.hash("doc_id"), F.lit(SALTS))).join(first, ["key", "other", "s"]).where(F.struct("doc_id", "start") > F.col("first"))
-    return shards.unionByName(later.select("doc_id", F.col("start").alias("a"), (F.col("start") + window).alias("b")))
+    later = each.withColumn("s", F.pmod(F.hash("doc_id"), F.lit(SALTS))).join(first, ["key", "other", "s"]).where(F.struct("doc_id", "a") > F.col("first"))
+    return found.where("key is null").select("doc_id", "a", "b").unionByName(later.select("doc_id", "a", "b"))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 20) -> DataFrame:
