@@ -64,9 +64,9 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     """One whole record.  A revisit has the HTTP header of its response and no payload, so its length is known too."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
-    clean = lambda x: "".join(x.split())  # noqa: E731  # a header is one line
+    target = [] if url is None else [f"WARC-Target-URI: {''.join(url.split())}"]  # a header is one line
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id, digest)}", f"WARC-Date: {date}"]
-    head += [f"WARC-Target-URI: {clean(url)}"] * (url is not None) + [f"WARC-Page-ID: {page_id}"] * (page_id is not None)
+    head += target + ([] if page_id is None else [f"WARC-Page-ID: {page_id}"])
     head += [f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}"]
     if refers_to is not None:
         head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"WARC-Refers-To-Page-ID: {refers_to}"]
@@ -98,7 +98,7 @@ def write_archives(records: DataFrame, path: str, archive_bytes: int = 64 << 20,
         def opened() -> None:
             raw = trained([x[:8192] for x in held], dict_bytes)
             state["name"] = f"{uuid.uuid4().hex}.warc.zst"
-            state["out"] = fs.open_output_stream(f"{root}/{state['name']}")
+            state["out"] = fs.open_output_stream(f"{root}/{state['name']}", compression=None)  # not what the suffix says
             packed = zstandard.ZstdCompressor(level=19).compress(raw)
             state["out"].write(struct.pack("<II", DICTIONARY_MAGIC, len(packed)) + packed)
             state["n"] = state["written"] = 0
@@ -207,7 +207,7 @@ def read_archives(files: DataFrame, payload: bool = True) -> DataFrame:
             for uri in batch.column("file").to_pylist():
                 fs, path = pa.fs.FileSystem.from_uri(uri)
                 rows, size = [], 0
-                with fs.open_input_stream(path) as stream:
+                with fs.open_input_stream(path, compression=None) as stream:
                     for data in frames(stream):
                         row = parsed(data)
                         rows.append(row if payload else row | {"payload": None})
