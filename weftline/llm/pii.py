@@ -32,7 +32,7 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9][0-9]?)?+"
 #: Words with a digit; those of at least MIN_LENGTH characters between their outer letters and digits are candidates.
 NUMBERED = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 MIN_LENGTH = 6
@@ -125,8 +125,8 @@ def discovered(docs: DataFrame, seen: DataFrame, text: str = "text", rounds: int
         scored = graph.join(known, "value")
         pattern = scored.groupBy("before").agg((F.sum(F.col("n") * F.col("score")) / F.first("total")).alias("p"), F.count(F.when(F.col("score") >= accept, 1)).alias("support"))
         pattern = pattern.where(F.col("support") >= min_support).select("before", F.least("p", F.lit(1.0)).alias("p"))
-        doubt = F.exp(F.sum(F.log1p(-F.least("p", F.lit(0.999999)))))
-        known = graph.join(pattern, "before", "left").groupBy("value").agg(F.greatest(F.max("seed"), F.coalesce(1 - doubt, F.lit(0.0))).alias("score"), F.max("seed").alias("seed"))
+        doubt = F.exp(F.sum(F.log1p(-F.least(F.coalesce("p", F.lit(0.0)), F.lit(0.999999)))))  # no pattern says nothing
+        known = graph.join(pattern, "before", "left").groupBy("value").agg(F.greatest(F.max("seed"), 1 - doubt).alias("score"), F.max("seed").alias("seed"))
         known = written(known, "known").select("value", "score", "seed")
         last, known = known, known.select("value", "score")
     return last.where((F.col("seed") == 0) & (F.col("score") >= accept)).select("value", "score")
