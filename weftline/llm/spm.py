@@ -24,6 +24,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,9 +34,10 @@ from weftline.llm.frequent import counted, most_frequent
 from weftline.llm.shared import written
 
 #: Units that tasks hold, each of at most LONGEST bytes.
-FREQUENT, LONGEST = 300_000, 64
+FREQUENT, LONGEST = 200_000, 64
+#: Other units that a task remembers.
+RARE = 100_000
 UNIT = re.compile("\n|▁?[^▁\n]+|▁")
-EDGE = "array<struct<start:int,id:int,score:double>>"
 
 
 def units(text: str) -> list[str]:
@@ -63,10 +65,6 @@ def lattice(words: DataFrame, model: table.Pieces) -> DataFrame:
     return met.groupBy("unit", "n").agg(F.collect_list(edge).alias("edges"))
 
 
-def _let(value: Column, body) -> Column:
-    return F.transform(F.array(value), body)[0]
-
-
 def best_paths(lattices: DataFrame, model: table.Pieces) -> DataFrame:
     """(unit, ids) of the best path through each lattice."""
     first = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("late"), F.lit(-1).alias("id")))
@@ -106,66 +104,84 @@ def encoded_units(docs: DataFrame, text: str, model: table.Pieces) -> DataFrame:
     return best_paths(lattice(words.repartition("unit"), model), model)
 
 
-def encode(docs: DataFrame, text: str = "text", out: str = "ids", keep: list[str] | None = None, model_path: str = table.DEFAULT_MODEL) -> DataFrame:
-    """The kept columns (all by default) of every row with its ids."""
+def encode(docs: DataFrame, text: str = "text", out: str = "ids", keep: list[str] | None = None, model_path: str = table.DEFAULT_MODEL, checked: bool = False) -> DataFrame:
+    """The kept columns (all by default) of every row with its ids; checked adds intact, whether they decode to the text
+    (where a mark reads as a space; null for null).
+
+    Ids stay packed bytes until they are a column, so a task holds its table and a few texts.
+    """
     model, names = table.load(model_path), keep or docs.columns
     often = encoded_units(docs, text, model).toArrow()
-    values, ends = often.column("ids").combine_chunks(), None
-    ends = values.offsets.to_numpy()
-    flat = values.values.to_numpy().astype("int32")
-    sent = docs.sparkSession.sparkContext.broadcast((often.column("unit").to_pylist(), flat, ends, model))
+    column = often.column("ids").combine_chunks()
+    sent = docs.sparkSession.sparkContext.broadcast((often.column("unit").to_pylist(), column.values.to_numpy().astype("int32").tobytes(), column.offsets.to_pylist(), model))
+    del often, column
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, flat, ends, model = sent.value
-        known: dict[str, list[int]] = {u: flat[a:b].tolist() for u, a, b in zip(found, ends, ends[1:], strict=False)}
-        rare: dict[str, list[int]] = {}
+        found, packed, ends, model = sent.value
+        known = {u: packed[4 * a : 4 * b] for u, a, b in zip(found, ends, ends[1:], strict=False)}
+        rare: dict[str, bytes] = {}
+        back = spellings(model)
+
+        def ids_of(t: str) -> bytes:
+            parts = []
+            for u in units(t):
+                x = known.get(u) or rare.get(u)
+                if x is None:
+                    if len(rare) > RARE:
+                        rare.clear()
+                    rare[u] = x = np.array(model.best(u), np.int32).tobytes()
+                parts.append(x)
+            return b"".join(parts)
+
+        def taken(row: pa.Array, rows: list[int], ids: list[bytes | None], same: list[bool | None]) -> pa.RecordBatch:
+            offsets = np.concatenate([[0], np.cumsum([len(x or b"") // 4 for x in ids], dtype=np.int64)]).astype(np.int32)
+            values = pa.array(np.frombuffer(b"".join(x or b"" for x in ids), np.int32))
+            lists = pa.ListArray.from_arrays(pa.array(offsets), values, mask=pa.array([x is None for x in ids], pa.bool_()))
+            return pa.RecordBatch.from_arrays([row.take(pa.array(rows, pa.int64())), lists, pa.array(same, pa.bool_())], names=["row", "ids", "intact"])
+
         for batch in batches:
             rows: list[int] = []
-            ids: list[list[int] | None] = []
+            ids: list[bytes | None] = []
+            same: list[bool | None] = []
             size = 0
             for k, t in enumerate(batch.column("text")):
-                one: list[int] | None = None
-                if t.is_valid:
-                    one = []
-                    for u in units(t.as_py()):
-                        x = known.get(u) or rare.get(u)
-                        if x is None:
-                            if len(rare) > 200_000:
-                                rare.clear()
-                            rare[u] = x = model.best(u)
-                        one += x
-                    size += len(one)
+                t = t.as_py()
                 rows.append(k)
-                ids.append(one)
-                if size > 1_000_000:
-                    yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(rows)), pa.array(ids, pa.list_(pa.int32()))], names=["row", "ids"])
-                    rows, ids, size = [], [], 0
-            yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(rows, pa.int64())), pa.array(ids, pa.list_(pa.int32()))], names=["row", "ids"])
+                ids.append(None if t is None else ids_of(t))
+                same.append(None if t is None or not checked else spelled(ids[-1], back) == t.replace(table.MARK, " "))
+                size += len(ids[-1] or b"")
+                if size > 2 << 20:
+                    yield taken(batch.column("row"), rows, ids, same)
+                    rows, ids, same, size = [], [], [], 0
+            yield taken(batch.column("row"), rows, ids, same)
 
     source = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(text).cast("string").alias("text"))
-    done = source.mapInArrow(run, f"row {source.schema['row'].dataType.simpleString()}, ids array<int>")
-    return done.select(*[F.col("row").getField(c).alias(c) for c in names], F.col("ids").alias(out))
+    done = source.mapInArrow(run, f"row {source.schema['row'].dataType.simpleString()}, ids array<int>, intact boolean")
+    return done.select(*[F.col("row").getField(c).alias(c) for c in names], F.col("ids").alias(out), *(["intact"] if checked else []))
+
+
+def spellings(model: table.Pieces) -> list[bytes]:
+    """The bytes of each id."""
+    names = {i: p.replace(table.MARK, " ").encode() for p, (i, _) in model.ids.items()} | {i: bytes([b]) for b, i in enumerate(model.bytes)}
+    return [names.get(i, b"") for i in range(max(names) + 1)]
+
+
+def spelled(ids: bytes, back: list[bytes]) -> str:
+    """The text of packed ids, without the space that the first mark stands for."""
+    text = b"".join([back[i] for i in np.frombuffer(ids, np.int32).tolist()]).decode("utf-8", "replace")
+    return text[1:] if text.startswith(" ") else text
 
 
 def decode(encoded: DataFrame, ids: str = "ids", out: str = "text", model_path: str = table.DEFAULT_MODEL) -> DataFrame:
     """encoded with the text of its ids."""
-    model = table.load(model_path)
-    names = {i: p.replace(table.MARK, " ").encode() for p, (i, _) in model.ids.items()} | {i: bytes([b]) for b, i in enumerate(model.bytes)}
-    sent = encoded.sparkSession.sparkContext.broadcast(names)  # as large as the vocabulary
+    sent = encoded.sparkSession.sparkContext.broadcast(spellings(table.load(model_path)))  # as large as the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = sent.value.__getitem__
         for batch in batches:
-            texts = [None if not x.is_valid else b"".join(map(get, x.as_py())).decode("utf-8", "replace") for x in batch.column("ids")]
-            texts = [t[1:] if t and t[0] == " " else t for t in texts]
+            texts = [spelled(np.array(x.as_py(), np.int32).tobytes(), sent.value) if x.is_valid else None for x in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], names=["row", "decoded"])
 
-    source = encoded.select(F.struct(*[F.col(f"`{c}`") for c in encoded.columns]).alias("row"), F.col(ids).alias("ids"))
+    kept = [c for c in encoded.columns if c not in (ids, out)]
+    source = encoded.select(F.struct(F.lit(1).alias("_"), *[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(ids).alias("ids"))
     done = source.mapInArrow(run, f"row {source.schema['row'].dataType.simpleString()}, decoded string")
-    return done.select(*[F.col("row").getField(c).alias(c) for c in encoded.columns if c != out], F.col("decoded").alias(out))
-
-
-def checked(encoded: DataFrame, text: str = "text", ids: str = "ids", model_path: str = table.DEFAULT_MODEL) -> DataFrame:
-    """encoded with intact: whether the ids decode to the text, where a mark reads as a space.  Null for null."""
-    done = decode(encoded, ids, "_decoded", model_path)
-    return done.withColumn("intact", F.col("_decoded") == F.translate(F.col(text), table.MARK, " ")).drop("_decoded")
+    return done.select(*[F.col("row").getField(c).alias(c) for c in kept], F.col("decoded").alias(out))
