@@ -1,6 +1,6 @@
 """Language identification by compression.
 
-One zstandard dictionary of raw content stands for each language.  A text is encoded once with every dictionary, and the
+One zstandard dictionary of raw content stands for each language.  A text is encoded once with every dictionary, in lower case, and the
 language whose dictionary gives the smallest result wins.  The margin to the second smallest is the score; a text whose
 margin is narrow is marked as rejected (``confident`` is false), while its best guess stays in ``lang_pred``.
 
@@ -24,7 +24,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 LETTER = regex.compile(r"\p{L}")
-LEVEL = 3
+
+
+def settings() -> zstandard.ZstdCompressionParameters:
+    """Short matches, as languages differ in pieces of words; made in each task."""
+    return zstandard.ZstdCompressionParameters.from_level(6, min_match=4, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", docs_per_lang: int = 96, chars_per_doc: int = 1024, max_langs: int = 256) -> dict[str, bytes]:
@@ -41,14 +45,14 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", docs_per_
     langs = sorted({r.lang for r in sample})
     if len(langs) > max_langs:
         raise ValueError(f"{len(langs)} languages; max_langs is {max_langs}")
-    return {x: "\n".join(r.head for r in sorted(sample, key=lambda r: r.k) if r.lang == x).encode() for x in langs}
+    return {x: "\n".join(r.head.lower() for r in sorted(sample, key=lambda r: r.k) if r.lang == x).encode() for x in langs}
 
 
 def judged(text: str | None, coders: list[tuple[str, zstandard.ZstdCompressor]]) -> tuple[str, float]:
     """The best language and its margin as a share of the second smallest size."""
     if text is None or not coders or not LETTER.search(text):
         return "und", 0.0
-    data = text.encode("utf-8", "replace")
+    data = text.lower().encode("utf-8", "replace")
     sizes = sorted((len(c.compress(data)), lang) for lang, c in coders)
     return sizes[0][1], (1.0 - sizes[0][0] / sizes[1][0] if len(sizes) > 1 else 1.0)
 
@@ -64,8 +68,8 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text",
         coders = []
         for lang, data in sorted(content.value.items()):
             raw = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            raw.precompute_compress(level=LEVEL)
-            coders.append((lang, zstandard.ZstdCompressor(level=LEVEL, dict_data=raw, write_content_size=False, write_checksum=False, write_dict_id=False)))
+            raw.precompute_compress(compression_params=settings())
+            coders.append((lang, zstandard.ZstdCompressor(dict_data=raw, compression_params=settings())))
         for batch in batches:
             found = [judged(t.as_py(), coders) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
