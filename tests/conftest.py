@@ -15,4 +15,4 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
-    session.stop()
+
