@@ -34,8 +34,9 @@ from weftline.llm.shared import written
 from weftline.llm.words import WordHashes, mixed, windows
 
 GRAM = 6
-#: Above so many words the segments of one minimizer are hot; a shard's index holds at most about twice SHARD_WORDS.
-HOT_WORDS, SHARD_WORDS = 60_000, 250_000
+#: Above so many words the different segments of one minimizer are hot.  A shard's index holds at most their sum with
+#: SHARD_WORDS, which takes about 50 MB while it is built.
+HOT_WORDS, SHARD_WORDS = 200_000, 250_000
 SALTS = 16
 
 
@@ -204,12 +205,12 @@ def _shards(rows: DataFrame, window: int) -> DataFrame:
                         out += [(*x, None, None) for x in shard_repeats(held, window)]
                         held, size = [], 0
                     group, last, hot = Group(), key, False
-                if hot:
+                if hot and words not in group.first:
                     by_window(words, i, start)
                 elif group.add(i, start, twice, words):
                     out.append((i, start, start + words.count(b" ") + 1, None, None))
-                elif group.words > HOT_WORDS:
-                    hot = True
+                elif not hot and group.words > HOT_WORDS:
+                    hot = True  # the segments so far are kept, so that their copies still go as a whole
                     for x, place in group.first.items():
                         by_window(x, *place)
                 if len(out) > 50_000:
