@@ -21,24 +21,28 @@ class Pieces:
     bytes: list[int]
     unknown: float
     longest: int = field(init=False)
+    starts: frozenset[str] = field(init=False, repr=False)
 
     def __post_init__(self) -> None:
         self.longest = max(map(len, self.ids), default=1)
+        self.starts = frozenset(p[:k] for p in self.ids for k in range(2, len(p) + 1))
 
     def best(self, unit: str) -> list[int]:
         """Ids of the path with the greatest sum of scores; of equal ones, where they part, that with the longest last
         piece.  A character that is no piece is its bytes."""
-        n, get, longest = len(unit), self.ids.get, self.longest
+        n, get, starts = len(unit), self.ids.get, self.starts
         score, back = [0.0] + [-np.inf] * n, [(0, -1)] * (n + 1)
         for i in range(n):
             here = score[i]
-            for j in range(i + 1, min(n, i + longest) + 1):
-                found = get(unit[i:j])
-                if found is None:
-                    if j > i + 1:
-                        continue
-                    found = (-1, self.unknown)
-                if here + found[1] > score[j]:
+            piece, value = get(unit[i]) or (-1, self.unknown)
+            if here + value > score[i + 1]:
+                score[i + 1], back[i + 1] = here + value, (i, piece)
+            for j in range(i + 2, n + 1):
+                part = unit[i:j]
+                if part not in starts:  # no piece goes on like this
+                    break
+                found = get(part)
+                if found and here + found[1] > score[j]:
                     score[j], back[j] = here + found[1], (i, found[0])
         out: list[int] = []
         while n:

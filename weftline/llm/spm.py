@@ -119,19 +119,23 @@ def encode(docs: DataFrame, text: str = "text", out: str = "ids", keep: list[str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, packed, ends, model = sent.value
         known = {u: packed[4 * a : 4 * b] for u, a, b in zip(found, ends, ends[1:], strict=False)}
+        # most units are a mark and a word between spaces; the others are found below
+        by_word = {u[1:]: x for u, x in known.items() if u[0] == table.MARK}.get
         rare: dict[str, bytes] = {}
         back = spellings(model)
 
+        def others(word: str) -> bytes:
+            """The ids of what stands between two spaces: of each of its units."""
+            x = rare.get(word)
+            if x is None:
+                if len(rare) > RARE:
+                    rare.clear()
+                own = UNIT.findall(table.MARK + word.replace(" ", table.MARK))
+                rare[word] = x = b"".join([known.get(u) or np.array(model.best(u), np.int32).tobytes() for u in own])
+            return x
+
         def ids_of(t: str) -> bytes:
-            parts = []
-            for u in units(t):
-                x = known.get(u) or rare.get(u)
-                if x is None:
-                    if len(rare) > RARE:
-                        rare.clear()
-                    rare[u] = x = np.array(model.best(u), np.int32).tobytes()
-                parts.append(x)
-            return b"".join(parts)
+            return b"".join([by_word(w) or others(w) for w in t.split(" ")]) if t else b""
 
         def taken(row: pa.Array, rows: list[int], ids: list[bytes | None], same: list[bool | None]) -> pa.RecordBatch:
             offsets = np.concatenate([[0], np.cumsum([len(x or b"") // 4 for x in ids], dtype=np.int64)]).astype(np.int32)
