@@ -362,6 +362,30 @@ def test_main_text(spark):
     assert html_main.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_main_text_of_split_articles(spark):
+    """Title, lead and all parts stay when most of the text lies in sections or in wrapped paragraphs."""
+    parts = [f"Part {k} of the text says a good deal. " + " ".join(words(60, k)) + "." for k in range(4)]
+    head, lead = "A title of the whole text", "A lead in one sentence that stands before the parts."
+    each = lambda tag, xs: "".join(f"<{tag}><p>{x}</p></{tag.split()[0]}>" for x in xs)
+    links = "<div class='more'>" + "".join(f"<p><a href='/{k}'>Another text that may be read, number {k}</a></p>" for k in range(40)) + "</div>"
+    shapes = {
+        "sections": f"<article><h1>{head}</h1><p>{lead}</p>{each('section', parts)}</article>",
+        "kinds": f"<article><header><h1>{head}</h1></header><div class='lead'><p>{lead}</p></div>{each('section class=a', parts[:1])}{each('section class=b', parts[1:])}</article>",
+        "wrapped": f"<main><h1>{head}</h1><p>{lead}</p><div class='inner'>{each('div class=p', parts)}</div></main>",
+        "content": f"<div class='page'><p>Words of the site that stand on all pages.</p><div class='post-7'><h1>{head}</h1><div class='lead'>{lead}</div>{each('div class=p', parts)}</div></div>",
+        "plain": f"<div class='x'><h1>{head}</h1><p>{lead}</p>{each('div class=w-1/2', parts)}</div>{links}",
+        "bare": f"<h1>{head}</h1><p>{lead}</p>{each('div class=p', parts)}",
+        "beside": f"<h1>Words of a site</h1><main>{links}<article><h1>{head}</h1><p>{lead}</p>{each('section', parts)}</article></main>",
+    }
+    rows = [(k, f"http://{name}.org/{k}", PAGE % html) for name, html in shapes.items() for k in range(3)]
+    # a page of its own without the host's path, and one without a host
+    rows += [(9, "http://plain.org/9", PAGE % shapes["sections"]), (9, None, PAGE % shapes["sections"])]
+    got = html_main.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.text == "\n".join([head, lead, *parts]), (r.url, r.text)
+
+
 # --- 9: repeated passages
 
 

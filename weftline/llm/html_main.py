@@ -3,7 +3,9 @@
 1. Each page is read into blocks.  Every container (element that holds blocks) is scored by its text, less what lies in links
    and in regions that are never main text, and votes for its generalised path: tags with classes, digits taken out, ids left
    out, repeated siblings alike.
-2. Votes are summed for each host and path in Spark; for each host the path with the most wins.
+2. Votes are summed for each host and path in Spark; for each host the path with the most wins.  The path is then widened:
+   from the winner, which may hold only the sections or wrapped paragraphs of a text, out to the container that also has the
+   title, the lead and the other parts (see ``widened``).
 3. Pages are read again with the path that their host has chosen.  A page without that path uses its own best container.
 
 Never main text: navigation, headers and footers of the page, sidebars, notices, adverts, forms, scripts, styles, comments
@@ -11,6 +13,10 @@ of readers and markup (by tag, role, or a word of class or id).
 
 Defined cases: a null or empty page has an empty text; a page without a host votes and extracts by itself; broken, cut and
 unclosed markup is read as far as it goes; repeated rows and null ids are read like any other.
+
+Limits: parts of a text in sibling containers of different paths are taken together only below an article or main element or
+a container named for its text, or beside text that lies directly in their parent; the body itself is taken only if it
+directly holds a heading and at least half of what it adds.
 """
 
 from __future__ import annotations
@@ -31,11 +37,13 @@ RAW_TEXT = frozenset("script style textarea title noscript iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NEVER = frozenset("nav footer aside form button dialog menu".split()) | RAW
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINER = frozenset("article main section div body td center".split())
 #: A start tag of the first kind ends an open element of the second.
 CLOSES_P = BLOCK - {"html", "body"}
 CLOSES_SELF = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dd dt", ("dl",)), "dd": ("dd dt", ("dl",)), "tr": ("tr td th", ("table", "tbody", "thead", "tfoot")), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table"))}
 BAD_WORDS = frozenset("nav navbar navigation menu header masthead topbar footer sidebar aside widget ad ads advert adverts advertisement banner promo sponsor sponsored cookie cookies consent notice notices gdpr popup modal newsletter subscribe signup login form search share sharing social breadcrumb breadcrumbs pagination pager related recommended comment comments respond reply replies disqus toolbar skip copyright legal".split())
+TEXT_WORDS = frozenset("content article post entry main story".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)(?:>|\Z)", re.S)
@@ -50,7 +58,7 @@ def attributes(text: str) -> dict[str, str]:
 
 def named(tag: str, found: dict[str, str]) -> str:
     """A step of a generalised path."""
-    classes = sorted({re.sub(r"\d+", "", c) for c in found.get("class", "").lower().split()} - {""})
+    classes = sorted({re.sub(r"[\d/]+", "", c) for c in found.get("class", "").lower().split()} - {""})
     return ".".join([tag, *classes])
 
 
@@ -68,9 +76,13 @@ def unwanted(tag: str, found: dict[str, str], inside: bool) -> bool:
     return bool(words & BAD_WORDS) and not (words & {"content", "article", "post", "entry", "main"} and not words & {"comment", "comments", "ad", "ads", "sidebar", "footer", "nav", "related"})
 
 
-def read(page: str) -> tuple[list[tuple[str, tuple[int, ...], int]], list[str]]:
-    """Blocks in page order, each (text, numbers of the containers around it, characters in links), and containers' paths."""
-    out: list[tuple[str, tuple[int, ...], int]] = []
+Block = tuple[str, tuple[int, ...], int, bool]
+
+
+def read(page: str) -> tuple[list[Block], list[str]]:
+    """Blocks in page order, each (text, numbers of the containers around it, characters in links, whether it is a heading),
+    and containers' paths."""
+    out: list[Block] = []
     paths: list[str] = []
     # an open element: tag, path, number as a container or -1, whether it is unwanted or in something that is
     stack: list[tuple[str, str, int, bool]] = []
@@ -81,7 +93,7 @@ def read(page: str) -> tuple[list[tuple[str, tuple[int, ...], int]], list[str]]:
         if held:
             text = GAPS.sub(" ", html.unescape("".join(held))).strip()
             if text:
-                out.append((text, tuple(x[2] for x in stack if x[2] >= 0), state["links"]))
+                out.append((text, tuple(x[2] for x in stack if x[2] >= 0), state["links"], any(x[0] in HEADINGS for x in stack)))
             held.clear()
         state["links"] = 0
 
@@ -158,47 +170,120 @@ def read(page: str) -> tuple[list[tuple[str, tuple[int, ...], int]], list[str]]:
     return out, paths
 
 
-def scores(found: list[tuple[str, tuple[int, ...], int]], paths: list[str]) -> dict[str, float]:
+def worth(text: str, links: int) -> int:
+    """Characters of main text: none of a short label, and less what lies in links."""
+    return max(0, len(text) - 2 * links) if len(text) > 25 or text.endswith((".", "!", "?", ":")) else 0
+
+
+def scores(found: list[Block], paths: list[str]) -> dict[str, float]:
     """Points of each path.  A block counts for the container that holds it directly, less for those further out, and not at
-    all as far as it is links; so an article beats both a paragraph's wrapper and the body around everything."""
+    all as far as it is links; so the body around everything does not win.  A paragraph's wrapper or a section may win over
+    its article; ``widened`` goes from there to the article."""
     points: dict[str, float] = {}
-    for text, around, links in found:
-        worth = max(0, len(text) - 2 * links) if len(text) > 25 or text.endswith((".", "!", "?", ":")) else 0.0
+    for text, around, links, _ in found:
         for up, k in enumerate(reversed(around[-3:])):
             share = (1.0, 0.6, 0.3)[up] * (1.2 if paths[k].rsplit("/", 1)[-1].split(".")[0] in ("article", "main") else 1.0)
-            points[paths[k]] = points.get(paths[k], 0.0) + worth * share
+            points[paths[k]] = points.get(paths[k], 0.0) + worth(text, links) * share
     return points
 
 
+def totals(found: list[Block], paths: list[str]) -> dict[str, list[int]]:
+    """For each path, characters of the text under it, of that in links, of main text and headings directly in it, and of
+    headings directly in it."""
+    out: dict[str, list[int]] = {}
+    for text, around, links, heading in found:
+        for up, k in enumerate(reversed(around)):
+            sums = out.setdefault(paths[k], [0, 0, 0, 0])
+            sums[0] += len(text)
+            sums[1] += min(links, len(text))
+            if not up:
+                good = max(0, len(text) - 2 * links) if heading else worth(text, links)
+                sums[2] += good
+                sums[3] += good * heading
+    return out
+
+
+def kind(path: str) -> int:
+    """2 for article and main, 1 for a container whose class says that it holds the text, 0 for others, -1 for the body."""
+    tag, _, classes = path.rsplit("/", 1)[-1].partition(".")
+    if tag in ("article", "main"):
+        return 2
+    return -1 if tag == "body" else int(bool(TEXT_WORDS.intersection(WORDS.findall(classes))))
+
+
+def widened(path: str, sums: dict[str, list[int]]) -> str:
+    """path, or the outermost container around it whose further text is still mainly main text.
+
+    A container of a higher kind than those within it is taken if at most half of what it adds is links.  Another is taken if
+    main text and headings directly in it are at least half of what it adds; one of a lower kind must
+    directly hold a heading, too; from an article or main element only another such element is taken, and the body only if
+    nothing below it is of kind 1 or 2.
+    """
+    now, best, steps = path, kind(path), path.split("/")
+    for k in range(len(steps) - 1, 1, -1):
+        outer = "/".join(steps[:k])
+        if outer not in sums:
+            continue
+        is_of = kind(outer)
+        more, links, direct, headings = sums[outer][0] - sums[now][0], sums[outer][1] - sums[now][1], *sums[outer][2:]
+        if more <= 0 or (best == 2 and is_of < 2) or (is_of < 0 < best) or (is_of < best and not headings):
+            continue
+        if 2 * direct >= more or (is_of > best and is_of > 0 and 2 * links <= more):
+            now, best = outer, max(best, is_of)
+    return now
+
+
 def extracted(page: str | None, path: str | None) -> str:
-    """The text under path, or under the page's own best container if it has none there."""
+    """The text under path, or under the page's own best container, widened, if it has none there."""
     found, paths = read(page or "")
-    if path not in paths or not any(paths[k] == path for _, around, _ in found for k in around):
+    if path not in paths or not any(paths[k] == path for _, around, *_ in found for k in around):
         points = scores(found, paths)
-        path = max(sorted(points), key=points.__getitem__) if points else None
-    kept = [text for text, around, _ in found if path is None or any(paths[k] == path for k in around)]
+        path = widened(max(sorted(points), key=points.__getitem__), totals(found, paths)) if points else None
+    kept = [text for text, around, *_ in found if path is None or any(paths[k] == path for k in around)]
     return "\n".join(kept)
 
 
 HOST = r"^(?i:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
 
 
+SUMS = ("points", "chars", "links", "direct", "headings")
+
+
 def votes(pages: DataFrame) -> DataFrame:
-    """(host, path, points): every page gives each of its containers its share of 1."""
+    """(host, path, SUMS): every page gives each of its containers its share of 1 point, and its totals as shares of the
+    page's text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[str, str, float]] = []
+            out: list[tuple] = []
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                points = scores(*read(page or ""))
-                total = sum(points.values())
-                out += [(host, p, x / total) for p, x in points.items() if x > 0]
-            columns = list(zip(*out, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.float64())], names=["host", "path", "points"])
+                found, paths = read(page or "")
+                points = scores(found, paths)
+                total, chars = sum(points.values()), sum(len(x[0]) for x in found)
+                if total > 0:
+                    out += [(host, p, points.get(p, 0.0) / total, *[x / chars for x in sums]) for p, sums in totals(found, paths).items()]
+            columns = list(zip(*out, strict=True)) or [()] * (2 + len(SUMS))
+            kinds = [pa.string(), pa.string(), *[pa.float64()] * len(SUMS)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["host", "path", *SUMS])
 
     # a sum of rounded shares does not depend on the order of its rows
-    share = F.round(F.col("points") * 1e6).cast("long")
-    return pages.select("host", "html").where(F.col("host").isNotNull() & F.col("html").isNotNull()).mapInArrow(run, "host string, path string, points double").groupBy("host", "path").agg(F.sum(share).alias("points"))
+    shares = [F.sum(F.round(F.col(c) * 1e6).cast("long")).alias(c) for c in SUMS]
+    given = pages.select("host", "html").where(F.col("host").isNotNull() & F.col("html").isNotNull())
+    return given.mapInArrow(run, "host string, path string, " + ", ".join(f"{c} double" for c in SUMS)).groupBy("host", "path").agg(*shares)
+
+
+def winners(tally: DataFrame) -> DataFrame:
+    """(host, path): of each host the path with the most points, widened over the paths around it."""
+    most = tally.where("points > 0").groupBy("host").agg(F.max(F.struct("points", "path")).alias("best")).select("host", F.col("best.path").alias("best"))
+    around = tally.join(most, "host").where((F.col("path") == F.col("best")) | F.col("best").startswith(F.concat("path", F.lit("/"))))
+    held = around.groupBy("host", "best").agg(F.collect_list(F.struct("path", F.array(*SUMS[1:]).alias("sums"))).alias("paths"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [widened(best, {x["path"]: x["sums"] for x in paths}) for best, paths in zip(batch.column("best").to_pylist(), batch.column("paths").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(found, pa.string())], names=["host", "path"])
+
+    return held.mapInArrow(run, "host string, path string")
 
 
 def main_text(pages: DataFrame, page: str = "html", url: str = "url", keep: list[str] | None = None, max_broadcast: int = 50_000, salts: int = 32) -> DataFrame:
@@ -209,8 +294,7 @@ def main_text(pages: DataFrame, page: str = "html", url: str = "url", keep: list
     """
     host = F.regexp_extract(F.lower(F.col(url)), HOST, 1)
     rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in (keep or pages.columns)]).alias("row"), F.col(page).alias("html"), F.when(host != "", host).alias("host"))
-    ranked = votes(rows).groupBy("host").agg(F.max(F.struct("points", "path")).alias("best"))
-    won = written(ranked.select("host", F.col("best.path").alias("path")), "paths")
+    won = written(winners(written(votes(rows), "votes")), "paths")
     if won.count() <= max_broadcast:
         met = rows.join(F.broadcast(won), "host", "left")
     else:
