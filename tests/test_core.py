@@ -160,6 +160,14 @@ def test_fasta_fastq_obo_taxonomy(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "tax")).count() >= 1
 
 
+def test_trees_of_many_levels_and_with_loops(spark):
+    chain = [(str(k + 1), str(k)) for k in range(105)]
+    more = [("0", "0"), ("x", "3"), ("y", "x"), ("x", "y"), ("lost", "away"), (None, "3"), ("3", None)]
+    got = {r.node: (r.depth, r.path) for r in joins.tree_paths(spark.createDataFrame(chain + more, "child string, parent string"), "0").collect()}
+    want = {str(k): (k, "/".join(map(str, range(k + 1)))) for k in range(106)}
+    assert got == want | {"x": (4, "0/1/2/3/x"), "y": (5, "0/1/2/3/x/y")}
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "chr string, start long, end long")
     assert intervals.overlap_join(empty, empty).count() == 0

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.operators.shared import new_dir, written
 from weftline.plans.select import condition, query
 
 
@@ -55,17 +56,26 @@ def lookup(rows: DataFrame, table: DataFrame, on: str) -> DataFrame:
 
 
 def tree_paths(edges: DataFrame, root: str, child: str = "child", parent: str = "parent", separator: str = "/") -> DataFrame:
-    """(node, depth, path from the root) of every node that reaches the root, by one recursive query: a join for each level.
-    Loops of a node to itself are left out; nodes whose parents never lead to the root are not there."""
-    return edges.sparkSession.sql(
-        """WITH RECURSIVE walk AS (
-             SELECT cast(:root AS string) AS node, 0 AS depth, cast(:root AS string) AS path
-             UNION ALL
-             SELECT e.c, w.depth + 1, concat(w.path, :separator, e.c) FROM {edges} e JOIN walk w ON e.p = w.node)
-           SELECT node, depth, path FROM walk""",
-        args={"root": root, "separator": separator},
-        edges=edges.where(F.col(child) != F.col(parent)).select(F.col(child).cast("string").alias("c"), F.col(parent).cast("string").alias("p")),
-    )
+    """(node, depth, path from the root) of every node that reaches the root, at any depth and of any number.
+
+    One join for each level: the nodes of a level are written to the shared folder, and the next level joins them, until one
+    is empty.  A node that is on its own path already is not entered again, so loops end; nodes whose parents never lead to
+    the root are not there.
+    """
+    spark = edges.sparkSession
+    real = edges.where(F.col(child) != F.col(parent)).select(F.col(child).cast("string").alias("c"), F.col(parent).cast("string").alias("p"))
+    real, folder = written(real, "edges"), new_dir(spark, "tree")
+    level = spark.range(1).select(F.lit(str(root)).alias("node"), F.lit(0).alias("depth"), F.array(F.lit(str(root))).alias("trail"))
+    kinds, levels = level.schema, []
+    while True:
+        levels.append(f"{folder}/{len(levels)}")
+        level.write.option("compression", "zstd").parquet(levels[-1])
+        level = spark.read.schema(kinds).parquet(levels[-1])
+        if level.isEmpty():
+            break
+        following = real.join(level, F.col("p") == F.col("node")).where(~F.array_contains("trail", F.col("c")))
+        level = following.select(F.col("c").alias("node"), (F.col("depth") + 1).alias("depth"), F.concat("trail", F.array("c")).alias("trail"))
+    return spark.read.schema(kinds).parquet(*levels).select("node", "depth", F.array_join("trail", separator).alias("path"))
 
 
 def tree_children(edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
