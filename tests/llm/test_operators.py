@@ -216,6 +216,17 @@ def test_near_duplicates_of_odd_rows(spark):
     assert sorted((r.doc_id or -1, r.n_copies) for r in got) == [(-1, 1), (-1, 1), (4, 2), (4, 2)]
 
 
+@pytest.mark.parametrize("block", [256, 2])
+def test_near_duplicates_of_one_id_with_two_texts(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    a, b = words(200, 71), words(200, 72)
+    # the last text of id 4 is near to its first, which is no link
+    texts = [" ".join(x) for x in (a, b, edited(a, 1, 1), edited(b, 1, 2), words(200, 73), edited(a, 1, 3))]
+    got = ngram_join.near_duplicates(frame(spark, texts, [4, 4, 7, 8, 9, 4])).collect()
+    want = [(4, 4, 3)] * 3 + [(7, 4, 2), (8, 4, 1), (9, 9, 0)]
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == want
+
+
 def test_pruning_keeps_pairs_at_the_threshold():
     fewest = ngram_join.least_matches(0.8, 1e-6)
     r = np.random.default_rng(1)

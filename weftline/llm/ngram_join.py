@@ -14,7 +14,7 @@ one group are compared even if they share none.  Wholly covered texts, whatever
 
 Defined cases: a text of one to four words is a single shingle; a text without words (null, empty) is like nothing, not even
 like another such text.  A null id gives a row with null class and no links.  Rows that repeat an id with the same text count
-as copies; rows of one id with different texts share their links.
+as copies; rows of one id with different texts share their links, and a pair of such rows is no link itself.
 """
 
 from __future__ import annotations
@@ -149,15 +149,16 @@ def candidate_groups(classes: DataFrame) -> DataFrame:
 
 def unit_results(rows: list[tuple], fewest: np.ndarray, threshold: float) -> list[tuple]:
     """rows of one unit: (i, j, rep, block, copies, signature, set).  Gives (rep, linked texts, linked documents, parent)."""
-    rows = list({r[2]: r for r in rows}.values())
+    rows = list({(r[2], xxhash.xxh3_128_digest(r[6].tobytes())): r for r in rows}.values())
     i, j = rows[0][:2]
     block = np.array([r[3] for r in rows])
+    reps = np.array([r[2] for r in rows])
     sizes = np.array([len(r[6]) for r in rows])
     if i == j:
         a, b = np.triu_indices(len(rows), 1)
     else:
         a, b = (x.ravel() for x in np.meshgrid(np.flatnonzero(block == i), np.flatnonzero(block == j), indexing="ij"))
-    near = np.minimum(sizes[a], sizes[b]) >= threshold * np.maximum(sizes[a], sizes[b]) - 1e-9
+    near = (np.minimum(sizes[a], sizes[b]) >= threshold * np.maximum(sizes[a], sizes[b]) - 1e-9) & (reps[a] != reps[b])
     a, b = pruned(a[near], b[near], np.stack([r[5] for r in rows]), fewest)
     if not len(a):
         return []
@@ -236,11 +237,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     classes = seen.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("keys").alias("keys"))
     classes = written(classes, "classes")
     groups = candidate_groups(classes)
-    sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    # an id that represents several sets has a row for each
+    met = written(classes.select(F.col("rep").alias("id"), "h1", "h2", "copies").join(groups, "id"), "members")
+    sizes = met.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     sizes = sizes.select("root", "blocks", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
-    placed = groups.withColumn("s", F.pmod(F.hash("id"), F.lit(SALTS))).join(sizes, ["root", "s"])
-    placed = placed.select("id", "root", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int").alias("block"))
-    members = written(classes.select(F.col("rep").alias("id"), "h1", "h2", "copies").join(placed, "id"), "members")
+    placed = met.withColumn("s", F.pmod(F.hash("id", "h1"), F.lit(SALTS))).join(sizes, ["root", "s"])
+    members = placed.select("id", "h1", "h2", "copies", "root", "blocks", F.pmod(F.xxhash64("id", "h1", "h2"), F.col("blocks").cast("long")).cast("int").alias("block"))
     links = written(compared(docs, members, id_col, text, n, threshold, tolerance), "links")
     roots = components(links.select(F.col("rep").alias("a"), F.col("parent").alias("b")), name="classes")
     counts = links.groupBy("rep").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
