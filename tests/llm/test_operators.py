@@ -171,6 +171,21 @@ def test_language(spark):
     assert langid.predict(spark.createDataFrame(rows, "doc_id long, text string, truth string"), {}).where("lang_pred <> 'und'").count() == 0
 
 
+def test_many_languages(spark, monkeypatch):
+    tongue = lambda k: [f"{chr(97 + k % 26)}{chr(97 + k // 26)}{x}" for x in ("ao", "ie", "uy", "zw")]
+    make = lambda k, seed: " ".join(random.Random(seed).choices(tongue(k), k=30))
+    train = spark.createDataFrame([(make(k, 1000 * s + k), f"l{k}") for k in range(300) for s in range(3)], "text string, lang string")
+    learned = langid.learn(train)
+    assert len(learned) == 300
+    few = langid.learn(train, max_chars=300 * 100)
+    assert sorted(few) == sorted(learned) and max(map(len, few.values())) <= 100
+    rows = spark.createDataFrame([(k, make(k, 9000 + k)) for k in range(0, 300, 10)], "doc_id long, text string")
+    got = langid.predict(rows, learned).collect()
+    assert all(r.lang_pred == f"l{r.doc_id}" for r in got)
+    monkeypatch.setattr(langid, "LOADED", 1000)
+    assert langid.predict(rows, learned).collect() == got
+
+
 # --- 6: near duplicates
 
 

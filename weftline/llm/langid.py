@@ -4,8 +4,10 @@ One zstandard dictionary of raw content stands for each language.  A text is enc
 language whose dictionary gives the smallest result wins.  The margin to the second smallest is the score; a text whose
 margin is narrow is marked as rejected (``confident`` is false), while its best guess stays in ``lang_pred``.
 
-Learning reads a bounded sample, documented by the parameters of ``learn``: ``docs_per_lang`` labelled texts for each of at
-most ``max_langs`` languages, each cut to ``chars_per_doc`` characters.  Predicting reads every text whole.
+Learning reads a bounded sample, documented by the parameters of ``learn``: ``docs_per_lang`` labelled texts for each
+language, each cut to ``chars_per_doc`` characters, and fewer or shorter ones where there are so many languages that all would
+pass ``max_chars``.  Every label is learned, whatever their number, from LEAST_CHARS characters at least.  Predicting reads
+every text whole, with LOADED dictionaries in memory at once; its time grows with the texts times the languages.
 
 Defined cases: a null text, and one without any letter, gets ``und`` with score 0.  With no learned language everything is
 ``und``.  Ties go to the language that sorts first.  Rows with a null language teach nothing.  Repeated rows and null ids
@@ -23,6 +25,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weftline.llm.shared import written
+
+LOADED = 64
+LEAST_CHARS = 64
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -31,29 +37,48 @@ def settings() -> zstandard.ZstdCompressionParameters:
     return zstandard.ZstdCompressionParameters.from_level(6, min_match=4, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
-def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", docs_per_lang: int = 96, chars_per_doc: int = 1024, max_langs: int = 256) -> dict[str, bytes]:
+def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", docs_per_lang: int = 96, chars_per_doc: int = 1024, max_chars: int = 25_165_824) -> dict[str, bytes]:
     """Raw dictionary content by language.
 
     The sample is the docs_per_lang different texts of each language with the smallest hashes, so it depends on the rows
-    alone and on no order.  At most max_langs * docs_per_lang * chars_per_doc characters (25 million) reach the driver.
+    alone and on no order.  At most max_chars characters (96 texts of 1,024 for each of 256 languages), or LEAST_CHARS for
+    each language if that is more, reach the driver.
     """
     cut = F.substring(F.col(text), 1, chars_per_doc)
     heads = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), cut.alias("head"), F.xxhash64(cut).alias("h"))
     # the rank limit is pushed below the shuffle, so a language that has most of the rows sends a few from each task
     ranked = heads.withColumn("k", F.dense_rank().over(Window.partitionBy("lang").orderBy("h", "head"))).where(F.col("k") <= docs_per_lang)
-    sample = ranked.groupBy("lang", "k").agg(F.first("head").alias("head")).collect()
-    langs = sorted({r.lang for r in sample})
-    if len(langs) > max_langs:
-        raise ValueError(f"{len(langs)} languages; max_langs is {max_langs}")
-    return {x: "\n".join(r.head.lower() for r in sorted(sample, key=lambda r: r.k) if r.lang == x).encode() for x in langs}
+    sample = written(ranked.groupBy("lang", "k").agg(F.first("head").alias("head")), "sample")
+    share = max_chars // max(1, sample.where("k = 1").count())
+    each = max(LEAST_CHARS, min(chars_per_doc, share))
+    rows = sample.where(F.col("k") <= max(1, share // each)).select("lang", "k", F.substring("head", 1, each).alias("head")).collect()
+    heads_of: dict[str, list[str]] = {}
+    for r in sorted(rows, key=lambda r: (r.lang, r.k)):
+        heads_of.setdefault(r.lang, []).append(r.head.lower())
+    return {x: "\n".join(found).encode() for x, found in heads_of.items()}
+
+
+def loaded(dictionaries: list[tuple[str, bytes]]) -> list[tuple[str, zstandard.ZstdCompressor]]:
+    coders = []
+    for lang, data in dictionaries:
+        raw = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        raw.precompute_compress(compression_params=settings())
+        coders.append((lang, zstandard.ZstdCompressor(dict_data=raw, compression_params=settings())))
+    return coders
+
+
+def smallest(text: str | None, coders: list[tuple[str, zstandard.ZstdCompressor]], held: list[tuple[int, str]]) -> list[tuple[int, str]]:
+    """The two smallest sizes, with their languages, of those held and of the text by these coders."""
+    if text is None or not LETTER.search(text):
+        return []
+    data = text.lower().encode("utf-8", "replace")
+    return sorted(held + [(len(c.compress(data)), lang) for lang, c in coders])[:2]
 
 
-def judged(text: str | None, coders: list[tuple[str, zstandard.ZstdCompressor]]) -> tuple[str, float]:
+def judged(sizes: list[tuple[int, str]]) -> tuple[str, float]:
     """The best language and its margin as a share of the second smallest size."""
-    if text is None or not coders or not LETTER.search(text):
+    if not sizes:
         return "und", 0.0
-    data = text.lower().encode("utf-8", "replace")
-    sizes = sorted((len(c.compress(data)), lang) for lang, c in coders)
     return sizes[0][1], (1.0 - sizes[0][0] / sizes[1][0] if len(sizes) > 1 else 1.0)
 
 
@@ -65,13 +90,15 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text",
     source = docs.select(F.struct(*(keep or [F.col(f"`{c}`") for c in docs.columns])).alias("row"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coders = []
-        for lang, data in sorted(content.value.items()):
-            raw = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            raw.precompute_compress(compression_params=settings())
-            coders.append((lang, zstandard.ZstdCompressor(dict_data=raw, compression_params=settings())))
+        known = sorted(content.value.items())
+        blocks = [known[at : at + LOADED] for at in range(0, len(known), LOADED)]
+        kept = loaded(blocks[0]) if len(blocks) == 1 else None
         for batch in batches:
-            found = [judged(t.as_py(), coders) for t in batch.column("text")]
+            sizes: list[list[tuple[int, str]]] = [[] for _ in range(batch.num_rows)]
+            for block in blocks:
+                coders = kept or loaded(block)
+                sizes = [smallest(t.as_py(), coders, held) for t, held in zip(batch.column("text"), sizes, strict=True)]
+            found = [judged(x) for x in sizes]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[1] >= min_margin for x in found], pa.bool_())],
                 names=["row", "lang_pred", "score", "confident"],
