@@ -427,9 +427,10 @@ def without_repeats(rows, window=20):
     return out
 
 
-@pytest.mark.parametrize("hot", [60_000, 60])
-def test_repeated_passages(spark, texts, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "block"), [(60_000, 200_000), (60, 200_000), (60, 300), (60_000, 100)])
+def test_repeated_passages(spark, texts, monkeypatch, hot, block):
     monkeypatch.setattr(substring, "HOT_WORDS", hot)
+    monkeypatch.setattr(substring, "BLOCK_WORDS", block)
     shared = words(50, 1234)
     more = [" ".join([*words(30, 60 + k), *shared, *words(25, 160 + k)]) for k in range(20)]
     every = [*texts, *more, " ".join(words(7, 1) * 9), "a " * 200, " ".join(words(19, 3))]

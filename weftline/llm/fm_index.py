@@ -52,15 +52,14 @@ class FMIndex:
 
     def __init__(self, segments: list[np.ndarray], symbols: int, depth: int) -> None:
         self.depth = depth
-        sizes = np.array([len(s) + 1 for s in segments])
-        self.starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        text = np.zeros(sizes.sum(), np.int64)
-        for at, s in zip(self.starts, segments, strict=True):
-            text[at : at + len(s)] = s
+        sizes = np.array([len(s) for s in segments])
+        self.starts = np.cumsum(sizes + 1) - sizes - 1
+        text = np.zeros((sizes + 1).sum(), np.int64)
+        text[np.arange(sizes.sum()) + np.repeat(np.arange(len(sizes)), sizes)] = np.concatenate(segments)
         n, rank, width, at_depth = len(text), text.copy(), 1, text
         exact = {1: rank}
         while width <= depth:  # a match grows to depth + 1 words before it is cut back
-            step = min(width, depth - width) if width < depth else width
+            step = min(width, depth - width) if width < depth else 1
             part = exact.get(step)
             if part is None:  # depth is not a power of two: its rest is made of the powers that are known
                 rest, part, have = step, None, 0
@@ -126,7 +125,7 @@ class FMIndex:
             c = flat[place]
             known = (c > 0) & (c < len(self.first) - 1)
             c = np.where(known, c, 0)
-            a, b = self.back(c, lo[live]), self.back(c, hi[live])
+            a, b = np.split(self.back(np.concatenate([c, c]), np.concatenate([lo[live], hi[live]])), 2)
             broken[live] = ~known | (a >= b)
             if step + 1 >= self.depth:
                 k = self.blocks.rank(a + 1) - 1

@@ -107,7 +107,7 @@ def op8_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without its passages of 20 words or more that also start earlier."""
-    return substring.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return substring.without_repeats(table(spark, sf_dir, "documents"), with_text=False)
 
 
 OP9_SQL = r"""
