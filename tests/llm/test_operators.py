@@ -530,7 +530,7 @@ def test_best_paths_agree_with_the_library_and_the_fallback(spark):
     library = sentencepiece.SentencePieceProcessor(model_proto=read.SerializeToString())
     some = sorted({*VOCAB[:150], "Hello", "international", "thehethe", "naïve", "日本", "x\ty", "🙂a"})
     units = spark.createDataFrame([("▁" + w,) for w in some], "unit string")
-    got = {r.unit: list(r.ids) for r in spm.best_paths(spm.lattice(units, model), model).collect()}
+    got = {r.unit: np.frombuffer(r.ids, np.int32).tolist() for r in spm.best_paths(spm.lattice(units, model), model).collect()}
     assert got == {"▁" + w: model.best("▁" + w) for w in some}
     for w in some:
         if all(c in model.ids for c in w):
@@ -542,23 +542,40 @@ def test_best_paths_agree_with_the_library_and_the_fallback(spark):
         assert math.isclose(sum(score for i, score in model.ids.values() for _ in range(model.best("▁" + w).count(i))), worst("▁" + w))
 
 
-@pytest.mark.parametrize("held_table", [300_000, 5])
-def test_encoding_round_trip(spark, texts, monkeypatch, held_table):
-    monkeypatch.setattr(spm, "FREQUENT", held_table)
-    every = [*texts, " lead", "two  spaces ", "tab\tline\n\nend\n", "é日本🙂", "x" * 5000, "a▁b"]
-    coded = spm.encode(frame(spark, every), checked=True)
-    out = coded.collect()
+def whole_units(t):
+    """A text between the marks that stand for its spaces."""
+    return re.findall("▁[^▁]*", "▁" + t.replace(" ", "▁")) if t else []
+
+
+@pytest.mark.parametrize(("rows", "remembered"), [(4096, 400_000), (3, 2)])
+def test_encoding_round_trip(spark, texts, monkeypatch, tmp_path, rows, remembered):
+    monkeypatch.setattr(spm, "ROWS", rows)
+    monkeypatch.setattr(spm, "WORDS", remembered)
+    every = [*texts, " lead", "two  spaces ", "tab\tline\n\nend\n", "é日本🙂", "x" * 5000, "acgt" * 1500, "a▁b", " "]
+    docs = frame(spark, every)
     model = pieces.load()
-    assert len(out) == len(every)
-    for r in out:
-        if r.text is None:
-            assert r.ids is None and r.intact is None
-        else:
-            assert r.intact and r.ids == [k for u in spm.units(r.text) for k in model.best(u)]
-    assert Counter(r.text for r in spm.decode(coded).collect()) == Counter(t and t.replace(pieces.MARK, " ") for t in every)
+    docs.repartition(3).write.parquet(f"{tmp_path}/docs")
+    for source in (docs, spark.read.parquet(f"{tmp_path}/docs")):
+        coded = spm.encode(source, checked=True)
+        out = coded.collect()
+        assert len(out) == len(every)
+        for r in out:
+            if r.text is None:
+                assert r.ids is None and r.intact is None
+            else:
+                # a unit is best cut as a whole, so the cuts within it lose nothing
+                assert r.intact and r.ids == [k for u in whole_units(r.text) for k in model.best(u)]
+        assert Counter(r.text for r in spm.decode(coded).collect()) == Counter(t and t.replace(pieces.MARK, " ") for t in every)
     assert spm.encode(frame(spark, [])).count() == 0
 
 
+def test_encoding_replaces_columns_of_its_names(spark):
+    docs = frame(spark, ["one two", None]).withColumn("ids", F.lit("old")).withColumn("intact", F.lit("old"))
+    out = spm.encode(docs, checked=True)
+    assert sorted(out.columns) == sorted(docs.columns) and [r.intact for r in out.orderBy("doc_id").collect()] == [True, None]
+    assert spm.encode(docs).select("intact").distinct().collect() == [("old",)]
+
+
 def test_frequent_words_stay_within_their_bound(spark):
     table = spark.createDataFrame([(f"w{k}".encode(), k) for k in range(200)] + [(b"x" * 100, 10_000)], "word binary, n long")
     got = [r.n for r in frequent.most_frequent(table, 50).collect()]

@@ -3,9 +3,9 @@
 import re
 
 import corpus_pipeline
-from test_operators import BASE, base_spans, edited, free_edits, frame, links, repeat_words, split, words
+from test_operators import BASE, base_spans, edited, free_edits, frame, links, repeat_words, split, whole_units, words
 
-from weftline.llm import decontam, pieces, spm
+from weftline.llm import decontam, pieces
 
 
 def passes(t):
@@ -49,7 +49,7 @@ def test_stages(spark, tmp_path):
     clean = lambda t: [c for w in t.encode().split() if (c := decontam.cleaned(w))]
     docs = [(i, t) for i, t in docs if free_edits(item, clean(t)) > len(item) // 5]
     model = pieces.load()
-    want = {i: (redact(t), [x for u in spm.units(redact(t)) for x in model.best(u)]) for i, t in docs}
+    want = {i: (redact(t), [x for u in whole_units(redact(t)) for x in model.best(u)]) for i, t in docs}
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id: (r.text, list(r.ids)) for r in got} == want and len(got) == len(want)
     assert all(r.intact and r.n_chars == len(r.text) for r in got)

@@ -22,9 +22,12 @@ class Pieces:
     unknown: float
     longest: int = field(init=False)
     starts: frozenset[str] = field(init=False, repr=False)
+    #: Characters that some piece has next to each other.
+    pairs: frozenset[tuple[str, str]] = field(init=False, repr=False)
 
     def __post_init__(self) -> None:
         self.longest = max(map(len, self.ids), default=1)
+        self.pairs = frozenset(x for p in self.ids for x in zip(p, p[1:]))
         self.starts = frozenset(p[:k] for p in self.ids for k in range(2, len(p) + 1))
 
     def best(self, unit: str) -> list[int]:

@@ -1,142 +1,181 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-A text is cut where no piece reaches over: before each mark that stands for a space, and around line ends.  Different units
-are encoded once:
+A text is cut where no piece reaches over: before each mark that stands for a space, and between two characters that no piece
+has next to each other.  What lies between two cuts is a unit.  Every different unit is encoded once, by the relational
+lattice:
 
-1. their substrings of bounded length are exploded and equi-joined to the piece table;
+1. its substrings of bounded length are exploded and equi-joined to the piece table;
 2. the edges of the lattice are grouped by unit;
-3. a higher-order fold over the end positions keeps the best path to each (Viterbi), and a second one walks it back.
+3. a higher-order fold over the edges, in the order of their ends, keeps the best path to each place (Viterbi).  It looks back
+   over as many places as the longest piece has, and carries the paths' ids packed, so a very long unit takes linear steps.
 
-Units that occur often, up to FREQUENT of them by a bound on their number and length, get their ids this way; tasks hold
-that table and look units up while texts stream by whole.  A unit outside of it takes the same best path in the task
-(Pieces.best), which tests hold against the lattice.  So no text is shuffled, whatever the corpus repeats.
+No text is shuffled.  A text's rows are known by their file and their number in it; units are handed on with the number of
+their block of ROWS rows, once for each block and unit.  The ids come back as one small table for each block in the shared
+folder, and the task that streams a block's texts looks their units up in its table.  A block's table holds the different
+units of ROWS texts.  Rows that do not come straight from Parquet files are written there first.
 
 The path with the greatest sum of the table's scores is taken (of equal ones, where they part, the longest last piece), which
 is how a unigram model reads a piece table.  A model of merges may cut a word otherwise; ids decode to the same text.
 A character that is no piece becomes its bytes.
 
 Defined cases: a null text has null ids and decodes to null; an empty text has no ids; a mark in the text reads as a space, as
-the format has it.  Repeated rows, null ids of rows and very long texts and units are encoded like any other.
+the format has it.  Repeated rows, null ids of rows and very long texts and units are encoded like any other; an empty table
+gives no rows.  Columns of the rows that are named like a new one give way to it.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import pieces as table
-from weftline.llm.frequent import counted, most_frequent
-from weftline.llm.shared import written
+from weftline.llm.shared import let, new_dir, written
 
-#: Units that tasks hold, each of at most LONGEST bytes.
-FREQUENT, LONGEST = 200_000, 64
-#: Other units that a task remembers.
-RARE = 100_000
-UNIT = re.compile("\n|▁?[^▁\n]+|▁")
+#: Texts whose units share a table.
+ROWS = 4096
+#: Words that a task remembers, or collects before it hands their units on.
+WORDS = 400_000
 
 
-def units(text: str) -> list[str]:
-    return UNIT.findall(table.MARK + text.replace(" ", table.MARK)) if text else []
+def units(word: str, pairs: frozenset[tuple[str, str]]) -> list[str]:
+    """The units of a mark and what follows it up to the next; pairs: characters that some piece has next to each other."""
+    cuts = [i for i, pair in enumerate(zip(word, word[1:]), 1) if pair not in pairs]
+    return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)])] if cuts else [word]
 
 
-def _units(text: bytes) -> list[bytes]:
-    return [u.encode() for u in units(text.decode("utf-8", "replace"))]
+def words(text: str) -> list[str]:
+    """What stands between the spaces of a text; each follows a mark."""
+    return text.replace(table.MARK, " ").split(" ") if text else []
 
 
 def piece_table(spark: SparkSession, model: table.Pieces) -> DataFrame:
-    """(piece, id, score), as large as the vocabulary."""
-    return spark.createDataFrame(pa.table({"piece": list(model.ids), "id": pa.array([i for i, _ in model.ids.values()], pa.int32()), "score": [s for _, s in model.ids.values()]}))
+    """(piece, code, score), as large as the vocabulary; code is the id as four bytes."""
+    code = [np.int32(i).tobytes() for i, _ in model.ids.values()]
+    return spark.createDataFrame(pa.table({"piece": list(model.ids), "code": pa.array(code, pa.binary()), "score": [s for _, s in model.ids.values()]}))
+
+
+def lattice(found: DataFrame, model: table.Pieces) -> DataFrame:
+    """found (unit and other columns) with edges: the pieces of each unit in the order of their ends, then starts.  Rows stay
+    where unit put them: substrings join a broadcast table, and their group is the unit again."""
+    unit, longest, own = F.col("unit"), F.lit(model.longest), found.columns
+    starts = found.select(*own, F.length(unit).alias("n"), F.explode(F.sequence(F.lit(1), F.length(unit))).alias("at"))
+    sizes = starts.select("*", F.explode(F.sequence(F.lit(1), F.least(longest, F.col("n") - F.col("at") + 1))).alias("size"))
+    parts = sizes.select(*own, (F.col("at") - 1).alias("start"), (F.col("at") + F.col("size") - 1).alias("end"), F.substring(unit, F.col("at"), F.col("size")).alias("piece"))
+    met = parts.join(F.broadcast(piece_table(found.sparkSession, model)), "piece", "left").where("code is not null or end = start + 1")
+    codes = F.array(*[F.lit(bytearray(np.int32(i).tobytes())) for i in model.bytes])
+    letters = F.hex(F.encode("piece", "UTF-8"))
+    as_bytes = F.aggregate(F.sequence(F.lit(1), F.length(letters), F.lit(2)), F.lit(bytearray()), lambda a, k: F.concat(a, F.get(codes, F.conv(F.substring(letters, k, F.lit(2)), 16, 10).cast("int"))))
+    edge = F.struct("end", "start", F.coalesce("score", F.lit(model.unknown)).alias("score"), F.when(F.col("code").isNotNull(), F.col("code")).otherwise(as_bytes).alias("code"))
+    return met.select(*own, edge.alias("edge")).groupBy(*own).agg(F.sort_array(F.collect_list("edge")).alias("edges"))
 
 
-def lattice(words: DataFrame, model: table.Pieces) -> DataFrame:
-    """(unit, n, edges) for each row of words (unit): edges has one entry for each end position, with the pieces that end
-    there.  Rows stay where unit put them: substrings join a broadcast table, and their group is the unit again."""
-    unit = F.col("unit")
-    starts = words.select("unit", F.length(unit).alias("n"), F.explode(F.sequence(F.lit(1), F.length(unit))).alias("start"))
-    ends = F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), F.col("n") - F.col("start") + 1))).alias("size")
-    parts = starts.select("unit", "n", "start", ends).select("unit", "n", (F.col("start") - 1).alias("start"), (F.col("start") + F.col("size") - 1).alias("end"), "size", F.substring(unit, F.col("start"), F.col("size")).alias("piece"))
-    met = parts.join(F.broadcast(piece_table(words.sparkSession, model)), "piece", "left").where("id is not null or size = 1")
-    edge = F.struct("end", "start", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(model.unknown)).alias("score"))
-    return met.groupBy("unit", "n").agg(F.collect_list(edge).alias("edges"))
+def best_paths(lattices: DataFrame, model: table.Pieces) -> DataFrame:
+    """The lattices with the ids of the best path through each in place of its edges, four bytes for each id."""
 
+    def step(a: Column, x: Column) -> Column:
+        # a: the place that edges end at now, its best path so far, and the best paths of the places before
+        further = x["end"] > a["end"]
+        ahead = F.concat(a["before"], F.array(F.struct(a["score"].alias("score"), a["ids"].alias("ids"))))
+        before = F.when(further, F.slice(ahead, F.greatest(F.size(ahead) - model.longest + 1, F.lit(1)), model.longest)).otherwise(a["before"])
 
-def best_paths(lattices: DataFrame, model: table.Pieces) -> DataFrame:
-    """(unit, ids) of the best path through each lattice."""
-    first = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("late"), F.lit(-1).alias("id")))
+        def arrived(before: Column, path: Column) -> Column:
+            better = further | (path["score"] + x["score"] > a["score"])
+            score = F.when(better, path["score"] + x["score"]).otherwise(a["score"])
+            ids = F.when(better, F.concat(path["ids"], x["code"])).otherwise(a["ids"])
+            return F.struct(x["end"].alias("end"), score.alias("score"), ids.alias("ids"), before.alias("before"))
 
-    def arrive(acc: Column, end: Column, edges: Column) -> Column:
-        here = F.filter(edges, lambda x: x["end"] == end)
-        paths = F.transform(here, lambda x: F.struct((F.get(acc, x["start"])["score"] + x["score"]).alias("score"), (-x["start"]).alias("late"), x["id"].alias("id")))
-        return F.concat(acc, F.array(F.array_max(paths)))
+        return let(before, lambda b: let(F.element_at(b, x["start"] - x["end"]), lambda path: arrived(b, path)))
 
-    forward = F.aggregate(F.sequence(F.lit(1), F.col("n")), first, lambda acc, end: arrive(acc, end, F.col("edges")))
-    reached = lattices.select("unit", "n", forward.alias("best"))
-    # fixed by byte fallback: a byte's id is its value after that of byte 0, where the model has them in a row
-    if model.bytes != list(range(model.bytes[0], model.bytes[0] + 256)):
-        raise ValueError("the bytes of this model are not in a row")
+    none = F.expr("cast(array() as array<struct<score:double,ids:binary>>)")
+    first = F.struct(F.lit(0).alias("end"), F.lit(0.0).alias("score"), F.lit(bytearray()).alias("ids"), none.alias("before"))
+    return lattices.select(*[c for c in lattices.columns if c != "edges"], F.aggregate("edges", first, step, lambda a: a["ids"]).alias("ids"))
 
-    def as_bytes(char: Column) -> Column:
-        code = F.hex(F.encode(char, "UTF-8"))
-        return F.transform(F.sequence(F.lit(1), F.length(code), F.lit(2)), lambda k: F.conv(F.substring(code, k, F.lit(2)), 16, 10).cast("int") + model.bytes[0])
 
-    def back(s: Column, k: Column) -> Column:
-        at = F.col("n") - k
-        step = F.get(F.col("best"), at)
-        own = F.when(step["id"] >= 0, F.array(step["id"])).otherwise(as_bytes(F.substring(F.col("unit"), at, F.lit(1))))
-        return F.when(at == s["at"], F.struct((-step["late"]).alias("at"), F.concat(own, s["ids"]).alias("ids"))).otherwise(s)
+def _with_blocks(docs: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """docs, and a row's file and number in it; docs is written first if it does not come straight from Parquet files."""
+    place = lambda d: (d.metadataColumn("_metadata")["file_path"], d.metadataColumn("_metadata")["row_index"])
+    try:
+        docs.select(*place(docs))
+    except AnalysisException:
+        docs = written(docs, "texts")
+    return docs, *place(docs)
 
-    start = F.struct(F.col("n").alias("at"), F.array().cast("array<int>").alias("ids"))
-    ids = F.aggregate(F.sequence(F.lit(0), F.col("n") - 1), start, back, lambda s: s["ids"])
-    return reached.select("unit", ids.alias("ids"))
 
+def encoded_units(texts: DataFrame, model: table.Pieces) -> str:
+    """The folder of the blocks' tables (unit, ids).  texts: (block, text)."""
+    pairs = model.pairs
 
-def encoded_units(docs: DataFrame, text: str, model: table.Pieces) -> DataFrame:
-    """(unit, ids) of the frequent units of all texts."""
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(text).cast("binary").alias("t"), F.lit(1).alias("weight"))
-    counts = written(counted(rows, _units), "units")
-    words = most_frequent(counts, FREQUENT, LONGEST).select(F.col("word").cast("string").alias("unit"))
-    # dealt out by unit once; the group of the lattice needs no further exchange
-    return best_paths(lattice(words.repartition("unit"), model), model)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
+        last = None
+
+        def flushed() -> pa.RecordBatch:
+            own = {u for w in seen for u in units(table.MARK + w, pairs)}
+            return pa.RecordBatch.from_arrays([pa.array([last] * len(own), pa.int64()), pa.array(own, pa.string())], names=["block", "unit"])
+
+        for batch in batches:
+            for block, t in zip(batch.column("block").to_pylist(), batch.column("text"), strict=True):
+                if block != last or len(seen) > WORDS:
+                    if seen:
+                        yield flushed()
+                    seen, last = set(), block
+                seen.update(words(t.as_py() or ""))
+        if seen:
+            yield flushed()
+
+    # dealt by unit once: the different units, the group of the lattice and the join need no further exchange.  The first block
+    # goes with a unit so that both sides of the join read the same columns, and so the same exchange
+    found = texts.mapInArrow(run, "block long, unit string").repartition("unit")
+    ids = best_paths(lattice(found.groupBy("unit").agg(F.min("block").alias("first")), model), model).withColumnRenamed("unit", "of")
+    met = found.join(ids.hint("shuffle_hash"), (F.col("unit") == F.col("of")) & (F.col("block") >= F.col("first"))).select("block", "unit", "ids")
+    folder = new_dir(texts.sparkSession, "blocks")
+    met.repartition("block").sortWithinPartitions("block").write.option("compression", "zstd").partitionBy("block").parquet(folder)
+    return folder
 
 
 def encode(docs: DataFrame, text: str = "text", out: str = "ids", keep: list[str] | None = None, model_path: str = table.DEFAULT_MODEL, checked: bool = False) -> DataFrame:
     """The kept columns (all by default) of every row with its ids; checked adds intact, whether they decode to the text
     (where a mark reads as a space; null for null).
 
-    Ids stay packed bytes until they are a column, so a task holds its table and a few texts.
+    Ids stay packed bytes until they are a column, so a task holds its block's table and a few texts.
     """
-    model, names = table.load(model_path), keep or docs.columns
-    often = encoded_units(docs, text, model).toArrow()
-    column = often.column("ids").combine_chunks()
-    sent = docs.sparkSession.sparkContext.broadcast((often.column("unit").to_pylist(), column.values.to_numpy().astype("int32").tobytes(), column.offsets.to_pylist(), model))
-    del often, column
+    model = table.load(model_path)
+    names = [c for c in keep or docs.columns if c != out and not (checked and c == "intact")]
+    docs, file, number = _with_blocks(docs)
+    block = F.xxhash64(file, F.floor(number / ROWS)).alias("block")  # equal numbers of two blocks only join their tables
+    whole = F.col(f"`{text}`").cast("string").alias("text")
+    folder = encoded_units(docs.select(block, whole), model)
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # as large as the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, packed, ends, model = sent.value
-        known = {u: packed[4 * a : 4 * b] for u, a, b in zip(found, ends, ends[1:], strict=False)}
-        # most units are a mark and a word between spaces; the others are found below
-        by_word = {u[1:]: x for u, x in known.items() if u[0] == table.MARK}.get
-        rare: dict[str, bytes] = {}
-        back = spellings(model)
-
-        def others(word: str) -> bytes:
-            """The ids of what stands between two spaces: of each of its units."""
-            x = rare.get(word)
+        model = sent.value
+        back, last, known = spellings(model), None, {}
+        memo: dict[str, bytes] = {}
+        fs, root = pa.fs.FileSystem.from_uri(folder)
+
+        def loaded(block: int) -> dict[str, bytes]:
+            path = f"{root}/block={block}"
+            if fs.get_file_info(path).type == pa.fs.FileType.NotFound:
+                return {}  # a block without a word
+            files = [f for f in fs.get_file_info(pa.fs.FileSelector(path)) if f.path.endswith(".parquet")]
+            rows = [pa.parquet.read_table(f.path, filesystem=fs, columns=["unit", "ids"], partitioning=None) for f in files]
+            return dict(zip(*[x for c in ("unit", "ids") for x in [pa.concat_tables(rows).column(c).to_pylist()]], strict=True))
+
+        def of(word: str) -> bytes:
+            x = memo.get(word)
             if x is None:
-                if len(rare) > RARE:
-                    rare.clear()
-                own = UNIT.findall(table.MARK + word.replace(" ", table.MARK))
-                rare[word] = x = b"".join([known.get(u) or np.array(model.best(u), np.int32).tobytes() for u in own])
+                if len(memo) > WORDS:
+                    memo.clear()
+                memo[word] = x = b"".join([known[u] for u in units(table.MARK + word, model.pairs)])
             return x
 
-        def ids_of(t: str) -> bytes:
-            return b"".join([by_word(w) or others(w) for w in t.split(" ")]) if t else b""
-
         def taken(row: pa.Array, rows: list[int], ids: list[bytes | None], same: list[bool | None]) -> pa.RecordBatch:
             offsets = np.concatenate([[0], np.cumsum([len(x or b"") // 4 for x in ids], dtype=np.int64)]).astype(np.int32)
             values = pa.array(np.frombuffer(b"".join(x or b"" for x in ids), np.int32))
@@ -148,10 +187,13 @@ def encode(docs: DataFrame, text: str = "text", out: str = "ids", keep: list[str
             ids: list[bytes | None] = []
             same: list[bool | None] = []
             size = 0
-            for k, t in enumerate(batch.column("text")):
+            for k, (block, t) in enumerate(zip(batch.column("block").to_pylist(), batch.column("text"), strict=True)):
+                if block != last:
+                    last, known = block, loaded(block)
+                    memo.clear()
                 t = t.as_py()
                 rows.append(k)
-                ids.append(None if t is None else ids_of(t))
+                ids.append(None if t is None else b"".join(map(of, words(t))))
                 same.append(None if t is None or not checked else spelled(ids[-1], back) == t.replace(table.MARK, " "))
                 size += len(ids[-1] or b"")
                 if size > 2 << 20:
@@ -159,7 +201,7 @@ def encode(docs: DataFrame, text: str = "text", out: str = "ids", keep: list[str
                     rows, ids, same, size = [], [], [], 0
             yield taken(batch.column("row"), rows, ids, same)
 
-    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(text).cast("string").alias("text"))
+    source = docs.select(F.struct(F.lit(1).alias("_"), *[F.col(f"`{c}`") for c in names]).alias("row"), whole, block)
     done = source.mapInArrow(run, f"row {source.schema['row'].dataType.simpleString()}, ids array<int>, intact boolean")
     return done.select(*[F.col("row").getField(c).alias(c) for c in names], F.col("ids").alias(out), *(["intact"] if checked else []))
 
@@ -186,6 +228,6 @@ def decode(encoded: DataFrame, ids: str = "ids", out: str = "text", model_path:
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], names=["row", "decoded"])
 
     kept = [c for c in encoded.columns if c not in (ids, out)]
-    source = encoded.select(F.struct(F.lit(1).alias("_"), *[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(ids).alias("ids"))
+    source = encoded.select(F.struct(F.lit(1).alias("_"), *[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{ids}`").alias("ids"))
     done = source.mapInArrow(run, f"row {source.schema['row'].dataType.simpleString()}, decoded string")
     return done.select(*[F.col("row").getField(c).alias(c) for c in kept], F.col("decoded").alias(out))
