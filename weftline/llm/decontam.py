@@ -3,19 +3,28 @@
 Texts and benchmark items are sequences of words (lower case, punctuation at the ends cut off).  An item leaks into a text if
 some passage of it is within ``max_share`` of the item's words by edit distance.
 
-1. Seeds.  d word edits destroy at most q * d of an item's q-grams, so a leak keeps a known number of them near one diagonal;
-   places with fewer cannot be leaks.  This is a bound, not a heuristic, and leaves few places in ordinary text.
-2. Item-sized windows at these places and the item itself are embedded by CGK random walks, which turn edit distance into
-   Hamming distance: a walk copies the current word and moves on or stays as a random function of step and word says.
-3. Bit sampling: a window is a candidate if in one of ``REPEATS`` independent walks all ``SAMPLED`` sampled places agree.
-   REPEATS follows from the target recall and from the agreement that windows at the limit still have.
-4. Candidates are verified by exact edit distance (best passage, free ends).
+1. CGK walks embed words so that edit distance becomes Hamming distance: a walk gives out the word where it stands and stays
+   or moves on as a random function of step and word says.  Two walks that an edit put apart meet again by chance.
+2. Bit sampling: of each of REPEATS walks three steps are sampled (the first one, which is where the window starts, and two of
+   STEPS); the words that the walk gives out there are the window's key.  Walks begin at every word of a text, and share their
+   steps, as a window's walk is the rest of an earlier one.  An item is in the tables once for each start within it, so a
+   window that starts inside a passage finds the item, and the place where the item would start.  Nothing else finds
+   candidates.
+3. Candidates near each other are one region.  A region with too few of the item's words is dropped, which loses nothing;
+   the others are verified by exact edit distance (best passage, free ends).
+
+Recall: a walk from a start finds its item if the few words up to its last sampled step are as they were, or are met again.
+With edits of a fifth of the words that is about one start in three, and an item of n words has some REPEATS * n starts; a test
+measures 0.99 and more over random edits at the limit, and exact passages are never lost.  Items of fewer than LONG words have
+two sampled steps; one for which no walk moves on within it is found by its first word alone.
 
 The benchmark is the side that tasks hold.  Its size is checked: above ``block_bytes`` it is searched in blocks, each against
 all texts.  Texts stream through tasks whole, and nothing of them is shuffled.
 
 Defined cases: a null or wordless text has no leak, and a null or wordless item leaks nowhere; equal items are each reported;
-repeated rows and null ids are judged like any other.
+of passages of one item that tie in a text, the first is reported; repeated rows and null ids are judged like any other; very
+long texts are searched whole, in time that grows with their length; empty tables on either side give no leaks.  Columns other
+than the id and the text play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,10 +39,10 @@ from pyspark.sql import functions as F
 
 from weftline.llm.words import mixed
 
-#: Agreement of a sampled place for a window at the edit limit; measured on items with a fifth of their words edited.
-AGREEMENT, RECALL, SAMPLED = 0.35, 0.999, 2
-REPEATS = math.ceil(math.log(1 - RECALL) / math.log(1 - AGREEMENT**SAMPLED))
-GAP = 4
+#: Walks, and the steps that may be sampled of a walk beside its first.
+REPEATS, STEPS, LONG = 4, 8, 12
+#: Words of texts that are searched at a time; zeros between two texts, more than a walk can pass.
+BLOCK_WORDS, BETWEEN = 200_000, STEPS + 2
 HITS = "doc_id long, item_id long, start_word long, end_word long, edits int, item_words int"
 
 
@@ -66,9 +75,9 @@ class Symbols(dict):
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
-def passage(pattern: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
-    """(edits, start, end) of the passage of text that is nearest to pattern by edit distance: fewest edits, then the first
-    end, then the longest (bit-parallel dynamic programming, exact)."""
+def passage(pattern: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int, int] | None:
+    """(edits, start, end) of the passage of text that is nearest to pattern by edit distance, if it takes at most so many:
+    fewest edits, then the first end, then the longest (bit-parallel dynamic programming, exact)."""
 
     def ends(p: list[int], t: list[int], free: bool) -> list[int]:
         m, eq = len(p), {}
@@ -89,14 +98,66 @@ def passage(pattern: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     p, t = pattern.tolist(), text.tolist()
     scores = ends(p, t, True)
     best = min(scores)
+    if best > most:
+        return None
     end = scores.index(best)
     back = ends(p[::-1], t[: end + 1][::-1], False)
     length = max(k for k, s in enumerate(back) if s == best) + 1
     return best, end + 1 - length, end + 1
 
 
+class Table:
+    """One walk: which words it moves on from at which step, its sampled steps, and the items by key."""
+
+    def __init__(self, moves: np.ndarray, steps: tuple[int, ...]) -> None:
+        self.moves, self.steps = moves, steps
+
+    def walked(self, x: np.ndarray, at: np.ndarray, start: int, stop: int) -> np.ndarray:
+        """Where walks that stand at these places at one step stand at a later one."""
+        for step in range(start, stop):
+            at = at + ((self.moves[x[at]] >> np.uint64(step)) & np.uint64(1)).astype(np.int64)
+        return at
+
+    @staticmethod
+    def joined(key: np.ndarray, word: np.ndarray) -> np.ndarray:
+        return mixed(key + word.astype(np.uint64))
+
+    def fill(self, x: np.ndarray, starts: np.ndarray, item: np.ndarray, offset: np.ndarray, until: np.ndarray) -> np.ndarray:
+        """Enters the items at their starts in x whose walks move on between samples and stay within the item; gives them."""
+        at, key, self.masks = starts, self.joined(np.zeros(len(starts), np.uint64), x[starts]), []
+        keys, kept = [key], np.ones(len(starts), bool)
+        for a, b in zip((0, *self.steps), self.steps):
+            further = self.walked(x, at, a, b)
+            kept &= (further > at) & (further < until)
+            at, key = further, self.joined(key, x[further])
+            keys.append(key)
+        size = 1 << max(12, int(64 * kept.sum()).bit_length())
+        for key in keys:  # for each sampled step a bit map of the keys so far, which few other windows pass
+            found = np.zeros(size, bool)
+            found[(key[kept] & np.uint64(size - 1)).astype(np.int64)] = True
+            self.masks.append(found)
+        order = np.argsort(key[kept], kind="stable")
+        self.keys, self.item, self.offset = key[kept][order], item[kept][order], offset[kept][order]
+        return item[kept]
+
+    def candidates(self, x: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, place where it would start) of each window of x whose key is in the table."""
+        if not len(self.keys):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        size, at, key = np.uint64(len(self.masks[0]) - 1), starts, np.zeros(len(starts), np.uint64)
+        for a, b, mask in zip((0, 0, *self.steps), (0, *self.steps), self.masks):
+            at = self.walked(x, at, a, b)
+            key = self.joined(key, x[at])
+            stay = np.flatnonzero(mask[(key & size).astype(np.int64)])
+            at, key, starts = at[stay], key[stay], starts[stay]
+        lo, hi = np.searchsorted(self.keys, key), np.searchsorted(self.keys, key, "right")
+        n = hi - lo
+        which = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return self.item[which], np.repeat(starts, n) - self.offset[which]
+
+
 class Benchmark:
-    """Items ready for the search: symbols, q-gram index and embeddings.  rows: (item_id, text)."""
+    """Items ready for the search: symbols and the tables of their windows.  rows: (item_id, text)."""
 
     def __init__(self, rows: list[tuple[int | None, str | None]], max_share: float) -> None:
         words = [[c for w in (t or "").encode().split() if (c := cleaned(w))] for _, t in rows]
@@ -105,106 +166,62 @@ class Benchmark:
         self.vocabulary: dict[str, int] = {}
         self.items = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words[k]], np.int64) for k in kept]
         self.edits = [int(max_share * len(x) + 1e-9) for x in self.items]
-        left = lambda n, d, q: n - q + 1 - q * d
-        # the longest grams that an item at its limit must still share; single words always leave n - d
-        self.q = [next((q for q in (3, 2) if left(len(x), d, q) >= 1), 1) for x, d in zip(self.items, self.edits, strict=True)]
-        self.least = [left(len(x), d, q) for x, d, q in zip(self.items, self.edits, self.q, strict=True)]
-        self.grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for q in sorted(set(self.q)):
-            key, item, at = [], [], []
-            for k, x in enumerate(self.items):
-                if self.q[k] == q:
-                    g = self.gram(x, q)
-                    key.append(g)
-                    item.append(np.full(len(g), k))
-                    at.append(np.arange(len(g)))
-            order = np.argsort(keys := np.concatenate(key), kind="stable")
-            self.grams[q] = keys[order], np.concatenate(item)[order], np.concatenate(at)[order]
-        self.embedded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def gram(self, x: np.ndarray, q: int) -> np.ndarray:
-        """One number for each q-gram; exact while the vocabulary cubed stays under 2^63 (two million words)."""
-        base, out = len(self.vocabulary) + 1, np.zeros(max(0, len(x) - q + 1), np.int64)
-        for i in range(q):
-            out = out * base + x[i : len(x) - q + 1 + i]
-        return out
-
-    def seeds(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, diagonal) of every q-gram that a sequence shares with an item."""
-        items, diagonals = [], []
-        for q, (keys, item, at) in self.grams.items():
-            if len(x) < q:
-                continue
-            known = x[: len(x) - q + 1] > 0
-            for i in range(1, q):
-                known &= x[i : len(x) - q + 1 + i] > 0
-            place = np.flatnonzero(known)
-            mine = np.zeros(len(place), np.int64)
-            for i in range(q):
-                mine = mine * (len(self.vocabulary) + 1) + x[place + i]
-            lo, hi = np.searchsorted(keys, mine), np.searchsorted(keys, mine, "right")
-            n = hi - lo
-            which = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else n
-            items.append(item[which])
-            diagonals.append(np.repeat(place, n) - at[which])
-        return (np.concatenate(items), np.concatenate(diagonals)) if items else (np.empty(0, np.int64), np.empty(0, np.int64))
-
-    def samples(self, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Multipliers of the walks (REPEATS, 3 * length) and sampled steps (REPEATS, SAMPLED) for items of a length."""
-        rng = np.random.default_rng(length)
-        return rng.integers(0, 1 << 63, (REPEATS, 3 * length), np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 3 * length, (REPEATS, SAMPLED))
-
-    def embed(self, windows: np.ndarray) -> np.ndarray:
-        """Sampled symbols of the CGK embeddings of windows (n, length): (n, REPEATS, SAMPLED)."""
-        n, length = windows.shape
-        factors, picked = self.samples(length)
-        padded = np.concatenate([windows, np.zeros((n, 1), np.int64)], axis=1)
-        spread = mixed(padded.astype(np.uint64) + np.uint64(1))
-        at, row = np.zeros((n, REPEATS), np.int64), np.arange(n)[:, None]
-        out = np.zeros((n, REPEATS, SAMPLED), np.int64)
-        for step in range(picked.max() + 1):
-            seen = padded[row, at]
-            for s in range(SAMPLED):
-                taken = picked[:, s] == step
-                if taken.any():
-                    out[:, taken, s] = seen[:, taken]
-            at = np.minimum(at + ((spread[row, at] * factors[:, step]) >> np.uint64(63)).astype(np.int64), length)
-        return out
+        self.members = [frozenset(x.tolist()) for x in self.items]
+        self.tables = self._tables() if self.items else []
+
+    def _tables(self) -> list[Table]:
+        rng = np.random.default_rng(11)
+        sizes = np.array([len(x) for x in self.items])
+        x = np.concatenate([*self.items, np.zeros(BETWEEN, np.int64)])
+        begin = np.cumsum(sizes) - sizes
+        item = np.repeat(np.arange(len(sizes)), sizes)
+        starts, found = np.arange(len(item)), []
+        entered = np.zeros(len(sizes), bool)
+
+        def add(steps: tuple[int, ...], which: np.ndarray) -> None:
+            moves = rng.integers(0, 1 << 64, len(self.vocabulary) + 1, np.uint64, endpoint=False)
+            found.append(Table(moves, steps))
+            entered[found[-1].fill(x, starts[which], item[which], (starts - begin[item])[which], (begin + sizes)[item[which]])] = True
+
+        for _ in range(REPEATS):
+            early = int(rng.integers(1, STEPS // 2))
+            add((early, int(rng.integers(early + 1, STEPS + 1))), sizes[item] >= LONG)
+            add((early,), sizes[item] < LONG)
+        add((), ~entered[item] & (starts == begin[item]))
+        return found
 
-    def collides(self, item: int, windows: np.ndarray) -> np.ndarray:
-        if item not in self.embedded:
-            self.embedded[item] = self.embed(self.items[item][None, :])
-        return (self.embed(windows) == self.embedded[item]).all(axis=2).any(axis=1)
-
-    def search(self, x: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(item, edits, start, end) of the best passage for each item that leaks into one text of symbols."""
-        items, diagonals = self.seeds(x)
-        found = []
-        for item in np.flatnonzero(np.bincount(items, minlength=len(self.items)) >= np.maximum(1, self.least)) if len(items) else ():
-            d, pattern, mine = self.edits[item], self.items[item], np.sort(diagonals[items == item])
-            starts = np.unique((mine[:, None] + np.arange(-d, d + 1)).ravel())
-            enough = np.searchsorted(mine, starts + d, "right") - np.searchsorted(mine, starts - d) >= self.least[item]
-            starts = starts[enough]
-            if not len(starts):
+    def search(self, texts: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, int]]:
+        """(text, item, edits, start, end) of the best passage for each item that leaks into each of some texts of symbols."""
+        pad = np.zeros(BETWEEN, np.int64)
+        x = np.concatenate([part for t in texts for part in (t, pad)] or [pad])
+        sizes = np.array([len(t) + BETWEEN for t in texts], np.int64)
+        begin = np.cumsum(sizes) - sizes
+        starts = np.flatnonzero(x)
+        parts = [t.candidates(x, starts) for t in self.tables]
+        item, place = (np.concatenate([np.empty(0, np.int64), *[p[k] for p in parts]]) for k in (0, 1))
+        if not len(item):
+            return
+        # a place may lie before its text, so the text is that of the place's middle
+        d, n = np.array(self.edits)[item], np.array([len(i) for i in self.items])[item]
+        text = np.clip(np.searchsorted(begin, np.maximum(place + n // 2, 0), "right") - 1, 0, len(texts) - 1)
+        order = np.lexsort((place, item, text))
+        item, place, text, d, n = item[order], place[order], text[order], d[order], n[order]
+        heads = np.flatnonzero(np.concatenate([[True], (np.diff(text) > 0) | (np.diff(item) != 0) | (np.diff(place) > 2 * d[1:] + 1)]))
+        last, best = np.append(heads[1:], len(item)) - 1, None
+        lows = np.maximum(place[heads] - d[heads] - begin[text[heads]], 0)
+        highs = np.minimum(place[last] + n[heads] + 2 * d[heads] - begin[text[heads]], sizes[text[heads]] - BETWEEN)
+        for t, i, lo, hi in zip(text[heads].tolist(), item[heads].tolist(), lows.tolist(), highs.tolist(), strict=True):
+            if best and best[:2] != (t, i):
+                yield best
+                best = None
+            region, members, most = texts[t][lo:hi], self.members[i], self.edits[i]
+            if sum(w in members for w in region.tolist()) < len(self.items[i]) - most:
                 continue
-            n, wide = len(pattern), np.concatenate([np.zeros(len(pattern) + d, np.int64), x, np.zeros(2 * len(pattern) + d, np.int64)])
-            starts = starts[(starts > -n) & (starts < len(x))]
-            hit: list[np.ndarray] = [np.empty(0, np.int64)]
-            for part in range(0, len(starts), 256):
-                s = starts[part : part + 256]
-                hit.append(s[self.collides(item, wide[(s + n + d)[:, None] + np.arange(n)])])
-            best, until = None, -1
-            for s in np.concatenate(hit).tolist():
-                if s < until:
-                    continue  # inside a region that has been searched
-                lo, hi = max(0, s - d), min(len(x), s + 2 * n + d)
-                edits, a, b = passage(pattern, x[lo:hi])
-                until = s + n
-                if edits <= d and (best is None or edits < best[1]):
-                    best = (int(item), edits, lo + a, lo + b)
-            if best:
-                found.append(best)
-        return found
+            hit = passage(self.items[i], region, most)
+            if hit and (best is None or hit[0] < best[2]):
+                best = t, i, hit[0], lo + hit[1], lo + hit[2]
+        if best:
+            yield best
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text: str, block_bytes: int) -> Iterator[list[tuple]]:
@@ -219,11 +236,24 @@ def _blocks(benchmark: DataFrame, item_col: str, text: str, block_bytes: int) ->
 
 def _found(texts: pa.Array, items: Benchmark, symbols: Symbols) -> Iterator[tuple[int, list[tuple[int, int, int, int]]]]:
     """(row, leaks) of each text that has any, with starts and ends as positions among all its words."""
+    held: list[np.ndarray] = []
+    size = 0
+
+    def searched(first: int) -> Iterator[tuple[int, list[tuple[int, int, int, int]]]]:
+        real = [np.flatnonzero(x >= 0) for x in held]
+        out: dict[int, list[tuple[int, int, int, int]]] = {}
+        for t, item, edits, a, b in items.search([x[r] for x, r in zip(held, real, strict=True)]):
+            out.setdefault(t, []).append((item, edits, int(real[t][a]), int(real[t][b - 1]) + 1))
+        yield from ((first + t, found) for t, found in out.items())
+
     for k, t in enumerate(texts):
-        x = symbols.of(t.as_py() or b"")
-        real = np.flatnonzero(x >= 0)
-        if found := items.search(x[real]):
-            yield k, [(item, edits, int(real[a]), int(real[b - 1]) + 1) for item, edits, a, b in found]
+        held.append(symbols.of(t.as_py() or b""))
+        size += len(held[-1])
+        if size >= BLOCK_WORDS:
+            yield from searched(k + 1 - len(held))
+            held, size = [], 0
+    if held:
+        yield from searched(len(texts) - len(held))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", max_share: float = 0.2, block_bytes: int = 16 << 20) -> DataFrame:
