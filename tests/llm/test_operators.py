@@ -305,6 +305,8 @@ def test_decontamination(spark):
                 assert (d, i) not in got
     blocks = decontam.leaks(frame(spark, texts), bench, block_bytes=300)
     assert {(r.doc_id, r.item_id) for r in blocks.collect()} == set(got)
+    clash = frame(spark, texts).withColumn("doc", F.lit(1)).withColumn("item_id", F.lit("x"))
+    assert {(r.doc_id, r.item_id) for r in decontam.leaks(clash, bench).collect()} == set(got)
     left = decontam.decontaminated(frame(spark, texts), bench)
     assert left.columns == DOCS.replace(" long", "").replace(" string", "").split(", ")
     assert {r.doc_id for r in left.collect()} == set(range(len(texts))) - {d for d, _ in got}
@@ -312,6 +314,63 @@ def test_decontamination(spark):
     assert decontam.leaks(frame(spark, texts), bench.where("false")).count() == 0
 
 
+def noisy(item, n, seed):
+    """An item with n random word edits of all kinds."""
+    r = random.Random(seed)
+    out = list(item)
+    for _ in range(n):
+        k, what = r.randrange(len(out)), r.randrange(3)
+        if what == 0:
+            out[k] = "zz" + str(r.randrange(1000))
+        elif what == 1:
+            del out[k]
+        else:
+            out.insert(k, r.choice(VOCAB))
+    return out
+
+
+def recalled(sizes, share=0.2):
+    """Of items planted with edits at the limit, those within it by brute force, and those of them that the search finds."""
+    items = [words(n, 7000 + k) for k, n in enumerate(sizes)]
+    bench = decontam.Benchmark([(k, " ".join(x)) for k, x in enumerate(items)], share)
+    symbols, texts = decontam.Symbols(bench.vocabulary), []
+    for k, item in enumerate(items):
+        texts.append([*words(40, 8000 + k), *noisy(item, int(share * len(item) + 1e-9), k), *words(40, 9000 + k)])
+    real = {k for k, (item, t) in enumerate(zip(items, texts, strict=True)) if free_edits(item, t) <= share * len(item) + 1e-9}
+    hits = {(t, i) for t, i, *_ in bench.search([symbols.of(" ".join(t).encode()) for t in texts])}
+    return real, {k for k in real if (k, k) in hits}
+
+
+def test_recall_of_the_sampled_walks(monkeypatch):
+    real, found = recalled([12 + k % 50 for k in range(400)])
+    assert len(real) > 390 and len(found) >= 0.99 * len(real)
+    real, found = recalled([5 + k % 7 for k in range(200)])
+    assert len(real) > 190 and len(found) >= 0.95 * len(real)
+    real, found = recalled([1 + k % 4 for k in range(40)])  # no edit allowed
+    assert found == real and len(real) == 40
+    # nothing but the sampled walks finds candidates
+    monkeypatch.setattr(decontam, "REPEATS", 0)
+    monkeypatch.setattr(decontam.Table, "candidates", lambda self, x, starts: (np.empty(0, np.int64), np.empty(0, np.int64)))
+    assert not recalled([30] * 10)[1]
+
+
+def test_sampled_walks_pass_few_other_windows():
+    items = [words(30, 100 + k) for k in range(50)]
+    bench = decontam.Benchmark([(k, " ".join(x)) for k, x in enumerate(items)], 0.2)
+    x = decontam.Symbols(bench.vocabulary).of(" ".join(words(20_000, 5)).encode())
+    x = np.concatenate([x, np.zeros(decontam.BETWEEN, np.int64)])
+    seen = sum(len(t.candidates(x, np.flatnonzero(x))[0]) for t in bench.tables)
+    assert seen < 0.01 * len(items) * 20_000 * len(bench.tables) / 50
+
+
+def test_decontamination_of_a_very_long_text(spark):
+    item = words(40, 60)
+    text = [*words(150_000, 61), *noisy(item, 8, 1), *words(150_000, 62)]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = decontam.leaks(frame(spark, [" ".join(text), " ".join(text[:1000])], [5, 5]), bench).collect()
+    assert [(r.doc_id, r.item_id) for r in got] == [(5, 1)] and 149_950 < got[0].start_word < 150_050
+
+
 # --- 7: personal data
 
 BASE = {
@@ -355,6 +414,106 @@ def test_bootstrapped_identifiers(spark):
     assert found == {12 + k: [f"acct#77{k}x"] for k in range(5)}
 
 
+def test_labels_and_words_after_are_patterns(spark):
+    known = [f"email=user{k}@mail.example.org, badge 12" for k in range(6)] + [f"reach bob{k}@x.example.org anytime soon" for k in range(6)]
+    unseen = ["see email=jane.doe(at)example.org now", "email: k.lee@localhost ok", "reach (at)home99x anytime soon", "mail email:ab12cd34 x"]
+    got = pii.personal(frame(spark, [*known, *unseen]), carry=["doc_id"]).select("row.doc_id", "other").collect()
+    text = dict(enumerate([*known, *unseen]))
+    found = {r.doc_id: [text[r.doc_id][x.start : x.end] for x in r.other] for r in got if r.other}
+    assert found[12] == ["jane.doe(at)example.org"] and found[14] == ["at)home99x"]
+    assert 13 not in found and 15 not in found  # another label has no seeds
+
+
+def brute_discovered(texts, rounds=3, min_support=3, accept=0.5):
+    """Identifiers by the docstring's rules, with Python's regular expressions and dictionaries."""
+    gap, letter = "[\\x20\\x09-\\x0D]", "[^\\W\\d_]"
+    punct = re.compile(f"(?:(?!{letter})[^0-9\\x20\\x09-\\x0D])*")
+
+    def tokens(t):
+        out = []
+        for m in re.finditer("[^\\x20\\x09-\\x0D]+", t):
+            label = re.match(f"{letter}{{3,24}}[:=](?=.)", m[0], re.S)
+            cut = m.start() + label.end() if label else m.start()
+            out += [(m.start(), cut)] * bool(label) + [(cut, m.end())]
+        return out
+
+    totals, mentions = Counter(), []
+    for d, t in enumerate(texts):
+        t = t or ""
+        own = tokens(t)
+        totals.update(t[a:b].lower() for a, b in own)
+        base = [(int(a), int(b)) for _, a, b in (x.split(":") for x in base_spans(t))]
+        free = []
+        for a, b in own:
+            w = t[a:b]
+            if re.search(f"[0-9]|{letter}@{letter}|\\(at\\)", w):
+                core = [k for k, c in enumerate(w) if re.match(f"{letter}|[0-9]", c)]
+                if core and core[-1] + 1 - core[0] >= 6:
+                    free.append((a, b, a + core[0], a + core[-1] + 1))
+        kept = [(a, b, x, y) for a, b, x, y in free if not any(p < y and x < q for p, q in base)]
+        around = [(p, q, p, q, 1.0) for p, q in base] + [(*x, 0.0) for x in kept]
+        for a, b, x, y, seed in around:
+            before = [(p, q) for p, q in own if q < a + (a == 0) and q <= a and re.fullmatch(f"{gap}+{punct.pattern}", t[q:a])]
+            glued = [(p, q) for p, q in own if t[q - 1] in ":=" and re.fullmatch(f"{letter}{{3,24}}[:=]", t[p:q]) and q <= a and punct.fullmatch(t[q:a])]
+            after = [(p, q) for p, q in own if p >= b and re.fullmatch(f"{punct.pattern}{gap}+", t[b:p])]
+            pats = {"<" + t[p:q].lower() for p, q in (before or glued)[:1]} | {">" + t[p:q].lower() for p, q in after[:1]}
+            mentions.append((d, x, y, t[x:y].lower(), seed, pats))
+    edges = Counter((p, m[3]) for m in mentions for p in m[5])
+    seed = defaultdict(float)
+    for m in mentions:
+        if m[5]:
+            seed[m[3]] = max(seed[m[3]], m[4])
+    of = defaultdict(dict)
+    for (p, v), n in edges.items():
+        of[p][v] = n
+    of = {p: vs for p, vs in of.items() if len(vs) >= min_support and sum(1 for v in vs if not seed[v]) > 0}
+    known = {v: seed[v] for vs in of.values() for v in vs}
+    for _ in range(rounds):
+        score = {p: min(1.0, sum(n * known[v] for v, n in vs.items()) / totals[p[1:]]) for p, vs in of.items() if sum(known[v] >= accept for v in vs) >= min_support}
+        known = {v: max(seed[v], 1 - math.prod(1 - min(score.get(p, 0.0), 0.999999) for p, vs in of.items() if v in vs)) for v in known}
+    new = {v for v, x in known.items() if x >= accept and not seed[v]}
+    return {(d, x, y) for d, x, y, v, sd, _ in mentions if not sd and v in new}
+
+
+def test_discovered_spans_by_brute_force(spark):
+    r = random.Random(9)
+    labels = ["mail:", "tel", "id=", "user", "ref:", "acct"]
+    ends = ["now", "please", "then", "until", "and"]
+    make = [lambda: f"u{r.randrange(40)}@m{r.randrange(5)}.example.org", lambda: f"10.0.{r.randrange(9)}.{r.randrange(9)}", lambda: f"ab-{r.randrange(30)}-77x", lambda: f"key_{r.randrange(50)}99", lambda: f"jo{r.randrange(9)}(at)home.example", lambda: r.choice(VOCAB)]
+    texts = []
+    for _ in range(250):
+        parts = []
+        for _ in range(r.randint(1, 5)):
+            label = r.choice(labels)
+            what = r.choice(make[:2] if label in ("mail:", "tel") and r.random() < 0.6 else make)()
+            parts.append(label + r.choice([" ", "", " (", ' "']) + what + r.choice(["", ".", ")", ","]) + " " + r.choice(ends))
+        texts.append(" ".join(parts))
+    got = pii.personal(frame(spark, texts), carry=["doc_id"]).select("row.doc_id", "other").collect()
+    found = {(x.doc_id, y.start, y.end) for x in got for y in x.other}
+    assert found == brute_discovered(texts) and len(found) > 20
+
+
+def test_time_grows_with_a_text(spark):
+    """Twice the text takes little more than twice the time, whatever it repeats."""
+    import time
+
+    shapes = {
+        "numbered": lambda n: " ".join(f"w{k}x{k}" for k in range(n // 4)),
+        "run": lambda n: "a" * n + " y q a@b.co",
+        "emails": lambda n: "a@b.co " * (n // 8),
+        "mixed": lambda n: "a@b.co x1y2z3 " * (n // 16),
+    }
+    pii.redacted(frame(spark, ["a@b.co 10.0.0.1"])).collect()
+    for name, shape in shapes.items():
+        took = []
+        for n in (40_000, 160_000):
+            began = time.perf_counter()
+            out = pii.redacted(frame(spark, [shape(n)])).collect()
+            took.append(time.perf_counter() - began)
+            assert "@" not in out[0].text
+        assert took[1] < 5 * took[0] + 10, (name, took)
+
+
 def test_redaction_keeps_the_rest(spark):
     t = "see a@b.co, or 10.0.0.1 é +1 (499) 555-6503."
     out = pii.redacted(frame(spark, [t, None, "clean"]), length="n_chars").orderBy("doc_id").collect()
@@ -412,6 +571,59 @@ def test_main_text_of_split_articles(spark):
         assert r.text == "\n".join([head, lead, *parts]), (r.url, r.text)
 
 
+def test_main_text_reads_markup_as_it_is():
+    read = lambda t: html_main.extracted(t, None)
+    two = "".join(f"<section class={c}><p>Section {c} with some words in it.</p></section>" for c in "ab")
+    assert read(f"<main>{two}</main>") == "Section a with some words in it.\nSection b with some words in it."
+    inner = "<div class='section-header'><h2>A head</h2></div><p>A long paragraph of text is here.</p><p class='notice-period'>The notice period is long.</p>"
+    assert read(f"<article>{inner}<div class='ad-slot-3'>Buy it.</div><div id=comments>First!</div></article>") == "A head\nA long paragraph of text is here.\nThe notice period is long."
+    assert read("<article class=it's title='a>b'><p title=a\"b>A long paragraph, isn't it.</p><p data-x = \"</p>\">More \"of\" it.</p></article>") == "A long paragraph, isn't it.\nMore \"of\" it."
+    assert read("<div class=share>only this</div>") == "" and read("<p>one</p><div class='x-share'>two</div>") == "one"
+
+
+def test_main_text_of_deep_and_long_pages():
+    deep = "<div class=a>" * 100_000 + "<p>Some text that is deep down in here.</p>" + "</div>" * 100_000 + "</b>" * 1000
+    assert html_main.extracted(deep, None) == "Some text that is deep down in here."
+    long = "<article>" + "".join(f"<p>Paragraph {k} of a very long page.</p>" for k in range(20_000)) + "</article>"
+    assert html_main.extracted(long, None).count("\n") == 19_999
+
+
+def test_host_paths_by_brute_force(spark):
+    r = random.Random(3)
+    say = lambda k: " ".join(words(k, r.randrange(10**6))) + "."
+    rows = []
+    for k in range(60):
+        host = k % 3
+        body = [f"<div class='c{r.choice('xyz')}'>{''.join(f'<p>{say(r.randint(3, 30))}</p>' for _ in range(r.randint(1, 4)))}</div>" for _ in range(r.randint(1, 4))]
+        if r.random() < 0.7:
+            body.append(f"<div class='post'><h1>{say(4)}</h1><p>{say(50)}</p><div class=q><p>{say(30)}</p></div></div>")
+        rows.append((k, f"http://h{host}.org/{k}", "<body>" + "".join(body) + "</body>"))
+    rows += [rows[0], (70, "http://h0.org/t", rows[0][2])]  # repeated rows and ties
+    points, sums, around = (defaultdict(Counter) for _ in range(3))
+    kinds = {}
+    for _, url, text in rows:
+        host, page = url[7:13], html_main.read(text)
+        own, chars = html_main.scores(page), sum(map(len, page.texts))
+        for p, x in html_main.totals(page).items():
+            points[host][p] += round(own.get(p, 0.0) / sum(own.values()) * 1e6)
+            kinds[p] = x[0]
+            sums[host][p] = [a + round(b / chars * 1e6) for a, b in zip(sums[host][p] or [0] * 4, x[1:], strict=True)]
+        around[host].update(html_main.surroundings(page))
+    chosen = {}
+    for host, own in points.items():
+        best = max((x, p) for p, x in own.items())[1]
+        chosen[host] = html_main.widened([(p, (kinds[p], *sums[host][p])) for p in around[host][best]])
+    got = Counter((r.page_id, r.text) for r in html_main.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert got == Counter((i, html_main.extracted(text, chosen[url[7:13]])) for i, url, text in rows)
+
+
+def test_main_text_replaces_columns_of_its_names(spark):
+    rows = [(1, "http://a.org/1", "<article><p>Some words that are long enough.</p></article>", "old", "old", "old")]
+    out = html_main.main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars string, path string"))
+    assert sorted(out.columns) == ["html", "n_chars", "page_id", "path", "text", "url"]
+    assert out.select("text", "path").collect() == [("Some words that are long enough.", "old")]
+
+
 # --- 9: repeated passages
 
 
@@ -551,6 +763,7 @@ def whole_units(t):
 def test_encoding_round_trip(spark, texts, monkeypatch, tmp_path, rows, remembered):
     monkeypatch.setattr(spm, "ROWS", rows)
     monkeypatch.setattr(spm, "WORDS", remembered)
+    monkeypatch.setattr(spm, "CHARS", remembered * 10)
     every = [*texts, " lead", "two  spaces ", "tab\tline\n\nend\n", "é日本🙂", "x" * 5000, "acgt" * 1500, "a▁b", " "]
     docs = frame(spark, every)
     model = pieces.load()

@@ -36,18 +36,39 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import pieces as table
-from weftline.llm.shared import let, new_dir, written
+from weftline.llm.shared import new_dir, written
 
 #: Texts whose units share a table.
-ROWS = 4096
-#: Words that a task remembers, or collects before it hands their units on.
-WORDS = 400_000
-
-
-def units(word: str, pairs: frozenset[tuple[str, str]]) -> list[str]:
-    """The units of a mark and what follows it up to the next; pairs: characters that some piece has next to each other."""
-    cuts = [i for i, pair in enumerate(zip(word, word[1:]), 1) if pair not in pairs]
-    return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)])] if cuts else [word]
+ROWS = 8192
+#: Words that a task remembers, or collects before it hands their units on; characters that it encodes at a time.
+WORDS, CHARS = 400_000, 1 << 20
+#: Groups that a task holds in memory while it groups edges, before it sorts them instead.
+GROUPS = 50_000
+
+
+class Cutter:
+    """Cuts words, each with its mark, into units."""
+
+    def __init__(self, pairs: frozenset[tuple[str, str]]) -> None:
+        letters = sorted({c for pair in pairs for c in pair})
+        number = {c: k for k, c in enumerate(letters, 1)}  # 0: a character that no piece has beside another
+        self.number = np.zeros(0x110000, np.uint16)
+        self.number[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.beside = np.zeros((len(letters) + 1,) * 2, bool)
+        for a, b in pairs:
+            self.beside[number[a], number[b]] = True
+
+    def cut(self, found: list[str]) -> tuple[list[str], list[int]]:
+        """The units of all words in order, and how many each has."""
+        text = table.MARK + table.MARK.join(found)
+        codes = self.number[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        heads = ~np.concatenate([[False], self.beside[codes[:-1], codes[1:]]])
+        first = np.cumsum([0] + [len(w) + 1 for w in found[:-1]])
+        heads[first] = True
+        at = np.flatnonzero(heads)
+        ends = [*at[1:].tolist(), len(text)]
+        sizes = np.diff(np.append(np.searchsorted(at, first), len(at)))
+        return [text[a:b] for a, b in zip(at.tolist(), ends, strict=True)], sizes.tolist()
 
 
 def words(text: str) -> list[str]:
@@ -81,17 +102,13 @@ def best_paths(lattices: DataFrame, model: table.Pieces) -> DataFrame:
 
     def step(a: Column, x: Column) -> Column:
         # a: the place that edges end at now, its best path so far, and the best paths of the places before
-        further = x["end"] > a["end"]
+        further, back = x["end"] > a["end"], x["start"] - a["end"]
+        path = lambda c: F.when(back == 0, a[c]).otherwise(F.element_at(a["before"], back)[c])
+        score = path("score") + x["score"]
         ahead = F.concat(a["before"], F.array(F.struct(a["score"].alias("score"), a["ids"].alias("ids"))))
-        before = F.when(further, F.slice(ahead, F.greatest(F.size(ahead) - model.longest + 1, F.lit(1)), model.longest)).otherwise(a["before"])
-
-        def arrived(before: Column, path: Column) -> Column:
-            better = further | (path["score"] + x["score"] > a["score"])
-            score = F.when(better, path["score"] + x["score"]).otherwise(a["score"])
-            ids = F.when(better, F.concat(path["ids"], x["code"])).otherwise(a["ids"])
-            return F.struct(x["end"].alias("end"), score.alias("score"), ids.alias("ids"), before.alias("before"))
-
-        return let(before, lambda b: let(F.element_at(b, x["start"] - x["end"]), lambda path: arrived(b, path)))
+        before = F.when(further, F.slice(ahead, F.greatest(F.size(a["before"]) + 2 - model.longest, F.lit(1)), model.longest)).otherwise(a["before"])
+        better = F.struct(x["end"].alias("end"), score.alias("score"), F.concat(path("ids"), x["code"]).alias("ids"), before.alias("before"))
+        return F.when(further | (score > a["score"]), better).otherwise(a)
 
     none = F.expr("cast(array() as array<struct<score:double,ids:binary>>)")
     first = F.struct(F.lit(0).alias("end"), F.lit(0.0).alias("score"), F.lit(bytearray()).alias("ids"), none.alias("before"))
@@ -113,12 +130,12 @@ def encoded_units(texts: DataFrame, model: table.Pieces) -> str:
     pairs = model.pairs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter, last = Cutter(pairs), None
         seen: set[str] = set()
-        last = None
 
         def flushed() -> pa.RecordBatch:
-            own = {u for w in seen for u in units(table.MARK + w, pairs)}
-            return pa.RecordBatch.from_arrays([pa.array([last] * len(own), pa.int64()), pa.array(own, pa.string())], names=["block", "unit"])
+            own = list(set(cutter.cut(list(seen))[0]))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(own), last), pa.int64()), pa.array(own, pa.string())], names=["block", "unit"])
 
         for batch in batches:
             for block, t in zip(batch.column("block").to_pylist(), batch.column("text"), strict=True):
@@ -130,13 +147,19 @@ def encoded_units(texts: DataFrame, model: table.Pieces) -> str:
         if seen:
             yield flushed()
 
-    # dealt by unit once: the different units, the group of the lattice and the join need no further exchange.  The first block
-    # goes with a unit so that both sides of the join read the same columns, and so the same exchange
-    found = texts.mapInArrow(run, "block long, unit string").repartition("unit")
+    # dealt by unit once: the different units, the group of the lattice and the join need no further exchange.  Both sides of the
+    # join read the same columns and rows (so the first block goes with a unit), and so the same exchange
+    spark = texts.sparkSession
+    found = texts.mapInArrow(run, "block long, unit string").where("block is not null and unit is not null").repartition("unit")
     ids = best_paths(lattice(found.groupBy("unit").agg(F.min("block").alias("first")), model), model).withColumnRenamed("unit", "of")
     met = found.join(ids.hint("shuffle_hash"), (F.col("unit") == F.col("of")) & (F.col("block") >= F.col("first"))).select("block", "unit", "ids")
-    folder = new_dir(texts.sparkSession, "blocks")
-    met.repartition("block").sortWithinPartitions("block").write.option("compression", "zstd").partitionBy("block").parquet(folder)
+    folder, setting = new_dir(spark, "blocks"), "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    old = spark.conf.get(setting)
+    spark.conf.set(setting, str(GROUPS))
+    try:
+        met.repartition("block").sortWithinPartitions("block").write.mode("append").option("compression", "zstd").partitionBy("block").parquet(folder)
+    finally:
+        spark.conf.set(setting, old)
     return folder
 
 
@@ -156,7 +179,7 @@ def encode(docs: DataFrame, text: str = "text", out: str = "ids", keep: list[str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        back, last, known = spellings(model), None, {}
+        back, cutter, last, known = spellings(model), Cutter(model.pairs), None, {}
         memo: dict[str, bytes] = {}
         fs, root = pa.fs.FileSystem.from_uri(folder)
 
@@ -165,41 +188,46 @@ def encode(docs: DataFrame, text: str = "text", out: str = "ids", keep: list[str
             if fs.get_file_info(path).type == pa.fs.FileType.NotFound:
                 return {}  # a block without a word
             files = [f for f in fs.get_file_info(pa.fs.FileSelector(path)) if f.path.endswith(".parquet")]
-            rows = [pa.parquet.read_table(f.path, filesystem=fs, columns=["unit", "ids"], partitioning=None) for f in files]
-            return dict(zip(*[x for c in ("unit", "ids") for x in [pa.concat_tables(rows).column(c).to_pylist()]], strict=True))
-
-        def of(word: str) -> bytes:
-            x = memo.get(word)
-            if x is None:
-                if len(memo) > WORDS:
-                    memo.clear()
-                memo[word] = x = b"".join([known[u] for u in units(table.MARK + word, model.pairs)])
-            return x
-
-        def taken(row: pa.Array, rows: list[int], ids: list[bytes | None], same: list[bool | None]) -> pa.RecordBatch:
+            rows = pa.concat_tables([pa.parquet.read_table(f.path, filesystem=fs, columns=["unit", "ids"], partitioning=None) for f in files])
+            return dict(zip(rows.column("unit").to_pylist(), rows.column("ids").to_pylist(), strict=True))
+
+        def encoded(texts: list[str | None]) -> list[bytes | None]:
+            split = [words(t) if t else [] for t in texts]
+            if len(memo) > WORDS:
+                memo.clear()
+            if new := list(set().union(*split) - memo.keys()):
+                own, sizes = cutter.cut(new)
+                codes = list(map(known.__getitem__, own))
+                at = 0
+                for word, n in zip(new, sizes, strict=True):
+                    memo[word] = codes[at] if n == 1 else b"".join(codes[at : at + n])
+                    at += n
+            return [None if t is None else b"".join(map(memo.__getitem__, w)) for t, w in zip(texts, split, strict=True)]
+
+        def taken(row: pa.Array, rows: list[int], texts: list[str | None]) -> pa.RecordBatch:
+            ids = encoded(texts)
             offsets = np.concatenate([[0], np.cumsum([len(x or b"") // 4 for x in ids], dtype=np.int64)]).astype(np.int32)
             values = pa.array(np.frombuffer(b"".join(x or b"" for x in ids), np.int32))
             lists = pa.ListArray.from_arrays(pa.array(offsets), values, mask=pa.array([x is None for x in ids], pa.bool_()))
+            same = [None if t is None or not checked else spelled(x, back) == t.replace(table.MARK, " ") for t, x in zip(texts, ids, strict=True)]
             return pa.RecordBatch.from_arrays([row.take(pa.array(rows, pa.int64())), lists, pa.array(same, pa.bool_())], names=["row", "ids", "intact"])
 
         for batch in batches:
             rows: list[int] = []
-            ids: list[bytes | None] = []
-            same: list[bool | None] = []
+            texts: list[str | None] = []
             size = 0
             for k, (block, t) in enumerate(zip(batch.column("block").to_pylist(), batch.column("text"), strict=True)):
-                if block != last:
-                    last, known = block, loaded(block)
-                    memo.clear()
+                if block != last or size > CHARS:
+                    if rows:
+                        yield taken(batch.column("row"), rows, texts)
+                        rows, texts, size = [], [], 0
+                    if block != last:
+                        last, known = block, loaded(block)
                 t = t.as_py()
                 rows.append(k)
-                ids.append(None if t is None else b"".join(map(of, words(t))))
-                same.append(None if t is None or not checked else spelled(ids[-1], back) == t.replace(table.MARK, " "))
-                size += len(ids[-1] or b"")
-                if size > 2 << 20:
-                    yield taken(batch.column("row"), rows, ids, same)
-                    rows, ids, same, size = [], [], [], 0
-            yield taken(batch.column("row"), rows, ids, same)
+                texts.append(t)
+                size += len(t or "")
+            yield taken(batch.column("row"), rows, texts)
 
     source = docs.select(F.struct(F.lit(1).alias("_"), *[F.col(f"`{c}`") for c in names]).alias("row"), whole, block)
     done = source.mapInArrow(run, f"row {source.schema['row'].dataType.simpleString()}, ids array<int>, intact boolean")
