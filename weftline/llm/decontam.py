@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from weftline.llm.words import mixed
 
 #: Walks, and the steps that may be sampled of a walk beside its first.
-REPEATS, STEPS, LONG = 4, 8, 12
+REPEATS, STEPS, LONG = 8, 8, 12
 #: Words of texts that are searched at a time; zeros between two texts, more than a walk can pass.
 BLOCK_WORDS, BETWEEN = 200_000, STEPS + 2
 HITS = "doc_id long, item_id long, start_word long, end_word long, edits int, item_words int"
