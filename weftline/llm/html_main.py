@@ -9,23 +9,31 @@
 3. Pages are read again with the path that their host has chosen.  A page without that path uses its own best container.
 
 Never main text: navigation, headers and footers of the page, sidebars, notices, adverts, forms, scripts, styles, comments
-of readers and markup (by tag, role, or a word of class or id).
+of readers and markup (by tag, role, or a class or id that says nothing else).
 
-Defined cases: a null or empty page has an empty text; a page without a host votes and extracts by itself; broken, cut and
-unclosed markup is read as far as it goes; repeated rows and null ids are read like any other.
+A path is a 64-bit number made step by step, so a page's paths take as much room as its elements, however deep they are.
+
+Defined cases: a null or empty page has an empty text; a page without a host extracts by itself; broken, cut and unclosed
+markup is read as far as it goes, very long and deep pages in time that grows with them; paths that tie for a host are told
+apart by their numbers, so that every run chooses the same; repeated rows and null ids are read like any other; an empty table
+gives no rows.
 
 Limits: parts of a text in sibling containers of different paths are taken together only below an article or main element or
 a container named for its text, or beside text that lies directly in their parent; the body itself is taken only if it
-directly holds a heading and at least half of what it adds.
+directly holds a heading and at least half of what it adds.  A path is widened over AROUND containers at most.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,14 +50,21 @@ CONTAINER = frozenset("article main section div body td center".split())
 #: A start tag of the first kind ends an open element of the second.
 CLOSES_P = BLOCK - {"html", "body"}
 CLOSES_SELF = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dd dt", ("dl",)), "dd": ("dd dt", ("dl",)), "tr": ("tr td th", ("table", "tbody", "thead", "tfoot")), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table"))}
+#: Parts of names (classes, ids) of what is never main text, and parts that such names have beside them.  A name of these alone
+#: is dropped anywhere; one that has them beside other parts (section-header) gets no votes, but stays within the chosen path.
 BAD_WORDS = frozenset("nav navbar navigation menu header masthead topbar footer sidebar aside widget ad ads advert adverts advertisement banner promo sponsor sponsored cookie cookies consent notice notices gdpr popup modal newsletter subscribe signup login form search share sharing social breadcrumb breadcrumbs pagination pager related recommended comment comments respond reply replies disqus toolbar skip copyright legal".split())
+BESIDE = frozenset("site page global main top bottom left right box wrap wrapper container area slot block bar list inner outer links buttons posts".split())
 TEXT_WORDS = frozenset("content article post entry main story".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: Quotes hold an attribute's value only where they begin it.
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]+|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*)(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 GAPS = re.compile(r"\s+")
 WORDS = re.compile(r"[a-z]+")
+#: So many containers around one are looked at when its path is widened.
+AROUND = 32
+GOOD, DOUBTFUL, BAD = range(3)
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -62,59 +77,113 @@ def named(tag: str, found: dict[str, str]) -> str:
     return ".".join([tag, *classes])
 
 
-def unwanted(tag: str, found: dict[str, str], inside: bool) -> bool:
-    """inside: within an article or main element, where a header belongs to the text."""
+def extended(path: int, step: str) -> int:
+    """The 64-bit number of a path, made from that of the path around it."""
+    return xxhash.xxh3_64_intdigest(step.encode("utf-8", "replace"), path & (1 << 64) - 1) - (1 << 63)
+
+
+def verdict(tag: str, found: dict[str, str], inside: bool) -> int:
+    """GOOD, DOUBTFUL or BAD.  inside: within an article or main element, where a header belongs to the text."""
     if tag in NEVER or (tag == "header" and not inside):
-        return True
+        return BAD
     if not found:
-        return False
+        return GOOD
     if found.get("role", "").lower() in BAD_ROLES or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower():
-        return True
+        return BAD
     if tag in ("html", "body", "article", "main"):
-        return False
-    words = set(WORDS.findall(f"{found.get('class', '')} {found.get('id', '')}".lower()))
-    return bool(words & BAD_WORDS) and not (words & {"content", "article", "post", "entry", "main"} and not words & {"comment", "comments", "ad", "ads", "sidebar", "footer", "nav", "related"})
+        return GOOD
+    worst = GOOD
+    for name in f"{found.get('class', '')} {found.get('id', '')}".lower().split():
+        parts = set(WORDS.findall(name))
+        if parts & BAD_WORDS and not parts - BAD_WORDS - BESIDE:
+            return BAD
+        if parts & BAD_WORDS and not (parts & TEXT_WORDS):
+            worst = DOUBTFUL
+    return worst
+
+
+@dataclass
+class Page:
+    """Blocks of text in page order, and the containers around them; a container comes after those around it."""
+
+    texts: list[str] = field(default_factory=list)
+    #: Of each block: its innermost container or -1, characters in links, whether it is a heading, whether it is doubtful.
+    blocks: list[tuple[int, int, bool, bool]] = field(default_factory=list)
+    #: Of each container: the number of its path, the container around it or -1, and its kind.
+    containers: list[tuple[int, int, int]] = field(default_factory=list)
+
+    def around(self, k: int, most: int) -> list[int]:
+        """A container and those around it, from the inside."""
+        out: list[int] = []
+        while k >= 0 and len(out) < most:
+            out.append(k)
+            k = self.containers[k][1]
+        return out
+
+    def below(self, path: int | None) -> list[bool]:
+        """Of each container, whether it is one of path or in one."""
+        out: list[bool] = []
+        for own, outer, _ in self.containers:
+            out.append(own == path or (outer >= 0 and out[outer]))
+        return out
+
+
+def kind(tag: str, found: dict[str, str]) -> int:
+    """2 for article and main, 1 for a container whose class says that it holds the text, 0 for others, -1 for the body."""
+    if tag in ("article", "main"):
+        return 2
+    return -1 if tag == "body" else int(bool(TEXT_WORDS.intersection(WORDS.findall(found.get("class", "").lower()))))
 
 
-Block = tuple[str, tuple[int, ...], int, bool]
+class Open(NamedTuple):
+    """An open element: what it is, and what holds for all that is in it."""
 
+    tag: str
+    path: int
+    container: int
+    verdict: int
+    heading: bool
+    inside: bool
 
-def read(page: str) -> tuple[list[Block], list[str]]:
-    """Blocks in page order, each (text, numbers of the containers around it, characters in links, whether it is a heading),
-    and containers' paths."""
-    out: list[Block] = []
-    paths: list[str] = []
-    # an open element: tag, path, number as a container or -1, whether it is unwanted or in something that is
-    stack: list[tuple[str, str, int, bool]] = []
-    held: list[str] = []
-    state = {"links": 0, "in_links": 0}
+
+OUTSIDE = Open("", 0, -1, GOOD, False, False)
+
+
+def read(page: str) -> Page:
+    """Time and memory grow with the page, however deep its elements are."""
+    out, stack, held = Page(), [], []
+    open_tags: Counter[str] = Counter()
+    state = {"links": 0}
+
+    def top() -> Open:
+        return stack[-1] if stack else OUTSIDE
 
     def close_block() -> None:
         if held:
             text = GAPS.sub(" ", html.unescape("".join(held))).strip()
             if text:
-                out.append((text, tuple(x[2] for x in stack if x[2] >= 0), state["links"], any(x[0] in HEADINGS for x in stack)))
+                out.texts.append(text)
+                out.blocks.append((top().container, state["links"], top().heading, top().verdict == DOUBTFUL))
             held.clear()
         state["links"] = 0
 
     def pop_to(k: int) -> None:
-        for tag, *_ in stack[k:]:
-            if tag == "a":
-                state["in_links"] -= 1
+        open_tags.subtract(x.tag for x in stack[k:])
         del stack[k:]
 
-    def last(tags: str | tuple[str, ...], until: tuple[str, ...] = ()) -> int:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in tags:
-                return k
-            if stack[k][0] in until:
-                return -1
+    def last(tags: tuple[str, ...], until: tuple[str, ...] = ()) -> int:
+        if any(open_tags[x] > 0 for x in tags):
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k].tag in tags:
+                    return k
+                if stack[k].tag in until:
+                    break
         return -1
 
     def said(text: str) -> None:
-        if text and not (stack and stack[-1][3]):
+        if text and top().verdict != BAD:
             held.append(text)
-            state["links"] += len(text) * (state["in_links"] > 0)
+            state["links"] += len(text) * (open_tags["a"] > 0)
 
     at, n = 0, len(page)
     while at < n:
@@ -130,7 +199,7 @@ def read(page: str) -> tuple[list[Block], list[str]]:
         if m[1]:
             k = last((tag,), ("table",) if tag not in ("table", "html", "body") else ())
             if k >= 0:
-                if tag in BLOCK or any(x[0] in BLOCK for x in stack[k:]):
+                if tag in BLOCK or any(x.tag in BLOCK for x in stack[k:]):
                     close_block()
                 pop_to(k)
             elif tag in BLOCK:
@@ -150,24 +219,22 @@ def read(page: str) -> tuple[list[Block], list[str]]:
         if tag in VOID:
             continue
         found = attributes(m[3]) if m[3].strip(" /\n\t\r") else {}
-        inside = any(x[0] in ("article", "main") for x in stack)
-        bad = bool(stack and stack[-1][3]) or unwanted(tag, found, inside)
+        over = top()
+        judged = max(over.verdict, verdict(tag, found, over.inside))
         if tag in RAW_TEXT:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = end.end() if end else n
             continue
         if m[3].endswith("/") and tag not in BLOCK:
             continue
-        path = f"{stack[-1][1] if stack else ''}/{named(tag, found)}" if tag in BLOCK else (stack[-1][1] if stack else "")
-        number = -1
-        if tag in CONTAINER and not bad:
-            number = len(paths)
-            paths.append(path)
-        if tag == "a":
-            state["in_links"] += 1
-        stack.append((tag, path, number, bad))
+        path, number = (extended(over.path, named(tag, found)) if tag in BLOCK else over.path), over.container
+        if tag in CONTAINER and judged == GOOD:
+            out.containers.append((path, number, kind(tag, found)))
+            number = len(out.containers) - 1
+        open_tags[tag] += 1
+        stack.append(Open(tag, path, number, judged, over.heading or tag in HEADINGS, over.inside or tag in ("article", "main")))
     close_block()
-    return out, paths
+    return out
 
 
 def worth(text: str, links: int) -> int:
@@ -175,125 +242,145 @@ def worth(text: str, links: int) -> int:
     return max(0, len(text) - 2 * links) if len(text) > 25 or text.endswith((".", "!", "?", ":")) else 0
 
 
-def scores(found: list[Block], paths: list[str]) -> dict[str, float]:
+def scores(page: Page) -> dict[int, float]:
     """Points of each path.  A block counts for the container that holds it directly, less for those further out, and not at
     all as far as it is links; so the body around everything does not win.  A paragraph's wrapper or a section may win over
     its article; ``widened`` goes from there to the article."""
-    points: dict[str, float] = {}
-    for text, around, links, _ in found:
-        for up, k in enumerate(reversed(around[-3:])):
-            share = (1.0, 0.6, 0.3)[up] * (1.2 if paths[k].rsplit("/", 1)[-1].split(".")[0] in ("article", "main") else 1.0)
-            points[paths[k]] = points.get(paths[k], 0.0) + worth(text, links) * share
+    points: dict[int, float] = {}
+    for text, (own, links, _, doubtful) in zip(page.texts, page.blocks, strict=True):
+        for k, share in zip(page.around(own, 3) if not doubtful else (), (1.0, 0.6, 0.3)):
+            path, _, of = page.containers[k]
+            points[path] = points.get(path, 0.0) + worth(text, links) * share * (1.2 if of == 2 else 1.0)
     return points
 
 
-def totals(found: list[Block], paths: list[str]) -> dict[str, list[int]]:
-    """For each path, characters of the text under it, of that in links, of main text and headings directly in it, and of
-    headings directly in it."""
-    out: dict[str, list[int]] = {}
-    for text, around, links, heading in found:
-        for up, k in enumerate(reversed(around)):
-            sums = out.setdefault(paths[k], [0, 0, 0, 0])
-            sums[0] += len(text)
-            sums[1] += min(links, len(text))
-            if not up:
-                good = max(0, len(text) - 2 * links) if heading else worth(text, links)
-                sums[2] += good
-                sums[3] += good * heading
+Sums = tuple[int, float, float, float, float]
+
+
+def totals(page: Page) -> dict[int, list[int]]:
+    """For each path its kind, characters of the text under it, of that in links, of main text and headings directly in it, and
+    of headings directly in it."""
+    each = [[of, 0, 0, 0, 0] for _, _, of in page.containers]
+    for text, (own, links, heading, doubtful) in zip(page.texts, page.blocks, strict=True):
+        if own >= 0 and not doubtful:
+            good = max(0, len(text) - 2 * links) if heading else worth(text, links)
+            for c, x in enumerate((len(text), min(links, len(text)), good, good * heading), 1):
+                each[own][c] += x
+    out: dict[int, list[int]] = {}
+    for k in range(len(each) - 1, -1, -1):
+        path, outer, _ = page.containers[k]
+        if outer >= 0:
+            each[outer][1] += each[k][1]
+            each[outer][2] += each[k][2]
+        if each[k][1]:
+            sums = out.setdefault(path, [each[k][0], 0, 0, 0, 0])
+            sums[1:] = [a + b for a, b in zip(sums[1:], each[k][1:], strict=True)]
     return out
 
 
-def kind(path: str) -> int:
-    """2 for article and main, 1 for a container whose class says that it holds the text, 0 for others, -1 for the body."""
-    tag, _, classes = path.rsplit("/", 1)[-1].partition(".")
-    if tag in ("article", "main"):
-        return 2
-    return -1 if tag == "body" else int(bool(TEXT_WORDS.intersection(WORDS.findall(classes))))
-
-
-def widened(path: str, sums: dict[str, list[int]]) -> str:
-    """path, or the outermost container around it whose further text is still mainly main text.
+def widened(chain: list[tuple[int, Sums]]) -> int:
+    """chain: (path, sums) of a path and of those of the containers around it, from the inside.  Gives the path, or the
+    outermost container around it whose further text is still mainly main text.
 
     A container of a higher kind than those within it is taken if at most half of what it adds is links.  Another is taken if
     main text and headings directly in it are at least half of what it adds; one of a lower kind must
     directly hold a heading, too; from an article or main element only another such element is taken, and the body only if
     nothing below it is of kind 1 or 2.
     """
-    now, best, steps = path, kind(path), path.split("/")
-    for k in range(len(steps) - 1, 1, -1):
-        outer = "/".join(steps[:k])
-        if outer not in sums:
-            continue
-        is_of = kind(outer)
-        more, links, direct, headings = sums[outer][0] - sums[now][0], sums[outer][1] - sums[now][1], *sums[outer][2:]
+    now, (best, chars, in_links, *_) = chain[0]
+    for outer, (is_of, all_chars, all_links, direct, headings) in chain[1:]:
+        more, links = all_chars - chars, all_links - in_links
         if more <= 0 or (best == 2 and is_of < 2) or (is_of < 0 < best) or (is_of < best and not headings):
             continue
         if 2 * direct >= more or (is_of > best and is_of > 0 and 2 * links <= more):
-            now, best = outer, max(best, is_of)
+            now, best, chars, in_links = outer, max(best, is_of), all_chars, all_links
     return now
 
 
-def extracted(page: str | None, path: str | None) -> str:
+def best_path(points: dict[int, float], sums: dict[int, Sums], around: dict[int, list[int]]) -> int | None:
+    """The path with the most points, widened."""
+    if not any(x > 0 for x in points.values()):
+        return None
+    best = max(sorted(points), key=points.__getitem__)
+    return widened([(p, sums[p]) for p in around[best]])
+
+
+def surroundings(page: Page) -> dict[int, list[int]]:
+    """Of each path with text directly in it or near, itself and the paths around it."""
+    out: dict[int, list[int]] = {}
+    for own, *_ in page.blocks:
+        for k in page.around(own, 3):
+            if page.containers[k][0] not in out:
+                out[page.containers[k][0]] = [page.containers[j][0] for j in page.around(k, AROUND)]
+    return out
+
+
+def extracted(text: str | None, path: int | None) -> str:
     """The text under path, or under the page's own best container, widened, if it has none there."""
-    found, paths = read(page or "")
-    if path not in paths or not any(paths[k] == path for _, around, *_ in found for k in around):
-        points = scores(found, paths)
-        path = widened(max(sorted(points), key=points.__getitem__), totals(found, paths)) if points else None
-    kept = [text for text, around, *_ in found if path is None or any(paths[k] == path for k in around)]
-    return "\n".join(kept)
+    page = read(text or "")
+    below = page.below(path)
+    if not any(own >= 0 and below[own] for own, *_ in page.blocks):
+        path = best_path(scores(page), totals(page), surroundings(page))
+        below = page.below(path)
+    if path is None:
+        sure = [x for x, (*_, doubtful) in zip(page.texts, page.blocks, strict=True) if not doubtful]
+        return "\n".join(sure or page.texts)
+    return "\n".join(x for x, (own, *_) in zip(page.texts, page.blocks, strict=True) if own >= 0 and below[own])
 
 
 HOST = r"^(?i:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
 
 
 SUMS = ("points", "chars", "links", "direct", "headings")
+VOTES = "host string, path long, around array<long>, kind int, " + ", ".join(f"{c} double" for c in SUMS)
 
 
 def votes(pages: DataFrame) -> DataFrame:
-    """(host, path, SUMS): every page gives each of its containers its share of 1 point, and its totals as shares of the
-    page's text."""
+    """VOTES: every page gives each of its containers' paths its share of 1 point, and its totals as shares of the page's
+    text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                found, paths = read(page or "")
-                points = scores(found, paths)
-                total, chars = sum(points.values()), sum(len(x[0]) for x in found)
+            for host, text in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+                page = read(text)
+                points, around = scores(page), surroundings(page)
+                total, chars = sum(points.values()), sum(map(len, page.texts))
                 if total > 0:
-                    out += [(host, p, points.get(p, 0.0) / total, *[x / chars for x in sums]) for p, sums in totals(found, paths).items()]
-            columns = list(zip(*out, strict=True)) or [()] * (2 + len(SUMS))
-            kinds = [pa.string(), pa.string(), *[pa.float64()] * len(SUMS)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["host", "path", *SUMS])
+                    out += [(host, p, around.get(p, []), sums[0], points.get(p, 0.0) / total, *[x / chars for x in sums[1:]]) for p, sums in totals(page).items()]
+            columns = list(zip(*out, strict=True)) or [()] * (4 + len(SUMS))
+            kinds = [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.int32(), *[pa.float64()] * len(SUMS)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["host", "path", "around", "kind", *SUMS])
 
     # a sum of rounded shares does not depend on the order of its rows
     shares = [F.sum(F.round(F.col(c) * 1e6).cast("long")).alias(c) for c in SUMS]
     given = pages.select("host", "html").where(F.col("host").isNotNull() & F.col("html").isNotNull())
-    return given.mapInArrow(run, "host string, path string, " + ", ".join(f"{c} double" for c in SUMS)).groupBy("host", "path").agg(*shares)
+    return given.mapInArrow(run, VOTES).groupBy("host", "path").agg(F.max("around").alias("around"), F.max("kind").alias("kind"), *shares)
 
 
 def winners(tally: DataFrame) -> DataFrame:
     """(host, path): of each host the path with the most points, widened over the paths around it."""
-    most = tally.where("points > 0").groupBy("host").agg(F.max(F.struct("points", "path")).alias("best")).select("host", F.col("best.path").alias("best"))
-    around = tally.join(most, "host").where((F.col("path") == F.col("best")) | F.col("best").startswith(F.concat("path", F.lit("/"))))
-    held = around.groupBy("host", "best").agg(F.collect_list(F.struct("path", F.array(*SUMS[1:]).alias("sums"))).alias("paths"))
+    most = tally.where("points > 0").groupBy("host").agg(F.max(F.struct("points", "path", "around")).alias("best"))
+    chain = most.select("host", F.posexplode("best.around").alias("at", "path"))
+    held = chain.join(tally.drop("around"), ["host", "path"]).groupBy("host").agg(F.sort_array(F.collect_list(F.struct("at", "path", "kind", F.array(*SUMS[1:]).alias("sums")))).alias("chain"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [widened(best, {x["path"]: x["sums"] for x in paths}) for best, paths in zip(batch.column("best").to_pylist(), batch.column("paths").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(found, pa.string())], names=["host", "path"])
+            found = [widened([(x["path"], (x["kind"], *x["sums"])) for x in chain]) for chain in batch.column("chain").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(found, pa.int64())], names=["host", "path"])
 
-    return held.mapInArrow(run, "host string, path string")
+    return held.mapInArrow(run, "host string, path long")
 
 
 def main_text(pages: DataFrame, page: str = "html", url: str = "url", keep: list[str] | None = None, max_broadcast: int = 50_000, salts: int = 32) -> DataFrame:
-    """The kept columns with text and n_chars of every page.
+    """The kept columns with text and n_chars of every page; kept columns of these names give way to them.
 
     The winners, one short row for each host, are broadcast up to max_broadcast hosts; beyond that pages meet them in a
     salted shuffle join, so a host that has a third of all pages is dealt over many tasks.
     """
-    host = F.regexp_extract(F.lower(F.col(url)), HOST, 1)
-    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in (keep or pages.columns)]).alias("row"), F.col(page).alias("html"), F.when(host != "", host).alias("host"))
+    names = [c for c in keep or pages.columns if c not in ("text", "n_chars")]
+    host = F.regexp_extract(F.lower(F.col(f"`{url}`")), HOST, 1)
+    rows = pages.select(F.struct(F.lit(1).alias("_"), *[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{page}`").alias("html"), F.when(host != "", host).alias("host"))
     won = written(winners(written(votes(rows), "votes")), "paths")
     if won.count() <= max_broadcast:
         met = rows.join(F.broadcast(won), "host", "left")
@@ -308,4 +395,4 @@ def main_text(pages: DataFrame, page: str = "html", url: str = "url", keep: list
 
     ready = met.select("row", "html", "path")
     out = ready.mapInArrow(run, f"row {ready.schema['row'].dataType.simpleString()}, text string, n_chars long")
-    return out.select(*[F.col("row").getField(c).alias(c) for c in (keep or pages.columns)], "text", "n_chars")
+    return out.select(*[F.col("row").getField(c).alias(c) for c in names], "text", "n_chars")
