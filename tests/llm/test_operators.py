@@ -87,6 +87,15 @@ def test_quality_filter_policy_and_ablation(docs, texts):
             assert table[rule.name].n_kept_without == sum(x & mask & ~b == 0 for x in bits)
 
 
+def test_quality_of_very_long_texts_ties_and_clashing_names(spark):
+    long = " ".join(words(60_000, 6)) + "\n" + "\n".join(["one line"] * 500)
+    docs = frame(spark, [long, long, "a b c a b c"]).withColumnsRenamed({"lang": "n_words", "source": "_keep"})
+    got = {r.i: r for r in quality.ledger(docs).select(F.col("row.doc_id").alias("i"), "*").collect()}
+    ws = split(long)
+    assert got[0][2:] == got[1][2:] and got[0].n_words == len(ws) and got[0].n_repeat_words == repeat_words(ws) and got[0].n_dup_lines == 499
+    assert quality.filtered(docs).columns == docs.columns
+
+
 def test_quality_of_nothing(spark):
     empty = frame(spark, [])
     assert quality.ledger(empty).count() == 0 and quality.filtered(empty).count() == 0
@@ -186,6 +195,43 @@ def test_many_languages(spark, monkeypatch):
     assert langid.predict(rows, learned).collect() == got
 
 
+def test_languages_by_brute_force(spark):
+    """Sample, dictionaries and sizes again without Spark; ties, nulls, very long texts, clashing names and an empty table."""
+    import xxhash
+    import zstandard
+
+    make = lambda letters, n, seed: " ".join("".join(random.Random(seed * 999 + k).choice(letters) for _ in range(4)) for k in range(n))
+    tongues = {"aa": "abcdeé", "bb": "vwxyzé", "cc": "klmnoé"}
+    train = [(make(x, 5 + 40 * (k % 7), k), lang) for lang, x in tongues.items() for k in range(30)]
+    train += [train[0], train[0], ("123", "aa"), (None, "bb"), ("lost", None), (train[40][0], "cc")]
+    learned = langid.learn(spark.createDataFrame(train, "text string, lang string"), docs_per_lang=20, dict_chars=900)
+    for lang in tongues:
+        own = {t for t, x in train if x == lang and t and re.search("[^\\W\\d_]", t)}
+        order = sorted(own, key=lambda t: xxhash.xxh64(t.encode(), 42).intdigest() - ((1 << 64) if xxhash.xxh64(t.encode(), 42).intdigest() >> 63 else 0))[:20]
+        parts, size = [], 0
+        for t in order:
+            if size < 900:
+                parts.append(t[: 900 - size].lower())
+                size += len(t) + 1
+        assert learned[lang] == "\n".join(parts).encode(), lang
+    texts = [make(x, n, 70 + n) for x in tongues.values() for n in (1, 6, 60, 30_000)] + [make("abvwkl", 9, 3), "é", "a v k", "", None, "1 2"]
+    rows = spark.createDataFrame([(k, t, "old", "old", "x") for k, t in enumerate(texts)], "doc_id long, text string, lang_pred string, score string, row string")
+    got = {r.doc_id: r for r in langid.predict(rows, learned).collect()}
+    assert langid.predict(rows, learned).columns == ["doc_id", "text", "row", "lang_pred", "score", "confident"]
+    for k, t in enumerate(texts):
+        want = ("und", 0.0)
+        if t and re.search("[^\\W\\d_]", t):
+            sizes = []
+            for lang, data in learned.items():
+                raw = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                sizes.append((len(zstandard.ZstdCompressor(dict_data=raw, compression_params=langid.settings()).compress(t.lower().encode())), lang))
+            sizes.sort()
+            want = sizes[0][1], 1 - sizes[0][0] / sizes[1][0]
+        assert got[k].lang_pred == want[0] and math.isclose(got[k].score, want[1]) and got[k].confident == (want[1] >= 0.02), k
+    empty = langid.learn(spark.createDataFrame([], "text string, lang string"))
+    assert empty == {} and langid.predict(rows.limit(0), learned).count() == 0
+
+
 # --- 6: near duplicates
 
 
@@ -213,6 +259,11 @@ def test_near_duplicates(docs, texts):
                     todo.append(j)
         assert got[i].n_links == len(near), i
         assert got[i].class_id == min(seen), i
+    sets = [shingle_set(t) for t in texts]
+    for i, near in enumerate(want):
+        same = [j for j in range(len(texts)) if sets[j] == sets[i]] if sets[i] else [i]
+        others = {frozenset(sets[j]) for j in near} - {frozenset(sets[i])}
+        assert (got[i].copy_of, got[i].n_copies, got[i].n_linked_texts) == (min(same), len(same), len(others)), i
     kept = {r.doc_id for r in ngram_join.deduplicated(docs).collect()}
     assert kept == {r.doc_id for r in got.values() if r.class_id == r.doc_id}
 
@@ -224,6 +275,43 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
     assert got == {i: len(x) for i, x in enumerate(links(texts))}
 
 
+def test_recall_of_near_copies(spark):
+    """Every pair of texts at the threshold or above, found by exact Jaccard, is a link."""
+    texts = []
+    for k in range(60):
+        base = words(80 + 5 * k, 500 + k)
+        texts += [" ".join(edited(base, e, 1000 * k + e)) for e in range(1 + k % 5)]
+    got = {r.doc_id: r.n_links for r in ngram_join.near_duplicates(frame(spark, texts)).collect()}
+    want = links(texts)
+    assert got == {i: len(x) for i, x in enumerate(want)} and sum(map(len, want)) > 60
+
+
+def test_one_large_group(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "AT_ONCE", 16)
+    base = words(60, 31)
+    texts = [" ".join([*base, f"end{k}", *([f"more{j}" for j in range(k % 15)])]) for k in range(400)]
+    want = {i: len(x) for i, x in enumerate(links(texts))}
+    for block, size in ((4096, 32 << 20), (100, 32 << 20), (4096, 50_000)):
+        monkeypatch.setattr(ngram_join, "BLOCK", block)
+        monkeypatch.setattr(ngram_join, "BLOCK_BYTES", size)
+        assert {r.doc_id: r.n_links for r in ngram_join.near_duplicates(frame(spark, texts)).collect()} == want
+
+
+def test_deduplication_of_repeated_ids_and_clashing_names(spark):
+    t, u = " ".join(words(50, 9)), " ".join(words(50, 10))
+    docs = frame(spark, [t, t, u, t, None, None], [4, 4, 4, 7, None, None]).withColumnsRenamed({"lang": "_gone", "source": "key", "row": "class_id"})
+    out = ngram_join.deduplicated(docs)
+    assert out.columns == docs.columns
+    assert sorted(((r.doc_id or -1), r.text or "") for r in out.collect()) == sorted([(4, t), (4, u), (-1, ""), (-1, "")])
+
+
+def test_near_duplicates_of_very_long_texts(spark):
+    long = words(60_000, 77)
+    texts = [" ".join(long), " ".join(edited(long, 900, 1)), " ".join(words(60_000, 78))]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.near_duplicates(frame(spark, texts)).collect()}
+    assert got == {0: (0, 1), 1: (0, 1), 2: (2, 0)} and links(texts)[0] == [1]
+
+
 def test_near_duplicates_of_odd_rows(spark):
     assert ngram_join.near_duplicates(frame(spark, [])).count() == 0
     t = " ".join(words(50, 9))
@@ -599,15 +687,14 @@ def test_host_paths_by_brute_force(spark):
             body.append(f"<div class='post'><h1>{say(4)}</h1><p>{say(50)}</p><div class=q><p>{say(30)}</p></div></div>")
         rows.append((k, f"http://h{host}.org/{k}", "<body>" + "".join(body) + "</body>"))
     rows += [rows[0], (70, "http://h0.org/t", rows[0][2])]  # repeated rows and ties
-    points, sums, around = (defaultdict(Counter) for _ in range(3))
-    kinds = {}
+    points, sums, around, kinds = defaultdict(Counter), defaultdict(dict), defaultdict(dict), {}
     for _, url, text in rows:
         host, page = url[7:13], html_main.read(text)
         own, chars = html_main.scores(page), sum(map(len, page.texts))
         for p, x in html_main.totals(page).items():
             points[host][p] += round(own.get(p, 0.0) / sum(own.values()) * 1e6)
             kinds[p] = x[0]
-            sums[host][p] = [a + round(b / chars * 1e6) for a, b in zip(sums[host][p] or [0] * 4, x[1:], strict=True)]
+            sums[host][p] = [a + round(b / chars * 1e6) for a, b in zip(sums[host].get(p, [0] * 4), x[1:], strict=True)]
         around[host].update(html_main.surroundings(page))
     chosen = {}
     for host, own in points.items():
@@ -723,6 +810,15 @@ def test_scores(spark, docs, texts, monkeypatch, held_table):
         assert math.isclose(got[i].score, want / math.log(10), rel_tol=1e-9), i
 
 
+def test_scores_of_very_long_texts_and_clashing_names(spark):
+    texts = [" ".join(words(50_000, 3)) + " " + "x" * 3000, "a b", None]
+    docs = frame(spark, texts).withColumn("score", F.lit("old")).withColumn("rid", F.lit("r")).withColumn("word", F.lit("w"))
+    out = lattice_lm.scored(docs, F.lit(False))
+    assert len(set(out.columns)) == len(out.columns) and {"rid", "word", "score", "t"} <= set(out.columns)
+    got = {r.doc_id: r for r in out.collect()}
+    assert got[0].n_tokens == 50_002 and got[0].score < got[1].score < 0 and got[2].n_tokens == 1 and got[0].rid == "r"
+
+
 def test_scores_of_nothing(spark):
     assert lattice_lm.scored(frame(spark, []), F.lit(False)).count() == 0
     assert lattice_lm.scored(frame(spark, ["a b", None]), F.lit(True), keep=["doc_id"]).where("n_known = 0").count() == 2

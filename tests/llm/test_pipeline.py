@@ -3,6 +3,7 @@
 import re
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from test_operators import BASE, base_spans, edited, free_edits, frame, links, repeat_words, split, whole_units, words
 
 from weftline.llm import decontam, pieces
@@ -63,3 +64,27 @@ def test_stages_keep_the_columns_and_stand_empty_tables(spark, tmp_path):
         docs = stage(spark, docs, str(tmp_path))
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"] and docs.count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 0
+
+
+def test_stages_stand_odd_rows_and_clashing_names(spark, tmp_path):
+    """Nulls, very long texts, ties, repeated rows and columns that are named like those of the stages."""
+    item = words(30, 500)
+    long = " ".join([*words(60_000, 71), "write to a.b@c.org now"])
+    texts = [long, long, " ".join(words(90, 72)), " ".join(words(90, 72)), None, "", " ".join(words(80, 73)), " ".join([*words(50, 74), *item])]
+    ids = [0, 1, 2, 2, 4, 5, None, 7]
+    names = {"lang": "ids", "source": "intact", "row": "_gone", "t": "class_id"}
+    docs = frame(spark, texts, ids).withColumnsRenamed(names).withColumn("_keep", F.lit(1)).withColumn("score", F.lit(2))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, " ".join(item)), (None, None), (1, " ".join(item))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    now, left = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, now, str(tmp_path))
+        if k < 4:
+            assert out.columns == docs.columns, name
+        out.write.parquet(f"{tmp_path}/{name}")
+        now = spark.read.parquet(f"{tmp_path}/{name}")
+        left.append(sorted(-1 if r.doc_id is None else r.doc_id for r in now.collect()))
+    assert left == [[-1, 0, 1, 2, 2, 7], [-1, 0, 2, 7], [-1, 0, 2], [-1, 0, 2], [-1, 0, 2]]
+    last = {r.doc_id: r for r in now.collect()}
+    assert last[0].text == long.replace("a.b@c.org", "[EMAIL]") and last[0].n_chars == len(last[0].text) and all(r.intact for r in last.values())
+    assert len(set(now.columns)) == len(now.columns)

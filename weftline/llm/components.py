@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.shared import written
+from weftline.llm.shared import discard, written
 
 SALTS = 8
 
@@ -18,7 +18,7 @@ def _least(rows: DataFrame) -> DataFrame:
     """(u, v, m): each row with the smallest neighbour of u, or u where that is smaller."""
     least = rows.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     salted = least.select("u", "m", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
-    return rows.withColumn("s", F.pmod(F.hash("v"), F.lit(SALTS))).join(salted, ["u", "s"]).select("u", "v", "m")
+    return rows.withColumn("s", F.pmod(F.hash("v"), F.lit(SALTS))).join(salted.hint("merge"), ["u", "s"]).select("u", "v", "m")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "components") -> DataFrame:
@@ -33,7 +33,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "compon
         large = _least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = _least(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
         linked = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        now = written(linked, name)
+        last, now = now, written(linked, name)
+        discard(last)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == before:
             break

@@ -4,14 +4,16 @@ One zstandard dictionary of raw content stands for each language.  A text is enc
 language whose dictionary gives the smallest result wins.  The margin to the second smallest is the score; a text whose
 margin is narrow is marked as rejected (``confident`` is false), while its best guess stays in ``lang_pred``.
 
-Learning reads a bounded sample, documented by the parameters of ``learn``: ``docs_per_lang`` labelled texts for each
-language, each cut to ``chars_per_doc`` characters, and fewer or shorter ones where there are so many languages that all would
-pass ``max_chars``.  Every label is learned, whatever their number, from LEAST_CHARS characters at least.  Predicting reads
-every text whole, with LOADED dictionaries in memory at once; its time grows with the texts times the languages.
-
-Defined cases: a null text, and one without any letter, gets ``und`` with score 0.  With no learned language everything is
-``und``.  Ties go to the language that sorts first.  Rows with a null language teach nothing.  Repeated rows and null ids
-are predicted like any other row; only ``text`` is an input of a prediction.
+Learning reads a bounded sample, documented by the parameters of ``learn``: of each language up to ``docs_per_lang`` labelled
+texts, whole, as far as they fill a dictionary of ``dict_chars`` characters, and smaller dictionaries where there are so many
+languages that all would pass ``max_chars``.  Every label is learned, whatever their number, from LEAST_CHARS characters at
+least.  Predicting reads every text whole, with LOADED dictionaries in memory at once; its time grows with the texts times the
+languages.
+
+Defined cases: a null text, and one without any letter, gets ``und`` with score 0.  With no learned language (an empty table
+too) everything is ``und``.  Ties go to the language that sorts first.  Rows with a null language teach nothing.  Repeated
+rows and null ids are predicted like any other row; only ``text`` is an input of a prediction.  Very long texts are compressed
+whole.  Kept columns that are named like a new one give way to it.
 """
 
 from __future__ import annotations
@@ -37,25 +39,26 @@ def settings() -> zstandard.ZstdCompressionParameters:
     return zstandard.ZstdCompressionParameters.from_level(6, min_match=4, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
-def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", docs_per_lang: int = 96, chars_per_doc: int = 1024, max_chars: int = 25_165_824) -> dict[str, bytes]:
+def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", docs_per_lang: int = 96, dict_chars: int = 98_304, max_chars: int = 25_165_824) -> dict[str, bytes]:
     """Raw dictionary content by language.
 
     The sample is the docs_per_lang different texts of each language with the smallest hashes, so it depends on the rows
-    alone and on no order.  At most max_chars characters (96 texts of 1,024 for each of 256 languages), or LEAST_CHARS for
-    each language if that is more, reach the driver.
+    alone and on no order; a dictionary takes them whole until it is full.  At most max_chars characters (256 full
+    dictionaries), or LEAST_CHARS for each language if that is more, reach the driver.
     """
-    cut = F.substring(F.col(text), 1, chars_per_doc)
-    heads = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), cut.alias("head"), F.xxhash64(cut).alias("h"))
+    t, of = F.col(f"`{text}`"), F.col(f"`{lang}`")
+    given = labelled.where(t.isNotNull() & of.isNotNull() & t.rlike(r"\p{L}")).select(of.alias("lang"), t.alias("whole"), F.xxhash64(t).alias("h"))
     # the rank limit is pushed below the shuffle, so a language that has most of the rows sends a few from each task
-    ranked = heads.withColumn("k", F.dense_rank().over(Window.partitionBy("lang").orderBy("h", "head"))).where(F.col("k") <= docs_per_lang)
-    sample = written(ranked.groupBy("lang", "k").agg(F.first("head").alias("head")), "sample")
-    share = max_chars // max(1, sample.where("k = 1").count())
-    each = max(LEAST_CHARS, min(chars_per_doc, share))
-    rows = sample.where(F.col("k") <= max(1, share // each)).select("lang", "k", F.substring("head", 1, each).alias("head")).collect()
-    heads_of: dict[str, list[str]] = {}
+    ranked = given.withColumn("k", F.dense_rank().over(Window.partitionBy("lang").orderBy("h", "whole"))).where(F.col("k") <= docs_per_lang)
+    sample = written(ranked.groupBy("lang", "k").agg(F.first("whole").alias("whole")), "sample")
+    each = max(LEAST_CHARS, min(dict_chars, max_chars // max(1, sample.where("k = 1").count())))
+    before = F.coalesce(F.sum(F.length("whole") + 1).over(Window.partitionBy("lang").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    filled = sample.withColumn("before", before).where(F.col("before") < each)
+    rows = filled.select("lang", "k", F.expr(f"substring(whole, 1, cast({each} - before as int))").alias("part")).collect()
+    parts_of: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r.lang, r.k)):
-        heads_of.setdefault(r.lang, []).append(r.head.lower())
-    return {x: "\n".join(found).encode() for x, found in heads_of.items()}
+        parts_of.setdefault(r.lang, []).append(r.part.lower())
+    return {x: "\n".join(found).encode() for x, found in parts_of.items()}
 
 
 def loaded(dictionaries: list[tuple[str, bytes]]) -> list[tuple[str, zstandard.ZstdCompressor]]:
@@ -86,17 +89,18 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text",
     """The kept columns (all by default) with lang_pred, score (the margin, 0 to 1) and confident (margin at least
     min_margin).  A narrow pass: Spark hands Arrow batches to each task, and nothing is shuffled."""
     content = docs.sparkSession.sparkContext.broadcast(dictionaries)  # bounded by the parameters of learn()
-    names = docs.select(*(keep or docs.columns)).columns
-    source = docs.select(F.struct(*(keep or [F.col(f"`{c}`") for c in docs.columns])).alias("row"), F.col(text).alias("text"))
+    kept = keep or [F.col(f"`{c}`") for c in docs.columns]
+    names = [c for c in docs.select(*kept).columns if c not in ("lang_pred", "score", "confident")]
+    source = docs.select(F.struct(*kept).alias("row"), F.col(f"`{text}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sorted(content.value.items())
         blocks = [known[at : at + LOADED] for at in range(0, len(known), LOADED)]
-        kept = loaded(blocks[0]) if len(blocks) == 1 else None
+        fixed = loaded(blocks[0]) if len(blocks) == 1 else None
         for batch in batches:
             sizes: list[list[tuple[int, str]]] = [[] for _ in range(batch.num_rows)]
             for block in blocks:
-                coders = kept or loaded(block)
+                coders = fixed or loaded(block)
                 sizes = [smallest(t.as_py(), coders, held) for t, held in zip(batch.column("text"), sizes, strict=True)]
             found = [judged(x) for x in sizes]
             yield pa.RecordBatch.from_arrays(

@@ -12,7 +12,9 @@ Frequent words are looked up where the texts are, from a table of bounded size;
 counted and joined grows with the corpus.
 
 Defined cases: a null text counts as empty, which has its end as the only token.  With no training text every word is unknown
-and the prior alone weights the pieces.  Repeated rows are each scored and each counted; a null in the fold column trains.
+and the prior alone weights the pieces.  Repeated rows are each scored and each counted; a null in the fold column trains.  Very
+long texts are scored whole, and very long words in time that grows with their length.  An empty table gives no rows.  Words
+that tie in frequency are looked up or joined with the same result.  Kept columns that are named like a new one give way.
 """
 
 from __future__ import annotations
@@ -90,14 +92,16 @@ def scored(docs: DataFrame, held_out: Column, text: str = "text", keep: list[str
     """The kept columns of every row with held_out, n_tokens, n_known, train_tokens, base_score and score."""
     spark, model = docs.sparkSession, table.load(model_path)
     held = F.coalesce(held_out, F.lit(False))
-    row = F.struct(*[F.col(f"`{c}`") for c in (keep or docs.columns)], held.alias("held_out"))
-    rows = docs.select(row.alias("row"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"), (~held).cast("int").alias("weight"))
+    new = ("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    names = [c for c in keep or docs.columns if c not in new]
+    row = F.struct(*[F.col(f"`{c}`") for c in names], held.alias("held_out"))
+    rows = docs.select(row.alias("row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("t"), (~held).cast("int").alias("weight"))
     counts = written(counted(rows, split), "counts")
     n_docs = rows.agg(F.sum("weight")).first()[0] or 0
     n_words, n_types = counts.agg(F.sum("n"), F.count(F.when(F.col("n") > 0, 1))).first()
     n_tokens, n_types = (n_words or 0) + n_docs, n_types + (n_docs > 0)
-    names, log_piece, log_byte, log_end = trained(counts, model, n_docs)
-    words = written(lexicon(counts, (names, log_piece, log_byte)), "lexicon")
+    *parts, log_end = trained(counts, model, n_docs)
+    words = written(lexicon(counts, tuple(parts)), "lexicon")
     below = np.log10(n_tokens + n_types + 1)
     often = most_frequent(words, FREQUENT).toArrow()
     known = often.column("n").to_numpy()
@@ -109,31 +113,32 @@ def scored(docs: DataFrame, held_out: Column, text: str = "text", keep: list[str
         seen, base, score = sent.value[1] > 0, sent.value[2], sent.value[3]
         for batch in batches:
             out: list[tuple] = []
-            for rid, t in zip(batch.column("rid").to_pylist(), batch.column("t"), strict=True):
+            for at, (rid, t) in enumerate(zip(batch.column("rid").to_pylist(), batch.column("t"), strict=True)):
                 parts = split(t.as_py())
                 here: list[int] = []
                 times: list[int] = []
                 for w, n in Counter(parts).items():
                     k = place.get(w)
                     if k is None:
-                        out.append((rid, w, n, 0, 0, 0.0, 0.0))
+                        out.append((None, rid, w, n, 0, 0, 0.0, 0.0))
                     else:
                         here.append(k)
                         times.append(n)
                 k, n = np.array(here, np.int64), np.array(times, np.int64)
-                out.append((rid, None, 0, len(parts) + 1, int(n[seen[k]].sum()) + end[0], float(base[k] @ n) + end[1], float(score[k] @ n) + end[2]))
+                out.append((at, rid, None, 0, len(parts) + 1, int(n[seen[k]].sum()) + end[0], float(base[k] @ n) + end[1], float(score[k] @ n) + end[2]))
                 if len(out) > 100_000:
-                    yield _arrow(out)
+                    yield _arrow(batch, out)
                     out = []
-            yield _arrow(out)
+            yield _arrow(batch, out)
 
-    def _arrow(out: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.binary(), *[pa.int64()] * 3, pa.float64(), pa.float64()]
-        columns = list(zip(*out, strict=True)) or [()] * len(kinds)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in ROW.split(", ")])
+    def _arrow(batch: pa.RecordBatch, out: list[tuple]) -> pa.RecordBatch:
+        """A row of the batch for each text, and null for its words."""
+        kinds = [pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 3, pa.float64(), pa.float64()]
+        at, *columns = [pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [()] * len(kinds), kinds, strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column("row").take(at), *columns], names=["row", *[x.split()[0] for x in ROW.split(", ")]])
 
     # numbers of rows hold only within one table, so the rows are written with them once
-    numbered = written(rows.select(F.monotonically_increasing_id().alias("rid"), "row", "t").mapInArrow(_headed(run, rows), f"row {rows.schema['row'].dataType.simpleString()}, {ROW}"), "scores")
+    numbered = written(rows.select(F.monotonically_increasing_id().alias("rid"), "row", "t").mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, {ROW}"), "scores")
     rare = numbered.where("word is not null").select("rid", "word", F.col("n").alias("times"))
     found = rare.join(words, "word").select(
         "rid",
@@ -144,9 +149,8 @@ def scored(docs: DataFrame, held_out: Column, text: str = "text", keep: list[str
     )
     extra = found.groupBy("rid").agg(F.sum("n_known").alias("more_known"), F.sum("base").alias("more_base"), F.sum("score").alias("more_score"))
     heads = numbered.where("word is null").join(extra, "rid", "left")
-    names = [*(keep or docs.columns), "held_out"]
     return heads.select(
-        *[F.col("row").getField(c).alias(c) for c in names],
+        *[F.col("row").getField(c).alias(c) for c in (*names, "held_out")],
         "n_tokens",
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(int(n_tokens)).cast("long").alias("train_tokens"),
@@ -154,15 +158,3 @@ def scored(docs: DataFrame, held_out: Column, text: str = "text", keep: list[str
         (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
     )
 
-
-def _headed(run, rows: DataFrame):
-    """run, whose header rows (word null) also get the row they belong to."""
-
-    def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = {rid: k for k, rid in enumerate(batch.column("rid").to_pylist())}
-            for out in run(iter([batch])):
-                heads = [at[rid] if w is None else None for rid, w in zip(out.column("rid").to_pylist(), out.column("word").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(heads, pa.int64())), *out.columns], names=["row", *out.schema.names])
-
-    return headed

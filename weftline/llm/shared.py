@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.operators.shared import new_dir, shared_dir, written  # noqa: F401
+from weftline.operators.shared import discard, new_dir, shared_dir, written  # noqa: F401
 
 #: ASCII white space; everything else belongs to a word.
 SPACE = r"[\x20\x09-\x0D]+"

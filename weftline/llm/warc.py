@@ -10,7 +10,8 @@ of each record: the version line, the required headers, that the block is as lon
 lines, that the frame holds nothing else, and the digests.  A fault raises ``ValueError``; nothing is skipped.
 
 Defined cases: a null payload is an empty one; a null id is written without its header and read back as null; an empty table
-makes no archive and reads as no rows.  Rows that share the largest id of their payload are all responses.
+makes no archive and reads as no rows.  Rows that share the largest id of their payload are all responses.  A very long
+payload is one record, and the most that a task holds beside its buffer.  Other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
