@@ -1,6 +1,8 @@
 """The library without its llm subpackage: queries against SQL, and operators on small cases."""
 
+import json
 import os
+from collections import Counter
 from pathlib import Path
 
 import duckdb
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from weftline import queries as core
 from weftline.operators import histogram, intervals, joins, kmers, sets
+from weftline.operators.shared import in_order
 from weftline.plans import select
 from weftline.sources import readers
 
@@ -160,6 +163,126 @@ def test_fasta_fastq_obo_taxonomy(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "tax")).count() >= 1
 
 
+def test_sequences_over_splits_and_wrapped(spark, tmp_path):
+    import gzip
+    import random
+
+    r = random.Random(4)
+    rows = [(f"r{k}", "c d" if k % 2 else "", s := "".join(r.choices("ACGT", k=r.randint(1, 60))), "".join(r.choices("@+I#", k=len(s)))) for k in range(400)]
+    text = "".join(f"@{n}{' ' + c if c else ''}\n{s}\n+{n}\n{q}\n" for n, c, s, q in rows)
+    (tmp_path / "a.fq").write_text(text + "\n")
+    (tmp_path / "b.fq").write_text(text.replace("\n", "\r\n"))
+    with gzip.open(tmp_path / "c.fastq.gz", "wt") as f:
+        f.write(text)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        for name in ("a.fq", "b.fq", "c.fastq.gz"):
+            assert sorted(map(tuple, readers.fastq(spark, str(tmp_path / name)).collect())) == sorted(rows), name
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    fold = lambda x: "\n".join(x[k : k + 7] for k in range(0, len(x), 7))
+    (tmp_path / "w.fq").write_text("".join(f"@{n} {c}\n{fold(s)}\n+\n{fold(q)}\n" for n, c, s, q in rows))
+    assert sorted(map(tuple, readers.fastq(spark, str(tmp_path / "w.fq"), wrapped=True).collect())) == sorted(rows)
+    (tmp_path / "bad.fq").write_text("@r\nACGT\n+\nII\n")
+    with pytest.raises(Exception, match="differ in length"):
+        readers.fastq(spark, str(tmp_path / "bad.fq")).collect()
+    assert readers.sequences(spark, str(tmp_path / "c.fastq.gz")).count() == 400
+
+
+def test_kmer_job_from_a_file_to_a_table(spark, tmp_path, monkeypatch):
+    import random
+
+    r = random.Random(5)
+    seqs = ["".join(r.choices("ACGT", k=n)) for n in (3, 50, 700)]
+    (tmp_path / "a.fa").write_text("".join(f">s{k}\n{s}\n" for k, s in enumerate(seqs)))
+    flip = str.maketrans("ACGT", "TGCA")
+    want = Counter(min(x, x[::-1].translate(flip)) for s in seqs for x in (s[i : i + 5] for i in range(len(s) - 4)))
+    for block in (1 << 14, 64):
+        monkeypatch.setattr(kmers, "BLOCK", block)
+        found = kmers.job(spark, str(tmp_path / "a.fa"), 5, str(tmp_path / "out"))
+        assert {x.frequency: x.n_distinct for x in found.collect()} == Counter(want.values())
+        assert {x.kmer: x.n for x in spark.read.parquet(str(tmp_path / "out")).collect()} == want
+    kmers.save(spark.read.parquet(str(tmp_path / "out")), str(tmp_path / "text"), text=True)
+    assert {tuple(x.value.split("\t")) for x in spark.read.text(str(tmp_path / "text")).collect()} == {(x, str(n)) for x, n in want.items()}
+    named = spark.createDataFrame([("ACGTA", 1, "x")], "s string, _at int, _part string")
+    assert kmers.exploded(named, "s", 3, "A", keep=["_at", "_part"]).columns == ["_at", "_part", "kmer"]
+
+
+def test_writers_and_small_readers(spark, tmp_path):
+    (tmp_path / "g.gtf").write_text('chr1\tX\tgene\t11\t20\t.\t+\t.\tgene_id "G1"; ont "A"; ont "B";\n')
+    table = readers.gff(spark, str(tmp_path / "g.gtf"))
+    one = json.loads(readers.gff_as_json(table).first().json)
+    assert one["attributes"] == {"gene_id": "G1", "ont": "B"} and one["start"] == 10 and one["strand"] == 1
+    assert tuple(readers.gff_as_bed(table).first()) == ("chr1", 10, 20, "gene", 0.0)
+    (tmp_path / "gi.tsv").write_text("5\t9\n6\t10\n")
+    assert sorted(map(tuple, readers.gi_taxid(spark, str(tmp_path / "gi.tsv")).collect())) == [(5, 9), (6, 10)]
+    df = spark.createDataFrame([(1, "a"), (2, None)], "k int, s string")
+    readers.save_json(df, str(tmp_path / "json"))
+    assert sorted(map(tuple, spark.read.schema(df.schema).json(str(tmp_path / "json")).collect())) == [(1, "a"), (2, None)]
+    readers.save_tsv(df, str(tmp_path / "tsv"))
+    assert sorted(x.value for x in spark.read.text(str(tmp_path / "tsv")).collect()) == ["1\ta", "2\t"]
+    assert readers.as_columns(df.orderBy("k")) == {"k": [1, 2], "s": ["a", None]}
+    df.write.parquet(str(tmp_path / "one"))
+    df.withColumn("more", F.lit(7)).write.parquet(str(tmp_path / "two"))
+    both = select.union_tables(spark, [str(tmp_path / "one"), str(tmp_path / "two")])
+    assert both.columns == ["k", "s", "more"] and sorted(map(str, (x.more for x in both.collect()))) == ["7", "7", "None", "None"]
+    (tmp_path / "t.tsv").write_text("#c\na\t1\nb\t2\na\t0\na\t9\na\t3\n")
+    kv = joins.load_key_values(readers.key_values(spark, str(tmp_path / "t.tsv")), "key", "value")
+    assert {x.key: x.value for x in kv.collect()} == {"a": "3", "b": "2"}
+    (tmp_path / "bad.tsv").write_text("a\t1\t2\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        readers.key_values(spark, str(tmp_path / "bad.tsv")).collect()
+    (tmp_path / "c.obo").write_text("format-version: 1\r\ndefault-namespace: x\r\n\r\n[Term]\r\nid: A:1\r\nname: n\r\n\r\n[Typedef]\r\nid: p\r\n\r\n[Term]\r\nid: A:2\r\n")
+    assert sorted((x.id, x.ontology) for x in readers.obo(spark, str(tmp_path / "c.obo")).collect()) == [("A:1", "x"), ("A:2", "x")]
+
+
+def test_sets_restored_and_their_bits(spark):
+    rows = [(k, p) for k, ps in enumerate(([0, 1, 5, 32767, 32768, 32769, 70_000], [0], [4_061_912_144, 1])) for p in ps]
+    df = spark.createDataFrame(rows, "k int, pos long")
+    assert sorted(map(tuple, sets.restored(sets.compact(df, ["k"]), ["k"]).collect())) == sorted(rows)
+    assert sorted(x.pos for x in sets.with_bits(df.where("k = 1").select("pos"), [0, 9, 70]).collect()) == [0, 9, 70]
+
+
+def test_all_pairs_have_a_phi(spark):
+    own = {"a": {1, 2, 3}, "b": {2, 3, 4}, "c": {9}}
+    df = spark.createDataFrame([(k, p) for k, ps in own.items() for p in ps], "k string, pos long")
+    got = {(x.a, x.b): (x.n11, x.phi) for x in sets.all_pairs_phi(df, "k").collect()}
+    assert set(got) == {("a", "b"), ("a", "c"), ("b", "c")} and got["a", "c"][0] == 0 and got["a", "c"][1] < 0
+    assert tuple(sets.closest_pair(df, "k").first())[:3] == ("a", "b", 2)
+
+
+def test_order_of_all_rows_in_ranges(spark):
+    import random
+
+    r = random.Random(8)
+    rows = [(7 if k % 3 else r.randrange(5), k, r.randrange(10)) for k in range(500)]
+    df = spark.createDataFrame(rows, "x int, tie int, n int")
+    got = sorted(in_order(df, ["x", "tie"], "k", {"sum": "n"}).select("k", "x", "tie", "sum").collect())
+    total = 0
+    for k, (x, row) in enumerate(zip(sorted(rows), got, strict=True)):
+        total += x[2]
+        assert tuple(row) == (k, *x[:2], total)
+    assert sorted(x.n for x in histogram.with_ntile(df, "x", 7, ["tie"]).groupBy("bin").agg(F.count("*").alias("n")).collect()) == [71] * 4 + [72] * 3
+    clash = df.withColumnRenamed("n", "_rank")
+    assert histogram.with_ntile(clash, "x", 3, ["tie"]).columns == ["x", "tie", "_rank", "bin"]
+
+
+def test_long_intervals_and_merging_over_blocks(spark):
+    import random
+
+    r = random.Random(6)
+    make = lambda n: [(r.choice("xy"), k, s := r.randrange(100_000), s + int(10 ** r.uniform(0, 5))) for k in range(n)]
+    a, b = make(80), make(80)
+    frames = [spark.createDataFrame(v, "chr string, id int, start long, end long") for v in (a, b)]
+    got = intervals.overlap_join(*frames, intervals.Window(12, 5), bin_size=16).select("A__id", "B__id", "start").collect()
+    assert sorted(map(tuple, got)) == _naive(a, b, 12, 5)
+    size = 1 << 20
+    wide = [(1, size - 5, 3 * size + 2), (1, 3 * size, 3 * size + 9), (1, 5 * size, 6 * size), (1, 6 * size, 6 * size + 1), (2, 5, 5), (2, -3, 4)]
+    out = intervals.merged(spark.createDataFrame(wide, "g int, start long, end long"), "g")
+    assert sorted(map(tuple, out.collect())) == [(1, size - 5, 3 * size + 9), (1, 5 * size, 6 * size + 1), (2, -3, 4)]
+
+
 def test_trees_of_many_levels_and_with_loops(spark):
     chain = [(str(k + 1), str(k)) for k in range(105)]
     more = [("0", "0"), ("x", "3"), ("y", "x"), ("x", "y"), ("lost", "away"), (None, "3"), ("3", None)]

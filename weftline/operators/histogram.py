@@ -1,7 +1,7 @@
 """Histograms of one and two columns, of equal width or of equal weight, and column ranges.
 
 Equal width: bin i is [begin + i * stride, begin + (i + 1) * stride); there are 1 + floor((end - begin) / stride) bins, empty
-ones included.  Equal weight: rows are ranked within ranges that approximate percentiles cut, and the few ranges' sizes are added up, so that
+ones included.  Equal weight: rows are numbered in the order of a column and of what breaks its ties, range by range, so that
 exact bins need no sort of all rows in one task.
 """
 
@@ -12,7 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
+
+from weftline.operators.shared import in_order, unused
 
 
 def n_bins(begin: float, end: float, stride: float) -> int:
@@ -40,20 +41,14 @@ def uniform_2d(df: DataFrame, x: str, y: str, bx: float, ex: float, sx: float, b
     )
 
 
-def with_ntile(df: DataFrame, column: str, bins: int, ties: list[str] | None = None, name: str = "bin", ranges: int = 64) -> DataFrame:
+def with_ntile(df: DataFrame, column: str, bins: int, ties: list[str] | None = None, name: str = "bin") -> DataFrame:
     """df with the bin (from 1) that ntile over all rows in the order of column and ties would give."""
-    cuts = sorted(set(df.agg(F.percentile_approx(column, [k / ranges for k in range(1, ranges)], 10_000)).first()[0] or []))
-    dealt = df.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda b: b <= F.col(column))) if cuts else F.lit(0))
-    sizes = {r["_range"]: r["n"] for r in dealt.groupBy("_range").agg(F.count("*").alias("n")).collect()}  # at most ranges rows
-    before, total = {}, 0
-    for k in sorted(sizes):
-        before[k], total = total, total + sizes[k]
-    offsets = F.create_map(*[F.lit(x) for k, v in before.items() for x in (k, v)]) if before else F.create_map(F.lit(0), F.lit(0))
-    rank = F.row_number().over(Window.partitionBy("_range").orderBy(column, *(ties or []))) - 1 + offsets[F.col("_range")]
-    share, more = divmod(total, bins)
+    [rank] = unused([*df.columns, name], "_rank")
+    placed = in_order(df, [column, *(ties or [])], rank)
+    share, more = divmod(df.count(), bins)
     wide = more * (share + 1)
-    place = F.when(F.col("_rank") < wide, F.expr(f"_rank div {share + 1}") + 1).otherwise(F.expr(f"(_rank - {wide}) div {max(1, share)}") + more + 1)
-    return dealt.withColumn("_rank", rank).withColumn(name, place.cast("long")).drop("_range", "_rank")
+    place = F.when(F.col(rank) < wide, F.expr(f"{rank} div {share + 1}") + 1).otherwise(F.expr(f"({rank} - {wide}) div {max(1, share)}") + more + 1)
+    return placed.withColumn(name, place.cast("long")).drop(rank)
 
 
 def adaptive_1d(df: DataFrame, column: str, bins: int = 25, ties: list[str] | None = None) -> DataFrame:

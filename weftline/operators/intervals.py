@@ -3,8 +3,10 @@
 Each row of A has a window around its interval, ``before`` to ``after``; it pairs with the rows of B of the same group whose
 interval touches the window, both ends included.  A range condition alone would be a nested loop, so both sides are cut into
 bins: an interval falls into every bin that it touches, the join is an equi-join on group and bin, and a pair counts only in
-the first bin that both have, so no pair comes twice.  Long intervals are spread over more bins; ``bin_size`` should be near
-the usual window, and ``choose_bin_size`` takes it from the data.
+the first bin that both have, so no pair comes twice.  ``bin_size`` should be near the usual window, and ``choose_bin_size``
+takes it from the data.  Longer intervals fall into wider bins, each level FANOUT times as wide as the one before, so that
+none has many; two meet at the level of the longer one.  A crowded bin is split by Spark's handling of skewed joins.
+Columns of a and b come with a prefix, so only names that begin with an underscore are kept free.
 """
 
 from __future__ import annotations
@@ -15,6 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+FANOUT = 8
+
+
 @dataclass(frozen=True)
 class Window:
     """Pads to the left and right of A; strand-aware windows swap them and mirror coordinates on the minus strand."""
@@ -52,11 +57,14 @@ def overlap_join(a: DataFrame, b: DataFrame, window: Window = Window(), group: s
     flip = _flipped(f"A__{strand}" if strand else None, window)
     left, right = F.when(flip, F.lit(window.right)).otherwise(window.left), F.when(flip, F.lit(window.left)).otherwise(window.right)
     spread_a = named_a.withColumns({"_flip": flip, "_before": F.col("A__start").cast("long") - left, "_after": F.col("A__end").cast("long") + right})
-    bins = lambda lo, hi: F.sequence(F.floor(lo / size), F.floor(hi / size))
-    binned_a = spread_a.withColumns({"_a0": F.floor(F.col("_before") / size), "_bin": F.explode(bins(F.col("_before"), F.col("_after")))})
-    binned_b = named_b.withColumns({"_b0": F.floor(F.col("B__start") / size), "_bin": F.explode(bins(F.col("B__start"), F.col("B__end")))}).withColumnRenamed("_bin", "_bin_b")
-    on = (F.col(f"A__{group}") == F.col(f"B__{group}")) & (F.col("_bin") == F.col("_bin_b"))
-    on &= (F.col("B__end") >= F.col("_before")) & (F.col("B__start") <= F.col("_after")) & (F.col("_bin") == F.greatest("_a0", "_b0"))
+    spread_b = named_b.withColumns({"_from": F.col("B__start").cast("long"), "_to": F.col("B__end").cast("long")})
+    top = max(_level_of(spread_a, "_before", "_after", size), _level_of(spread_b, "_from", "_to", size))
+    binned_a = _binned(spread_a, "_before", "_after", size, top, "_a")
+    binned_b = _binned(spread_b, "_from", "_to", size, top, "_b")
+    on = (F.col(f"A__{group}") == F.col(f"B__{group}")) & (F.col("_a_level") == F.col("_b_level")) & (F.col("_a_bin") == F.col("_b_bin"))
+    on &= (F.col("_to") >= F.col("_before")) & (F.col("_from") <= F.col("_after"))
+    # at the level of the longer one, in the first bin that both have
+    on &= (F.col("_a_own") | F.col("_b_own")) & (F.col("_a_bin") == F.greatest("_a_first", "_b_first"))
     if window.same_strand and strand:
         on &= strand_side(F.col(f"A__{strand}")) == strand_side(F.col(f"B__{strand}"))
     pairs = binned_a.join(binned_b, on)
@@ -64,6 +72,26 @@ def overlap_join(a: DataFrame, b: DataFrame, window: Window = Window(), group: s
     return pairs.select(F.col(f"A__{group}").alias(group), start.cast("long").alias("start"), end.cast("long").alias("end"), *named_a.columns, *named_b.columns)
 
 
+def _levels(lo: str, hi: str, size: int) -> Column:
+    """The level at which an interval touches a few bins: bins of level n are FANOUT ** n times as wide."""
+    bins = F.greatest(F.floor((F.col(hi) - F.col(lo)) / size), F.lit(1)).cast("double")
+    return F.greatest(F.floor(F.log2(bins) / F.log2(F.lit(float(FANOUT)))).cast("int"), F.lit(0))
+
+
+def _level_of(df: DataFrame, lo: str, hi: str, size: int) -> int:
+    """The greatest level that some interval needs."""
+    return df.agg(F.max(_levels(lo, hi, size))).first()[0] or 0
+
+
+def _binned(df: DataFrame, lo: str, hi: str, size: int, top: int, name: str) -> DataFrame:
+    """df with the bins of each interval at its own level and, one or two, at each wider one."""
+    levels = df.withColumn(f"{name}_mine", _levels(lo, hi, size)).withColumn(f"{name}_level", F.explode(F.sequence(F.col(f"{name}_mine"), F.lit(top))))
+    wide = F.lit(size) * F.pow(F.lit(float(FANOUT)), F.col(f"{name}_level")).cast("long")
+    bin_of = lambda c: F.floor(F.col(c) / wide)
+    placed = levels.withColumns({f"{name}_own": F.col(f"{name}_level") == F.col(f"{name}_mine"), f"{name}_first": bin_of(lo), f"{name}_bin": F.explode(F.sequence(bin_of(lo), bin_of(hi)))})
+    return placed.drop(f"{name}_mine")
+
+
 def relative(window: Window) -> tuple[Column, Column]:
     """Coordinates of B relative to A, mirrored where flipped, and quantised if the window has bins."""
     shift, wide = F.lit(window.left), F.col("_after") - F.col("_before")
@@ -86,10 +114,25 @@ def clustered(df: DataFrame, group: str = "chr") -> DataFrame:
 
 
 def merged(df: DataFrame, group: str) -> DataFrame:
-    """The union of half-open intervals of each group as disjoint intervals, by a running maximum of their ends."""
+    """The union of half-open intervals of each group as disjoint intervals; those that touch become one.
+
+    Intervals are cut at blocks of 2^20 positions and merged within each by a running maximum of their ends; what reaches a
+    block's border, two rows for a block at most, is joined after.
+    """
     from pyspark.sql.window import Window as W
 
-    by = W.partitionBy(group).orderBy("start", "end")
-    reach = df.select(group, "start", "end").withColumn("_reach", F.max("end").over(by.rowsBetween(W.unboundedPreceding, -1)))
-    runs = reach.withColumn("_run", F.sum(F.when(F.col("_reach").isNull() | (F.col("start") > F.col("_reach")), 1).otherwise(0)).over(by))
-    return runs.groupBy(group, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_run")
+    block, size = "_block", 1 << 20
+    real = df.where(F.col("end") > F.col("start")).select(F.col(group).alias("_group"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    every = F.explode(F.sequence(F.floor(F.col("start") / size), F.floor((F.col("end") - 1) / size))).alias(block)
+    cut = real.select("_group", "start", "end", every).select("_group", block, F.greatest("start", F.col(block) * size).alias("start"), F.least("end", (F.col(block) + 1) * size).alias("end"))
+
+    def joined(rows: DataFrame, keys: list[str]) -> DataFrame:
+        by = W.partitionBy(*keys).orderBy("start", "end")
+        reach = rows.withColumn("_reach", F.max("end").over(by.rowsBetween(W.unboundedPreceding, -1)))
+        runs = reach.withColumn("_run", F.sum(F.when(F.col("_reach").isNull() | (F.col("start") > F.col("_reach")), 1).otherwise(0)).over(by))
+        return runs.groupBy(*keys, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_run")
+
+    inner = joined(cut, ["_group", block])
+    edge = (F.col("start") % size == 0) | (F.col("end") % size == 0)
+    apart = inner.where(~edge).select("_group", "start", "end")
+    return apart.unionByName(joined(inner.where(edge).drop(block), ["_group"])).withColumnRenamed("_group", group)

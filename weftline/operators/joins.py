@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.operators.shared import new_dir, written
+from weftline.operators.shared import new_dir, unused, written
 from weftline.plans.select import condition, query
 
 
@@ -14,7 +14,8 @@ def semi_join(left: DataFrame, right: DataFrame, select1: str, select2: str, on:
     """Rows of right that where2 keeps and whose column ``on`` is among the values of the first column that select1 takes
     from left.  Right rows are never multiplied; Spark plans one left-semi join."""
     keys = query(left, select1, where1)
-    return query(right.where(condition(where2)).join(keys.select(F.col(keys.columns[0]).alias("_key")), F.col(on) == F.col("_key"), "left_semi"), select2)
+    [key] = unused(right.columns, "_key")
+    return query(right.where(condition(where2)).join(keys.select(F.col(keys.columns[0]).alias(key)), F.col(on) == F.col(key), "left_semi"), select2)
 
 
 def semi_chain_count(steps: list[tuple[DataFrame, str | None, str | None, str]], group: str, tally: str = "tally") -> DataFrame:
@@ -23,7 +24,8 @@ def semi_chain_count(steps: list[tuple[DataFrame, str | None, str | None, str]],
     table, where, _, out = steps[0]
     rows = table.where(condition(where))
     for follower, where, match, following in steps[1:]:
-        rows = follower.where(condition(where)).join(rows.select(F.col(out).alias("_key")), F.col(match) == F.col("_key"), "left_semi")
+        [key] = unused(follower.columns, "_key")
+        rows = follower.where(condition(where)).join(rows.select(F.col(out).alias(key)), F.col(match) == F.col(key), "left_semi")
         out = following
     return rows.groupBy(group).agg(F.count("*").alias(tally))
 
@@ -35,19 +37,22 @@ def _missing(kind: T.DataType) -> Column:
 def upsert_column(table: DataFrame, values: DataFrame, key: str, value: str, fill: bool = True) -> DataFrame:
     """table with the column ``value`` of values by key: known keys take it, missing ones get 0 or '' (null with fill=False),
     and unknown keys are added with the other columns filled the same way."""
-    new = values.select(F.col(key).alias("_key"), F.col(value).alias("_value"))
     base = table.drop(value)
-    met = base.join(new, base[key] == new["_key"], "full_outer")
+    k, v = unused(base.columns, "_key", "_value")
+    new = values.select(F.col(key).alias(k), F.col(value).alias(v))
+    met = base.join(new, base[key] == new[k], "full_outer")
     pad = (lambda c, kind: F.coalesce(c, _missing(kind))) if fill else (lambda c, kind: c)
-    columns = [F.coalesce(F.col(key), F.col("_key")).alias(key) if c == key else pad(F.col(c), base.schema[c].dataType).alias(c) for c in base.columns]
-    return met.select(*columns, pad(F.col("_value"), new.schema["_value"].dataType).alias(value))
+    columns = [F.coalesce(F.col(key), F.col(k)).alias(key) if c == key else pad(F.col(c), base.schema[c].dataType).alias(c) for c in base.columns]
+    return met.select(*columns, pad(F.col(v), new.schema[v].dataType).alias(value))
 
 
 def load_key_values(rows: DataFrame, key: str, value: str, order: str | None = None) -> DataFrame:
-    """One row for each key: empty or zero keys and values are left out, and of repeated keys the last by ``order`` wins."""
+    """One row for each key: empty or zero keys and values are left out, and of repeated keys the last by ``order`` wins, or
+    without it the last in the order of the rows, as they stand in a file."""
     real = lambda c: F.col(c).isNotNull() & ~F.col(c).cast("string").isin("", "0")
-    kept = rows.where(real(key) & real(value))
-    return kept.groupBy(key).agg(F.max_by(value, order or value).alias(value))
+    [at] = unused(rows.columns, "_at")
+    placed = rows.withColumn(at, F.col(order) if order else F.monotonically_increasing_id())
+    return placed.where(real(key) & real(value)).groupBy(key).agg(F.max_by(value, at).alias(value))
 
 
 def lookup(rows: DataFrame, table: DataFrame, on: str) -> DataFrame:

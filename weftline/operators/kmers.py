@@ -6,10 +6,14 @@ hash aggregation, spilling and partitioning are Spark's.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.operators.shared import unused
+
 MODES = ("A", "B", "C")
+#: Positions of a sequence in one row while it is cut up, so that a chromosome is never one row of all its k-mers.
+BLOCK = 1 << 14
 
 
 def nucleotides(sequence: Column) -> Column:
@@ -33,19 +37,23 @@ def exploded(df: DataFrame, sequence: str, k: int, mode: str = "C", keep: list[s
     """
     if mode not in MODES:
         raise ValueError(f"mode is one of {MODES}")
-    # letters are single bytes now, so a k-mer is a slice of bytes; a substring of text would count characters from its start
-    bases = nucleotides(F.col(sequence)).cast("binary")
-    long = df.select(*(keep or []), bases.alias("_s")).where(F.length("_s") >= k)
-    parts = F.transform(F.sequence(F.lit(1), F.length("_s") - k + 1), lambda i: F.substring("_s", i, F.lit(k)))
-    at = long.select(*(keep or []), F.posexplode(parts).alias("_at", "_k"))
-    plain = F.col("_k").cast("string")
-    out = at.select(*(keep or []), "_at", (canonical(plain) if mode == "C" else plain).alias("kmer"))
+    own = keep or []
+    s, start, part, at = unused([*own, "kmer"], "_s", "_start", "_part", "_at")
+    # letters are single bytes, so a k-mer is a slice of bytes; a substring of text would count characters from its start
+    long = df.select(*own, F.col(sequence).alias(s)).where(F.length(s) >= k)
+    long = long.select(*own, nucleotides(F.col(s)).cast("binary").alias(s))
+    blocks = long.select(*own, s, F.explode(F.sequence(F.lit(0), F.length(s) - k, F.lit(BLOCK))).alias(start))
+    parts = blocks.select(*own, start, F.substring(s, F.col(start) + 1, F.lit(BLOCK + k - 1)).alias(part))
+    each = parts.select(*own, start, part, F.explode(F.sequence(F.lit(1), F.length(part) - k + 1)).alias(at))
+    plain = F.substring(part, F.col(at), F.lit(k)).cast("string")
+    first = F.col(start) + F.col(at) == 1
+    out = each.select(*own, first.alias(at), (canonical(plain) if mode == "C" else plain).alias("kmer"))
     if drop_poly_a:
-        out = out.where((F.col("kmer") != "A" * k) | (F.col("_at") == 0))
+        out = out.where((F.col("kmer") != "A" * k) | F.col(at))
     if mode == "B":
-        back = out.select(*(keep or []), "_at", reverse_complement(F.col("kmer")).alias("kmer"))
+        back = out.select(*own, at, reverse_complement(F.col("kmer")).alias("kmer"))
         out = out.unionByName(back.where(F.col("kmer") != "A" * k) if drop_poly_a else back)
-    return out.drop("_at")
+    return out.drop(at)
 
 
 def counts(df: DataFrame, sequence: str, k: int, mode: str = "C", drop_poly_a: bool = False) -> DataFrame:
@@ -53,6 +61,15 @@ def counts(df: DataFrame, sequence: str, k: int, mode: str = "C", drop_poly_a: b
     return exploded(df, sequence, k, mode, drop_poly_a=drop_poly_a).groupBy("kmer").agg(F.count("*").alias("n"))
 
 
+def job(spark: SparkSession, path: str, k: int, folder: str, mode: str = "C", least: int = 0, most: int = 0, drop_poly_a: bool = False) -> DataFrame:
+    """Counts the k-mers of a FASTA or FASTQ file, saves those counted least to most times as a table under folder, and gives
+    the spectrum of what is saved."""
+    from weftline.sources.readers import sequences
+
+    save(filtered(counts(sequences(spark, path), "seq", k, mode, drop_poly_a), least, most), folder)
+    return spectrum(spark.read.parquet(folder))
+
+
 def spectrum(table: DataFrame) -> DataFrame:
     """(frequency, n_distinct), rarest first."""
     return table.groupBy(F.col("n").alias("frequency")).agg(F.count("*").alias("n_distinct")).orderBy("frequency")

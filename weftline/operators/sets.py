@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weftline.operators.shared import in_order, unused
+
 
 def from_intervals(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", pos: str = "pos") -> DataFrame:
     """Distinct positions of half-open intervals, overlapping or not."""
@@ -23,6 +25,18 @@ def compact(df: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:
     return df.groupBy(*keys, F.bitmap_bucket_number(pos).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(pos)).alias("bitmap"))
 
 
+def restored(bitmaps: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:
+    """(keys, position) of compact sets: the reverse of compact."""
+    byte, bit = unused([*keys, pos, "bucket", "bitmap"], "_byte", "_bit")
+    value = F.conv(F.hex(F.substring("bitmap", F.col(byte) + 1, F.lit(1))), 16, 10).cast("int")
+    bytes_ = bitmaps.select(*keys, "bucket", "bitmap", F.explode(F.sequence(F.lit(0), F.octet_length("bitmap") - 1)).alias(byte))
+    full = bytes_.select(*keys, "bucket", byte, value.alias(bit)).where(F.col(bit) > 0)
+    ones = F.explode(F.filter(F.sequence(F.lit(0), F.lit(7)), lambda k: F.getbit(F.col(bit), k) == 1))
+    # a bucket above 0 begins at 1, as Spark's bitmap functions number them; 0 is alone in bucket 0
+    at = F.col(byte) * 8 + F.col(bit) + F.when(F.col("bucket") > 0, (F.col("bucket") - 1) * 32768 + 1).otherwise(0)
+    return full.select(*keys, "bucket", byte, ones.alias(bit)).select(*keys, at.cast("long").alias(pos))
+
+
 def _tagged(sets: list[DataFrame], pos: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [compact(s.select(pos), [], pos).withColumn("_of", F.lit(k)) for k, s in enumerate(sets)])
 
@@ -87,9 +101,9 @@ def with_bits(df: DataFrame, positions: list[int], pos: str = "pos") -> DataFram
 
 def from_runs(runs: DataFrame, order: str, bit: str, length: str, pos: str = "pos") -> DataFrame:
     """Positions of a set given as runs of equal bits in order."""
-    end = F.sum(length).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    placed = runs.withColumn("_end", end).where(F.col(bit) == 1)
-    return placed.select(F.explode(F.sequence(F.col("_end") - F.col(length), F.col("_end") - 1)).alias(pos))
+    number, end = unused(runs.columns, "_number", "_end")
+    placed = in_order(runs, [order], number, {end: length}).where((F.col(bit) == 1) & (F.col(length) > 0))
+    return placed.select(F.explode(F.sequence(F.col(end) - F.col(length), F.col(end) - 1)).alias(pos))
 
 
 def equal(a: DataFrame, b: DataFrame, pos: str = "pos") -> bool:
@@ -124,17 +138,26 @@ def _phi(n11: Column, n10: Column, n01: Column, n00: Column) -> Column:
 
 
 def all_pairs_phi(df: DataFrame, key: str, pos: str = "pos", size: int | None = None) -> DataFrame:
-    """(a, b, n11, phi) of every pair of sets a < b that share a position, over a universe of ``size`` positions (one past the
-    greatest by default).  Pairs come from an equi-join on positions and are counted before they meet."""
+    """(a, b, n11, phi) of every pair of sets a < b, over a universe of ``size`` positions (one past the greatest by default).
+    Common positions come from an equi-join and are counted before pairs meet; the pairs themselves, one row for two sets, are
+    the result."""
     universe = F.lit(size) if size else F.lit(df.agg(F.max(pos)).first()[0]) + 1
     own = df.select(F.col(key).alias("k"), F.col(pos).alias("p")).distinct()
     counts = own.groupBy("k").agg(F.count("*").alias("c"))
     both = own.select(F.col("k").alias("a"), "p").join(own.select(F.col("k").alias("b"), "p"), "p").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n11"))
-    met = both.join(counts.select(F.col("k").alias("a"), F.col("c").alias("ca")), "a").join(counts.select(F.col("k").alias("b"), F.col("c").alias("cb")), "b")
+    left, right = counts.select(F.col("k").alias("a"), F.col("c").alias("ca")), counts.select(F.col("k").alias("b"), F.col("c").alias("cb"))
+    met = left.join(right, F.col("a") < F.col("b")).join(both, ["a", "b"], "left").withColumn("n11", F.coalesce("n11", F.lit(0)).cast("long"))
     n11, ca, cb = F.col("n11"), F.col("ca"), F.col("cb")
     return met.select("a", "b", "n11", _phi(n11, ca - n11, cb - n11, universe - ca - cb + n11).alias("phi"))
 
 
+def closest_pair(df: DataFrame, key: str, pos: str = "pos", size: int | None = None) -> DataFrame:
+    """(a, b, n11, phi) of the pair of sets with the greatest phi; of equal ones the first."""
+    pairs = all_pairs_phi(df, key, pos, size).where("phi is not null")
+    top = pairs.join(F.broadcast(pairs.agg(F.max("phi").alias("top"))), F.col("phi") == F.col("top"))
+    return top.agg(F.min(F.struct("a", "b", "n11", "phi")).alias("p")).where("p is not null").select("p.*")
+
+
 def phi(a: DataFrame, b: DataFrame, size: int | None = None, pos: str = "pos") -> DataFrame:
     """(n11, n10, n01, n00, phi) of two sets; null where a margin is zero."""
     flags = a.select(pos).distinct().withColumn("_a", F.lit(1)).join(b.select(pos).distinct().withColumn("_b", F.lit(1)), pos, "full_outer")
@@ -156,25 +179,31 @@ def permutation_test(a: DataFrame, b: DataFrame, size: int, times: int = 100, se
     """(observed, at_least, times): how many random rearrangements of both sets' runs overlap at least as much as they do.
 
     A rearrangement draws an order for the runs and one for the gaps of each set and lays them out alternately, beginning with
-    either.  Replicates are independent rows; positions follow from running sums within each.
+    either.  Replicates are independent rows; runs are numbered, and their positions summed, range by range over all
+    replicates, so that no task holds all runs of a set or of a replicate.
     """
     spark = a.sparkSession
     observed = intersect(a, b, pos).count()
 
     def laid(s: DataFrame, salt: int) -> DataFrame:
-        ones = spans(s, [], pos).select("first", (F.col("last") + 1).alias("end"))
-        w = Window.orderBy("first")
-        gaps = ones.select("first", "end", F.coalesce(F.lag("end").over(w), F.lit(0)).alias("prior"), F.coalesce(F.lead("first").over(w), F.lit(size)).alias("next"), F.lag("end").over(w).isNull().alias("head"))
-        zero = gaps.where("head and first > 0").select(F.lit(0).alias("bit"), F.col("first").cast("long").alias("n")).unionAll(gaps.where("next > end").select(F.lit(0).alias("bit"), (F.col("next") - F.col("end")).cast("long").alias("n")))
-        runs = ones.select(F.lit(1).alias("bit"), (F.col("end") - F.col("first")).cast("long").alias("n")).unionAll(zero)
-        numbered = runs.withColumn("k", F.row_number().over(Window.orderBy("bit", "n")))
+        ones = in_order(spans(s, [], pos).select("first", (F.col("last") + 1).alias("end")), ["first"], "k")
+        ahead = ones.select((F.col("k") - 1).alias("k"), F.col("first").alias("next"))
+        gaps = ones.join(ahead, "k", "left").select((F.coalesce("next", F.lit(size)) - F.col("end")).cast("long").alias("n"))
+        lead = ones.where("k = 0").select(F.col("first").cast("long").alias("n"))
+        run = lambda df, bit: df.where("n > 0").select(F.lit(bit).alias("bit"), "n")
+        runs = run(ones.select((F.col("end") - F.col("first")).cast("long").alias("n")), 1).unionAll(run(gaps, 0)).unionAll(run(lead, 0))
+        if runs.isEmpty():
+            runs = spark.range(1).select(F.lit(0).alias("bit"), F.lit(size).cast("long").alias("n"))
+        numbered = in_order(runs, ["bit", "n"], "k")
         copies = numbered.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
-        draw = F.xxhash64(F.lit(seed + salt), "rep", "k", "bit")
-        order = F.row_number().over(Window.partitionBy("rep", "bit").orderBy(draw))
-        lead = F.pmod(F.xxhash64(F.lit(seed + salt), "rep"), F.lit(2))
-        turn = copies.withColumn("turn", order * 2 + F.when(F.col("bit") == lead, 0).otherwise(1))
-        end = F.sum("n").over(Window.partitionBy("rep").orderBy("turn", "bit").rowsBetween(Window.unboundedPreceding, 0))
-        return turn.withColumn("end", end).where("bit = 1").select("rep", (F.col("end") - F.col("n")).alias("start"), "end")
+        drawn = in_order(copies.withColumn("draw", F.xxhash64(F.lit(seed + salt), "rep", "k", "bit")), ["rep", "bit", "draw", "k"], "at")
+        begins = drawn.groupBy("rep", "bit").agg(F.min("at").alias("begin"))
+        turn = (F.col("at") - F.col("begin")) * 2 + F.when(F.col("bit") == F.pmod(F.xxhash64(F.lit(seed + salt), "rep"), F.lit(2)), 0).otherwise(1)
+        summed = in_order(drawn.join(F.broadcast(begins), ["rep", "bit"]).withColumn("turn", turn), ["rep", "turn"], "place", {"reach": "n"})
+        # every replicate has all runs, so what comes before one is a multiple of their sum
+        whole = summed.groupBy("rep").agg(F.max("reach").alias("whole"), F.sum("n").alias("own"))
+        placed = summed.join(F.broadcast(whole), "rep").withColumn("end", F.col("reach") - F.col("whole") + F.col("own"))
+        return placed.where("bit = 1").select("rep", (F.col("end") - F.col("n")).alias("start"), "end")
 
     x, y = laid(a, 1), laid(b, 2)
     size_bin = 4096

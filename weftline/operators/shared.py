@@ -6,6 +6,11 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+
+_own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -15,17 +20,64 @@ def shared_dir(spark: SparkSession) -> str:
         return base.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    base = "file://" + tempfile.mkdtemp(prefix="weftline-")
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    if not _own:
+        _own.append("file://" + tempfile.mkdtemp(prefix="weftline-"))
+    return _own[0]
 
 
 def new_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A folder of our own in the shared one, which goes when the session's driver ends."""
+    folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path, fs = _located(spark, folder)
+    fs.mkdirs(path)  # only what is there is deleted on exit
+    fs.deleteOnExit(path)
+    return folder
+
+
+def _located(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the folder of a table that written() gave and that nothing reads any more."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path, fs = _located(df.sparkSession, folder)
+        fs.delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: its lineage ends there, so a lost executor costs a read and no recomputation."""
     spark, path = df.sparkSession, new_dir(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.mode("append").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def unused(taken: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to clash with no column."""
+    out = []
+    for name in names:
+        while name.lower() in {c.lower() for c in (*taken, *out)}:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
+def in_order(df: DataFrame, order: list[str], number: str, total: dict[str, str] | None = None) -> DataFrame:
+    """df with the number of each row (from 0) in an order of all rows, and running totals of columns (new name: column).
+
+    Rows are dealt into ranges of the order and written; each range is numbered and summed by itself, and what comes before a
+    range is added from one row for each range.  So no task sorts all rows, also where one value of the first column has most
+    of them, as long as the others tell rows apart.
+    """
+    total = total or {}
+    part, before, *sums = unused([*df.columns, number, *total], "_part", "_before", *[f"_before_{k}" for k in range(len(total))])
+    dealt = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(part, F.spark_partition_id()), "ranges")
+    ends = dealt.groupBy(part).agg(F.count("*").alias(before), *[F.sum(c).alias(s) for s, c in zip(sums, total.values(), strict=True)])
+    ahead = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    offsets = ends.select(part, *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(c) for c in (before, *sums)])
+    within = Window.partitionBy(part).orderBy(*order)
+    met = dealt.join(F.broadcast(offsets), part)
+    placed = met.withColumn(number, F.row_number().over(within) - 1 + F.col(before))
+    running = within.rowsBetween(Window.unboundedPreceding, 0)
+    return placed.withColumns({name: F.sum(c).over(running) + F.col(s) for s, (name, c) in zip(sums, total.items(), strict=True)}).drop(part, before, *sums)

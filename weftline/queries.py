@@ -118,7 +118,7 @@ def kv_upsert(spark, d):
 
 @registered("SELECT o_custkey AS k, max(o_orderkey) AS v FROM orders WHERE o_custkey <> 0 AND o_orderkey <> 0 GROUP BY 1")
 def kv_load(spark, d):
-    return joins.load_key_values(table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("v")), "k", "v")
+    return joins.load_key_values(table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("v")), "k", "v", "v")
 
 
 @registered("SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
@@ -366,7 +366,8 @@ def phi_of_union(spark, d):
 @registered(
     """WITH o AS (SELECT DISTINCT l_linenumber AS k, l_orderkey AS p FROM lineitem), u AS (SELECT max(p) + 1 AS n FROM o), c AS (SELECT k, count(*) AS c FROM o GROUP BY k),
        j AS (SELECT x.k AS a, y.k AS b, count(*) AS n11 FROM o x JOIN o y ON x.p = y.p AND x.k < y.k GROUP BY 1, 2),
-       t AS (SELECT a, b, n11, ca.c - n11 AS n10, cb.c - n11 AS n01, u.n - ca.c - cb.c + n11 AS n00 FROM j JOIN c ca ON ca.k = a JOIN c cb ON cb.k = b CROSS JOIN u)
+       p AS (SELECT ca.k AS a, cb.k AS b, coalesce(n11, 0) AS n11, ca.c AS ca, cb.c AS cb FROM c ca JOIN c cb ON ca.k < cb.k LEFT JOIN j ON j.a = ca.k AND j.b = cb.k),
+       t AS (SELECT a, b, n11, ca - n11 AS n10, cb - n11 AS n01, u.n - ca - cb + n11 AS n00 FROM p CROSS JOIN u)
        SELECT a, b, n11, round((n11::DOUBLE * n00 - n10::DOUBLE * n01) / nullif(sqrt((n11 + n10)::DOUBLE * (n01 + n00) * (n11 + n01) * (n10 + n00)), 0), 9) AS phi FROM t"""
 )
 def all_pairs_phi(spark, d):

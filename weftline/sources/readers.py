@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from weftline.operators.shared import written
 
 GFF = "seqname string, source string, type string, start long, end long, score string, strand string, phase string, attributes string"
 BED = "chr string, start long, end long, label string, score int, strand string"
@@ -90,24 +96,69 @@ def fasta(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.regexp_extract(head, r"^(\S*)", 1).alias("name"), F.regexp_extract(head, r"^\S*\s+(.*)$", 1).alias("comment"), F.regexp_replace(body, r"[^\x21-\x7E]", "").alias("seq"))
 
 
-def fastq(spark: SparkSession, path: str) -> DataFrame:
-    """name, comment, seq, qual of four-line records; a record whose quality is not as long as its sequence is an error."""
-    # a quality line may itself start with @, so records are put together from whole lines
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("n"))
-    from pyspark.sql.window import Window
-
-    k = F.row_number().over(Window.partitionBy("file").orderBy("n")) - 1
-    four = lines.withColumn("k", k).groupBy("file", F.expr("k div 4").alias("r")).agg(*[F.max(F.when(F.col("k") % 4 == i, F.rtrim("value"))).alias(c) for i, c in enumerate(("head", "seq", "plus", "qual"))])
+def fastq(spark: SparkSession, path: str, wrapped: bool = False) -> DataFrame:
+    """name, comment, seq, qual; a record whose quality is not as long as its sequence is an error.
+
+    Records of four lines: a quality line may itself start with @, so records are put together from numbered lines.  Lines are
+    numbered within each split, and what comes before a split is added from one row for each, so a file of any size is read by
+    many tasks.  wrapped: sequences and qualities may go over several lines; where a record begins then depends on all before
+    it, and a file is read by one task.
+    """
+    if wrapped:
+        return spark.read.text(path, wholetext=True).mapInPandas(_wrapped, "name string, comment string, seq string, qual string")
+    place = (F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    lines = written(spark.read.text(path).select("value", *place, F.monotonically_increasing_id().alias("n")), "lines")
+    blocks = lines.groupBy("file", "block").agg(F.min("n").alias("first"), F.count("*").alias("lines"))
+    ahead = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select("file", "block", (F.coalesce(F.sum("lines").over(ahead), F.lit(0)) - F.col("first")).alias("shift"))
+    k = F.col("n") + F.col("shift")
+    placed = lines.join(F.broadcast(offsets), ["file", "block"]).select("file", "value", k.alias("k"))
+    four = placed.groupBy("file", F.expr("k div 4").alias("r")).agg(*[F.max(F.when(F.col("k") % 4 == i, F.rtrim(F.regexp_replace("value", "\r$", "")))).alias(c) for i, c in enumerate(("head", "seq", "plus", "qual"))])
+    real = four.where("head <> '' or seq <> ''")  # lines after the last record may be empty
     checked = F.when(F.length("qual") == F.length("seq"), F.col("qual")).otherwise(F.raise_error(F.concat(F.lit("quality and sequence differ in length: "), F.col("head"))))
-    return four.select(F.regexp_extract("head", r"^@(\S*)", 1).alias("name"), F.regexp_extract("head", r"^@\S*\s+(.*)$", 1).alias("comment"), "seq", checked.alias("qual"))
+    return real.select(F.regexp_extract("head", r"^@(\S*)", 1).alias("name"), F.regexp_extract("head", r"^@\S*\s+(.*)$", 1).alias("comment"), "seq", checked.alias("qual"))
+
+
+def _wrapped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The records of whole files: a sequence ends at a line that starts with +, its quality when it is as long."""
+    for frame in frames:
+        out: list[tuple[str, str, str, str]] = []
+        for text in frame["value"]:
+            lines = [x.rstrip() for x in text.split("\n")]
+            at = 0
+            while at < len(lines):
+                if not lines[at].startswith("@"):
+                    at += 1
+                    continue
+                head, _, comment = lines[at][1:].partition(" ")
+                at += 1
+                seq = qual = ""
+                while at < len(lines) and not lines[at].startswith("+"):
+                    seq += lines[at]
+                    at += 1
+                at += 1
+                while at < len(lines) and len(qual) < len(seq):
+                    qual += lines[at]
+                    at += 1
+                if len(qual) != len(seq):
+                    raise ValueError(f"quality and sequence differ in length: {head}")
+                out.append((head, comment.strip(), seq, qual))
+        yield pd.DataFrame(out, columns=["name", "comment", "seq", "qual"])
+
+
+def sequences(spark: SparkSession, path: str) -> DataFrame:
+    """name, comment, seq of a FASTQ file (by its suffix) or a FASTA file."""
+    named = path.removesuffix(".gz").lower()
+    return (fastq(spark, path).drop("qual") if named.endswith((".fq", ".fastq")) else fasta(spark, path)).select("name", "comment", "seq")
 
 
 def obo(spark: SparkSession, path: str) -> DataFrame:
-    """id, ontology, fields (map of arrays) and xref (map of arrays by database) of each [Term]; other stanzas are left out."""
-    stanzas = spark.read.option("lineSep", "\n\n").text(path)
-    header = stanzas.where(r"value NOT RLIKE '^\\s*\\['").select(F.regexp_extract("value", r"(?m)^ontology:\s*(\S+)", 1).alias("o"), F.regexp_extract("value", r"(?m)^default-namespace:\s*(\S+)", 1).alias("d")).agg(F.max("o").alias("o"), F.max("d").alias("d")).first()
+    """id, ontology, fields (map of arrays) and xref (map of arrays by database) of each [Term]; other stanzas are left out.
+    Stanzas are parted where a line starts with a bracket, whatever ends the lines."""
+    stanzas = spark.read.option("lineSep", "\n[").text(path)
+    header = stanzas.where(r"value NOT RLIKE '^\\[?[A-Za-z]+\\]'").select(F.regexp_extract("value", r"(?m)^ontology:\s*(\S+)", 1).alias("o"), F.regexp_extract("value", r"(?m)^default-namespace:\s*(\S+)", 1).alias("d")).agg(F.max("o").alias("o"), F.max("d").alias("d")).first()
     ontology = (header.o or header.d or "") if header else ""
-    terms = stanzas.where(r"value RLIKE '^\\s*\\[Term\\]'")
+    terms = stanzas.where(r"value RLIKE '^\\[?Term\\]'")
     lines = F.filter(F.split("value", r"\r?\n"), lambda x: x.rlike(r"^[^\[:\s]+:"))
     key = lambda x: F.regexp_extract(x, r"^([^:]+):", 1)
     value = lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract(x, r"^[^:]+:\s*(.*)$", 1), '"', ""), r" ! .*$", ""))
