@@ -838,7 +838,7 @@ def test_best_paths_agree_with_the_library_and_the_fallback(spark):
     library = sentencepiece.SentencePieceProcessor(model_proto=read.SerializeToString())
     some = sorted({*VOCAB[:150], "Hello", "international", "thehethe", "naïve", "日本", "x\ty", "🙂a"})
     units = spark.createDataFrame([("▁" + w,) for w in some], "unit string")
-    got = {r.unit: np.frombuffer(r.ids, np.int32).tolist() for r in spm.best_paths(spm.lattice(units, model), model).collect()}
+    got = {r.unit: np.frombuffer(r.ids, model.code).tolist() for r in spm.best_paths(spm.lattice(units, model), model).collect()}
     assert got == {"▁" + w: model.best("▁" + w) for w in some}
     for w in some:
         if all(c in model.ids for c in w):
@@ -859,6 +859,7 @@ def whole_units(t):
 def test_encoding_round_trip(spark, texts, monkeypatch, tmp_path, rows, remembered):
     monkeypatch.setattr(spm, "ROWS", rows)
     monkeypatch.setattr(spm, "WORDS", remembered)
+    monkeypatch.setattr(spm, "COLLECTED", remembered)
     monkeypatch.setattr(spm, "CHARS", remembered * 10)
     every = [*texts, " lead", "two  spaces ", "tab\tline\n\nend\n", "é日本🙂", "x" * 5000, "acgt" * 1500, "a▁b", " "]
     docs = frame(spark, every)

@@ -25,7 +25,12 @@ class Pieces:
     #: Characters that some piece has next to each other.
     pairs: frozenset[tuple[str, str]] = field(init=False, repr=False)
 
+    #: How an id is packed.
+    code: np.dtype = field(init=False, repr=False)
+
     def __post_init__(self) -> None:
+        greatest = max([i for i, _ in self.ids.values()] + self.bytes, default=0)
+        self.code = np.dtype(np.uint16 if greatest < 1 << 16 else np.int32)
         self.longest = max(map(len, self.ids), default=1)
         self.pairs = frozenset(x for p in self.ids for x in zip(p, p[1:]))
         self.starts = frozenset(p[:k] for p in self.ids for k in range(2, len(p) + 1))

@@ -40,8 +40,9 @@ from weftline.llm.shared import new_dir, written
 
 #: Texts whose units share a table.
 ROWS = 8192
-#: Words that a task remembers, or collects before it hands their units on; characters that it encodes at a time.
-WORDS, CHARS = 400_000, 1 << 20
+#: Different words that a task collects before it hands their units on, and that it remembers; characters that it encodes at a
+#: time.
+COLLECTED, WORDS, CHARS = 1_500_000, 300_000, 1 << 20
 #: Groups that a task holds in memory while it groups edges, before it sorts them instead.
 GROUPS = 50_000
 
@@ -77,8 +78,8 @@ def words(text: str) -> list[str]:
 
 
 def piece_table(spark: SparkSession, model: table.Pieces) -> DataFrame:
-    """(piece, code, score), as large as the vocabulary; code is the id as four bytes."""
-    code = [np.int32(i).tobytes() for i, _ in model.ids.values()]
+    """(piece, code, score), as large as the vocabulary; code is the id in bytes."""
+    code = [model.code.type(i).tobytes() for i, _ in model.ids.values()]
     return spark.createDataFrame(pa.table({"piece": list(model.ids), "code": pa.array(code, pa.binary()), "score": [s for _, s in model.ids.values()]}))
 
 
@@ -90,7 +91,7 @@ def lattice(found: DataFrame, model: table.Pieces) -> DataFrame:
     sizes = starts.select("*", F.explode(F.sequence(F.lit(1), F.least(longest, F.col("n") - F.col("at") + 1))).alias("size"))
     parts = sizes.select(*own, (F.col("at") - 1).alias("start"), (F.col("at") + F.col("size") - 1).alias("end"), F.substring(unit, F.col("at"), F.col("size")).alias("piece"))
     met = parts.join(F.broadcast(piece_table(found.sparkSession, model)), "piece", "left").where("code is not null or end = start + 1")
-    codes = F.array(*[F.lit(bytearray(np.int32(i).tobytes())) for i in model.bytes])
+    codes = F.array(*[F.lit(bytearray(model.code.type(i).tobytes())) for i in model.bytes])
     letters = F.hex(F.encode("piece", "UTF-8"))
     as_bytes = F.aggregate(F.sequence(F.lit(1), F.length(letters), F.lit(2)), F.lit(bytearray()), lambda a, k: F.concat(a, F.get(codes, F.conv(F.substring(letters, k, F.lit(2)), 16, 10).cast("int"))))
     edge = F.struct("end", "start", F.coalesce("score", F.lit(model.unknown)).alias("score"), F.when(F.col("code").isNotNull(), F.col("code")).otherwise(as_bytes).alias("code"))
@@ -98,7 +99,7 @@ def lattice(found: DataFrame, model: table.Pieces) -> DataFrame:
 
 
 def best_paths(lattices: DataFrame, model: table.Pieces) -> DataFrame:
-    """The lattices with the ids of the best path through each in place of its edges, four bytes for each id."""
+    """The lattices with the ids of the best path through each in place of its edges, packed."""
 
     def step(a: Column, x: Column) -> Column:
         # a: the place that edges end at now, its best path so far, and the best paths of the places before
@@ -139,7 +140,7 @@ def encoded_units(texts: DataFrame, model: table.Pieces) -> str:
 
         for batch in batches:
             for block, t in zip(batch.column("block").to_pylist(), batch.column("text"), strict=True):
-                if block != last or len(seen) > WORDS:
+                if block != last or len(seen) > COLLECTED:
                     if seen:
                         yield flushed()
                     seen, last = set(), block
@@ -195,21 +196,26 @@ def encode(docs: DataFrame, text: str = "text", out: str = "ids", keep: list[str
             split = [words(t) if t else [] for t in texts]
             if len(memo) > WORDS:
                 memo.clear()
-            if new := list(set().union(*split) - memo.keys()):
+            codes = [list(map(memo.get, w)) for w in split]
+            lacking = [k for k, x in enumerate(codes) if None in x]
+            if new := list({w for k in lacking for w, x in zip(split[k], codes[k], strict=True) if x is None}):
                 own, sizes = cutter.cut(new)
-                codes = list(map(known.__getitem__, own))
+                found = list(map(known.__getitem__, own))
                 at = 0
                 for word, n in zip(new, sizes, strict=True):
-                    memo[word] = codes[at] if n == 1 else b"".join(codes[at : at + n])
+                    memo[word] = found[at] if n == 1 else b"".join(found[at : at + n])
                     at += n
-            return [None if t is None else b"".join(map(memo.__getitem__, w)) for t, w in zip(texts, split, strict=True)]
+                for k in lacking:
+                    codes[k] = list(map(memo.__getitem__, split[k]))
+            return [None if t is None else b"".join(x) for t, x in zip(texts, codes, strict=True)]
 
         def taken(row: pa.Array, rows: list[int], texts: list[str | None]) -> pa.RecordBatch:
             ids = encoded(texts)
-            offsets = np.concatenate([[0], np.cumsum([len(x or b"") // 4 for x in ids], dtype=np.int64)]).astype(np.int32)
-            values = pa.array(np.frombuffer(b"".join(x or b"" for x in ids), np.int32))
+            sizes = [len(x or b"") // model.code.itemsize for x in ids]
+            offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int32)
+            values = pa.array(np.frombuffer(b"".join(x or b"" for x in ids), model.code).astype(np.int32))
             lists = pa.ListArray.from_arrays(pa.array(offsets), values, mask=pa.array([x is None for x in ids], pa.bool_()))
-            same = [None if t is None or not checked else spelled(x, back) == t.replace(table.MARK, " ") for t, x in zip(texts, ids, strict=True)]
+            same = [None if t is None or not checked else spelled(np.frombuffer(x, model.code), back) == t.replace(table.MARK, " ") for t, x in zip(texts, ids, strict=True)]
             return pa.RecordBatch.from_arrays([row.take(pa.array(rows, pa.int64())), lists, pa.array(same, pa.bool_())], names=["row", "ids", "intact"])
 
         for batch in batches:
@@ -240,9 +246,9 @@ def spellings(model: table.Pieces) -> list[bytes]:
     return [names.get(i, b"") for i in range(max(names) + 1)]
 
 
-def spelled(ids: bytes, back: list[bytes]) -> str:
-    """The text of packed ids, without the space that the first mark stands for."""
-    text = b"".join([back[i] for i in np.frombuffer(ids, np.int32).tolist()]).decode("utf-8", "replace")
+def spelled(ids: np.ndarray, back: list[bytes]) -> str:
+    """The text of ids, without the space that the first mark stands for."""
+    text = b"".join(map(back.__getitem__, ids.tolist())).decode("utf-8", "replace")
     return text[1:] if text.startswith(" ") else text
 
 
@@ -252,7 +258,7 @@ def decode(encoded: DataFrame, ids: str = "ids", out: str = "text", model_path:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [spelled(np.array(x.as_py(), np.int32).tobytes(), sent.value) if x.is_valid else None for x in batch.column("ids")]
+            texts = [spelled(np.array(x.as_py(), np.int32), sent.value) if x.is_valid else None for x in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], names=["row", "decoded"])
 
     kept = [c for c in encoded.columns if c not in (ids, out)]
