@@ -66,18 +66,18 @@ def unused(taken: list[str], *names: str) -> list[str]:
 def in_order(df: DataFrame, order: list[str], number: str, total: dict[str, str] | None = None) -> DataFrame:
     """df with the number of each row (from 0) in an order of all rows, and running totals of columns (new name: column).
 
-    Rows are dealt into ranges of the order and written; each range is numbered and summed by itself, and what comes before a
-    range is added from one row for each range.  So no task sorts all rows, also where one value of the first column has most
-    of them, as long as the others tell rows apart.
+    Rows are dealt into ranges of the order and written with their places; what comes before a range is added from one row for
+    each range.  So no task sorts all rows, also where one value of the first column has most of them, as long as the others
+    tell rows apart.
     """
     total = total or {}
     part, before, *sums = unused([*df.columns, number, *total], "_part", "_before", *[f"_before_{k}" for k in range(len(total))])
-    dealt = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(part, F.spark_partition_id()), "ranges")
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # within a task, in the order of its rows
+    dealt = written(df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias(part), place.alias(number)), "ranges")
     ends = dealt.groupBy(part).agg(F.count("*").alias(before), *[F.sum(c).alias(s) for s, c in zip(sums, total.values(), strict=True)])
     ahead = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
     offsets = ends.select(part, *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(c) for c in (before, *sums)])
-    within = Window.partitionBy(part).orderBy(*order)
     met = dealt.join(F.broadcast(offsets), part)
-    placed = met.withColumn(number, F.row_number().over(within) - 1 + F.col(before))
-    running = within.rowsBetween(Window.unboundedPreceding, 0)
-    return placed.withColumns({name: F.sum(c).over(running) + F.col(s) for s, (name, c) in zip(sums, total.items(), strict=True)}).drop(part, before, *sums)
+    running = Window.partitionBy(part).orderBy(number).rowsBetween(Window.unboundedPreceding, 0)
+    summed = met.withColumns({name: F.sum(c).over(running) + F.col(s) for s, (name, c) in zip(sums, total.items(), strict=True)})
+    return summed.withColumn(number, F.col(number) + F.col(before)).drop(part, before, *sums)
