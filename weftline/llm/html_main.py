@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import NamedTuple
@@ -60,7 +60,7 @@ BAD_ROLES = frozenset("navigation banner contentinfo complementary search form d
 #: Quotes hold an attribute's value only where they begin it.
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]+|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-GAPS = re.compile(r"\s+")
+DIGITS = re.compile(r"[\d/]+")
 WORDS = re.compile(r"[a-z]+")
 #: So many containers around one are looked at when its path is widened.
 AROUND = 32
@@ -73,7 +73,7 @@ def attributes(text: str) -> dict[str, str]:
 
 def named(tag: str, found: dict[str, str]) -> str:
     """A step of a generalised path."""
-    classes = sorted({re.sub(r"[\d/]+", "", c) for c in found.get("class", "").lower().split()} - {""})
+    classes = sorted({DIGITS.sub("", c) for c in found.get("class", "").lower().split()} - {""})
     return ".".join([tag, *classes])
 
 
@@ -152,15 +152,17 @@ OUTSIDE = Open("", 0, -1, GOOD, False, False)
 def read(page: str) -> Page:
     """Time and memory grow with the page, however deep its elements are."""
     out, stack, held = Page(), [], []
-    open_tags: Counter[str] = Counter()
+    open_tags: defaultdict[str, int] = defaultdict(int)
     state = {"links": 0}
+    # of each tag with its attributes, the path around it and whether that is an article: its path, verdict and kind
+    seen: dict[tuple[str, str, int, bool], tuple[int, int, int]] = {}
 
     def top() -> Open:
         return stack[-1] if stack else OUTSIDE
 
     def close_block() -> None:
         if held:
-            text = GAPS.sub(" ", html.unescape("".join(held))).strip()
+            text = " ".join(html.unescape("".join(held)).split())
             if text:
                 out.texts.append(text)
                 out.blocks.append((top().container, state["links"], top().heading, top().verdict == DOUBTFUL))
@@ -168,16 +170,21 @@ def read(page: str) -> Page:
         state["links"] = 0
 
     def pop_to(k: int) -> None:
-        open_tags.subtract(x.tag for x in stack[k:])
-        del stack[k:]
+        while len(stack) > k:
+            open_tags[stack.pop().tag] -= 1
 
     def last(tags: tuple[str, ...], until: tuple[str, ...] = ()) -> int:
-        if any(open_tags[x] > 0 for x in tags):
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].tag in tags:
-                    return k
-                if stack[k].tag in until:
-                    break
+        for tag in tags:
+            if open_tags[tag]:
+                break
+        else:
+            return -1
+        for k in range(len(stack) - 1, -1, -1):
+            tag = stack[k].tag
+            if tag in tags:
+                return k
+            if tag in until:
+                break
         return -1
 
     def said(text: str) -> None:
@@ -199,7 +206,7 @@ def read(page: str) -> Page:
         if m[1]:
             k = last((tag,), ("table",) if tag not in ("table", "html", "body") else ())
             if k >= 0:
-                if tag in BLOCK or any(x.tag in BLOCK for x in stack[k:]):
+                if tag in BLOCK or (k < len(stack) - 1 and any(x.tag in BLOCK for x in stack[k:])):
                     close_block()
                 pop_to(k)
             elif tag in BLOCK:
@@ -218,18 +225,21 @@ def read(page: str) -> Page:
                 pop_to(k)
         if tag in VOID:
             continue
-        found = attributes(m[3]) if m[3].strip(" /\n\t\r") else {}
         over = top()
-        judged = max(over.verdict, verdict(tag, found, over.inside))
         if tag in RAW_TEXT:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = end.end() if end else n
             continue
         if m[3].endswith("/") and tag not in BLOCK:
             continue
-        path, number = (extended(over.path, named(tag, found)) if tag in BLOCK else over.path), over.container
+        key = tag, m[3], over.path, over.inside
+        if key not in seen:
+            found = attributes(m[3]) if m[3].strip(" /\n\t\r") else {}
+            seen[key] = extended(over.path, named(tag, found)) if tag in BLOCK else over.path, verdict(tag, found, over.inside), kind(tag, found)
+        path, own, of = seen[key]
+        judged, number = max(over.verdict, own), over.container
         if tag in CONTAINER and judged == GOOD:
-            out.containers.append((path, number, kind(tag, found)))
+            out.containers.append((path, number, of))
             number = len(out.containers) - 1
         open_tags[tag] += 1
         stack.append(Open(tag, path, number, judged, over.heading or tag in HEADINGS, over.inside or tag in ("article", "main")))
