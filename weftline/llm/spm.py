@@ -40,9 +40,9 @@ from weftline.llm.shared import new_dir, written
 
 #: Texts whose units share a table.
 ROWS = 8192
-#: Different words that a task collects before it hands their units on, and that it remembers; characters that it encodes at a
-#: time.
-COLLECTED, WORDS, CHARS = 1_500_000, 300_000, 1 << 20
+#: Different words that a task collects before it hands their units on, cuts at a time, and remembers; characters that it
+#: encodes at a time.
+COLLECTED, AT_ONCE, WORDS, CHARS = 800_000, 20_000, 200_000, 1 << 20
 
 
 class Cutter:
@@ -133,15 +133,17 @@ def encoded_units(texts: DataFrame, model: table.Pieces) -> str:
         seen: set[str] = set()
 
         def flushed() -> pa.RecordBatch:
-            own = list(set(cutter.cut(list(seen))[0]))
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(own), last), pa.int64()), pa.array(own, pa.string())], names=["block", "unit"])
+            own: set[str] = set()
+            while seen:
+                own.update(cutter.cut([seen.pop() for _ in range(min(AT_ONCE, len(seen)))])[0])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(own), last), pa.int64()), pa.array(list(own), pa.string())], names=["block", "unit"])
 
         for batch in batches:
             for block, t in zip(batch.column("block").to_pylist(), batch.column("text"), strict=True):
                 if block != last or len(seen) > COLLECTED:
                     if seen:
                         yield flushed()
-                    seen, last = set(), block
+                    last = block
                 seen.update(words(t.as_py() or ""))
         if seen:
             yield flushed()
