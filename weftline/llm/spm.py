@@ -42,7 +42,7 @@ from weftline.llm.shared import new_dir, written
 ROWS = 8192
 #: Different words that a task collects before it hands their units on, cuts at a time, and remembers; characters that it
 #: encodes at a time.
-COLLECTED, AT_ONCE, WORDS, CHARS = 800_000, 20_000, 200_000, 1 << 20
+COLLECTED, AT_ONCE, WORDS, CHARS = 800_000, 20_000, 300_000, 1 << 20
 
 
 class Cutter:
