@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import decontam, html_main, langid, lattice_lm, ngram_join, pii, quality, spm, substring, warc
+from weftline.llm import decontam, html_main, langid, lattice_lm, lexical, ngram_join, pii, quality, quality_model, spm, substring, warc, whitening
 from weftline.llm.shared import crc32_of, table
 
 
@@ -128,6 +128,39 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.encode(table(spark, sf_dir, "documents"), keep=["doc_id"], checked=True).select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "intact")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item's 50 best documents."""
+    return lexical.search(lexical.index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), 50)
+
+
+_TERMS = r"list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+OP11_SQL = f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS w FROM documents WHERE text IS NOT NULL),
+s AS (SELECT count(*) AS nd, sum(len(w))::BIGINT AS nt FROM d WHERE len(w) > 0),
+p AS (SELECT doc_id, term, n, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY ALL),
+q AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark WHERE text IS NOT NULL)),
+f AS (SELECT term, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS weight FROM (SELECT term, count(*) AS df FROM p GROUP BY term), s),
+m AS (SELECT doc_id, term, tf, 50 + ((50 * n * nd) // nt) AS m FROM p, s),
+r AS (SELECT item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+      FROM q JOIN f ON q.term = f.term JOIN m ON q.term = m.term GROUP BY 1, 2),
+k AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM r WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 50
+"""
+
+
+def op12_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's chance of good quality, learned from the labels of documents whose crc32 mod 3 is not 1."""
+    held = F.coalesce(F.pmod(crc32_of("doc_id"), F.lit(3)) == 1, F.lit(False)).alias("held_out")
+    measured = quality_model.statistics(table(spark, sf_dir, "documents"), keep=["doc_id", held])
+    learned = quality_model.fit(measured.where(~F.col("row.held_out")), table(spark, sf_dir, "labels"))
+    return quality_model.scored(measured, learned)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding's first eight whitened components."""
+    return whitening.whitened(table(spark, sf_dir, "embeddings"), "embedding", keep=["vec_id"])
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_warc": op2_warc,
@@ -139,5 +172,8 @@ QUERIES = {
     "op8_html_main": op8_html_main,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_quality_trees": op12_quality_trees,
+    "op13_whitening": op13_whitening,
 }
-ORACLES = {"op2_warc": OP2_SQL, "op3_quality_rules": OP3_SQL, "op9_substring_dedup": OP9_SQL}
+ORACLES = {"op2_warc": OP2_SQL, "op3_quality_rules": OP3_SQL, "op9_substring_dedup": OP9_SQL, "op11_ranked_search": OP11_SQL}
