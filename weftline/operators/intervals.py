@@ -2,11 +2,15 @@
 
 Each row of A has a window around its interval, ``before`` to ``after``; it pairs with the rows of B of the same group whose
 interval touches the window, both ends included.  A range condition alone would be a nested loop, so both sides are cut into
-bins: an interval falls into every bin that it touches, the join is an equi-join on group and bin, and a pair counts only in
-the first bin that both have, so no pair comes twice.  ``bin_size`` should be near the usual window, and ``choose_bin_size``
-takes it from the data.  Longer intervals fall into wider bins, each level FANOUT times as wide as the one before, so that
-none has many; two meet at the level of the longer one.  A crowded bin is split by Spark's handling of skewed joins.
-Columns of a and b come with a prefix, so only names that begin with an underscore are kept free.
+bins, of several widths: level 0 is ``bin_size`` wide, which should be near the usual window (``choose_bin_size`` takes it from the
+data), and each level FANOUT times as wide as the one before.  An interval owns the level at which it touches a few bins.
+
+A pair meets at the level of its longer interval, which owns it: in one equi-join where that is A's or both are of one level,
+in another one where it is B's.  In each, the owners of a level stand against the other side's rows of that level or below, which touch
+one bin there, or two.  So a long interval is set beside the rows under it and makes no other two rows meet, and rows go only to
+levels that the other side owns.  A pair counts in the first bin that both have, so none comes twice.  A crowded bin is split
+by Spark's handling of skewed joins.  Columns of a and b come with a prefix, so only names that begin with an underscore are
+kept free.
 """
 
 from __future__ import annotations
@@ -18,6 +22,8 @@ from pyspark.sql import functions as F
 
 
 FANOUT = 8
+#: A table of so few rows may be one split of a file; its rows are dealt anew, as the join multiplies them in the tasks they are in.
+SMALL = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -58,16 +64,21 @@ def overlap_join(a: DataFrame, b: DataFrame, window: Window = Window(), group: s
     left, right = F.when(flip, F.lit(window.right)).otherwise(window.left), F.when(flip, F.lit(window.left)).otherwise(window.right)
     spread_a = named_a.withColumns({"_flip": flip, "_before": F.col("A__start").cast("long") - left, "_after": F.col("A__end").cast("long") + right})
     spread_b = named_b.withColumns({"_from": F.col("B__start").cast("long"), "_to": F.col("B__end").cast("long")})
-    top = max(_level_of(spread_a, "_before", "_after", size), _level_of(spread_b, "_from", "_to", size))
-    binned_a = _binned(spread_a, "_before", "_after", size, top, "_a")
-    binned_b = _binned(spread_b, "_from", "_to", size, top, "_b")
-    on = (F.col(f"A__{group}") == F.col(f"B__{group}")) & (F.col("_a_level") == F.col("_b_level")) & (F.col("_a_bin") == F.col("_b_bin"))
-    on &= (F.col("_to") >= F.col("_before")) & (F.col("_from") <= F.col("_after"))
-    # at the level of the longer one, in the first bin that both have
-    on &= (F.col("_a_own") | F.col("_b_own")) & (F.col("_a_bin") == F.greatest("_a_first", "_b_first"))
-    if window.same_strand and strand:
-        on &= strand_side(F.col(f"A__{strand}")) == strand_side(F.col(f"B__{strand}"))
-    pairs = binned_a.join(binned_b, on)
+    owned_a, owned_b = _owned(spread_a, "_before", "_after", size), _owned(spread_b, "_from", "_to", size)
+    spread_a, spread_b = _dealt(spread_a, owned_a), _dealt(spread_b, owned_b)
+    same = (strand_side(F.col(f"A__{strand}")) == strand_side(F.col(f"B__{strand}"))) if window.same_strand and strand else F.lit(True)
+
+    def met(levels_a: dict[int, int] | None, levels_b: dict[int, int] | None, least: int) -> DataFrame:
+        """Pairs of owners, at their own level, and rows of the other side, at levels of owners from its own + least on."""
+        left = _binned(spread_a, "_before", "_after", size, "_a", levels_a, least)
+        right = _binned(spread_b, "_from", "_to", size, "_b", levels_b, least)
+        on = (F.col(f"A__{group}") == F.col(f"B__{group}")) & (F.col("_a_level") == F.col("_b_level")) & (F.col("_a_bin") == F.col("_b_bin"))
+        on &= (F.col("_a_bin") == F.greatest("_a_first", "_b_first")) & (F.col("_to") >= F.col("_before")) & (F.col("_from") <= F.col("_after"))
+        return left.join(right, on & same)
+
+    pairs = met(None, owned_a, 0)
+    if any(y > x for x in owned_a for y in owned_b):
+        pairs = pairs.unionByName(met(owned_b, None, 1))
     start, end = relative(window)
     return pairs.select(F.col(f"A__{group}").alias(group), start.cast("long").alias("start"), end.cast("long").alias("end"), *named_a.columns, *named_b.columns)
 
@@ -78,18 +89,24 @@ def _levels(lo: str, hi: str, size: int) -> Column:
     return F.greatest(F.floor(F.log2(bins) / F.log2(F.lit(float(FANOUT)))).cast("int"), F.lit(0))
 
 
-def _level_of(df: DataFrame, lo: str, hi: str, size: int) -> int:
-    """The greatest level that some interval needs."""
-    return df.agg(F.max(_levels(lo, hi, size))).first()[0] or 0
+def _owned(df: DataFrame, lo: str, hi: str, size: int) -> dict[int, int]:
+    """How many intervals own each level; a dozen levels at most, as widths grow by powers."""
+    found = df.groupBy(_levels(lo, hi, size).alias("level")).agg(F.count("*").alias("n")).collect()
+    return {r.level: r.n for r in sorted(found, key=lambda r: r.level or 0) if r.level is not None}
 
 
-def _binned(df: DataFrame, lo: str, hi: str, size: int, top: int, name: str) -> DataFrame:
-    """df with the bins of each interval at its own level and, one or two, at each wider one."""
-    levels = df.withColumn(f"{name}_mine", _levels(lo, hi, size)).withColumn(f"{name}_level", F.explode(F.sequence(F.col(f"{name}_mine"), F.lit(top))))
+def _dealt(df: DataFrame, owned: dict[int, int]) -> DataFrame:
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if sum(owned.values()) < SMALL else df
+
+
+def _binned(df: DataFrame, lo: str, hi: str, size: int, name: str, levels: dict[int, int] | None, least: int) -> DataFrame:
+    """df with its bins at its own level, or at each of the given levels from its own + least on."""
+    own = F.array(_levels(lo, hi, size))
+    at = own if levels is None else F.filter(F.array(*[F.lit(x) for x in levels]).cast("array<int>"), lambda x: x >= own[0] + least)
+    placed = df.withColumn(f"{name}_level", F.explode(at))
     wide = F.lit(size) * F.pow(F.lit(float(FANOUT)), F.col(f"{name}_level")).cast("long")
     bin_of = lambda c: F.floor(F.col(c) / wide)
-    placed = levels.withColumns({f"{name}_own": F.col(f"{name}_level") == F.col(f"{name}_mine"), f"{name}_first": bin_of(lo), f"{name}_bin": F.explode(F.sequence(bin_of(lo), bin_of(hi)))})
-    return placed.drop(f"{name}_mine")
+    return placed.withColumns({f"{name}_first": bin_of(lo), f"{name}_bin": F.explode(F.sequence(bin_of(lo), bin_of(hi)))})
 
 
 def relative(window: Window) -> tuple[Column, Column]:

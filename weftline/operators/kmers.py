@@ -1,17 +1,34 @@
 """k-mers of sequences: counts, spectra, lookups and filters.
 
-A k-mer is a string of length k over A, C, G and T, so k has no limit and string order is packed order.  Partial and final
-hash aggregation, spilling and partitioning are Spark's.
+A k-mer is a string of length k over A, C, G and T, so k has no limit and string order is packed order.
+
+Counting up to k = DENSE: a task counts into one array of all k-mers, so a shuffle has one row for each different k-mer and
+task.  Beyond: neighbouring k-mers share most of their letters, and most share their minimizer, the m-mer of theirs that is
+first in a fixed order that takes both strands for the same.  A run of k-mers with one minimizer is shuffled as one string, a super-k-mer,
+by its minimizer, and cut into k-mers after the exchange, where all copies of a k-mer meet; they are counted there without
+another exchange.  Runs that a task has seen already travel once, with their number.  A minimizer with too many of all
+k-mers would fill one partition: its share is known from a pass of counts before, and its k-mers travel one by one, each counted within a
+task first, dealt by the k-mer.  Hash aggregation, spilling and partitioning are Spark's.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators.shared import unused
 
 MODES = ("A", "B", "C")
+#: The greatest k for which a task holds a count of every k-mer, and the longest minimizer.
+DENSE, MINIMIZER = 9, 9
+#: Positions that a task looks at together, k-mers of a run at most, and different runs that a task holds before it hands them on.
+PIECE, RUN, HELD = 1 << 20, 1 << 12, 200_000
 #: Positions of a sequence in one row while it is cut up, so that a chromosome is never one row of all its k-mers.
 BLOCK = 1 << 14
 
@@ -56,9 +73,201 @@ def exploded(df: DataFrame, sequence: str, k: int, mode: str = "C", keep: list[s
     return out.drop(at)
 
 
+_CODE = np.zeros(256, np.uint8)
+for _i, _c in enumerate(b"ACGT"):
+    _CODE[[_c, _c + 32]] = _i
+_LETTER = np.frombuffer(b"ACGT", np.uint8)
+_COMPLEMENT = bytes.maketrans(b"ACGT", b"TGCA")
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(codes of letters, whether a k-mer starts there, whether it is its sequence's first): many short sequences at once, and
+    long ones in parts that overlap by k - 1."""
+    held: list[np.ndarray] = []
+    firsts: list[bool] = []
+    size = 0
+
+    def joined() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        codes, lengths = np.concatenate(held), np.array([len(x) for x in held])
+        ends = np.cumsum(lengths)
+        starts = np.arange(max(0, len(codes) - k + 1))
+        real = starts + k <= np.repeat(ends, lengths)[: len(starts)]
+        first = np.zeros(len(starts), bool)
+        first[(ends - lengths)[np.array(firsts)]] = True
+        return codes, real, first
+
+    for batch in batches:
+        for text in batch.column("s"):
+            letters = np.frombuffer((text.as_py() or "").encode("ascii", "replace"), np.uint8)  # one byte for any character
+            for at in range(0, len(letters) - k + 1, PIECE):
+                held.append(_CODE[letters[at : at + PIECE + k - 1]])
+                firsts.append(at == 0)
+                size += len(held[-1])
+                if size >= PIECE:
+                    yield joined()
+                    held, firsts, size = [], [], 0
+    if held:
+        yield joined()
+
+
+def _numbers(codes: np.ndarray, k: int, back: bool = False) -> np.ndarray:
+    """Each k-mer as a number whose order is that of strings; back: its reverse complement."""
+    out = np.zeros(max(0, len(codes) - k + 1), np.int64)
+    for j in reversed(range(k)) if back else range(k):
+        part = codes[j : j + len(out)]
+        out *= 4
+        out += 3 - part if back else part
+    return out
+
+
+def _digits(numbers: np.ndarray, k: int) -> np.ndarray:
+    """(numbers x k) codes of the letters of k-mers given as numbers."""
+    return ((numbers[:, None] >> (2 * np.arange(k - 1, -1, -1))) & 3).astype(np.uint8)
+
+
+def _dense(rows: DataFrame, k: int, mode: str, drop_poly_a: bool) -> DataFrame:
+    """(kmer, n): each task's counts of all k-mers, added up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(4**k, np.int64)
+        poly = np.array([0, 4**k - 1] if mode == "C" else [0])
+        leading = np.zeros(len(poly), np.int64)
+        for codes, real, first in _pieces(batches, k):
+            found = _numbers(codes, k)
+            total += np.bincount(found[real], minlength=4**k)
+            leading += (found[first & real, None] == poly).sum(0)
+        if drop_poly_a:
+            total[poly] = leading
+        there = np.flatnonzero(total)
+        back = ((3 - _digits(there, k)[:, ::-1]).astype(np.int64) << (2 * np.arange(k - 1, -1, -1))).sum(1)
+        if mode == "C":
+            number, n = np.minimum(there, back), total[there]
+        elif mode == "B":
+            kept = back != 0 if drop_poly_a else np.ones(len(back), bool)
+            number, n = np.concatenate([there, back[kept]]), np.concatenate([total[there], total[there][kept]])
+        else:
+            number, n = there, total[there]
+        names = _LETTER[_digits(number, k)].tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([names[i : i + k].decode() for i in range(0, len(names), k)], pa.string()), pa.array(n)], names=["kmer", "n"])
+
+    return rows.mapInArrow(run, "kmer string, n long").groupBy("kmer").agg(F.sum("n").alias("n"))
+
+
+def _least(x: np.ndarray, wide: int) -> np.ndarray:
+    """The least of each ``wide`` neighbours, by windows that double."""
+    have = 1
+    while have < wide:
+        step = min(have, wide - have)
+        x = np.minimum(x[:-step], x[step:])
+        have += step
+    return x
+
+
+def _minimizers(codes: np.ndarray, real: np.ndarray, k: int, m: int) -> np.ndarray:
+    """The place in the order of m-mers of each k-mer's minimizer; -1 where none starts.  AAA... is last in the order."""
+    mask = 4**m - 1
+    order = (np.minimum(_numbers(codes, m), _numbers(codes, m, True)) * 0x9E3779B1 + mask) & mask
+    return np.where(real, _least(order, k - m + 1), -1)
+
+
+def _length(k: int) -> int:
+    return min(MINIMIZER, 2 * k // 3)
+
+
+def crowded(rows: DataFrame, k: int) -> list[int]:
+    """Minimizers with more than half of a partition's even share of all k-mers: fewer than twice the partitions."""
+    m, parts = _length(k), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(4**m, np.int64)
+        for codes, real, _ in _pieces(batches, k):
+            total += np.bincount(_minimizers(codes, real, k, m)[real], minlength=4**m)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["minimizer", "n"])
+
+    found = rows.mapInArrow(run, "minimizer long, n long").groupBy("minimizer").agg(F.sum("n").alias("n"))
+    whole = found.agg(F.sum("n").alias("whole"))
+    return [r.minimizer for r in found.join(F.broadcast(whole), F.col("n") * (2 * parts) > F.col("whole")).collect()]
+
+
+def super_kmers(rows: DataFrame, k: int, poly: list[str], hot: list[int]) -> DataFrame:
+    """(bucket, run, first, times): runs of neighbouring k-mers with one minimizer, and how often a task has seen each.
+    first: one that begins a sequence with a k-mer of poly.  All copies of a k-mer, on both strands, are in one bucket."""
+    m = _length(k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[bytes] = Counter()  # runs, runs that open a sequence, k-mers of crowded minimizers, and those that open one
+        opening: Counter[bytes] = Counter()
+        alone: Counter[bytes] = Counter()
+        leading: Counter[bytes] = Counter()
+        bucket: dict[bytes, int] = {}
+        polys, crowd = [p.encode() for p in poly], np.zeros(4**m + 1, bool)  # the last entry is for -1
+        crowd[hot] = True
+
+        def flushed() -> pa.RecordBatch:
+            for kmer in (*alone, *leading):
+                bucket[kmer] = (1 << 32) + zlib.crc32(min(kmer, kmer.translate(_COMPLEMENT)[::-1]))
+            kinds = ((seen, False), (opening, True), (alone, False), (leading, True))
+            runs = [x for held, _ in kinds for x in held]
+            columns = [[bucket[x] for x in runs], runs, [first for held, first in kinds for _ in held], [n for held, _ in kinds for n in held.values()]]
+            for held in (seen, opening, alone, leading, bucket):
+                held.clear()
+            kinds_of = (pa.int64(), pa.binary(), pa.bool_(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds_of, strict=True)], names=["bucket", "run", "first", "times"])
+
+        def counted(held: Counter[bytes], apart: Counter[bytes], found: list[bytes], opens: np.ndarray) -> None:
+            if polys and opens.any():
+                for x, first in zip(found, opens.tolist(), strict=True):
+                    (apart if first and x[:k] in polys else held)[x] += 1
+            else:
+                held.update(found)
+
+        for codes, real, first in _pieces(batches, k):
+            least, text = _minimizers(codes, real, k, m), _LETTER[codes].tobytes()
+            single = np.flatnonzero(crowd[least])
+            counted(alone, leading, [text[i : i + k] for i in single.tolist()], first[single])
+            begin = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | first[1:]]))
+            end = np.append(begin[1:], len(least))
+            there = (least[begin] >= 0) & ~crowd[least[begin]]
+            begin, end = begin[there], end[there]
+            # long runs in parts
+            parts = -(-(end - begin) // RUN)
+            at = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+            begin, end = np.repeat(begin, parts) + at * RUN, np.repeat(end, parts)
+            stops = np.minimum(end, begin + RUN) + k - 1
+            runs = [text[s:e] for s, e in zip(begin.tolist(), stops.tolist(), strict=True)]
+            bucket.update(zip(runs, least[begin].tolist(), strict=True))
+            counted(seen, opening, runs, first[begin])
+            if len(bucket) + len(alone) > HELD:
+                yield flushed()
+        yield flushed()
+
+    return rows.mapInArrow(run, "bucket long, run binary, first boolean, times long")
+
+
 def counts(df: DataFrame, sequence: str, k: int, mode: str = "C", drop_poly_a: bool = False) -> DataFrame:
-    """(kmer, n)."""
-    return exploded(df, sequence, k, mode, drop_poly_a=drop_poly_a).groupBy("kmer").agg(F.count("*").alias("n"))
+    """(kmer, n).  Mode C: canonical; B: as read and its reverse complement; A: as read.  drop_poly_a leaves out k-mers of A alone
+    but for those that begin a sequence, as compact counters do."""
+    if mode not in MODES:
+        raise ValueError(f"mode is one of {MODES}")
+    rows = df.select(F.col(sequence).alias("s"))
+    if k <= DENSE:
+        return _dense(rows, k, mode, drop_poly_a)
+    poly = (["A" * k, "T" * k] if mode == "C" else ["A" * k]) if drop_poly_a else []
+    dealt = super_kmers(rows, k, poly, crowded(rows, k)).repartition("bucket")
+    at = F.explode(F.sequence(F.lit(1), F.length("run") - k + 1)).alias("at")
+    cut = dealt.select("bucket", "run", "first", "times", at).select("bucket", "times", F.substring("run", F.col("at"), F.lit(k)).cast("string").alias("plain"), (F.col("first") & (F.col("at") == 1)).alias("opens"))
+    if drop_poly_a:
+        cut = cut.where(~F.col("plain").isin(poly) | F.col("opens"))
+    plain = F.col("plain")
+    if mode == "B":
+        both = F.array(plain, reverse_complement(plain))
+        # a copy that is A alone by being read backwards is left out, too
+        kmer = F.explode(F.when(F.lit(drop_poly_a) & (plain == "T" * k), F.array(plain)).otherwise(both))
+    else:
+        kmer = canonical(plain) if mode == "C" else plain
+    # rows are dealt by bucket already, which is a part of these keys: no further exchange
+    return cut.select("bucket", "times", kmer.alias("kmer")).groupBy("bucket", "kmer").agg(F.sum("times").alias("n")).select("kmer", "n")
 
 
 def job(spark: SparkSession, path: str, k: int, folder: str, mode: str = "C", least: int = 0, most: int = 0, drop_poly_a: bool = False) -> DataFrame:
@@ -95,8 +304,9 @@ def singletons(table: DataFrame) -> DataFrame:
 
 def distinct_count(df: DataFrame, sequence: str, k: int, approximate: bool = False) -> DataFrame:
     """(n): different canonical k-mers over all sequences."""
-    kmers = exploded(df, sequence, k, "C")
-    return kmers.agg(F.approx_count_distinct("kmer").alias("n")) if approximate else kmers.agg(F.count_distinct("kmer").alias("n"))
+    if approximate:
+        return exploded(df, sequence, k, "C").agg(F.approx_count_distinct("kmer").alias("n"))
+    return counts(df, sequence, k, "C").agg(F.count("*").alias("n"))  # each k-mer is one row
 
 
 def save(table: DataFrame, path: str, text: bool = False) -> None:

@@ -390,13 +390,19 @@ def rand_bv(spark, d):
 
 # --- k-mers ---------------------------------------------------------------------------------------------------------------
 
-_K = 6
-_KMERS = f"""WITH s AS (SELECT doc_id, regexp_replace(translate(text, 'acgt', 'ACGT'), '[^CGT]', 'A', 'g') AS s FROM documents WHERE length(text) >= {_K}),
-  k AS (SELECT doc_id, unnest(list_transform(range(1, length(s) - {_K - 2}), lambda i: substr(s, i, {_K}))) AS f FROM s),
+_K, _LONG = 6, 21
+
+
+def _kmer_sql(k: int) -> str:
+    return f"""WITH s AS (SELECT doc_id, regexp_replace(translate(text, 'acgt', 'ACGT'), '[^CGT]', 'A', 'g') AS s FROM documents WHERE length(text) >= {k}),
+  k AS (SELECT doc_id, unnest(list_transform(range(1, length(s) - {k - 2}), lambda i: substr(s, i, {k}))) AS f FROM s),
   c AS (SELECT doc_id, f, translate(reverse(f), 'ACGT', 'TGCA') AS r FROM k),
   n AS (SELECT least(f, r) AS kmer, count(*) AS n FROM c GROUP BY 1)"""
 
 
+_KMERS = _kmer_sql(_K)
+
+
 def _counts(spark, d) -> DataFrame:
     return kmers.counts(table(spark, d, "documents"), "text", _K)
 
@@ -406,6 +412,12 @@ def kmer_counts(spark, d):
     return _counts(spark, d)
 
 
+@registered(f"{_kmer_sql(_LONG)} SELECT kmer, n FROM n")
+def kmer_counts_long(spark, d):
+    """k beyond what a task counts whole: super-k-mers."""
+    return kmers.counts(table(spark, d, "documents"), "text", _LONG)
+
+
 @registered(f"{_KMERS} SELECT kmer, count(*) AS n FROM (SELECT f AS kmer FROM c UNION ALL SELECT r FROM c) GROUP BY 1")
 def kmer_both(spark, d):
     return kmers.counts(table(spark, d, "documents"), "text", _K, "B")

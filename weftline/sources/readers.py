@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftline.operators.shared import written
+from weftline.sources.wrapped import wrapped_fastq
 
 GFF = "seqname string, source string, type string, start long, end long, score string, strand string, phase string, attributes string"
 BED = "chr string, start long, end long, label string, score int, strand string"
@@ -101,11 +99,10 @@ def fastq(spark: SparkSession, path: str, wrapped: bool = False) -> DataFrame:
 
     Records of four lines: a quality line may itself start with @, so records are put together from numbered lines.  Lines are
     numbered within each split, and what comes before a split is added from one row for each, so a file of any size is read by
-    many tasks.  wrapped: sequences and qualities may go over several lines; where a record begins then depends on all before
-    it, and a file is read by one task.
+    many tasks.  wrapped: sequences and qualities may go over several lines (see weftline.sources.wrapped).
     """
     if wrapped:
-        return spark.read.text(path, wholetext=True).mapInPandas(_wrapped, "name string, comment string, seq string, qual string")
+        return wrapped_fastq(spark, path)
     place = (F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     lines = written(spark.read.text(path).select("value", *place, F.monotonically_increasing_id().alias("n")), "lines")
     blocks = lines.groupBy("file", "block").agg(F.min("n").alias("first"), F.count("*").alias("lines"))
@@ -119,33 +116,6 @@ def fastq(spark: SparkSession, path: str, wrapped: bool = False) -> DataFrame:
     return real.select(F.regexp_extract("head", r"^@(\S*)", 1).alias("name"), F.regexp_extract("head", r"^@\S*\s+(.*)$", 1).alias("comment"), "seq", checked.alias("qual"))
 
 
-def _wrapped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The records of whole files: a sequence ends at a line that starts with +, its quality when it is as long."""
-    for frame in frames:
-        out: list[tuple[str, str, str, str]] = []
-        for text in frame["value"]:
-            lines = [x.rstrip() for x in text.split("\n")]
-            at = 0
-            while at < len(lines):
-                if not lines[at].startswith("@"):
-                    at += 1
-                    continue
-                head, _, comment = lines[at][1:].partition(" ")
-                at += 1
-                seq = qual = ""
-                while at < len(lines) and not lines[at].startswith("+"):
-                    seq += lines[at]
-                    at += 1
-                at += 1
-                while at < len(lines) and len(qual) < len(seq):
-                    qual += lines[at]
-                    at += 1
-                if len(qual) != len(seq):
-                    raise ValueError(f"quality and sequence differ in length: {head}")
-                out.append((head, comment.strip(), seq, qual))
-        yield pd.DataFrame(out, columns=["name", "comment", "seq", "qual"])
-
-
 def sequences(spark: SparkSession, path: str) -> DataFrame:
     """name, comment, seq of a FASTQ file (by its suffix) or a FASTA file."""
     named = path.removesuffix(".gz").lower()
