@@ -40,9 +40,11 @@ from weftline.llm.shared import new_dir, written
 
 #: Texts whose units share a table.
 ROWS = 8192
-#: Different words that a task collects before it hands their units on, cuts at a time, and remembers; characters that it
-#: encodes at a time.
-COLLECTED, AT_ONCE, WORDS, CHARS = 800_000, 20_000, 300_000, 1 << 20
+#: Different units that a task collects before it hands them on, words that it cuts at a time and remembers, and characters
+#: that it encodes at a time.
+COLLECTED, AT_ONCE, WORDS, CHARS = 400_000, 50_000, 300_000, 1 << 18
+#: Characters of a piece's head: a start whose head begins no piece has shorter pieces only.
+HEAD = 4
 
 
 class Cutter:
@@ -81,12 +83,24 @@ def piece_table(spark: SparkSession, model: table.Pieces) -> DataFrame:
     return spark.createDataFrame(pa.table({"piece": list(model.ids), "code": pa.array(code, pa.binary()), "score": [s for _, s in model.ids.values()]}))
 
 
+def head_table(spark: SparkSession, model: table.Pieces) -> DataFrame:
+    """(head, most): the first HEAD characters of pieces, and the length of the longest piece that begins with them."""
+    most: dict[str, int] = {}
+    for piece in model.ids:
+        if len(piece) >= HEAD:
+            most[piece[:HEAD]] = max(most.get(piece[:HEAD], 0), len(piece))
+    return spark.createDataFrame(pa.table({"head": pa.array(list(most), pa.string()), "most": pa.array(list(most.values()), pa.int32())}))
+
+
 def lattice(found: DataFrame, model: table.Pieces) -> DataFrame:
     """found (unit and other columns) with edges: the pieces of each unit in the order of their ends, then starts.  Rows stay
     where unit put them: substrings join a broadcast table, and their group is the unit again."""
-    unit, longest, own = F.col("unit"), F.lit(model.longest), found.columns
+    unit, own = F.col("unit"), found.columns
     starts = found.select(*own, F.length(unit).alias("n"), F.explode(F.sequence(F.lit(1), F.length(unit))).alias("at"))
-    sizes = starts.select("*", F.explode(F.sequence(F.lit(1), F.least(longest, F.col("n") - F.col("at") + 1))).alias("size"))
+    # the longest piece that begins as a start does: most starts need a few substrings
+    ahead = starts.withColumn("head", F.substring(unit, F.col("at"), F.lit(HEAD))).join(F.broadcast(head_table(found.sparkSession, model)), "head", "left")
+    most = F.least(F.coalesce("most", F.lit(HEAD - 1)), F.col("n") - F.col("at") + 1)
+    sizes = ahead.select(*own, "at", F.explode(F.sequence(F.lit(1), most)).alias("size"))
     parts = sizes.select(*own, (F.col("at") - 1).alias("start"), (F.col("at") + F.col("size") - 1).alias("end"), F.substring(unit, F.col("at"), F.col("size")).alias("piece"))
     met = parts.join(F.broadcast(piece_table(found.sparkSession, model)), "piece", "left").where("code is not null or end = start + 1")
     codes = F.array(*[F.lit(bytearray(model.code.type(i).tobytes())) for i in model.bytes])
@@ -130,22 +144,31 @@ def encoded_units(texts: DataFrame, model: table.Pieces) -> str:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, last = Cutter(pairs), None
-        seen: set[str] = set()
+        seen: set[str] = set()  # words that are not cut yet
+        own: set[str] = set()
+
+        def cut() -> None:
+            found = list(seen)
+            seen.clear()
+            for at in range(0, len(found), AT_ONCE):
+                own.update(cutter.cut(found[at : at + AT_ONCE])[0])
 
         def flushed() -> pa.RecordBatch:
-            own: set[str] = set()
-            while seen:
-                own.update(cutter.cut([seen.pop() for _ in range(min(AT_ONCE, len(seen)))])[0])
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(own), last), pa.int64()), pa.array(list(own), pa.string())], names=["block", "unit"])
+            cut()
+            out = pa.RecordBatch.from_arrays([pa.array(np.full(len(own), last), pa.int64()), pa.array(list(own), pa.string())], names=["block", "unit"])
+            own.clear()
+            return out
 
         for batch in batches:
             for block, t in zip(batch.column("block").to_pylist(), batch.column("text"), strict=True):
-                if block != last or len(seen) > COLLECTED:
-                    if seen:
+                if block != last or len(own) > COLLECTED:
+                    if seen or own:
                         yield flushed()
                     last = block
                 seen.update(words(t.as_py() or ""))
-        if seen:
+                if len(seen) > AT_ONCE:
+                    cut()
+        if seen or own:
             yield flushed()
 
     # dealt by unit once: the different units, the group of the lattice and the join need no further exchange.  Both sides of the
@@ -222,6 +245,7 @@ def encode(docs: DataFrame, text: str = "text", out: str = "ids", keep: list[str
                         yield taken(batch.column("row"), rows, texts)
                         rows, texts, size = [], [], 0
                     if block != last:
+                        known = {}  # not two tables at once
                         last, known = block, loaded(block)
                 t = t.as_py()
                 rows.append(k)
