@@ -858,7 +858,7 @@ def whole_units(t):
 @pytest.mark.parametrize(("rows", "remembered"), [(4096, 400_000), (3, 2)])
 def test_encoding_round_trip(spark, texts, monkeypatch, tmp_path, rows, remembered):
     monkeypatch.setattr(spm, "ROWS", rows)
-    monkeypatch.setattr(spm, "WORDS", remembered)
+    monkeypatch.setattr(spm, "AT_ONCE", remembered)
     monkeypatch.setattr(spm, "COLLECTED", remembered)
     monkeypatch.setattr(spm, "CHARS", remembered * 10)
     every = [*texts, " lead", "two  spaces ", "tab\tline\n\nend\n", "é日本🙂", "x" * 5000, "acgt" * 1500, "a▁b", " "]

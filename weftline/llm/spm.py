@@ -40,15 +40,15 @@ from weftline.llm.shared import new_dir, written
 
 #: Texts whose units share a table.
 ROWS = 8192
-#: Different units that a task collects before it hands them on, words that it cuts at a time and remembers, and characters
-#: that it encodes at a time.
-COLLECTED, AT_ONCE, WORDS, CHARS = 400_000, 50_000, 300_000, 1 << 18
+#: Different units that a task collects before it hands them on, words that it cuts at a time, and characters that it encodes
+#: at a time.
+COLLECTED, AT_ONCE, CHARS = 400_000, 50_000, 1 << 18
 #: Characters of a piece's head: a start whose head begins no piece has shorter pieces only.
 HEAD = 4
 
 
 class Cutter:
-    """Cuts words, each with its mark, into units."""
+    """Cuts texts into units."""
 
     def __init__(self, pairs: frozenset[tuple[str, str]]) -> None:
         letters = sorted({c for pair in pairs for c in pair})
@@ -59,17 +59,18 @@ class Cutter:
         for a, b in pairs:
             self.beside[number[a], number[b]] = True
 
-    def cut(self, found: list[str]) -> tuple[list[str], list[int]]:
-        """The units of all words in order, and how many each has."""
-        text = table.MARK + table.MARK.join(found)
-        codes = self.number[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-        heads = ~np.concatenate([[False], self.beside[codes[:-1], codes[1:]]])
-        first = np.cumsum([0] + [len(w) + 1 for w in found[:-1]])
-        heads[first] = True
+    def cut(self, texts: list[str]) -> tuple[list[str], list[int]]:
+        """The units of all texts in order, and where those of each begin (and the end of the last).  Marks stand for spaces."""
+        marked = [table.MARK + t.replace(" ", table.MARK) if t else "" for t in texts]
+        text = "".join(marked)
+        raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes = self.number[raw]
+        heads = raw == ord(table.MARK)  # each text begins with one
+        heads[1:] |= ~self.beside[codes[:-1], codes[1:]]
         at = np.flatnonzero(heads)
-        ends = [*at[1:].tolist(), len(text)]
-        sizes = np.diff(np.append(np.searchsorted(at, first), len(at)))
-        return [text[a:b] for a, b in zip(at.tolist(), ends, strict=True)], sizes.tolist()
+        begins, ends = at.tolist(), np.append(at[1:], len(text)).tolist()
+        first = np.cumsum([0, *map(len, marked)])
+        return [text[a:b] for a, b in zip(begins, ends, strict=False)], np.searchsorted(at, first).tolist()
 
 
 def words(text: str) -> list[str]:
@@ -151,7 +152,7 @@ def encoded_units(texts: DataFrame, model: table.Pieces) -> str:
             found = list(seen)
             seen.clear()
             for at in range(0, len(found), AT_ONCE):
-                own.update(cutter.cut(found[at : at + AT_ONCE])[0])
+                own.update(cutter.cut([" ".join(found[at : at + AT_ONCE])])[0])
 
         def flushed() -> pa.RecordBatch:
             cut()
@@ -197,8 +198,7 @@ def encode(docs: DataFrame, text: str = "text", out: str = "ids", keep: list[str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        back, cutter, last, known = spellings(model), Cutter(model.pairs), None, {}
-        memo: dict[str, bytes] = {}
+        back, cutter, last, known = Spellings(model), Cutter(model.pairs), None, {}
         fs, root = pa.fs.FileSystem.from_uri(folder)
 
         def loaded(block: int) -> dict[str, bytes]:
@@ -210,21 +210,9 @@ def encode(docs: DataFrame, text: str = "text", out: str = "ids", keep: list[str
             return dict(zip(rows.column("unit").to_pylist(), rows.column("ids").to_pylist(), strict=True))
 
         def encoded(texts: list[str | None]) -> list[bytes | None]:
-            split = [words(t) if t else [] for t in texts]
-            if len(memo) > WORDS:
-                memo.clear()
-            codes = [list(map(memo.get, w)) for w in split]
-            lacking = [k for k, x in enumerate(codes) if None in x]
-            if new := list({w for k in lacking for w, x in zip(split[k], codes[k], strict=True) if x is None}):
-                own, sizes = cutter.cut(new)
-                found = list(map(known.__getitem__, own))
-                at = 0
-                for word, n in zip(new, sizes, strict=True):
-                    memo[word] = found[at] if n == 1 else b"".join(found[at : at + n])
-                    at += n
-                for k in lacking:
-                    codes[k] = list(map(memo.__getitem__, split[k]))
-            return [None if t is None else b"".join(x) for t, x in zip(texts, codes, strict=True)]
+            units, first = cutter.cut([t or "" for t in texts])
+            ids = list(map(known.__getitem__, units))
+            return [None if t is None else b"".join(ids[a:b]) for t, a, b in zip(texts, first, first[1:], strict=False)]
 
         def taken(row: pa.Array, rows: list[int], texts: list[str | None]) -> pa.RecordBatch:
             ids = encoded(texts)
@@ -232,7 +220,7 @@ def encode(docs: DataFrame, text: str = "text", out: str = "ids", keep: list[str
             offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int32)
             values = pa.array(np.frombuffer(b"".join(x or b"" for x in ids), model.code).astype(np.int32))
             lists = pa.ListArray.from_arrays(pa.array(offsets), values, mask=pa.array([x is None for x in ids], pa.bool_()))
-            same = [None if t is None or not checked else spelled(np.frombuffer(x, model.code), back) == t.replace(table.MARK, " ") for t, x in zip(texts, ids, strict=True)]
+            same = [None if t is None or not checked else back.spelled(np.frombuffer(x, model.code)) == t.replace(table.MARK, " ") for t, x in zip(texts, ids, strict=True)]
             return pa.RecordBatch.from_arrays([row.take(pa.array(rows, pa.int64())), lists, pa.array(same, pa.bool_())], names=["row", "ids", "intact"])
 
         for batch in batches:
@@ -258,25 +246,30 @@ def encode(docs: DataFrame, text: str = "text", out: str = "ids", keep: list[str
     return done.select(*[F.col("row").getField(c).alias(c) for c in names], F.col("ids").alias(out), *(["intact"] if checked else []))
 
 
-def spellings(model: table.Pieces) -> list[bytes]:
-    """The bytes of each id."""
-    names = {i: p.replace(table.MARK, " ").encode() for p, (i, _) in model.ids.items()} | {i: bytes([b]) for b, i in enumerate(model.bytes)}
-    return [names.get(i, b"") for i in range(max(names) + 1)]
+class Spellings:
+    """The bytes of each id, one after the other, and where each begins."""
 
+    def __init__(self, model: table.Pieces) -> None:
+        names = {i: p.replace(table.MARK, " ").encode() for p, (i, _) in model.ids.items()} | {i: bytes([b]) for b, i in enumerate(model.bytes)}
+        each = [names.get(i, b"") for i in range(max(names) + 1)]
+        self.letters, self.sizes = np.frombuffer(b"".join(each), np.uint8), np.array([len(x) for x in each])
+        self.begins = np.cumsum(self.sizes) - self.sizes
 
-def spelled(ids: np.ndarray, back: list[bytes]) -> str:
-    """The text of ids, without the space that the first mark stands for."""
-    text = b"".join(map(back.__getitem__, ids.tolist())).decode("utf-8", "replace")
-    return text[1:] if text.startswith(" ") else text
+    def spelled(self, ids: np.ndarray) -> str:
+        """The text of ids, without the space that the first mark stands for."""
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begins[ids] - (ends - sizes), sizes)
+        return self.letters[at].tobytes().decode("utf-8", "replace").removeprefix(" ")
 
 
 def decode(encoded: DataFrame, ids: str = "ids", out: str = "text", model_path: str = table.DEFAULT_MODEL) -> DataFrame:
     """encoded with the text of its ids."""
-    sent = encoded.sparkSession.sparkContext.broadcast(spellings(table.load(model_path)))  # as large as the vocabulary
+    sent = encoded.sparkSession.sparkContext.broadcast(Spellings(table.load(model_path)))  # as large as the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [spelled(np.array(x.as_py(), np.int32), sent.value) if x.is_valid else None for x in batch.column("ids")]
+            texts = [sent.value.spelled(np.array(x.as_py(), np.int64)) if x.is_valid else None for x in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], names=["row", "decoded"])
 
     kept = [c for c in encoded.columns if c not in (ids, out)]
