@@ -152,7 +152,7 @@ def encoded_units(texts: DataFrame, model: table.Pieces) -> str:
             found = list(seen)
             seen.clear()
             for at in range(0, len(found), AT_ONCE):
-                own.update(cutter.cut([" ".join(found[at : at + AT_ONCE])])[0])
+                own.update(cutter.cut([" ".join(found[at : at + AT_ONCE]) or " "])[0])  # an empty word alone is a mark
 
         def flushed() -> pa.RecordBatch:
             cut()
