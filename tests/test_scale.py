@@ -1,5 +1,8 @@
 """Operators whose plan matters: joins that stay near their results, k-mers and records over splits, each against brute force."""
 
+import bisect
+import bz2
+import math
 import random
 from collections import Counter
 
@@ -7,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.operators import intervals, kmers
+from weftline.operators import histogram, intervals, joins, kmers, sets
 from weftline.sources import readers, wrapped
 
 # --- intervals
@@ -192,3 +195,140 @@ def test_summaries_of_splits_stay_small():
     lines = text.split("\n")[37:]
     told = wrapped.summary(np.array([len(x) for x in lines]), np.flatnonzero([x.startswith("@") for x in lines]), np.flatnonzero([x.startswith("+") for x in lines]))
     assert len(told["quality"]) + len(told["sequence"]["ends"]) < 60
+
+
+# --- trees
+
+
+def test_deep_trees_take_few_rounds(spark, monkeypatch):
+    calls = []
+    real = joins.written
+    monkeypatch.setattr(joins, "written", lambda df, name: calls.append(name) or real(df, name))
+    depth = 1500
+    edges = [(str(k + 1), str(k)) for k in range(depth)] + [(f"b{k}", str(k % 700)) for k in range(900)]
+    edges += [("0", "z"), ("u", "v"), ("v", "u"), ("w", "v"), ("lost", "away"), (None, "1"), ("0", "0"), ("5", "4")]
+    got = {r.node: (r.depth, r.path) for r in joins.tree_paths(spark.createDataFrame(edges, "child string, parent string"), "0").collect()}
+    chain = [str(k) for k in range(depth + 1)]
+    want = {c: (k, "/".join(chain[: k + 1])) for k, c in enumerate(chain)}
+    want |= {f"b{k}": (k % 700 + 1, "/".join([*chain[: k % 700 + 1], f"b{k}"])) for k in range(900)}
+    assert got == want
+    assert calls.count("tree") <= 13
+
+
+# --- correlation of many sets
+
+
+def families(r, groups, members, universe, size):
+    """Sets that share most of their positions within a group; one position is in all of them."""
+    out = {}
+    for g in range(groups):
+        base = r.sample(range(universe), size)
+        for m in range(members):
+            own = set(base) - set(r.sample(base, max(1, size // (5 + 10 * m)))) | set(r.sample(range(universe), 3)) | {7}
+            out[f"s{g:02}{m}"] = own
+    return out
+
+
+def phis(own, n):
+    out = {}
+    for a in own:
+        for b in own:
+            if a < b:
+                x = len(own[a] & own[b])
+                ca, cb = len(own[a]), len(own[b])
+                d = math.sqrt(ca * (n - ca) * cb * (n - cb))
+                out[a, b] = (x, (x * (n - ca - cb + x) - (ca - x) * (cb - x)) / d if d else None)
+    return out
+
+
+def rows_of(spark, own):
+    return spark.createDataFrame([(k, p) for k, ps in own.items() for p in ps] + [(None, 5)], "k string, p long")
+
+
+def test_all_pairs_by_blocks_and_similar_pairs_by_prefixes(spark):
+    r = random.Random(11)
+    own = families(r, 8, 4, 40_000, 60) | {"big": set(range(0, 40_000, 3)), "most": set(range(0, 40_000, 3)) - set(range(0, 900, 3)), "one": {7}, "two": {39_999}}
+    n = 40_000
+    df, want = rows_of(spark, own), phis(own, n)
+    for least in (0.3, 0.6, 0.9):
+        got = {(x.a, x.b): (x.n11, x.phi) for x in sets.similar_pairs(df, "k", least, "p").collect()}
+        assert set(got) == {k for k, (_, v) in want.items() if v >= least}
+        assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in got)
+    every = {(x.a, x.b): (x.n11, x.phi) for x in sets.all_pairs_phi(df, "k", "p").collect()}
+    assert set(every) == set(want) and all(every[k][0] == want[k][0] and abs(every[k][1] - want[k][1]) < 1e-9 for k in want)
+    best = max(want.items(), key=lambda x: (x[1][1], [-ord(c) for c in "".join(x[0])]))
+    found = sets.closest_pair(df, "k", "p").first()
+    assert (found.a, found.b, found.n11) == (*best[0], best[1][0])
+
+
+def test_more_sets_than_a_block(spark):
+    r = random.Random(12)
+    own = {f"s{k:03}": set(r.sample(range(70_000), 20)) | {3} for k in range(600)}
+    got = {(x.a, x.b): x.n11 for x in sets.common(rows_of(spark, own), "k", "p").collect()}
+    assert got == {(a, b): len(own[a] & own[b]) for a in own for b in own if a < b}  # all share one
+
+
+def test_closest_pair_of_equal_far_and_no_sets(spark):
+    own = {"a": {1, 2, 50}, "c": {4, 9}, "d": {4, 9}, "b": {4, 9}, "e": {60}}
+    assert tuple(sets.closest_pair(rows_of(spark, own), "k", "p").first()) == ("b", "c", 2, 1.0)
+    far = {"a": {1, 2, 3}, "b": {3, 4, 5, 6, 7, 8}, "c": {9, 10}}
+    want = phis(far, 11)
+    top = max(want, key=lambda k: want[k][1])
+    assert tuple(sets.closest_pair(rows_of(spark, far), "k", "p").first())[:2] == top
+    assert sets.closest_pair(rows_of(spark, {}), "k", "p").collect() == []
+    assert sets.closest_pair(rows_of(spark, {"a": {1, 2}}), "k", "p").collect() == []
+
+
+# --- adaptive bins by sketches
+
+
+def test_sketched_bins_keep_their_rank_error(spark):
+    r = random.Random(13)
+    values = [r.gauss(0, 1) if k % 3 else 0.25 for k in range(30_000)]
+    df = spark.createDataFrame([(v, -v) for v in values] + [(None, 1.0)], "x double, y double").repartition(5)
+    got = sorted(histogram.adaptive_1d(df, "x", 20, error=0.002).collect())
+    ranked = sorted(values)
+    assert sum(b.n for b in got) == len(values)
+    for b in got[1:]:
+        # the border below a bin, which is between its least value and the one before, stands at an even share of rows
+        share, wide, at = (b.bin - 1) * len(values) / 20, 0.002 * len(values) + 1, bisect.bisect_left(ranked, b.lower)
+        assert b.lower >= ranked[int(share - wide)] and ranked[at - 1] <= ranked[min(len(values) - 1, int(share + wide))]
+    cells = histogram.adaptive_2d(df, "x", "y", 4, 4, error=0.002).collect()
+    assert sum(c.n for c in cells) == len(values) and all(c.lower1 <= c.upper1 and c.lower2 <= c.upper2 for c in cells)
+    plan = df.where("x is not null").select(*[c.alias(f"b{k}") for k, c in enumerate(histogram.sketched_bins(df, {"x": 20, "y": 3}, 0.01))])._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan
+    assert histogram.adaptive_1d(df.where("x > 99"), "x", 5, error=0.01).collect() == []
+
+
+# --- loading
+
+
+def test_last_key_of_several_files_wins_by_file_name(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("".join(f"k{i % 50}\told{i}\n" for i in range(4000)))
+    (tmp_path / "b.tsv").write_text("k1\tnew\nk2\t0\n#k3\tno\nk4\t\n")
+    kv = joins.load_key_values(readers.key_values(spark, str(tmp_path / "*.tsv"), order="at"), "key", "value", "at")
+    got = {x.key: x.value for x in kv.collect()}
+    assert got == {f"k{i}": f"old{3950 + i}" for i in range(50)} | {"k1": "new"}
+
+
+def test_compressed_tables(spark, tmp_path):
+    with bz2.open(tmp_path / "t.tsv.bz2", "wt") as f:
+        f.write("a\t1\nb\t2\n")
+    assert sorted(map(tuple, readers.key_values(spark, str(tmp_path / "t.tsv.bz2")).collect())) == [("a", "1"), ("b", "2")]
+
+
+def test_a_crowded_taxonomy_path_is_many_files(spark, tmp_path):
+    rows = [(f"gi|{1 if k % 3 else 2}|s{k}", "", "ACGT" * 25) for k in range(300)]
+    seqs = spark.createDataFrame(rows, "name string, comment string, seq string")
+    gi = spark.createDataFrame([(1, 10), (2, 20)], "gi long, tax long")
+    paths = spark.createDataFrame([("10", "1/10"), ("20", "1/20")], "node string, path string")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        readers.save_by_taxonomy(seqs, gi, paths, str(tmp_path / "tax"), file_bytes=3000)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    found = spark.read.text(str(tmp_path / "tax"))
+    assert found.where("value like '>%'").count() == 300
+    files = {p.parent.name: len(list(p.parent.glob("*.txt"))) for p in (tmp_path / "tax").rglob("*.txt")}
+    assert len(files) == 2 and max(files.values()) > 1

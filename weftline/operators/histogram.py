@@ -2,7 +2,9 @@
 
 Equal width: bin i is [begin + i * stride, begin + (i + 1) * stride); there are 1 + floor((end - begin) / stride) bins, empty
 ones included.  Equal weight: rows are numbered in the order of a column and of what breaks its ties, range by range, so that
-exact bins need no sort of all rows in one task.
+exact bins need no sort of all rows in one task.  With ``error`` bins come from mergeable quantile sketches instead: one aggregate
+over the rows, no exchange of rows by range; a border's rank is off by that share of all rows at most, and equal values are never
+parted.
 """
 
 from __future__ import annotations
@@ -51,16 +53,35 @@ def with_ntile(df: DataFrame, column: str, bins: int, ties: list[str] | None = N
     return placed.withColumn(name, place.cast("long")).drop(rank)
 
 
-def adaptive_1d(df: DataFrame, column: str, bins: int = 25, ties: list[str] | None = None) -> DataFrame:
+def sketched_bins(df: DataFrame, columns: dict[str, int], error: float) -> list[Column]:
+    """The bin (from 1) of each column, {column: number of bins}, all from one aggregate: one more than the borders below a value,
+    so where many rows tie bins are left out.  A border's rank is within error * rows of an even share."""
+    accuracy = math.ceil(1 / error)
+    asked = [F.percentile_approx(c, [k / n for k in range(1, n)], accuracy) if n > 1 else F.lit(None) for c, n in columns.items()]
+    found = df.agg(*[a.alias(f"q{k}") for k, a in enumerate(asked)]).first()
+    bins = []
+    for (c, _), borders in zip(columns.items(), found, strict=True):
+        bins.append(sum(((F.col(c) > F.lit(x)).cast("long") for x in borders or []), F.lit(1).cast("long")))
+    return bins
+
+
+def adaptive_1d(df: DataFrame, column: str, bins: int = 25, ties: list[str] | None = None, error: float | None = None) -> DataFrame:
     """(bin, lower, n) of equal weight."""
+    if error:
+        real = df.where(F.col(column).isNotNull())
+        return real.groupBy(sketched_bins(real, {column: bins}, error)[0].alias("bin")).agg(F.min(column).alias("lower"), F.count("*").alias("n"))
     placed = with_ntile(df.where(F.col(column).isNotNull()), column, bins, ties)
     return placed.groupBy("bin").agg(F.min(column).alias("lower"), F.count("*").alias("n"))
 
 
-def adaptive_2d(df: DataFrame, x: str, y: str, nx: int = 25, ny: int = 25, ties: list[str] | None = None) -> DataFrame:
+def adaptive_2d(df: DataFrame, x: str, y: str, nx: int = 25, ny: int = 25, ties: list[str] | None = None, error: float | None = None) -> DataFrame:
     """(bin1, bin2, lower1, upper1, lower2, upper2, n): both columns in bins of equal weight, non-empty cells."""
     real = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*dict.fromkeys([x, y, *(ties or [])]))
-    placed = with_ntile(with_ntile(real, x, nx, ties, "bin1"), y, ny, ties, "bin2")
+    if error:
+        one, two = sketched_bins(real, {x: nx}, error) + sketched_bins(real, {y: ny}, error) if x == y else sketched_bins(real, {x: nx, y: ny}, error)
+        placed = real.withColumns({"bin1": one, "bin2": two})
+    else:
+        placed = with_ntile(with_ntile(real, x, nx, ties, "bin1"), y, ny, ties, "bin2")
     cells = placed.groupBy("bin1", "bin2").agg(F.count("*").alias("n"), *[f(c).alias(f"{f.__name__}{k}") for k, c in ((1, x), (2, y)) for f in (F.min, F.max)])
     side = lambda k: cells.groupBy(f"bin{k}").agg(F.min(f"min{k}").alias(f"lower{k}"), F.max(f"max{k}").alias(f"upper{k}"))
     return cells.select("bin1", "bin2", "n").join(side(1), "bin1").join(side(2), "bin2").select("bin1", "bin2", "lower1", "upper1", "lower2", "upper2", "n")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,8 +49,9 @@ def upsert_column(table: DataFrame, values: DataFrame, key: str, value: str, fil
 
 
 def load_key_values(rows: DataFrame, key: str, value: str, order: str | None = None) -> DataFrame:
-    """One row for each key: empty or zero keys and values are left out, and of repeated keys the last by ``order`` wins, or
-    without it the last in the order of the rows, as they stand in a file."""
+    """One row for each key: empty or zero keys and values are left out, and of repeated keys the last by ``order`` wins.  Without
+    it that is the last by row id, which is the order of the rows of one file; rows of several files carry their order
+    from the reader (``readers.key_values(..., order="at")``)."""
     real = lambda c: F.col(c).isNotNull() & ~F.col(c).cast("string").isin("", "0")
     [at] = unused(rows.columns, "_at")
     placed = rows.withColumn(at, F.col(order) if order else F.monotonically_increasing_id())
@@ -63,14 +66,39 @@ def lookup(rows: DataFrame, table: DataFrame, on: str) -> DataFrame:
 def tree_paths(edges: DataFrame, root: str, child: str = "child", parent: str = "parent", separator: str = "/") -> DataFrame:
     """(node, depth, path from the root) of every node that reaches the root, at any depth and of any number.
 
-    One join for each level: the nodes of a level are written to the shared folder, and the next level joins them, until one
-    is empty.  A node that is on its own path already is not entered again, so loops end; nodes whose parents never lead to
-    the root are not there.
+    In a tree ancestors are found by doubling: a row holds the ancestor at distance 2^k and the names between, and one join sets it
+    before the row of that ancestor.  So depth 10,000 takes 15 joins, a path is put together from as many pieces at most, and rows
+    that have reached the root are not touched again.  Depths have no gap, so when a round brings no further node to the
+    root, the rest are loops or end elsewhere.  Where a node has several parents, each of its paths is a row, and they are
+    walked level by level (see ``_walked``).
     """
-    spark = edges.sparkSession
-    real = edges.where(F.col(child) != F.col(parent)).select(F.col(child).cast("string").alias("c"), F.col(parent).cast("string").alias("p"))
-    real, folder = written(real, "edges"), new_dir(spark, "tree")
-    level = spark.range(1).select(F.lit(str(root)).alias("node"), F.lit(0).alias("depth"), F.array(F.lit(str(root))).alias("trail"))
+    name = lambda c: F.col(c).cast("string")
+    known = edges.where(F.col(child) != F.col(parent)).select(name(child).alias("c"), name(parent).alias("p")).where(F.col("c") != str(root))
+    real = written(known.distinct(), "edges")
+    if not real.groupBy("c").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return _walked(real, str(root), separator)
+    top, apart = F.lit(str(root)), F.lit(separator)
+    rows, done = written(real.select(F.col("c").alias("node"), F.col("p").alias("up"), F.lit(1).alias("depth"), F.col("c").alias("piece")), "tree"), []
+    while True:
+        arrived, rest = rows.where(F.col("up") == top), rows.where(F.col("up") != top)
+        if arrived.isEmpty():
+            break
+        done.append(arrived)
+        if rest.isEmpty():
+            break
+        ahead = reduce(DataFrame.unionByName, [*done, rest]).select(F.col("node").alias("at"), F.col("up").alias("over"), F.col("depth").alias("more"), F.col("piece").alias("before"))
+        jumped = rest.join(ahead, F.col("up") == F.col("at"))
+        rows = written(jumped.select("node", F.col("over").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), F.concat("before", apart, "piece").alias("piece")), "tree")
+    first = edges.sparkSession.range(1).select(top.alias("node"), F.lit(0).alias("depth"), top.alias("path"))
+    return reduce(DataFrame.unionByName, [first, *[d.select("node", "depth", F.concat(top, apart, "piece").alias("path")) for d in done]])
+
+
+def _walked(real: DataFrame, root: str, separator: str) -> DataFrame:
+    """All paths from the root: one join for each level, the nodes of a level written to the shared folder, until one is empty.
+    A node that is on its own path already is not entered again, so loops end."""
+    spark = real.sparkSession
+    folder = new_dir(spark, "tree")
+    level = spark.range(1).select(F.lit(root).alias("node"), F.lit(0).alias("depth"), F.array(F.lit(root)).alias("trail"))
     kinds, levels = level.schema, []
     while True:
         levels.append(f"{folder}/{len(levels)}")

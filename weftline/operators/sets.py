@@ -6,13 +6,16 @@ for each bucket, built and combined with Spark's bitmap functions, so that posit
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftline.operators.shared import in_order, unused
+from weftline.operators.shared import in_order, unused, written
 
 
 def from_intervals(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", pos: str = "pos") -> DataFrame:
@@ -137,23 +140,143 @@ def _phi(n11: Column, n10: Column, n01: Column, n00: Column) -> Column:
     return F.try_divide(n11.cast("double") * n00 - n10.cast("double") * n01, F.sqrt(product))
 
 
+#: Sets of a block: a task holds the bitmaps of two blocks in one bucket, 4,096 bytes each.
+SIDE = 256
+
+
+def common(df: DataFrame, key: str, pos: str = "pos") -> DataFrame:
+    """(a, b, n11) of every pair of sets a < b with common positions.
+
+    Sets are numbered and fall into blocks of SIDE.  In each bucket of positions two blocks meet as bitmaps, and one product of
+    matrices counts the common positions of all their pairs; a task adds up the buckets that it sees.  So a position of
+    all sets costs a bit of each, and no row for each pair.
+    """
+    bitmaps = compact(df.select(F.col(key).alias("_k"), F.col(pos).cast("long").alias("_p")).where("_k is not null and _p is not null"), ["_k"], "_p")
+    numbered = written(in_order(bitmaps.select("_k").distinct(), ["_k"], "_i"), "numbered")
+    blocks = (numbered.count() + SIDE - 1) // SIDE
+    own = F.expr(f"cast(_i div {SIDE} as int)")
+    # a block meets those before it, itself, and those after it
+    pair = F.explode(F.transform(F.sequence(F.lit(0), F.lit(max(0, blocks - 1))), lambda y: F.struct(F.least(own, y).alias("x"), F.greatest(own, y).alias("y")))).alias("pair")
+    met = bitmaps.join(numbered, "_k").select("bucket", F.col("_i").alias("i"), "bitmap", pair).select(F.col("pair.x").alias("x"), F.col("pair.y").alias("y"), "bucket", "i", "bitmap")
+    dealt = met.repartition("x", "y", "bucket").sortWithinPartitions("x", "y", "bucket", "i")
+    n11 = dealt.mapInArrow(_products, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n11"))
+    name = lambda i, c: numbered.select(F.col("_i").alias(i), F.col("_k").alias(c))
+    return n11.join(name("i", "a"), "i").join(name("j", "b"), "j").select("a", "b", "n11")
+
+
+def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(i, j, common positions) of the pairs of each two blocks, from rows in order of blocks and buckets."""
+    total, blocks, bucket = np.zeros((SIDE, SIDE), np.int64), None, None
+    held: list[tuple[int, bytes]] = []
+
+    def multiplied() -> None:
+        x, y = blocks
+        sides = [[r for r in held if r[0] // SIDE == z] for z in (x, y)]
+        if all(sides):
+            bits = [np.unpackbits(np.frombuffer(b"".join(b for _, b in side), np.uint8).reshape(len(side), -1), axis=1).astype(np.float32) for side in sides]
+            at = [np.array([i % SIDE for i, _ in side]) for side in sides]
+            total[np.ix_(*at)] += (bits[0] @ bits[1].T).astype(np.int64)  # at most 32,768, exact in 32 bits
+        held.clear()
+
+    def told() -> pa.RecordBatch:
+        i, j = np.nonzero(total)
+        n = total[i, j]
+        total[:] = 0
+        i, j = i + blocks[0] * SIDE, j + blocks[1] * SIDE
+        kept = i < j
+        return pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in (i, j, n)], names=["i", "j", "n"])
+
+    for batch in batches:
+        for x, y, at, i, bitmap in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "bucket", "i", "bitmap")), strict=True):
+            if blocks is not None and (x, y, at) != (*blocks, bucket):
+                multiplied()
+                if (x, y) != blocks:
+                    yield told()
+            blocks, bucket = (x, y), at
+            held.append((i, bitmap))
+    if blocks is not None:
+        multiplied()
+        yield told()
+
+
+def _cardinalities(df: DataFrame, key: str, pos: str, size: int | None) -> tuple[DataFrame, DataFrame, Column]:
+    """(distinct (k, p), (k, c), the universe's size)."""
+    universe = F.lit(size) if size else F.lit(df.agg(F.max(pos)).first()[0]) + 1
+    own = df.select(F.col(key).alias("k"), F.col(pos).alias("p")).where("k is not null and p is not null").distinct()
+    return own, own.groupBy("k").agg(F.count("*").alias("c")), universe
+
+
 def all_pairs_phi(df: DataFrame, key: str, pos: str = "pos", size: int | None = None) -> DataFrame:
     """(a, b, n11, phi) of every pair of sets a < b, over a universe of ``size`` positions (one past the greatest by default).
-    Common positions come from an equi-join and are counted before pairs meet; the pairs themselves, one row for two sets, are
-    the result."""
-    universe = F.lit(size) if size else F.lit(df.agg(F.max(pos)).first()[0]) + 1
-    own = df.select(F.col(key).alias("k"), F.col(pos).alias("p")).distinct()
-    counts = own.groupBy("k").agg(F.count("*").alias("c"))
-    both = own.select(F.col("k").alias("a"), "p").join(own.select(F.col("k").alias("b"), "p"), "p").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n11"))
+    Common positions are counted by blocks (``common``); the pairs themselves, one row for two sets, are the result."""
+    _, counts, universe = _cardinalities(df, key, pos, size)
     left, right = counts.select(F.col("k").alias("a"), F.col("c").alias("ca")), counts.select(F.col("k").alias("b"), F.col("c").alias("cb"))
-    met = left.join(right, F.col("a") < F.col("b")).join(both, ["a", "b"], "left").withColumn("n11", F.coalesce("n11", F.lit(0)).cast("long"))
+    met = left.join(right, F.col("a") < F.col("b")).join(common(df, key, pos), ["a", "b"], "left").withColumn("n11", F.coalesce("n11", F.lit(0)).cast("long"))
     n11, ca, cb = F.col("n11"), F.col("ca"), F.col("cb")
     return met.select("a", "b", "n11", _phi(n11, ca - n11, cb - n11, universe - ca - cb + n11).alias("phi"))
 
 
+#: Rank error of the sketches that cut prefixes, as a share of a set.
+PREFIX_ERROR = 1e-3
+
+
+def similar_pairs(df: DataFrame, key: str, least: float, pos: str = "pos", size: int | None = None) -> DataFrame:
+    """(a, b, n11, phi) of the pairs of sets a < b with a phi of at least ``least``, above 0; no other pairs are counted.
+
+    With t the threshold and n the universe, a set of c positions reaches t only with one of at least
+    lo(c) = t^2 c n / (n - c + t^2 c) positions, shares as many with it at least (that bound is concave in the other's size, so its ends
+    decide), and is bounded the same way from above.  So of all positions in an order of rarity, two such sets share one
+    among the first c - lo(c) + 1 of each: only these prefixes are joined.  Prefixes are cut by a mergeable sketch of each
+    set's places in that order, a little late by its rank error, which loses nothing.  Candidates are counted exactly, 64
+    positions at a time.  Sets that are empty or have all positions have no phi.
+    """
+    if not 0 < least <= 1:
+        raise ValueError("least is above 0 and at most 1")
+    own, counts, universe = _cardinalities(df, key, pos, size)
+    t2, c = F.lit(least * least), F.col("c").cast("double")
+    n = universe.cast("double")
+    low = t2 * c * n / (n - c + t2 * c)
+    rare = in_order(own.groupBy("p").agg(F.count("*").alias("f")), ["f", "p"], "g").select("p", "g")
+    sized = written(counts.where(F.col("c") < universe).withColumn("share", (c - F.ceil(low - 1e-6) + 1) / c + 2 * PREFIX_ERROR), "sets")
+    placed = written(own.join(rare, "p").join(sized, "k"), "places")
+    # the least place that at least the share of the set's positions do not pass: one of a hundred marks, the last of which is the whole set
+    marks = [(i + 1) / 100 for i in range(100)]
+    sketch = placed.groupBy("k").agg(F.first("share").alias("s"), F.percentile_approx("g", [min(1.0, m + PREFIX_ERROR) for m in marks], int(1 / PREFIX_ERROR)).alias("m"), F.max("g").alias("top"))
+    cut = F.when(F.col("s") >= 1, F.col("top")).otherwise(F.get("m", F.ceil(F.col("s") * 100).cast("int") - 1))
+    prefixes = placed.join(sketch.select("k", cut.alias("cut")), "k").where(F.col("g") <= F.col("cut")).select("k", "p", "c")
+    left, right = (prefixes.select(F.col("k").alias(k), "p", F.col("c").alias(f"c{k}")) for k in "ab")
+    small, great = F.least("ca", "cb").cast("double"), F.greatest("ca", "cb").cast("double")
+    reachable = small * (n - great) >= t2 * great * (n - small) * (1 - 1e-9)
+    pairs = left.join(right, "p").where((F.col("a") < F.col("b")) & reachable).select("a", "b", "ca", "cb").distinct()
+    words = own.groupBy("k", F.expr("shiftright(p, 6)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits"))
+    x, y = words.select(F.col("k").alias("a"), "w", F.col("bits").alias("x")), words.select(F.col("k").alias("b"), "w", F.col("bits").alias("y"))
+    met = pairs.join(x, "a").join(y, ["b", "w"]).groupBy("a", "b", "ca", "cb").agg(F.sum(F.bit_count(F.col("x").bitwiseAND(F.col("y")))).cast("long").alias("n11"))
+    n11, ca, cb = F.col("n11"), F.col("ca"), F.col("cb")
+    return met.select("a", "b", "n11", _phi(n11, ca - n11, cb - n11, universe - ca - cb + n11).alias("phi")).where(F.col("phi") >= least - 1e-9)
+
+
 def closest_pair(df: DataFrame, key: str, pos: str = "pos", size: int | None = None) -> DataFrame:
-    """(a, b, n11, phi) of the pair of sets with the greatest phi; of equal ones the first."""
-    pairs = all_pairs_phi(df, key, pos, size).where("phi is not null")
+    """(a, b, n11, phi) of the pair of sets with the greatest phi; of equal ones the first.
+
+    Equal sets are found by a hash of their positions and their number, without pairs, and settle it.  Otherwise thresholds fall
+    until some pair reaches one (``similar_pairs``); only if none reaches the last are all pairs counted.
+    """
+    own, counts, universe = _cardinalities(df, key, pos, size)
+    hashed = own.groupBy("k").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("p")).alias("h1"), F.bit_xor(F.xxhash64("p", F.lit(1))).alias("h2"))
+    twice = hashed.where(F.col("c") < universe).withColumn("r", F.row_number().over(Window.partitionBy("c", "h1", "h2").orderBy("k"))).where("r <= 2")
+    same = twice.groupBy("c", "h1", "h2").agg(F.min("k").alias("a"), F.max("k").alias("b"), F.count("*").alias("n")).where("n = 2")
+    found = same.agg(F.min(F.struct("a", "b", F.col("c").alias("n11"), F.lit(1.0).alias("phi"))).alias("p")).where("p is not null").select("p.*")
+    if not found.isEmpty():
+        return found
+    apart = written(own.select(F.col("k").alias(key), F.col("p").alias(pos)), "sets")
+    n = size or ((apart.agg(F.max(pos)).first()[0] or 0) + 1)
+    pairs = None
+    for least in (0.9, 0.7, 0.5, 0.3, 0.15):
+        pairs = written(similar_pairs(apart, key, least, pos, n), "pairs")
+        if not pairs.isEmpty():
+            break
+    else:
+        pairs = all_pairs_phi(apart, key, pos, n).where("phi is not null")
     top = pairs.join(F.broadcast(pairs.agg(F.max("phi").alias("top"))), F.col("phi") == F.col("top"))
     return top.agg(F.min(F.struct("a", "b", "n11", "phi")).alias("p")).where("p is not null").select("p.*")
 

@@ -19,8 +19,14 @@ def delimited(spark: SparkSession, path: str, schema: str, sep: str = "\t") -> D
     return spark.read.csv(path, schema=schema, sep=sep, comment="#", mode="FAILFAST")
 
 
-def key_values(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
-    return delimited(spark, path, "key string, value string", sep)
+def key_values(spark: SparkSession, path: str, sep: str = "\t", order: str | None = None) -> DataFrame:
+    """(key, value), and with ``order`` a column of that name by which rows stand as in the files: by file name, place of the
+    split, and row within it.  Row ids alone would not do, as Spark reads the splits of several files by their size."""
+    rows = delimited(spark, path, "key string, value string", sep)
+    if not order:
+        return rows
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return rows.select("key", "value", place.alias(order))
 
 
 def sign(strand: Column) -> Column:
@@ -151,13 +157,18 @@ def taxonomy_nodes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(parts[0].cast("long").alias("tax"), parts[1].cast("long").alias("parent"))
 
 
-def save_by_taxonomy(sequences: DataFrame, gi_tax: DataFrame, paths: DataFrame, folder: str, least: int = 32) -> None:
+def save_by_taxonomy(sequences: DataFrame, gi_tax: DataFrame, paths: DataFrame, folder: str, least: int = 32, file_bytes: int = 128 << 20) -> None:
     """Sequences of at least a length as text under a folder for each taxonomy path.  A header that lists several gi numbers
-    counts as its least; sequences without a known one are dropped."""
+    counts as its least; sequences without a known one are dropped.  A path is dealt over as many files as its bytes fill, known
+    from a count before, so one that has most of the sequences is written by many tasks."""
     numbers = F.transform(F.regexp_extract_all(F.concat_ws(" ", "name", "comment"), F.lit(r"gi\|(\d+)"), F.lit(1)), lambda x: x.cast("long"))
     own = sequences.where(F.length("seq") >= least).withColumn("gi", F.array_min(numbers))
     met = own.join(gi_tax, "gi").join(paths.select(F.col("node").cast("long").alias("tax"), F.col("path").alias("tax_path")), "tax")
-    met.select("tax_path", F.concat(F.lit(">"), F.concat_ws(" ", "name", "comment"), F.lit("\n"), F.col("seq")).alias("value")).repartition("tax_path").write.mode("append").partitionBy("tax_path").text(folder)
+    lines = written(met.select("tax_path", F.concat(F.lit(">"), F.concat_ws(" ", "name", "comment"), F.lit("\n"), F.col("seq")).alias("value")), "taxa")
+    heavy = lines.groupBy("tax_path").agg(F.ceil(F.sum(F.octet_length("value")) / file_bytes).alias("files")).where("files > 1")
+    part = F.pmod(F.xxhash64("value", F.monotonically_increasing_id()), F.coalesce("files", F.lit(1)))
+    dealt = lines.join(heavy, "tax_path", "left").select("tax_path", "value", part.alias("part"))
+    dealt.repartition("tax_path", "part").drop("part").write.mode("append").partitionBy("tax_path").text(folder)
 
 
 def infer_types(df: DataFrame, wide_floats: bool = True, most_categories: int = 256) -> DataFrame:
