@@ -7,7 +7,8 @@ lattice:
 1. its substrings of bounded length are exploded and equi-joined to the piece table;
 2. the edges of the lattice are grouped by unit;
 3. a higher-order fold over the edges, in the order of their ends, keeps the best path to each place (Viterbi).  It looks back
-   over as many places as the longest piece has, and carries the paths' ids packed, so a very long unit takes linear steps.
+   over as many places as the longest piece has, and carries the paths' ids packed.  Each substring's row carries its unit, so
+   time grows with the square of a unit's length; units of natural text have a few dozen characters.
 
 No text is shuffled.  A text's rows are known by their file and their number in it; units are handed on with the number of
 their block of ROWS rows, once for each block and unit.  The ids come back as one small table for each block in the shared
