@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -850,6 +851,27 @@ def test_best_paths_agree_with_the_library_and_the_fallback(spark):
         assert math.isclose(sum(score for i, score in model.ids.values() for _ in range(model.best("▁" + w).count(i))), worst("▁" + w))
 
 
+@pytest.mark.parametrize("size", [16, spm.WINDOW])
+def test_long_units_by_windows(spark, size):
+    model = pieces.load()
+    some = ["e" * 300, "the" * 100, "international" * 40 + "日本🙂" * 30, "x\tyz" * 99, *("thehe"[k:] + "acgtin" * 60 for k in range(4)), "a" * size, "ab" * size]
+    long = spark.createDataFrame([(k % 3, u) for k, u in enumerate(some * 2)], "block long, unit string")
+    parts = spm.windows(long, model, size)
+    assert max(len(r.unit) for r in parts.collect()) <= size + model.longest - 1
+    got = {r.key: np.frombuffer(r.ids, model.code).tolist() for r in spm.best_long_paths(spm.lattice(parts, model), model.longest, size).collect()}
+    assert got == {hashlib.sha256(u.encode()).hexdigest(): model.best(u) for u in some}
+
+
+def test_time_grows_with_a_unit(spark):
+    model, took = pieces.load(), {}
+    for n in (300, 20_000, 80_000):  # the first one warms up
+        long, since = spark.createDataFrame([(0, "e" * n)], "block long, unit string"), time.monotonic()
+        (row,) = spm.best_long_paths(spm.lattice(spm.windows(long, model), model), model.longest).collect()
+        took[n] = time.monotonic() - since
+        assert np.frombuffer(row.ids, model.code).tolist() == model.best("e" * n)
+    assert took[80_000] < 8 * took[20_000] + 2  # 16 times, if it grew with the square
+
+
 def whole_units(t):
     """A text between the marks that stand for its spaces."""
     return re.findall("▁[^▁]*", "▁" + t.replace(" ", "▁")) if t else []

@@ -7,8 +7,10 @@ lattice:
 1. its substrings of bounded length are exploded and equi-joined to the piece table;
 2. the edges of the lattice are grouped by unit;
 3. a higher-order fold over the edges, in the order of their ends, keeps the best path to each place (Viterbi).  It looks back
-   over as many places as the longest piece has, and carries the paths' ids packed.  Each substring's row carries its unit, so
-   time grows with the square of a unit's length; units of natural text have a few dozen characters.
+   over as many places as the longest piece has, and carries the paths' ids packed.
+4. A unit of over WINDOW characters is first cut into windows of so many ends, each with as much text before it as a piece can
+   reach back.  Windows are exploded and joined like units; one fold goes over a unit's windows in order, keeps the last piece
+   to each place, and a second one reads the path from the end.  So a substring's row carries a window, not the unit.
 
 No text is shuffled.  A text's rows are known by their file and their number in it; units are handed on with the number of
 their block of ROWS rows, once for each block and unit.  The ids come back as one small table for each block in the shared
@@ -44,6 +46,8 @@ ROWS = 8192
 #: Different units that a task collects before it hands them on, words that it cuts at a time, and characters that it encodes
 #: at a time.
 COLLECTED, AT_ONCE, CHARS = 400_000, 50_000, 1 << 18
+#: Characters of the longest unit that is exploded whole, and of a window of a longer one.
+WINDOW = 128
 #: Characters of a piece's head: a start whose head begins no piece has shorter pieces only.
 HEAD = 4
 
@@ -94,11 +98,13 @@ def head_table(spark: SparkSession, model: table.Pieces) -> DataFrame:
     return spark.createDataFrame(pa.table({"head": pa.array(list(most), pa.string()), "most": pa.array(list(most.values()), pa.int32())}))
 
 
-def lattice(found: DataFrame, model: table.Pieces) -> DataFrame:
-    """found (unit and other columns) with edges: the pieces of each unit in the order of their ends, then starts.  Rows stay
-    where unit put them: substrings join a broadcast table, and their group is the unit again."""
+def lattice(found: DataFrame, model: table.Pieces, most_chars: int | None = None) -> DataFrame:
+    """found (unit and other columns) with edges: the pieces of each unit, of those up to most_chars, in the order of their
+    ends, then starts.  Rows stay where unit put them: substrings join a broadcast table, and their group is the unit again."""
     unit, own = F.col("unit"), found.columns
-    starts = found.select(*own, F.length(unit).alias("n"), F.explode(F.sequence(F.lit(1), F.length(unit))).alias("at"))
+    places = F.sequence(F.lit(1), F.length(unit))
+    # what is too long explodes to nothing here; a filter would be pushed below the units' exchange and make another one of it
+    starts = found.select(*own, F.length(unit).alias("n"), F.explode(places if most_chars is None else F.when(F.length(unit) <= most_chars, places)).alias("at"))
     # the longest piece that begins as a start does: most starts need a few substrings
     ahead = starts.withColumn("head", F.substring(unit, F.col("at"), F.lit(HEAD))).join(F.broadcast(head_table(found.sparkSession, model)), "head", "left")
     most = F.least(F.coalesce("most", F.lit(HEAD - 1)), F.col("n") - F.col("at") + 1)
@@ -130,6 +136,63 @@ def best_paths(lattices: DataFrame, model: table.Pieces) -> DataFrame:
     return lattices.select(*[c for c in lattices.columns if c != "edges"], F.aggregate("edges", first, step, lambda a: a["ids"]).alias("ids"))
 
 
+def windows(long: DataFrame, model: table.Pieces, size: int = WINDOW) -> DataFrame:
+    """(key, first, w, skip, unit): the windows of the different units of long (block, unit), as units of their own.  Window w
+    holds the ends from w * size + 1 to (w + 1) * size, after skip characters that pieces with these ends can begin in."""
+    before = model.longest - 1
+    each = long.groupBy(F.sha2("unit", 256).alias("key")).agg(F.min("block").alias("first"), F.first("unit").alias("whole"))
+
+    def cut(w: Column) -> Column:
+        skip = F.least(w * size, F.lit(before))
+        return F.struct(w.alias("w"), skip.alias("skip"), F.substring(F.col("whole"), w * size - skip + 1, skip + size).alias("unit"))
+
+    last = F.floor((F.length("whole") - 1) / size).cast("int")
+    return each.select("key", "first", F.inline(F.transform(F.sequence(F.lit(0), last), cut)))
+
+
+def best_long_paths(lattices: DataFrame, longest: int, size: int = WINDOW) -> DataFrame:
+    """(key, first, ids) of the lattices of windows, as best_paths gives them.
+
+    A fold over windows holds a fold over the edges of each: a list that grows step by step has a window's length at most, and
+    one entry for each window is added to the list that has the unit's.
+    """
+    shift = F.col("w") * size - F.col("skip")
+    own = F.transform(F.filter("edges", lambda x: x["end"] > F.col("skip")), lambda x: x.withField("end", x["end"] + shift).withField("start", x["start"] + shift))
+    met = lattices.select("key", "first", "w", own.alias("edges")).groupBy("key", "first").agg(F.sort_array(F.collect_list(F.struct("w", "edges"))).alias("windows"))
+
+    def step(a: Column, x: Column) -> Column:
+        # a: the place that edges end at now, with the score and last piece of its best path; scores and pieces of those before
+        further, back = x["end"] > a["end"], x["start"] - a["end"]
+        score = F.when(back == 0, a["score"]).otherwise(F.element_at(a["before"], back)) + x["score"]
+        scores = F.concat(a["before"], F.array(a["score"]))
+        before = F.when(further, F.slice(scores, F.greatest(F.size(scores) - longest, F.lit(0)) + 1, longest)).otherwise(a["before"])
+        done = F.when(further, F.concat(a["done"], F.array(F.struct(a["size"].alias("size"), a["code"].alias("code"))))).otherwise(a["done"])
+        better = F.struct(x["end"].alias("end"), score.alias("score"), (x["end"] - x["start"]).alias("size"), x["code"].alias("code"), before.alias("before"), done.alias("done"))
+        return F.when(further | (score > a["score"]), better).otherwise(a)
+
+    def back(a: Column, x: Column) -> Column:
+        # a: places to pass by before the next one on the path, and the ids after them
+        return F.when(a["pass"] > 0, F.struct((a["pass"] - 1).alias("pass"), a["ids"].alias("ids"))).otherwise(F.struct((x["size"] - 1).alias("pass"), F.concat(x["code"], a["ids"]).alias("ids")))
+
+    empty, nothing = F.lit(bytearray()), F.expr("cast(array() as array<struct<size:int,code:binary>>)")
+    none = F.struct(F.lit(0).alias("end"), F.lit(0.0).alias("score"), F.lit(0).alias("size"), empty.alias("code"), F.expr("cast(array() as array<double>)").alias("before"), nothing.alias("done"))
+    # each fold is named once, as an expression that is named twice runs twice; what it leaves is taken up at the next window
+    forward = F.aggregate(
+        "windows",
+        F.struct(none.alias("at"), F.expr("cast(array() as array<array<struct<size:int,code:binary>>>)").alias("done")),
+        lambda a, x: F.struct(F.aggregate(x["edges"], a["at"].withField("done", nothing), step).alias("at"), F.concat(a["done"], F.array(a["at"]["done"])).alias("done")),
+        lambda a: F.concat(a["done"], F.array(a["at"]["done"], F.array(F.struct(a["at"]["size"].alias("size"), a["at"]["code"].alias("code"))))),
+    )
+    path = F.aggregate(
+        F.reverse("places"),
+        F.struct(F.struct(F.lit(0).alias("pass"), empty.alias("ids")).alias("at"), F.expr("cast(array() as array<binary>)").alias("ids")),
+        lambda a, x: F.struct(F.aggregate(F.reverse(x), a["at"].withField("ids", empty), back).alias("at"), F.concat(a["ids"], F.array(a["at"]["ids"])).alias("ids")),
+        lambda a: F.concat(a["ids"], F.array(a["at"]["ids"])),
+    )
+    found = met.select("key", "first", forward.alias("places")).select("key", "first", path.alias("parts"))
+    return found.select("key", "first", F.aggregate(F.reverse("parts"), empty, lambda a, x: F.concat(a, x)).alias("ids"))
+
+
 def _with_blocks(docs: DataFrame) -> tuple[DataFrame, Column, Column]:
     """docs, and a row's file and number in it; docs is written first if it does not come straight from Parquet files."""
     place = lambda d: (d.metadataColumn("_metadata")["file_path"], d.metadataColumn("_metadata")["row_index"])
@@ -176,8 +239,11 @@ def encoded_units(texts: DataFrame, model: table.Pieces) -> str:
     # dealt by unit once: the different units, the group of the lattice and the join need no further exchange.  Both sides of the
     # join read the same columns and rows (so the first block goes with a unit), and so the same exchange
     found = texts.mapInArrow(run, "block long, unit string").where("block is not null and unit is not null").repartition("unit")
-    ids = best_paths(lattice(found.groupBy("unit").agg(F.min("block").alias("first")), model), model).withColumnRenamed("unit", "of")
-    met = found.join(ids.hint("shuffle_hash"), (F.col("unit") == F.col("of")) & (F.col("block") >= F.col("first"))).select("block", "unit", "ids")
+    ids = best_paths(lattice(found.groupBy("unit").agg(F.min("block").alias("first")), model, WINDOW), model).withColumnRenamed("unit", "of")
+    short = found.join(ids.hint("shuffle_hash"), (F.col("unit") == F.col("of")) & (F.col("block") >= F.col("first"))).select("block", "unit", "ids")
+    long = found.select("block", F.explode(F.when(F.length("unit") > WINDOW, F.array("unit"))).alias("unit"))
+    paths = best_long_paths(lattice(windows(long, model), model), model.longest)
+    met = short.unionByName(long.join(paths, (F.sha2("unit", 256) == F.col("key")) & (F.col("block") >= F.col("first"))).select("block", "unit", "ids"))
     folder = new_dir(texts.sparkSession, "blocks")
     met.repartition("block").sortWithinPartitions("block").write.mode("append").option("compression", "zstd").partitionBy("block").parquet(folder)
     return folder
