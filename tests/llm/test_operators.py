@@ -670,6 +670,26 @@ def test_main_text_reads_markup_as_it_is():
     assert read("<div class=share>only this</div>") == "" and read("<p>one</p><div class='x-share'>two</div>") == "one"
 
 
+def test_main_text_beside_comments_and_within_forms():
+    read = lambda t: html_main.extracted(t, None)
+    text = "<h1>The title</h1><p>A paragraph that says what the page is about, at some length.</p>"
+    kept = "The title\nA paragraph that says what the page is about, at some length."
+    said = "<p>A reader has a long opinion on this, too, and says it here at a good deal more length than the text itself has.</p>"
+    assert read(f"<main><article class='post'>{text}</article><ol class='commentlist'><li><article class='comment-body'>{said}</article></ol></main>") == kept
+    assert read(f"<main><article class='post'>{text}</article><article class='comment even depth-1'>{said}</article></main>") == kept
+    assert read(f"<article>{text}<div class=commentlist>{said}</div></article>") == kept
+    assert read(f"<article class='no-comments'>{text}</article>") == read(f"<article class='post comments-open'>{text}</article>") == kept
+    assert read(f"<body><form id=all><div class='content'>{text}</div></form></body>") == kept
+    assert read(f"<body><a href=#x>Skip</a><form><main>{text}</main></form><form><p>Your name, and your address.</p></form></body>") == kept
+    assert read(f"<article>{text}</article><form><h2>Write to us</h2><p>Your name, and your address.</p></form>") == kept
+    assert read("<div class='banner'><p>The only words that this page has are here.</p></div>") == "The only words that this page has are here."
+    assert read("<form><p>A page that is one form has this sentence.</p></form>") == "A page that is one form has this sentence."
+    assert read("<div class='cookie-notice'><p>We use cookies on all of our pages.</p></div>") == ""
+    assert read("<article><p>As long as <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> holds, all is well.</p></article>") == "As long as x=1 holds, all is well."
+    started = time.monotonic()
+    assert read("<form class=a>" * 50_000 + text).count("\n") == 1 and time.monotonic() - started < 20
+
+
 def test_main_text_of_deep_and_long_pages():
     deep = "<div class=a>" * 100_000 + "<p>Some text that is deep down in here.</p>" + "</div>" * 100_000 + "</b>" * 1000
     assert html_main.extracted(deep, None) == "Some text that is deep down in here."

@@ -9,7 +9,9 @@
 3. Pages are read again with the path that their host has chosen.  A page without that path uses its own best container.
 
 Never main text: navigation, headers and footers of the page, sidebars, notices, adverts, forms, scripts, styles, comments
-of readers and markup (by tag, role, or a class or id that says nothing else).
+of readers and markup (by tag, role, or a class or id that says nothing else; an article only if it is named as a comment).  A
+form that holds an article, a main element or a first heading is one around the text.  If nothing is left of a page, forms and
+names of PLACES do not count against its text.
 
 A path is a 64-bit number made step by step, so a page's paths take as much room as its elements, however deep they are.
 
@@ -40,10 +42,10 @@ from pyspark.sql import functions as F
 from weftline.llm.shared import written
 
 # fixed values: elements of HTML by their role here
-RAW = frozenset("script style noscript template iframe object svg math canvas audio video textarea select title head".split())
+RAW = frozenset("script style noscript template iframe object svg canvas audio video textarea select title head".split())
 RAW_TEXT = frozenset("script style textarea title noscript iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NEVER = frozenset("nav footer aside form button dialog menu".split()) | RAW
+NEVER = frozenset("nav footer aside form button dialog menu annotation annotation-xml".split()) | RAW
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINER = frozenset("article main section div body td center".split())
@@ -54,6 +56,13 @@ CLOSES_SELF = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dd dt", ("dl",)), "dd
 #: is dropped anywhere; one that has them beside other parts (section-header) gets no votes, but stays within the chosen path.
 BAD_WORDS = frozenset("nav navbar navigation menu header masthead topbar footer sidebar aside widget ad ads advert adverts advertisement banner promo sponsor sponsored cookie cookies consent notice notices gdpr popup modal newsletter subscribe signup login form search share sharing social breadcrumb breadcrumbs pagination pager related recommended comment comments respond reply replies disqus toolbar skip copyright legal".split())
 BESIDE = frozenset("site page global main top bottom left right box wrap wrapper container area slot block bar list inner outer links buttons posts".split())
+#: A name of a part of readers' comments has one of the first, and nothing beside it but these.
+COMMENT_WORDS = frozenset("comment comments respond reply replies disqus".split())
+OF_COMMENTS = COMMENT_WORDS | BESIDE | frozenset("body content text meta author avatar form section thread threads item items title header heading footer metadata entry depth even odd user byuser bypostauthor nested children".split())
+#: Words that say where something stands rather than what it is.
+PLACES = frozenset("banner header masthead form widget promo".split())
+#: What runs together with a bad word in one name (commentlist, navbar).
+ENDINGS = frozenset("list bar box area wrap block form body links menu".split())
 TEXT_WORDS = frozenset("content article post entry main story".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 
@@ -62,6 +71,9 @@ TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)(
 ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 DIGITS = re.compile(r"[\d/]+")
 WORDS = re.compile(r"[a-z]+")
+#: What a form around the page's text holds, and one to fill in does not.
+WITHIN = re.compile(r"<(?:h1|article|main)\b", re.I)
+FORM_END = re.compile(r"</form\b", re.I)
 #: So many containers around one are looked at when its path is widened.
 AROUND = 32
 GOOD, DOUBTFUL, BAD = range(3)
@@ -82,22 +94,38 @@ def extended(path: int, step: str) -> int:
     return xxhash.xxh3_64_intdigest(step.encode("utf-8", "replace"), path & (1 << 64) - 1) - (1 << 63)
 
 
-def verdict(tag: str, found: dict[str, str], inside: bool) -> int:
-    """GOOD, DOUBTFUL or BAD.  inside: within an article or main element, where a header belongs to the text."""
+def parts_of(name: str) -> set[str]:
+    """The words of a class or id, and the two of a bad word and an ending that run together."""
+    out: set[str] = set()
+    for word in WORDS.findall(name):
+        split = next((k for k in range(2, len(word)) if word[:k] in BAD_WORDS and word[k:] in ENDINGS), 0) if word not in BAD_WORDS else 0
+        out |= {word[:split], word[split:]} if split else {word}
+    return out
+
+
+def verdict(tag: str, found: dict[str, str], inside: bool, loose: bool = False) -> int:
+    """GOOD, DOUBTFUL or BAD.  inside: within an article or main element, where a header belongs to the text.  loose: forms and
+    names of PLACES say nothing."""
+    if loose and tag == "form":
+        return GOOD
     if tag in NEVER or (tag == "header" and not inside):
         return BAD
     if not found:
         return GOOD
     if found.get("role", "").lower() in BAD_ROLES or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower():
         return BAD
-    if tag in ("html", "body", "article", "main"):
+    if tag in ("html", "body", "main"):
         return GOOD
-    worst = GOOD
+    worst, bad = GOOD, BAD_WORDS - PLACES if loose else BAD_WORDS
     for name in f"{found.get('class', '')} {found.get('id', '')}".lower().split():
-        parts = set(WORDS.findall(name))
-        if parts & BAD_WORDS and not parts - BAD_WORDS - BESIDE:
+        parts = parts_of(name)
+        if parts & COMMENT_WORDS and not parts - OF_COMMENTS:
+            return BAD
+        if tag == "article":
+            continue
+        if parts & bad and not parts - bad - BESIDE:
             return BAD
-        if parts & BAD_WORDS and not (parts & TEXT_WORDS):
+        if parts & bad and not (parts & TEXT_WORDS):
             worst = DOUBTFUL
     return worst
 
@@ -150,12 +178,22 @@ OUTSIDE = Open("", 0, -1, GOOD, False, False)
 
 
 def read(page: str) -> Page:
+    """A page of which nothing would be left is read without forms and names of PLACES, if that finds main text."""
+    out = blocks_of(page, False)
+    if out.texts or not page:
+        return out
+    again = blocks_of(page, True)
+    return again if any(worth(text, links) for text, (_, links, *_) in zip(again.texts, again.blocks, strict=True)) else out
+
+
+def blocks_of(page: str, loose: bool) -> Page:
     """Time and memory grow with the page, however deep its elements are."""
     out, stack, held = Page(), [], []
+    within, form_end = [-1], [-1]  # the next places of what they are named for
     open_tags: defaultdict[str, int] = defaultdict(int)
     state = {"links": 0}
-    # of each tag with its attributes, the path around it and whether that is an article: its path, verdict and kind
-    seen: dict[tuple[str, str, int, bool], tuple[int, int, int]] = {}
+    # of each tag with its attributes, the path around it, whether that is an article, and whether it is a form around text: its path, verdict and kind
+    seen: dict[tuple[str, str, int, bool, bool], tuple[int, int, int]] = {}
 
     def top() -> Open:
         return stack[-1] if stack else OUTSIDE
@@ -192,6 +230,13 @@ def read(page: str) -> Page:
             held.append(text)
             state["links"] += len(text) * (open_tags["a"] > 0)
 
+    def following(held_at: list[int], what: re.Pattern) -> int:
+        """The next place of what; each part of the page is searched once."""
+        if held_at[0] < at:
+            m = what.search(page, at)
+            held_at[0] = m.start() if m else n
+        return held_at[0]
+
     at, n = 0, len(page)
     while at < n:
         m = TAG.search(page, at)
@@ -232,10 +277,11 @@ def read(page: str) -> Page:
             continue
         if m[3].endswith("/") and tag not in BLOCK:
             continue
-        key = tag, m[3], over.path, over.inside
+        wraps = tag == "form" and following(within, WITHIN) < following(form_end, FORM_END)
+        key = tag, m[3], over.path, over.inside, wraps
         if key not in seen:
             found = attributes(m[3]) if m[3].strip(" /\n\t\r") else {}
-            seen[key] = extended(over.path, named(tag, found)) if tag in BLOCK else over.path, verdict(tag, found, over.inside), kind(tag, found)
+            seen[key] = extended(over.path, named(tag, found)) if tag in BLOCK else over.path, verdict(tag, found, over.inside, loose or wraps), kind(tag, found)
         path, own, of = seen[key]
         judged, number = max(over.verdict, own), over.container
         if tag in CONTAINER and judged == GOOD:
