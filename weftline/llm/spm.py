@@ -37,6 +37,7 @@ import pyarrow.parquet
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from weftline.llm import pieces as table
 from weftline.llm.shared import new_dir, written
@@ -272,9 +273,14 @@ def encode(docs: DataFrame, text: str = "text", out: str = "ids", keep: list[str
             path = f"{root}/block={block}"
             if fs.get_file_info(path).type == pa.fs.FileType.NotFound:
                 return {}  # a block without a word
-            files = [f for f in fs.get_file_info(pa.fs.FileSelector(path)) if f.path.endswith(".parquet")]
-            rows = pa.concat_tables([pa.parquet.read_table(f.path, filesystem=fs, columns=["unit", "ids"], partitioning=None) for f in files])
-            return dict(zip(rows.column("unit").to_pylist(), rows.column("ids").to_pylist(), strict=True))
+            out: dict[str, bytes] = {}
+            for f in fs.get_file_info(pa.fs.FileSelector(path)):
+                if f.path.endswith(".parquet"):
+                    with fs.open_input_file(f.path) as source:  # a part at a time, beside the table that it goes into
+                        for part in pa.parquet.ParquetFile(source).iter_batches(1 << 14, columns=["unit", "ids"], use_threads=False):
+                            out.update(zip(part.column("unit").to_pylist(), part.column("ids").to_pylist(), strict=True))
+            pa.default_memory_pool().release_unused()
+            return out
 
         def encoded(texts: list[str | None]) -> list[bytes | None]:
             units, first = cutter.cut([t or "" for t in texts])
@@ -294,7 +300,8 @@ def encode(docs: DataFrame, text: str = "text", out: str = "ids", keep: list[str
             rows: list[int] = []
             texts: list[str | None] = []
             size = 0
-            for k, (block, t) in enumerate(zip(batch.column("block").to_pylist(), batch.column("text"), strict=True)):
+            given = batch.column("text") if place is None else batch.column("row").field(place)
+            for k, (block, t) in enumerate(zip(batch.column("block").to_pylist(), given, strict=True)):
                 if block != last or size > CHARS:
                     if rows:
                         yield taken(batch.column("row"), rows, texts)
@@ -308,7 +315,9 @@ def encode(docs: DataFrame, text: str = "text", out: str = "ids", keep: list[str
                 size += len(t or "")
             yield taken(batch.column("row"), rows, texts)
 
-    source = docs.select(F.struct(F.lit(1).alias("_"), *[F.col(f"`{c}`") for c in names]).alias("row"), whole, block)
+    # a text that is kept goes to Python once, in its row
+    place = 1 + names.index(text) if text in names and docs.schema[text].dataType == StringType() else None
+    source = docs.select(F.struct(F.lit(1).alias("_"), *[F.col(f"`{c}`") for c in names]).alias("row"), *([whole] if place is None else []), block)
     done = source.mapInArrow(run, f"row {source.schema['row'].dataType.simpleString()}, ids array<int>, intact boolean")
     return done.select(*[F.col("row").getField(c).alias(c) for c in names], F.col("ids").alias(out), *(["intact"] if checked else []))
 
