@@ -13,9 +13,10 @@ lattice:
    to each place, and a second one reads the path from the end.  So a substring's row carries a window, not the unit.
 
 No text is shuffled.  A text's rows are known by their file and their number in it; units are handed on with the number of
-their block of ROWS rows, once for each block and unit.  The ids come back as one small table for each block in the shared
-folder, and the task that streams a block's texts looks their units up in its table.  A block's table holds the different
-units of ROWS texts.  Rows that do not come straight from Parquet files are written there first.
+their block of ROWS rows, once for each block and unit.  The ids come back in the shared folder, blocks dealt over as many
+buckets as a shuffle has partitions; a bucket's rows are in the order of their blocks, and its row groups tell which blocks
+they hold.  The task that streams a block's texts reads the row groups of its block, and looks units up.  A block's table
+holds the different units of ROWS texts.  Rows that do not come straight from Parquet files are written there first.
 
 The path with the greatest sum of the table's scores is taken (of equal ones, where they part, the longest last piece), which
 is how a unigram model reads a piece table.  A model of merges may cut a word otherwise; ids decode to the same text.
@@ -32,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pyarrow.fs
 import pyarrow.parquet
 from pyspark.errors import AnalysisException
@@ -51,6 +53,8 @@ COLLECTED, AT_ONCE, CHARS = 400_000, 50_000, 1 << 18
 WINDOW = 128
 #: Characters of a piece's head: a start whose head begins no piece has shorter pieces only.
 HEAD = 4
+#: Bytes of a row group of the blocks' tables, before compression.
+ROW_GROUP = 8 << 20
 
 
 class Cutter:
@@ -204,8 +208,8 @@ def _with_blocks(docs: DataFrame) -> tuple[DataFrame, Column, Column]:
     return docs, *place(docs)
 
 
-def encoded_units(texts: DataFrame, model: table.Pieces) -> str:
-    """The folder of the blocks' tables (unit, ids).  texts: (block, text)."""
+def encoded_units(texts: DataFrame, model: table.Pieces) -> tuple[str, int]:
+    """The folder of the blocks' tables (block, unit, ids), and its number of buckets.  texts: (block, text)."""
     pairs = model.pairs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,9 +249,29 @@ def encoded_units(texts: DataFrame, model: table.Pieces) -> str:
     long = found.select("block", F.explode(F.when(F.length("unit") > WINDOW, F.array("unit"))).alias("unit"))
     paths = best_long_paths(lattice(windows(long, model), model), model.longest)
     met = short.unionByName(long.join(paths, (F.sha2("unit", 256) == F.col("key")) & (F.col("block") >= F.col("first"))).select("block", "unit", "ids"))
-    folder = new_dir(texts.sparkSession, "blocks")
-    met.repartition("block").sortWithinPartitions("block").write.mode("append").option("compression", "zstd").partitionBy("block").parquet(folder)
-    return folder
+    folder, buckets = new_dir(texts.sparkSession, "blocks"), int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = met.withColumn("bucket", F.pmod("block", F.lit(buckets))).repartition("bucket").sortWithinPartitions("bucket", "block")
+    dealt.write.mode("append").option("compression", "zstd").option("parquet.block.size", ROW_GROUP).partitionBy("bucket").parquet(folder)
+    return folder, buckets
+
+
+def block_table(fs: pa.fs.FileSystem, bucket: str, block: int) -> dict[str, bytes]:
+    """The ids of the units of a block, from the folder of its bucket.  Row groups are read a part at a time."""
+    out: dict[str, bytes] = {}
+    if fs.get_file_info(bucket).type == pa.fs.FileType.NotFound:
+        return out  # no block of it has a word
+    for f in fs.get_file_info(pa.fs.FileSelector(bucket)):
+        if f.path.endswith(".parquet"):
+            with fs.open_input_file(f.path) as source:
+                file = pa.parquet.ParquetFile(source)
+                of = file.schema_arrow.names.index("block")
+                spans = [file.metadata.row_group(k).column(of).statistics for k in range(file.num_row_groups)]
+                held = [k for k, x in enumerate(spans) if x is None or not x.has_min_max or x.min <= block <= x.max]
+                for part in file.iter_batches(1 << 14, row_groups=held, columns=["block", "unit", "ids"], use_threads=False):
+                    own = part.filter(pa.compute.equal(part.column("block"), block))
+                    out.update(zip(own.column("unit").to_pylist(), own.column("ids").to_pylist(), strict=True))
+    pa.default_memory_pool().release_unused()
+    return out
 
 
 def encode(docs: DataFrame, text: str = "text", out: str = "ids", keep: list[str] | None = None, model_path: str = table.DEFAULT_MODEL, checked: bool = False) -> DataFrame:
@@ -261,7 +285,7 @@ def encode(docs: DataFrame, text: str = "text", out: str = "ids", keep: list[str
     docs, file, number = _with_blocks(docs)
     block = F.xxhash64(file, F.floor(number / ROWS)).alias("block")  # equal numbers of two blocks only join their tables
     whole = F.col(f"`{text}`").cast("string").alias("text")
-    folder = encoded_units(docs.select(block, whole), model)
+    folder, buckets = encoded_units(docs.select(block, whole), model)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # as large as the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,19 +293,6 @@ def encode(docs: DataFrame, text: str = "text", out: str = "ids", keep: list[str
         back, cutter, last, known = Spellings(model), Cutter(model.pairs), None, {}
         fs, root = pa.fs.FileSystem.from_uri(folder)
 
-        def loaded(block: int) -> dict[str, bytes]:
-            path = f"{root}/block={block}"
-            if fs.get_file_info(path).type == pa.fs.FileType.NotFound:
-                return {}  # a block without a word
-            out: dict[str, bytes] = {}
-            for f in fs.get_file_info(pa.fs.FileSelector(path)):
-                if f.path.endswith(".parquet"):
-                    with fs.open_input_file(f.path) as source:  # a part at a time, beside the table that it goes into
-                        for part in pa.parquet.ParquetFile(source).iter_batches(1 << 14, columns=["unit", "ids"], use_threads=False):
-                            out.update(zip(part.column("unit").to_pylist(), part.column("ids").to_pylist(), strict=True))
-            pa.default_memory_pool().release_unused()
-            return out
-
         def encoded(texts: list[str | None]) -> list[bytes | None]:
             units, first = cutter.cut([t or "" for t in texts])
             ids = list(map(known.__getitem__, units))
@@ -308,7 +319,7 @@ def encode(docs: DataFrame, text: str = "text", out: str = "ids", keep: list[str
                         rows, texts, size = [], [], 0
                     if block != last:
                         known = {}  # not two tables at once
-                        last, known = block, loaded(block)
+                        last, known = block, block_table(fs, f"{root}/bucket={block % buckets}", block)
                 t = t.as_py()
                 rows.append(k)
                 texts.append(t)
