@@ -758,6 +758,26 @@ def test_repeated_passages(spark, texts, monkeypatch, hot, block):
     assert got == without_repeats(list(enumerate(every)))
 
 
+def test_a_hot_minimizer_keeps_its_index(spark, monkeypatch):
+    """Many different segments around one frequent phrase: cut by longer grams, most of them still meet others in a shard."""
+    monkeypatch.setattr(substring, "HOT_WORDS", 1_000)
+    phrase, around = words(13, 77), [words(24, 300 + k) for k in range(40)]
+    every = [" ".join([*around[k % 40], *phrase, *around[(k + k // 40 * 11) % 40], *words(5, k)]) for k in range(240)]
+    seen = []
+    marked, by_context = substring._marked, substring._by_context
+    monkeypatch.setattr(substring, "_marked", lambda *a: seen.append("hot") or marked(*a))
+    monkeypatch.setattr(substring, "_by_context", lambda rows, w: seen.append(by_context(rows, w)) or seen[-1])
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring.without_repeats(frame(spark, every)).collect()}
+    assert got == without_repeats(list(enumerate(every)))
+    rows = [r for r in seen[-1].collect() if r.words is not None]
+    together = Counter(r.key for r in rows)
+    assert seen[0] == "hot" and sum(n for n in together.values() if n > 1) > len(rows) / 2
+    sizes = Counter()
+    for key, w in {(r.key, bytes(r.words)) for r in rows}:
+        sizes[key] += len(w) // 8
+    assert max(sizes.values()) <= 1_000
+
+
 def test_repeated_passages_of_odd_rows(spark):
     t = " ".join(words(40, 8))
     got = substring.without_repeats(frame(spark, [t, t, t], [3, 3, None])).collect()

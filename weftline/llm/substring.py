@@ -11,8 +11,10 @@
 4. The words of the segments asked for (as hashes) are dealt by minimizer into shards.  Each shard is a compressed FM-index of
    bounded size; its segments are streamed through it, and backward search gives for each window the first place where it
    starts.  Windows whose first place is an earlier one are reported as intervals.
-5. A minimizer whose different segments would pass the bound of a shard, counted before words are shipped, deals its windows
-   by their own hashes instead: each is then a segment of one window, on the same way through the same shards.
+5. The different segments of a hot minimizer, counted before words are shipped, would pass the bound of a shard.  They are cut
+   again by minimizers of longer grams (CONTEXTS), only as long as what shares one is still too much, so that a shard's index
+   holds windows that share more of what is around a frequent passage.  Equal windows have equal minimizers of any length, so
+   they stay together.  In the end the gram is the window itself, and all that shares one is equal.
 6. Intervals meet their documents by id.
 
 Words are compared as written, by 64-bit hashes: two windows are equal if all their words' hashes are, in order; a copy of a
@@ -33,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.fm_index import FMIndex
@@ -41,7 +43,9 @@ from weftline.llm.shared import written
 from weftline.llm.words import P, WordHashes, mixed, windows
 
 GRAM = 6
-#: Above so many words the different segments of one minimizer are dealt by windows.  A shard's index holds at most their sum
+#: Words of the longer grams by which what shares a hot minimizer is cut again, before the window itself.
+CONTEXTS = (10, 14)
+#: Above so many words the different segments of one minimizer are cut by longer grams.  A shard's index holds at most their sum
 #: with SHARD_WORDS, which takes about 50 MB while it is built.
 HOT_WORDS, SHARD_WORDS = 200_000, 250_000
 #: Words of the texts that are cut into segments, and collapsed, at a time; parts that one minimizer's segments are dealt into.
@@ -52,6 +56,7 @@ CUT, ASKED, ALONE, SHARED = range(4)
 ROW = "m long, h long, doc_id long, at long, cut boolean"
 STATE = "m long, doc_id long, at long, kind byte, part int"
 WORDS = "key long, doc_id long, start int, twice boolean, words binary, size int"
+KINDS = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.int32(), pa.bool_())
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -235,61 +240,100 @@ def _asked(met: DataFrame) -> DataFrame:
     return met.repartition("m", "part").sortWithinPartitions("m").mapInArrow(run, STATE)
 
 
+def _word_rows(got: list[tuple], hot: bool) -> pa.RecordBatch:
+    """WORDS, and with hot the flag, of tuples."""
+    names = [x.split()[0] for x in WORDS.split(", ")] + ["hot"] * hot
+    columns = list(zip(*got, strict=True)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, KINDS, strict=False)], names=names)
+
+
+def _marked(rows: DataFrame, keys: DataFrame, key: str, part: Column) -> DataFrame:
+    """rows with hot, whether their key is one of keys (of); a key's rows are dealt over PARTS."""
+    dealt = keys.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    met = rows.join(dealt.hint("shuffle_hash"), (F.col(key) == F.col("of")) & (F.pmod(part, F.lit(PARTS)) == F.col("s")), "left")
+    return met.withColumn("hot", F.col("of").isNotNull()).drop("of", "s")
+
+
 def _segment_words(docs: DataFrame, asked: DataFrame, window: int) -> DataFrame:
-    """WORDS of the segments asked for, those of hot minimizers by window; with null words, intervals to cut."""
+    """WORDS of the segments asked for; with null words, intervals to cut."""
     n = F.shiftright(F.col("at").bitwiseAND(0xFFFFFFFF), 1)
-    hot = written(asked.groupBy("m").agg(F.sum(n + window - 1).alias("w")).where(F.col("w") > HOT_WORDS).select(F.col("m").alias("of"), F.lit(True).alias("hot")), "hot")
-    if hot.isEmpty():
-        marked = asked.withColumn("hot", F.lit(False))
-    else:
-        dealt = hot.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-        marked = asked.join(dealt.hint("shuffle_hash"), (F.col("m") == F.col("of")) & (F.pmod("part", F.lit(PARTS)) == F.col("s")), "left")
-    lists = marked.groupBy("doc_id").agg(F.collect_list(F.struct("m", "at", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("s"))
+    keys = written(asked.groupBy("m").agg(F.sum(n + window - 1).alias("w")).where(F.col("w") > HOT_WORDS).select(F.col("m").alias("of")), "hot")
+    none = keys.isEmpty()
+    marked = asked.withColumn("hot", F.lit(False)) if none else _marked(asked, keys, "m", F.col("part"))
+    lists = marked.groupBy("doc_id").agg(F.collect_list(F.struct("m", "at", "hot")).alias("s"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         got: list[tuple] = []
-        seen: dict[bytes, tuple[int, int]] = {}
         size = 0
-
-        def rows() -> pa.RecordBatch:
-            columns = list(zip(*got, strict=True)) or [()] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in WORDS.split(", ")])
-
         for batch in batches:
             fields = batch.column("s")
             for k, (i, t) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("t"), strict=True)):
                 x = words.of((t.as_py() or b"").split())
-                for m, at, by_window in sorted(zip(*[y.to_pylist() for y in fields[k].values.flatten()], strict=True), key=lambda y: y[1]):
+                for m, at, hot in sorted(zip(*[y.to_pylist() for y in fields[k].values.flatten()], strict=True), key=lambda y: y[1]):
                     start, n = at >> 32, (at & 0xFFFFFFFF) >> 1
                     end = start + n + window - 1
                     if end > len(x):
                         continue  # of another text with this id
-                    if not by_window:
-                        got.append((m, i, start, bool(at & 1), x[start:end].tobytes(), end - start))
-                        size += 8 * (end - start)
-                        continue
-                    for w, key in enumerate(windows(x[start:end], window).view(np.int64).tolist(), start):
-                        own = x[w : w + window].tobytes()
-                        before = seen.setdefault(own, (i, w))
-                        if before < (i, w):
-                            got.append((key ^ i ^ w, i, w, False, None, window))
-                        else:
-                            seen[own] = (i, w)
-                            got.append((key, i, w, False, own, window))
-                            size += len(own)
+                    got.append((m, i, start, bool(at & 1), x[start:end].tobytes(), end - start, hot))
+                    size += 8 * (end - start)
                     if size > 8 << 20:
-                        yield rows()
+                        yield _word_rows(got, True)
                         got, size = [], 0
-                        seen.clear()
-                if size > 8 << 20:
-                    yield rows()
-                    got, size = [], 0
-                    seen.clear()
-        yield rows()
+        yield _word_rows(got, True)
+
+    rows = docs.join(lists, "doc_id").select("doc_id", "t", "s").mapInArrow(run, WORDS + ", hot boolean")
+    return rows.drop("hot") if none else _by_context(written(rows, "words"), window)
+
+
+def _by_context(rows: DataFrame, window: int) -> DataFrame:
+    """WORDS of rows (WORDS and hot), the hot ones cut by longer grams until what shares one fits a shard."""
+    done, hot = rows.where("not hot").drop("hot"), rows.where("hot").drop("hot")
+    for gram in [g for g in CONTEXTS if GRAM < g < window]:
+        cut = written(_recut(hot, window, gram), "context")
+        sizes = cut.where("words is not null").groupBy("key").agg(F.sum("size").alias("w"))
+        keys = written(sizes.where(F.col("w") > HOT_WORDS).select(F.col("key").alias("of")), "hot")
+        if keys.isEmpty():
+            return done.unionByName(cut)
+        marked = _marked(cut, keys, "key", F.xxhash64("doc_id", "start"))
+        still = F.col("hot") & F.col("words").isNotNull()
+        done, hot = done.unionByName(marked.where(~still).drop("hot")), marked.where(still).drop("hot")
+    return done.unionByName(_recut(hot, window, window))
+
+
+def _recut(rows: DataFrame, window: int, gram: int) -> DataFrame:
+    """WORDS of the segments that those of rows (WORDS) have by minimizers of gram words.  Of equal ones in a batch one is kept
+    with its words, unless an earlier one comes after it; the others are intervals to cut."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = [np.frombuffer(w, np.uint64) for w in batch.column("words").to_pylist()]
+            lengths = np.array([len(w) for w in held])
+            x, owner = np.concatenate(held), np.repeat(np.arange(len(held)), lengths)
+            m, _, first, n, twice = segments(x, owner, window, gram)
+            row = owner[first]
+            key = mixed(batch.column("key").to_numpy().view(np.uint64)[row] ^ m).view(np.int64).tolist()
+            doc = batch.column("doc_id").to_numpy()[row].tolist()
+            start = (batch.column("start").to_numpy()[row] + first - (np.cumsum(lengths) - lengths)[row]).tolist()
+            seen: dict[bytes, tuple[int, int]] = {}
+            got: list[tuple] = []
+            for k, i, at, a, windows_of, again in zip(key, doc, start, first.tolist(), n.tolist(), twice.tolist(), strict=True):
+                if gram == window and windows_of > 1:  # one window over and over: the first stands for it
+                    got.append((k ^ i ^ at, i, at + 1, False, None, windows_of + window - 2))
+                    windows_of, again = 1, False
+                size = windows_of + window - 1
+                own = x[a : a + size].tobytes()
+                before = seen.setdefault(own, (i, at))
+                if before < (i, at):
+                    got.append((k ^ i ^ at, i, at, False, None, size))
+                else:
+                    seen[own] = (i, at)
+                    got.append((k, i, at, again, own, size))
+            yield _word_rows(got, False)
 
-    return docs.join(lists, "doc_id").select("doc_id", "t", "s").mapInArrow(run, WORDS)
+    return rows.mapInArrow(run, WORDS)
 
 
 class Group:
