@@ -5,8 +5,8 @@ language whose dictionary gives the smallest result wins.  The margin to the sec
 margin is narrow is marked as rejected (``confident`` is false), while its best guess stays in ``lang_pred``.
 
 Learning reads a bounded sample, documented by the parameters of ``learn``: of each language up to ``docs_per_lang`` labelled
-texts, whole, as far as they fill a dictionary of ``dict_chars`` characters, and smaller dictionaries where there are so many
-languages that all would pass ``max_chars``.  Every label is learned, whatever their number, from LEAST_CHARS characters at
+texts, as far as they fill a dictionary of ``dict_chars`` characters (the text at that limit is cut there), and smaller
+dictionaries where there are so many languages that all would pass ``max_chars``.  Every label is learned, whatever their number, from LEAST_CHARS characters at
 least.  Predicting reads every text whole, with LOADED dictionaries in memory at once; its time grows with the texts times the
 languages.
 
@@ -43,7 +43,7 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", docs_per_
     """Raw dictionary content by language.
 
     The sample is the docs_per_lang different texts of each language with the smallest hashes, so it depends on the rows
-    alone and on no order; a dictionary takes them whole until it is full.  At most max_chars characters (256 full
+    alone and on no order; a dictionary takes them until it is full, and the last one only so far.  At most max_chars characters (256 full
     dictionaries), or LEAST_CHARS for each language if that is more, reach the driver.
     """
     t, of = F.col(f"`{text}`"), F.col(f"`{lang}`")
