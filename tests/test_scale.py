@@ -2,6 +2,7 @@
 
 import bisect
 import bz2
+import itertools
 import math
 import random
 from collections import Counter
@@ -197,6 +198,64 @@ def test_summaries_of_splits_stay_small():
     assert len(told["quality"]) + len(told["sequence"]["ends"]) < 60
 
 
+# --- permutations
+
+
+def layouts(positions, size):
+    """Every rearrangement of a set's runs and gaps, as bits of a number."""
+    bits = "".join("01"[p in positions] for p in range(size))
+    runs = [(k, len(list(g))) for k, g in itertools.groupby(bits)]
+    sides = [[n for k, n in runs if k == b] for b in "01"]
+    for lead in (0, 1):
+        for x, y in itertools.product(*(itertools.permutations(sides[b]) for b in (lead, 1 - lead))):
+            pairs = itertools.zip_longest(((lead, n) for n in x), ((1 - lead, n) for n in y))
+            yield int("".join(str(b) * n for p in pairs for b, n in filter(None, p)), 2)
+
+
+@pytest.mark.parametrize(("laid", "few"), [(1 << 17, 256), (1, 0), (2, 256)])
+def test_rearrangements_are_as_likely_as_all(spark, monkeypatch, laid, few):
+    """The share of replicates that overlap as much as the sets do, beside that of all pairs of rearrangements."""
+    monkeypatch.setattr(sets, "LAID", laid)
+    monkeypatch.setattr(sets, "FEW", few)
+    size, x, y = 19, {0, 1, 2, 3, 7, 11, 12}, {2, 3, 6, 7, 8, 9, 18}
+    a, b = (spark.createDataFrame([(p,) for p in z], "pos long") for z in (x, y))
+    every = [Counter(layouts(z, size)) for z in (x, y)]
+    least = len(x & y)
+    hits = sum(n * m for i, n in every[0].items() for j, m in every[1].items() if (i & j).bit_count() >= least)
+    p, times = hits / (every[0].total() * every[1].total()), 600
+    assert 0.1 < p < 0.9
+    found = sets.permutation_test(a, b, size, times).first()
+    assert (found.observed, found.times) == (least, times)
+    assert abs(found.at_least - p * times) < 4 * math.sqrt(times * p * (1 - p))
+
+
+@pytest.mark.parametrize("laid", [1 << 17, 16, 7])
+def test_replicates_keep_every_position_of_a_set(spark, monkeypatch, laid):
+    """Whatever the arrangement, a set meets a full one in all its positions, and an empty one in none."""
+    monkeypatch.setattr(sets, "LAID", laid)
+    r, size = random.Random(2), 3_000_000
+    starts = [(s := r.randrange(size - 3000), s + r.choice([1, 2, 5, 40, 3000])) for _ in range(300)]
+    a = sets.from_intervals(spark.createDataFrame([*starts, (0, 70_000), (size - 1, size)], "start long, end long"), [])
+    whole, none = spark.range(size).select(F.col("id").alias("pos")), a.where("pos < 0")
+    found = sets.permutation_test(a, whole, size, times=9).first()
+    assert found.observed == a.count() and found.at_least == found.times == 9
+    more = sets.permutation_test(a.where("pos > 0"), whole.where("pos > 0"), size, times=9).first()
+    assert more.at_least <= 9 and more.observed == a.count() - 1
+    assert tuple(sets.permutation_test(a, none, size, times=3).first()) == (0, 3, 3)
+
+
+def test_no_run_of_a_replicate_is_a_row(spark, monkeypatch):
+    """Orders of rows and tables hold a set's runs once, however many replicates there are."""
+    sizes = []
+    for name in ("in_order", "written"):
+        f = getattr(sets, name)
+        monkeypatch.setattr(sets, name, lambda df, *a, f=f: (sizes.append(df.count()), f(df, *a))[1])
+    a = spark.range(3000).where("id % 3 != 0 and id % 7 != 0").select(F.col("id").alias("pos"))
+    assert sets.permutation_test(a, a, 3000, times=40).first().times == 40
+    runs = sets.spans(a, []).count()
+    assert runs > 900 and max(sizes) <= 2 * runs
+
+
 # --- trees
 
 

@@ -6,7 +6,7 @@ for each bucket, built and combined with Spark's bitmap functions, so that posit
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -298,46 +298,166 @@ def phi_of_union(a: DataFrame, b: DataFrame, pos: str = "pos") -> DataFrame:
     return counts.withColumn("phi", F.try_divide(n11.cast("double") * n11 - n10.cast("double") * n01, F.sqrt(product)))
 
 
+#: Runs of a block: what a task of the permutation test lays out at once.
+LAID = 1 << 17
+#: A length that fewer runs have than this is dealt run by run, and others by one draw for all blocks.
+FEW = 256
+
+
 def permutation_test(a: DataFrame, b: DataFrame, size: int, times: int = 100, seed: int = 7, pos: str = "pos") -> DataFrame:
     """(observed, at_least, times): how many random rearrangements of both sets' runs overlap at least as much as they do.
 
     A rearrangement draws an order for the runs and one for the gaps of each set and lays them out alternately, beginning with
-    either.  Replicates are independent rows; runs are numbered, and their positions summed, range by range over all
-    replicates, so that no task holds all runs of a set or of a replicate.
+    either.  Only lengths matter, so what is drawn is how many runs of each length fall to each bucket of an order (each run to any
+    bucket alike), and then the order within a bucket, where it is laid out: an order of all runs in which each is as likely.  Both are drawn
+    from seeds, so no run of a replicate is ever a row.  A task lays out the runs of LAID places, whose positions follow from the sums of the buckets
+    before, as bitmaps, and those of both sets meet by bucket of positions.
     """
     spark = a.sparkSession
     observed = intersect(a, b, pos).count()
 
-    def laid(s: DataFrame, salt: int) -> DataFrame:
-        ones = in_order(spans(s, [], pos).select("first", (F.col("last") + 1).alias("end")), ["first"], "k")
+    def lengths(s: DataFrame) -> DataFrame:
+        """(bit, n, own): how many runs of ones (bit 1) and of zeros are n long."""
+        runs = written(spans(s, [], pos).select("first", (F.col("last") + 1).alias("end")), "runs")  # the ranges of an order read it twice
+        ones = in_order(runs, ["first"], "k")
         ahead = ones.select((F.col("k") - 1).alias("k"), F.col("first").alias("next"))
         gaps = ones.join(ahead, "k", "left").select((F.coalesce("next", F.lit(size)) - F.col("end")).cast("long").alias("n"))
         lead = ones.where("k = 0").select(F.col("first").cast("long").alias("n"))
-        run = lambda df, bit: df.where("n > 0").select(F.lit(bit).alias("bit"), "n")
-        runs = run(ones.select((F.col("end") - F.col("first")).cast("long").alias("n")), 1).unionAll(run(gaps, 0)).unionAll(run(lead, 0))
-        if runs.isEmpty():
-            runs = spark.range(1).select(F.lit(0).alias("bit"), F.lit(size).cast("long").alias("n"))
-        numbered = in_order(runs, ["bit", "n"], "k")
-        copies = numbered.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
-        drawn = in_order(copies.withColumn("draw", F.xxhash64(F.lit(seed + salt), "rep", "k", "bit")), ["rep", "bit", "draw", "k"], "at")
-        begins = drawn.groupBy("rep", "bit").agg(F.min("at").alias("begin"))
-        turn = (F.col("at") - F.col("begin")) * 2 + F.when(F.col("bit") == F.pmod(F.xxhash64(F.lit(seed + salt), "rep"), F.lit(2)), 0).otherwise(1)
-        summed = in_order(drawn.join(F.broadcast(begins), ["rep", "bit"]).withColumn("turn", turn), ["rep", "turn"], "place", {"reach": "n"})
-        # every replicate has all runs, so what comes before one is a multiple of their sum
-        whole = summed.groupBy("rep").agg(F.max("reach").alias("whole"), F.sum("n").alias("own"))
-        placed = summed.join(F.broadcast(whole), "rep").withColumn("end", F.col("reach") - F.col("whole") + F.col("own"))
-        return placed.where("bit = 1").select("rep", (F.col("end") - F.col("n")).alias("start"), "end")
-
-    x, y = laid(a, 1), laid(b, 2)
-    size_bin = 4096
-    cut = lambda d: d.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / size_bin), F.floor((F.col("end") - 1) / size_bin))))
-    i, j = cut(x).select("rep", "bin", F.col("start").alias("s1"), F.col("end").alias("e1")), cut(y).select("rep", "bin", F.col("start").alias("s2"), F.col("end").alias("e2"))
-    low, high = F.greatest("s1", "s2", F.col("bin") * size_bin), F.least("e1", "e2", (F.col("bin") + 1) * size_bin)
-    met = i.join(j, ["rep", "bin"]).select("rep", F.greatest(high - low, F.lit(0)).alias("n")).groupBy("rep").agg(F.sum("n").alias("overlap"))
-    every = spark.range(times).select(F.col("id").cast("int").alias("rep")).join(met, "rep", "left").select(F.coalesce("overlap", F.lit(0)).alias("overlap"))
+        run = lambda df, bit: df.where("n > 0").select(F.lit(bit).cast("long").alias("bit"), "n")
+        runs = run(runs.select((F.col("end") - F.col("first")).cast("long").alias("n")), 1).unionAll(run(gaps, 0)).unionAll(run(lead, 0))
+        return runs.groupBy("bit", "n").agg(F.count("*").alias("own"))
+
+    kinds = written(reduce(DataFrame.unionByName, [lengths(s).withColumn("of", F.lit(k).cast("long")) for k, s in enumerate((a, b), 1)]), "lengths")
+    # the longest order decides; runs and gaps of a set differ by one at most
+    most = kinds.groupBy("of", "bit").agg(F.sum("own").alias("own")).agg(F.coalesce(F.max("own"), F.lit(0))).first()[0]
+    buckets = max(1, -(-most // LAID))
+    copies = kinds.withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(times - 1).cast("long")))).withColumn("draw", F.xxhash64(F.lit(seed), "of", "rep", "bit", "n"))
+    dealt = written(copies.repartition("of", "rep", "bit", "n").mapInArrow(_dealt(buckets), "of long, rep long, bit long, bucket long, n long, own long"), "dealt")
+    order = ["of", "rep", "bit"]
+    ahead = Window.partitionBy(*order).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row for each bucket
+    ends = dealt.groupBy(*order, "bucket").agg(F.sum("own").alias("held"), F.sum(F.col("n") * F.col("own")).alias("reach"))
+    placed = ends.select(*order, "bucket", "held", F.coalesce(F.sum("held").over(ahead), F.lit(0)).alias("first"), F.coalesce(F.sum("reach").over(ahead), F.lit(0)).alias("before"))
+    # a bucket is wanted by every block of places that it reaches, and by the one that begins where it ends
+    block = F.explode(F.sequence(F.expr(f"first div {LAID}"), F.expr(f"(first + held) div {LAID}"))).alias("block")
+    met = dealt.join(placed.select(*order, "bucket", "first", "before", block), [*order, "bucket"]).withColumn("ones_lead", F.pmod(F.xxhash64(F.lit(seed), "of", "rep"), F.lit(2)))
+    # few small rows are much work: as many tasks as a shuffle has, which adaptive execution must not merge
+    rows = met.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "of", "rep", "block").sortWithinPartitions("of", "rep", "block", "bit", "bucket", "n")
+    laid = rows.select(*_PLACED).mapInArrow(_laid(seed), "of long, rep long, bucket long, bitmap binary").repartition("rep", "bucket")
+    # rows are dealt by replicate and bucket already: no further exchange for either
+    whole = laid.groupBy("rep", "bucket", "of").agg(F.expr("bitmap_or_agg(bitmap)").alias("bitmap"))
+    both = whole.groupBy("rep", "bucket").agg(F.expr("bitmap_and_agg(bitmap)").alias("bitmap"), F.count("*").alias("sets")).where("sets = 2")
+    overlaps = both.groupBy("rep").agg(F.sum(F.bitmap_count("bitmap")).alias("overlap"))
+    every = spark.range(times).select(F.col("id").alias("rep")).join(overlaps, "rep", "left").select(F.coalesce("overlap", F.lit(0)).alias("overlap"))
     return every.agg(F.lit(observed).cast("long").alias("observed"), F.count_if(F.col("overlap") >= observed).alias("at_least"), F.count("*").alias("times"))
 
 
+def _dealt(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """How many runs of each length fall to each bucket, each run to any alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, draw = batch.column("own").to_numpy(), batch.column("draw").to_numpy().view(np.uint64)
+            at, to, n = [], [], []
+            few = np.flatnonzero(own < FEW)
+            each = np.repeat(few, own[few])
+            place = (np.arange(len(each)) - np.repeat(np.cumsum(own[few]) - own[few], own[few])).astype(np.uint64)
+            pairs, counts = np.unique(each * buckets + (_mixed(draw[each] + place * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int64), return_counts=True)
+            at.append(pairs // buckets)
+            to.append(pairs % buckets)
+            n.append(counts)
+            for i in np.flatnonzero(own >= FEW).tolist():
+                drawn = np.random.default_rng(int(draw[i])).multinomial(own[i], np.full(buckets, 1 / buckets))
+                to.append(np.flatnonzero(drawn))
+                at.append(np.full(len(to[-1]), i))
+                n.append(drawn[to[-1]])
+            rows = pa.array(np.concatenate(at))
+            kept = [batch.column(c).take(rows) for c in ("of", "rep", "bit", "n")]
+            yield pa.RecordBatch.from_arrays([*kept[:3], pa.array(np.concatenate(to)), kept[3], pa.array(np.concatenate(n))], names=["of", "rep", "bit", "bucket", "n", "own"])
+
+    return run
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64 bits, each of which depends on all of a number's (the last step of splitmix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+_PLACED = ["of", "rep", "block", "bit", "bucket", "first", "before", "n", "own", "ones_lead"]
+
+
+def _laid(seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Bitmaps of the ones of each block of places, from rows in order of blocks and buckets."""
+
+    def told(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        of, rep, block = rows[:3, 0].tolist()
+        begin, ones_lead = block * LAID, bool(rows[9, 0])
+        base, lengths = [0, 0], [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        for bit in (0, 1):
+            side = rows[:, rows[3] == bit]
+            edges = np.flatnonzero(np.diff(side[4])) + 1
+            for part in np.split(side, edges, axis=1) if side.size else []:
+                bucket, first, before = part[4:7, 0].tolist()
+                order = np.repeat(part[7], part[8])
+                np.random.default_rng([seed % (1 << 63), of, rep, bit, bucket]).shuffle(order)
+                if first <= begin:
+                    base[bit] = before + int(order[: begin - first].sum())
+                lengths[bit] = np.concatenate([lengths[bit], order[max(0, begin - first) : begin + LAID - first]])
+        ones, gaps = lengths[1], np.zeros(len(lengths[1]), np.int64)
+        there = min(len(ones), len(lengths[0]))
+        gaps[:there] = lengths[0][:there]
+        ends = np.cumsum(ones) + np.cumsum(gaps) - (gaps if ones_lead else 0) + base[0] + base[1]
+        for at, bitmaps in _bitmaps(ends - ones, ends):
+            columns = [np.full(len(at), of), np.full(len(at), rep), at]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array([x.tobytes() for x in bitmaps], pa.binary())], names=["of", "rep", "bucket", "bitmap"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            rows = np.stack([batch.column(c).to_numpy() for c in _PLACED])
+            for part in np.split(rows, np.flatnonzero((rows[:3, 1:] != rows[:3, :-1]).any(0)) + 1, axis=1):
+                if held and part.size and (held[-1][:3, -1] != part[:3, 0]).any():
+                    yield from told(np.concatenate(held, axis=1))
+                    held = []
+                held += [part] if part.size else []
+        if held:
+            yield from told(np.concatenate(held, axis=1))
+
+    return run
+
+
+def _bitmaps(start: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(buckets of 32,768 positions, their bitmaps) of runs in order that do not overlap, up to 256 buckets at once."""
+    start, i = start.copy(), 0
+    while i < len(start):
+        stop = ((int(start[i]) >> 23) + 1) << 23
+        j = int(np.searchsorted(start, stop))
+        first, last = start[i:j], np.minimum(end[i:j], stop) - 1
+        # runs are cut at the borders of buckets
+        parts = (last >> 15) - (first >> 15) + 1
+        step = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        bucket = np.repeat(first >> 15, parts) + step
+        low = np.maximum(np.repeat(first, parts), bucket << 15) & 32767
+        high = np.minimum(np.repeat(last, parts), (bucket << 15) + 32767) & 32767
+        there, row = np.unique(bucket, return_inverse=True)
+        a, b = row * 4096 + (low >> 3), row * 4096 + (high >> 3)
+        head, tail = (0xFF << (low & 7)) & 0xFF, 0xFF >> (7 - (high & 7))
+        # bytes between the first and the last of a run are full; no two runs have such bytes behind the same byte
+        wide = a < b
+        turns = np.zeros(len(there) * 4096 + 1, np.int8)
+        turns[a[wide] + 1] += 1
+        turns[b[wide]] -= 1
+        full = (-np.cumsum(turns[:-1], dtype=np.int8)).view(np.uint8)
+        np.bitwise_or.at(full, a, np.where(wide, head, head & tail).astype(np.uint8))
+        np.bitwise_or.at(full, b[wide], tail[wide].astype(np.uint8))
+        yield there, full.reshape(-1, 4096)
+        if end[j - 1] > stop:  # the rest of a run that crosses
+            start[j - 1] = stop
+            j -= 1
+        i = j
+
+
 def random_set(spark, n: int = 25, length: int = 100, most: int = 10_000, seed: int = 7, pos: str = "pos") -> DataFrame:
     """Positions of n runs of a length that start at random below ``most``; overlaps merge."""
     starts = spark.range(n).select(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(most)).alias("start"))
