@@ -142,6 +142,37 @@ def test_kmers_are_counted_where_their_runs_arrive(spark, sequences):
     assert plan.count("Exchange") == 1
 
 
+def test_equal_runs_of_all_tasks_are_cut_into_kmers_once(spark):
+    """Rows that are cut into k-mers: the different runs, not those of each task."""
+    r = random.Random(9)
+    text = "".join(r.choice("ACGT") for _ in range(3000))
+    rows = spark.createDataFrame([(text,)] * 8, "s string").repartition(8)
+    counted = kmers.counts(rows, "s", 21)
+    assert {x.kmer: x.n for x in counted.collect()} == naive([text] * 8, 21, "C")
+    cut, todo = 0, [counted._jdf.queryExecution().executedPlan()]
+    todo[0].execute().count()
+    while todo:
+        node = todo.pop()
+        todo += [node.finalPhysicalPlan()] if node.nodeName() == "AdaptiveSparkPlan" else [node.children().apply(i) for i in range(node.children().size())]
+        cut += node.metrics().get("numOutputRows").get().value() if node.nodeName() == "Generate" else 0
+    assert 0 < cut <= 2 * (3000 - 20)  # the plan may have run twice
+
+
+def test_kmers_of_crowded_minimizers_are_counted_as_numbers(spark, sequences, monkeypatch):
+    """Many copies of few k-mers cost a task no object for each copy, and agree up to the greatest k of a number and beyond."""
+    text = ["ACGTTGCATGTCGCATGATGC" * 60] * 40
+    for k in (21, 31, 32):
+        rows = spark.createDataFrame([(s,) for s in [*text, *sequences]], "s string").repartition(2)
+        assert {x.kmer: x.n for x in kmers.counts(rows, "s", k).collect()} == naive([*text, *sequences], k, "C")
+    seen = []
+    monkeypatch.setattr(kmers, "Counter", type("Seen", (Counter,), {"update": lambda self, x=(): (seen.append(len(x or ())), Counter.update(self, x))[1]}))
+    batch = pa.RecordBatch.from_arrays([pa.array(text)], names=["s"])
+    tasks = type("Rows", (), {"mapInArrow": lambda self, f, schema: list(f(iter([batch])))})()
+    told = kmers.super_kmers(tasks, 21, [], list(range(4**9)))
+    assert sum(sum(x.column("times").to_pylist()) for x in told) == 40 * (21 * 60 - 20)
+    assert sum(seen) <= 42
+
+
 # --- wrapped FASTQ
 
 

@@ -6,7 +6,8 @@ Counting up to k = DENSE: a task counts into one array of all k-mers, so a shuff
 task.  Beyond: neighbouring k-mers share most of their letters, and most share their minimizer, the m-mer of theirs that is
 first in a fixed order that takes both strands for the same.  A run of k-mers with one minimizer is shuffled as one string, a super-k-mer,
 by its minimizer, and cut into k-mers after the exchange, where all copies of a k-mer meet; they are counted there without
-another exchange.  Runs that a task has seen already travel once, with their number.  A minimizer with too many of all
+another exchange.  Runs that a task has seen already travel once, with their number, and equal runs of all tasks are
+added up before they are cut.  A minimizer with too many of all
 k-mers would fill one partition: its share is known from a pass of counts before, and its k-mers travel one by one, each counted within a
 task first, dealt by the k-mer.  Hash aggregation, spilling and partitioning are Spark's.
 """
@@ -27,8 +28,9 @@ from weftline.operators.shared import unused
 MODES = ("A", "B", "C")
 #: The greatest k for which a task holds a count of every k-mer, and the longest minimizer.
 DENSE, MINIMIZER = 9, 9
-#: Positions that a task looks at together, k-mers of a run at most, and different runs that a task holds before it hands them on.
-PIECE, RUN, HELD = 1 << 20, 1 << 12, 200_000
+#: Positions that a task looks at together (few enough that its arrays stay in a core's cache, as tasks side by side share the way to memory),
+#: k-mers of a run at most, and different runs that a task holds before it hands them on.
+PIECE, RUN, HELD = 1 << 16, 1 << 12, 200_000
 #: Positions of a sequence in one row while it is cut up, so that a chromosome is never one row of all its k-mers.
 BLOCK = 1 << 14
 
@@ -73,9 +75,7 @@ def exploded(df: DataFrame, sequence: str, k: int, mode: str = "C", keep: list[s
     return out.drop(at)
 
 
-_CODE = np.zeros(256, np.uint8)
-for _i, _c in enumerate(b"ACGT"):
-    _CODE[[_c, _c + 32]] = _i
+_CODE = bytes({ord(c): i for i, x in enumerate("ACGT") for c in (x, x.lower())}.get(b, 0) for b in range(256))
 _LETTER = np.frombuffer(b"ACGT", np.uint8)
 _COMPLEMENT = bytes.maketrans(b"ACGT", b"TGCA")
 
@@ -83,24 +83,23 @@ _COMPLEMENT = bytes.maketrans(b"ACGT", b"TGCA")
 def _pieces(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(codes of letters, whether a k-mer starts there, whether it is its sequence's first): many short sequences at once, and
     long ones in parts that overlap by k - 1."""
-    held: list[np.ndarray] = []
+    held: list[bytes] = []
     firsts: list[bool] = []
     size = 0
 
     def joined() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        codes, lengths = np.concatenate(held), np.array([len(x) for x in held])
+        codes, lengths = np.frombuffer(b"".join(held), np.uint8), np.array([len(x) for x in held])
         ends = np.cumsum(lengths)
-        starts = np.arange(max(0, len(codes) - k + 1))
-        real = starts + k <= np.repeat(ends, lengths)[: len(starts)]
-        first = np.zeros(len(starts), bool)
+        real, first = np.ones(len(codes) - k + 1, bool), np.zeros(len(codes) - k + 1, bool)
+        real[(ends[:-1, None] - np.arange(1, k)).ravel()] = False  # each part has a k-mer, so none begins before its own start
         first[(ends - lengths)[np.array(firsts)]] = True
         return codes, real, first
 
     for batch in batches:
         for text in batch.column("s"):
-            letters = np.frombuffer((text.as_py() or "").encode("ascii", "replace"), np.uint8)  # one byte for any character
+            letters = (text.as_py() or "").encode("latin-1", "replace").translate(_CODE)  # one byte for any character
             for at in range(0, len(letters) - k + 1, PIECE):
-                held.append(_CODE[letters[at : at + PIECE + k - 1]])
+                held.append(letters[at : at + PIECE + k - 1])
                 firsts.append(at == 0)
                 size += len(held[-1])
                 if size >= PIECE:
@@ -111,12 +110,13 @@ def _pieces(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[np.ndar
 
 
 def _numbers(codes: np.ndarray, k: int, back: bool = False) -> np.ndarray:
-    """Each k-mer as a number whose order is that of strings; back: its reverse complement."""
-    out = np.zeros(max(0, len(codes) - k + 1), np.int64)
-    for j in reversed(range(k)) if back else range(k):
-        part = codes[j : j + len(out)]
-        out *= 4
-        out += 3 - part if back else part
+    """Each k-mer as a number whose order is that of strings; back: its reverse complement.  Windows double, as in _least."""
+    out, have = (3 - codes if back else codes).astype(np.int32 if k < 16 else np.int64), 1
+    while have < k:
+        step = min(have, k - have)
+        ahead = out[step:]
+        out = out[:-step] | ahead >> 2 * (have - step) << 2 * have if back else out[:-step] << 2 * step | ahead & (4**step - 1)
+        have += step
     return out
 
 
@@ -125,6 +125,14 @@ def _digits(numbers: np.ndarray, k: int) -> np.ndarray:
     return ((numbers[:, None] >> (2 * np.arange(k - 1, -1, -1))) & 3).astype(np.uint8)
 
 
+def _added(numbers: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each different number and the sum of its times."""
+    order = np.argsort(numbers)
+    numbers, times = numbers[order], times[order]
+    begin = np.flatnonzero(np.diff(numbers, prepend=-1))
+    return numbers[begin], np.add.reduceat(times, begin) if len(begin) else times
+
+
 def _dense(rows: DataFrame, k: int, mode: str, drop_poly_a: bool) -> DataFrame:
     """(kmer, n): each task's counts of all k-mers, added up."""
 
@@ -166,10 +174,20 @@ def _least(x: np.ndarray, wide: int) -> np.ndarray:
 def _minimizers(codes: np.ndarray, real: np.ndarray, k: int, m: int) -> np.ndarray:
     """The place in the order of m-mers of each k-mer's minimizer; -1 where none starts.  AAA... is last in the order."""
     mask = 4**m - 1
-    order = (np.minimum(_numbers(codes, m), _numbers(codes, m, True)) * 0x9E3779B1 + mask) & mask
+    # only the low bits of the product count, so it may overflow
+    order = (np.minimum(_numbers(codes, m), _numbers(codes, m, True)) * (0x9E3779B1 & mask) + mask) & mask
     return np.where(real, _least(order, k - m + 1), -1)
 
 
+def _opening(runs: list[bytes], k: int, m: int) -> list[int]:
+    """The place of the minimizer of each run's first k-mer, which is that of the whole run."""
+    out = []
+    for i in range(0, len(runs), PIECE // k + 1):
+        codes = np.frombuffer(b"".join([x[:k] for x in runs[i : i + PIECE // k + 1]]).translate(_CODE), np.uint8)
+        out += _minimizers(codes, np.True_, k, m)[::k].tolist()
+    return out
+
+
 def _length(k: int) -> int:
     return min(MINIMIZER, 2 * k // 3)
 
@@ -179,9 +197,15 @@ def crowded(rows: DataFrame, k: int) -> list[int]:
     m, parts = _length(k), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(4**m, np.int64)
+        total, held, size = np.zeros(4**m, np.int64), [], 0
         for codes, real, _ in _pieces(batches, k):
-            total += np.bincount(_minimizers(codes, real, k, m)[real], minlength=4**m)
+            held.append(_minimizers(codes, real, k, m)[real])
+            size += len(held[-1])
+            if size >= 4 * len(total):
+                total += np.bincount(np.concatenate(held), minlength=4**m)
+                held, size = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=4**m)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["minimizer", "n"])
 
@@ -200,17 +224,32 @@ def super_kmers(rows: DataFrame, k: int, poly: list[str], hot: list[int]) -> Dat
         opening: Counter[bytes] = Counter()
         alone: Counter[bytes] = Counter()
         leading: Counter[bytes] = Counter()
-        bucket: dict[bytes, int] = {}
+        # k-mers of crowded minimizers that fit a number are counted as numbers: those that wait, and those counted
+        waiting: list[np.ndarray] = []
+        tally = np.zeros(0, np.int64), np.zeros(0, np.int64)
         polys, crowd = [p.encode() for p in poly], np.zeros(4**m + 1, bool)  # the last entry is for -1
         crowd[hot] = True
 
+        def settled() -> None:
+            nonlocal tally
+            if waiting:
+                found, n = np.unique(np.concatenate(waiting), return_counts=True)
+                tally = _added(np.concatenate([tally[0], found]), np.concatenate([tally[1], n]))
+                waiting.clear()
+
         def flushed() -> pa.RecordBatch:
-            for kmer in (*alone, *leading):
-                bucket[kmer] = (1 << 32) + zlib.crc32(min(kmer, kmer.translate(_COMPLEMENT)[::-1]))
+            nonlocal tally
+            settled()
+            if len(tally[0]):
+                names = _LETTER[_digits(tally[0], k)].tobytes()
+                alone.update(dict(zip((names[i : i + k] for i in range(0, len(names), k)), tally[1].tolist(), strict=True)))
+                tally = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            whole = _opening([*seen, *opening], k, m)
+            single = [(1 << 32) + zlib.crc32(min(x, x.translate(_COMPLEMENT)[::-1])) for x in (*alone, *leading)]
             kinds = ((seen, False), (opening, True), (alone, False), (leading, True))
             runs = [x for held, _ in kinds for x in held]
-            columns = [[bucket[x] for x in runs], runs, [first for held, first in kinds for _ in held], [n for held, _ in kinds for n in held.values()]]
-            for held in (seen, opening, alone, leading, bucket):
+            columns = [whole + single, runs, [first for held, first in kinds for _ in held], [n for held, _ in kinds for n in held.values()]]
+            for held in (seen, opening, alone, leading):
                 held.clear()
             kinds_of = (pa.int64(), pa.binary(), pa.bool_(), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds_of, strict=True)], names=["bucket", "run", "first", "times"])
@@ -225,20 +264,25 @@ def super_kmers(rows: DataFrame, k: int, poly: list[str], hot: list[int]) -> Dat
         for codes, real, first in _pieces(batches, k):
             least, text = _minimizers(codes, real, k, m), _LETTER[codes].tobytes()
             single = np.flatnonzero(crowd[least])
-            counted(alone, leading, [text[i : i + k] for i in single.tolist()], first[single])
+            opens = first[single] if polys else np.zeros(len(single), bool)
+            if k < 32 and len(single):
+                waiting.append(_numbers(codes, k)[single[~opens]])
+                single, opens = single[opens], opens[opens]
+                if sum(map(len, waiting)) > 1 << 20:
+                    settled()
+            counted(alone, leading, [text[i : i + k] for i in single.tolist()], opens)
             begin = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | first[1:]]))
             end = np.append(begin[1:], len(least))
             there = (least[begin] >= 0) & ~crowd[least[begin]]
             begin, end = begin[there], end[there]
-            # long runs in parts
             parts = -(-(end - begin) // RUN)
-            at = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-            begin, end = np.repeat(begin, parts) + at * RUN, np.repeat(end, parts)
+            if (parts > 1).any():  # long runs in parts
+                at = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+                begin, end = np.repeat(begin, parts) + at * RUN, np.repeat(end, parts)
             stops = np.minimum(end, begin + RUN) + k - 1
             runs = [text[s:e] for s, e in zip(begin.tolist(), stops.tolist(), strict=True)]
-            bucket.update(zip(runs, least[begin].tolist(), strict=True))
             counted(seen, opening, runs, first[begin])
-            if len(bucket) + len(alone) > HELD:
+            if len(seen) + len(opening) + len(alone) + len(leading) + len(tally[0]) > HELD:
                 yield flushed()
         yield flushed()
 
@@ -255,17 +299,23 @@ def counts(df: DataFrame, sequence: str, k: int, mode: str = "C", drop_poly_a: b
         return _dense(rows, k, mode, drop_poly_a)
     poly = (["A" * k, "T" * k] if mode == "C" else ["A" * k]) if drop_poly_a else []
     dealt = super_kmers(rows, k, poly, crowded(rows, k)).repartition("bucket")
+    # what several tasks have seen is cut into k-mers once
+    dealt = dealt.groupBy("bucket", "run", "first").agg(F.sum("times").alias("times"))
+    # a run is read backwards once, and each of its k-mers is a slice of both
+    back = reverse_complement(F.col("run").cast("string")).cast("binary").alias("back")
     at = F.explode(F.sequence(F.lit(1), F.length("run") - k + 1)).alias("at")
-    cut = dealt.select("bucket", "run", "first", "times", at).select("bucket", "times", F.substring("run", F.col("at"), F.lit(k)).cast("string").alias("plain"), (F.col("first") & (F.col("at") == 1)).alias("opens"))
+    plain = F.substring("run", F.col("at"), F.lit(k)).cast("string").alias("plain")
+    other = F.substring("back", F.length("run") - F.col("at") - k + 2, F.lit(k)).cast("string").alias("other")
+    cut = dealt.select("bucket", "run", back, "first", "times").select("*", at).select("bucket", "times", plain, other, (F.col("first") & (F.col("at") == 1)).alias("opens"))
     if drop_poly_a:
         cut = cut.where(~F.col("plain").isin(poly) | F.col("opens"))
-    plain = F.col("plain")
+    plain, other = F.col("plain"), F.col("other")
     if mode == "B":
-        both = F.array(plain, reverse_complement(plain))
+        both = F.array(plain, other)
         # a copy that is A alone by being read backwards is left out, too
         kmer = F.explode(F.when(F.lit(drop_poly_a) & (plain == "T" * k), F.array(plain)).otherwise(both))
     else:
-        kmer = canonical(plain) if mode == "C" else plain
+        kmer = F.least(plain, other) if mode == "C" else plain
     # rows are dealt by bucket already, which is a part of these keys: no further exchange
     return cut.select("bucket", "times", kmer.alias("kmer")).groupBy("bucket", "kmer").agg(F.sum("times").alias("n")).select("kmer", "n")
 
