@@ -952,3 +952,19 @@ def test_frequent_words_stay_within_their_bound(spark):
     table = spark.createDataFrame([(f"w{k}".encode(), k) for k in range(200)] + [(b"x" * 100, 10_000)], "word binary, n long")
     got = [r.n for r in frequent.most_frequent(table, 50).collect()]
     assert 0 < len(got) <= 50 and min(got) > 100 and max(got) == 199
+
+
+def test_sentencepiece_sorts_the_edges_of_few_units_in_a_task(spark, monkeypatch):
+    """Partitions of units are not put together by the size of the units, which is small beside that of their edges."""
+    dealt, whole = [], spm.lattice
+
+    def watched(found, *given):
+        dealt.append(found)
+        return whole(found, *given)
+
+    monkeypatch.setattr(spm, "lattice", watched)
+    docs = frame(spark, [" ".join(words(1000, 900 + k)) + f" w{k}" for k in range(8)])
+    assert spm.encode(docs, checked=True).where("intact").count() == 8
+    per_task = [r["count"] for r in dealt[0].groupBy(F.spark_partition_id()).count().collect()]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sum(per_task) > 200 and len(per_task) > 2 * parts and max(per_task) < sum(per_task) / parts

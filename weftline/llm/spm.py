@@ -53,6 +53,9 @@ COLLECTED, AT_ONCE, CHARS = 400_000, 50_000, 1 << 18
 WINDOW = 128
 #: Characters of a piece's head: a start whose head begins no piece has shorter pieces only.
 HEAD = 4
+#: Times as many partitions as a shuffle has for the units: a task sorts the edges of all its units in memory, twice, and 25 MB
+#: of shuffled units have 4 GB of rows there.
+SPREAD = 4
 #: Bytes of a row group of the blocks' tables, before compression.
 ROW_GROUP = 8 << 20
 
@@ -242,14 +245,16 @@ def encoded_units(texts: DataFrame, model: table.Pieces) -> tuple[str, int]:
             yield flushed()
 
     # dealt by unit once: the different units, the group of the lattice and the join need no further exchange.  Both sides of the
-    # join read the same columns and rows (so the first block goes with a unit), and so the same exchange
-    found = texts.mapInArrow(run, "block long, unit string").where("block is not null and unit is not null").repartition("unit")
+    # join read the same columns and rows (so the first block goes with a unit), and so the same exchange.  The number is given,
+    # as partitions would be put together by the size of units, not of their edges
+    buckets = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = texts.mapInArrow(run, "block long, unit string").where("block is not null and unit is not null").repartition(SPREAD * buckets, "unit")
     ids = best_paths(lattice(found.groupBy("unit").agg(F.min("block").alias("first")), model, WINDOW), model).withColumnRenamed("unit", "of")
     short = found.join(ids.hint("shuffle_hash"), (F.col("unit") == F.col("of")) & (F.col("block") >= F.col("first"))).select("block", "unit", "ids")
     long = found.select("block", F.explode(F.when(F.length("unit") > WINDOW, F.array("unit"))).alias("unit"))
     paths = best_long_paths(lattice(windows(long, model), model), model.longest)
     met = short.unionByName(long.join(paths, (F.sha2("unit", 256) == F.col("key")) & (F.col("block") >= F.col("first"))).select("block", "unit", "ids"))
-    folder, buckets = new_dir(texts.sparkSession, "blocks"), int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    folder = new_dir(texts.sparkSession, "blocks")
     dealt = met.withColumn("bucket", F.pmod("block", F.lit(buckets))).repartition("bucket").sortWithinPartitions("bucket", "block")
     dealt.write.mode("append").option("compression", "zstd").option("parquet.block.size", ROW_GROUP).partitionBy("bucket").parquet(folder)
     return folder, buckets
